@@ -23,8 +23,8 @@ from .common import fresh, table
 SPACE = r"[\x20\x09-\x0D]+"
 #: Insults that mark a text as abusive.
 BLOCKED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-BLOCKED_RE = f"(?:^|[^a-z])(?:{'|'.join(BLOCKED)})(?:[^a-z]|$)"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: One of them as a word of its own, in either case of A-Z.
+BLOCKED_RE = f"(?:^|[^A-Za-z])(?:{'|'.join(''.join(f'[{c}{c.upper()}]' for c in w) for w in BLOCKED)})(?:[^A-Za-z]|$)"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -36,17 +36,16 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")
 
 
-def n_words(text: Column) -> Column:
-    return F.size(words_of(text)).cast("long")
+def n_words(w: Column) -> Column:
+    return F.size(w).cast("long")
 
 
-def word_chars(text: Column) -> Column:
-    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), SPACE, "")).cast("long")
+def word_chars(w: Column) -> Column:
+    return F.length(F.array_join(w, "")).cast("long")
 
 
 def n_symbols(text: Column) -> Column:
-    t = F.coalesce(text, F.lit(""))
-    return (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("long")
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^#*$%&|<>]+", "")).cast("long")
 
 
 def _lines(text: Column) -> Column:
@@ -61,12 +60,19 @@ def n_dup_lines(text: Column) -> Column:
     return let(_lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def n_repeat_words(text: Column) -> Column:
-    """Words in 3-word windows that the text has twice or more: windows are sorted, equal neighbours marked, and the
-    marked starts, in order, cover 3 words each less their overlap."""
+def n_repeat_words(w: Column) -> Column:
+    """Words in 3-word windows that the text has twice or more.
 
-    def grams(w: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.struct(F.concat_ws(" ", F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("g"), i.alias("i")))
+    32 bits of each window's hash are packed with its start and sorted as numbers; starts that share those bits with a
+    neighbour are candidates, and just their windows are compared as text. Equal ones are marked, and the marked
+    starts, in order, cover 3 words each less their overlap.
+    """
+    gram = lambda f, i: f(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
+
+    def candidates(p: Column) -> Column:
+        alike = F.filter(F.sequence(F.lit(0), F.size(p) - 2), lambda j: F.shiftrightunsigned(F.get(p, j).bitwiseXOR(F.get(p, j + 1)), 32) == 0)
+        both = F.flatten(F.transform(alike, lambda j: F.array(F.get(p, j), F.get(p, j + 1))))
+        return F.transform(F.array_distinct(both), lambda x: x.bitwiseAND(F.lit(2**31 - 1).cast("long")).cast("int"))
 
     def marked(s: Column) -> Column:
         same = lambda x, j: F.coalesce(F.get(s, j)["g"] == x["g"], F.lit(False))
@@ -76,7 +82,9 @@ def n_repeat_words(text: Column) -> Column:
         steps = F.transform(at, lambda i, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - i, F.lit(3))))
         return F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-    return let(words_of(text), lambda w: F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(F.sort_array(grams(w)), lambda s: let(marked(s), covered))))
+    packed = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.shiftleft(gram(F.xxhash64, i), 32).bitwiseOR(i.cast("long"))))
+    as_text = lambda at: F.sort_array(F.transform(at, lambda i: F.struct(gram(lambda *x: F.concat_ws(" ", *x), i).alias("g"), i.alias("i"))))
+    return F.when(F.size(w) < 4, F.lit(0).cast("long")).otherwise(let(packed, lambda p: let(as_text(candidates(p)), lambda s: let(marked(s), covered))))
 
 
 def n_upper(text: Column) -> Column:
@@ -84,14 +92,22 @@ def n_upper(text: Column) -> Column:
 
 
 def n_blocked(text: Column) -> Column:
-    return F.regexp_count(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), F.lit(BLOCKED_RE)).cast("long")
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(BLOCKED_RE)).cast("long")
+
+
+#: What rules look at, by name: columns over a text, and columns over its words.
+OF_TEXT: dict[str, Callable[[Column], Column]] = {"n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_upper": n_upper, "n_blocked": n_blocked}
+OF_WORDS: dict[str, Callable[[Column], Column]] = {"n_words": n_words, "word_chars": word_chars, "n_repeat_words": n_repeat_words}
+FEATURES = (*OF_WORDS, *OF_TEXT)
 
 
-#: What rules look at, by name.
-FEATURES: dict[str, Callable[[Column], Column]] = {
-    "n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines,
-    "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words, "n_upper": n_upper, "n_blocked": n_blocked,
-}
+def features(text: Column, names: list[str]) -> Column:
+    """A struct of the named features; the text is split into words once at most."""
+    own = [OF_TEXT[n](text).alias(n) for n in names if n in OF_TEXT]
+    counted = [n for n in names if n in OF_WORDS]
+    if not counted:
+        return F.struct(*own)
+    return let(words_of(text), lambda w: F.struct(*own, *(OF_WORDS[n](w).alias(n) for n in counted)))
 
 
 @dataclass(frozen=True)
@@ -116,12 +132,6 @@ RULES = (
 )
 
 
-def with_features(df: DataFrame, names: list[str], text: str = "text") -> tuple[DataFrame, dict[str, str]]:
-    """df with the features, and the column each stands in."""
-    put = {n: fresh(df.columns, n) for n in names}
-    return df.select("*", *(FEATURES[n](F.col(text)).alias(put[n]) for n in names)), put
-
-
 def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 1000) -> list[Rule]:
     """Rules by rejection per cost, both measured on sample_rows rows; ties keep the given order."""
     sample = df.select(F.col(text).alias("text")).limit(sample_rows).cache()
@@ -147,8 +157,7 @@ def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
 
 def _bound(rule: Rule, text: Column) -> Column:
     """The rule over a text column alone: it computes just the features that it names."""
-    fields = F.struct(*(FEATURES[n](text).alias(n) for n in rule.features()))
-    return let(fields, lambda x: _sql(rule.keep, {n: x[n] for n in rule.features()}))
+    return let(features(text, rule.features()), lambda x: _sql(rule.keep, {n: x[n] for n in rule.features()}))
 
 
 def _sql(keep: str, columns: dict[str, Column]) -> Column:
@@ -186,7 +195,7 @@ def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", na
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ordered = order_rules(docs)
-    wide, put = with_features(docs, list(FEATURES))
+    wide = docs.select("doc_id", features(F.col("text"), list(FEATURES)).alias("f")).select("doc_id", "f.*")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     verdict = cascade(ordered, lambda r: F.expr(r.keep))
     return wide.select(
@@ -208,7 +217,7 @@ r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i +
 f AS (SELECT w.rid, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_upper,
-  CAST(len(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '{BLOCKED_RE}')) AS BIGINT) AS n_blocked FROM w LEFT JOIN r ON w.rid = r.rid)
+  CAST(len(regexp_extract_all(text, '{BLOCKED_RE}')) AS BIGINT) AS n_blocked FROM w LEFT JOIN r ON w.rid = r.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
   ({" AND ".join(f"({r.keep})" for r in RULES)}) AS kept, n_lines, n_upper, n_blocked FROM f"""
 }
