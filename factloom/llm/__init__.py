@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("mixing", "quality")
+_MODULES = ("mixing", "suffix", "quality", "simhash", "decontam")
 
 
 def queries() -> dict:
