@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("mixing", "suffix", "quality", "simhash", "decontam", "warc")
+_MODULES = ("mixing", "suffix", "pst", "quality", "simhash", "chat", "decontam", "warc")
 
 
 def queries() -> dict:
