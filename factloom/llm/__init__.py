@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("mixing", "suffix", "pst", "quality", "simhash", "chat", "decontam", "warc")
+_MODULES = ("mixing", "suffix", "tokencount", "pst", "quality", "simhash", "chat", "licenses", "decontam", "warc")
 
 
 def queries() -> dict:
