@@ -9,6 +9,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,7 +86,7 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int
         change[:1] = True
         for k in keys:
             x = t.column(k).combine_chunks()
-            change[1:] |= np.asarray(pa.compute.not_equal(x[1:], x[:-1]).fill_null(True), bool) if len(t) > 1 else False
+            change[1:] |= np.asarray(pc.not_equal(x[1:], x[:-1]).fill_null(True), bool) if len(t) > 1 else False
         return np.flatnonzero(change)
 
     held: list[pa.RecordBatch] = []

@@ -114,18 +114,41 @@ def links(nodes: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFra
     return ordered.mapInArrow(compared, "a long, b long")
 
 
-def near_duplicates(df: DataFrame, text: str = "text", words: int = 5, radius: int = RADIUS, fp: str = "fingerprint", root: str = "component") -> DataFrame:
-    """df with each row's fingerprint (long) and its component, named by the least fingerprint in it."""
-    fp, root = fresh(df.columns, fp), fresh(df.columns, root)
-    marked = df.withColumn(fp, fingerprint(F.col(text), words))
-    of = components(links(stash(df.select(fingerprint(F.col(text), words).alias("fp")).distinct(), "prints"), radius)).toDF(fp, root)
-    return marked.join(of, fp, "left").withColumn(root, F.coalesce(root, fp)).select(*df.columns, fp, root)
+def groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, root, least): each fingerprint's component, named by the least fingerprint in it, and the least id of the component.
+
+    prints: (id, fp), a row for each text. Ids are reduced by fingerprint, then by component, so that texts themselves
+    are only joined with a table that has each fingerprint once.
+    """
+    nodes = stash(prints.groupBy("fp").agg(F.min("id").alias("id")), "nodes")
+    of = components(links(nodes.select("fp"), radius)).toDF("fp", "root")
+    named = nodes.join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = named.groupBy("root").agg(F.min("id").alias("least"))
+    return stash(named.join(least, "root").select("fp", "root", "least"), "groups")
+
+
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = RADIUS, fp: str = "fingerprint", component: str = "component_id") -> DataFrame:
+    """df with each row's fingerprint (long) and its component's least id."""
+    fp, component = fresh(df.columns, fp), fresh(df.columns, component)
+    prints = stash(df.select(F.col(key).alias("id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
+    of = groups(prints, radius).select(F.col("fp").alias(fp), F.col("least").alias(component))
+    return df.withColumn(fp, fingerprint(F.col(text), words)).join(of, fp).select(*df.columns, fp, component)
+
+
+def first_of_groups(df: DataFrame, text: str = "text", key: str = "doc_id", words: int = 5, radius: int = RADIUS) -> DataFrame:
+    """df's rows, one of each near-duplicate group: that with the least id; of rows that share it, any one. A group of null ids keeps one row."""
+    prints = stash(df.select(F.col(key).alias("id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
+    of = prints.join(groups(prints, radius), "fp").filter(F.col("id").eqNullSafe(F.col("least")))
+    chosen = stash(of.groupBy("root", F.col("id").alias("__id")).agg(F.min("fp").alias("__fp"), F.count("*").alias("n")), "chosen")
+    marked = df.withColumn("__print", fingerprint(F.col(text), words))
+    out = marked.join(chosen, (F.col("__print") == F.col("__fp")) & F.col(key).eqNullSafe(F.col("__id")))
+    if not chosen.filter("n > 1").isEmpty():  # rows that repeat an id
+        out = out.dropDuplicates(["__print", key])
+    return out.select(df.columns)
 
 
 def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", fingerprint(F.col("text"), 3).alias("fp"))
-    docs = stash(docs, "fingerprints")
-    of = components(links(docs.select("fp").distinct())).toDF("fp", "root")
-    named = docs.join(of, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return named.join(least, "root").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    prints = stash(docs.select(F.col("doc_id").alias("id"), fingerprint(F.col("text"), 3).alias("fp")), "fingerprints")
+    named = prints.join(groups(prints), "fp")
+    return named.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
