@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factloom.functions import argv, lines
 from factloom.functions.identifier import identifier_components
 from factloom.operators import facts, fileapi, freshness, projection, search, status, trace
 from factloom.plans import planning
-from factloom.sources import lens
+from factloom.sources import lens, store
 from factloom.sources.lens import SQL_ATTEMPTS, SQL_CALLS, SQL_INPUTS, SQL_LOC, table
+from factloom.sources.shared import shared_dir, stash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -479,3 +482,89 @@ def null_safe_upsert(spark, sf_dir):
 @query()
 def fact_digest(spark, sf_dir):
     return facts.distributed_digest(lens.calls(spark, sf_dir, lens.locations(spark, sf_dir)))
+
+
+# --- contents, contributions, publications -------------------------------------------------------------------------
+
+
+@query(
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, left(coalesce(text, ''), CAST(length(coalesce(text, '')) // 2 AS BIGINT)) AS p FROM documents)
+SELECT doc_id, CAST(strlen(p) AS BIGINT) AS b_off, CAST(length(p) - length(replace(p, chr(10), '')) + 1 AS BIGINT) AS line,
+  CAST(strlen(list_last(string_split(p, chr(10)))) + 1 AS BIGINT) AS "column", sha256(left(substr(t, length(p) + 1), 40)) AS span_hash FROM d"""
+)
+def line_index(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    half = F.floor(F.length("t") / 2).cast("int")
+    at = d.select("doc_id", F.encode("t", "UTF-8").alias("content"), F.octet_length(F.left("t", half)).cast("long").alias("b_off"), F.octet_length(F.left("t", half + 40)).cast("long").alias("e_off"))
+    found = at.withColumn("p", lines.line_column(F.col("content"), F.col("b_off"))).withColumn("s", lines.span_bytes(F.col("content"), F.col("b_off"), F.col("e_off")))
+    return found.select("doc_id", "b_off", "p.line", "p.column", F.sha2("s", 256).alias("span_hash"))
+
+
+def _batch(spark, sf_dir) -> dict[str, DataFrame]:
+    """Parts and calls as contributions of 16 units, with faults in some of them."""
+    loc = lens.locations(spark, sf_dir)
+    n = F.substring("unit", 2, 9).cast("int")
+    units = loc.select("unit").distinct()
+    u = units.select(
+        "unit", F.when(n.isin(3, 4), "shared").otherwise(F.concat(F.lit("fact-"), "unit")).alias("fact_label"), F.when(n == 5, "").otherwise("c").alias("command_id"), F.lit("r").alias("replay_id"),
+        F.when(n == 6, "broken").otherwise("ok").alias("status"),
+    )
+    s = loc.select("unit", F.when((n == 7) & (F.col("part") % 5 == 2), "cm1:wrong").otherwise(F.col("symbol")).alias("symbol"), "key", "name", "qualified", "kind", "signature", F.lit(False).alias("placeholder")).distinct()
+    at = loc.select("unit", "symbol", "role", F.when((n == 8) & (F.col("part") % 7 == 1), F.concat(F.lit("/"), "path")).otherwise(F.col("path")).alias("path"), "b_off", "e_off")
+    step = loc.select((F.col("part") + F.when(n == 9, 1).otherwise(16)).alias("part"), F.col("symbol").alias("target"))
+    e = loc.join(step, "part").select("unit", F.col("symbol").alias("source"), "target", F.lit("calls").alias("kind"), F.lit("confirmed").alias("confidence"), F.lit("static_target").alias("dispatch"), "path", "b_off")
+    i = loc.select("unit", F.when(n == 10, "same").otherwise(F.col("path")).alias("path_key"), F.lit("header").alias("role"), F.lit("h").alias("hash"), F.col("path").alias("repo_path")).distinct()
+    return {"unit": u, "symbol": s, "location": at, "evidence": e, "input": i}
+
+
+_BATCH = f"""{SQL_LOC}, cu AS (SELECT DISTINCT unit, CAST(substr(unit, 2) AS INTEGER) AS n FROM loc),
+cs AS (SELECT DISTINCT unit, CASE WHEN unit = 'u7' AND part % 5 = 2 THEN 'cm1:wrong' ELSE symbol END AS symbol FROM loc),
+ce AS (SELECT a.unit, a.symbol AS source, t.symbol AS target FROM loc a JOIN loc t ON a.part = t.part + CASE WHEN t.unit = 'u9' THEN 1 ELSE 16 END),
+ci AS (SELECT DISTINCT unit, CASE WHEN unit = 'u10' THEN 'same' ELSE path END AS path_key, path FROM loc),
+broken AS (SELECT unit, 2 AS rule, 'a fact label is used by two slots' AS reason FROM cu WHERE n IN (3, 4) AND (SELECT count(*) FROM cu WHERE n IN (3, 4)) > 1
+  UNION ALL SELECT unit, 4, 'missing command identity' FROM cu WHERE n = 5 UNION ALL SELECT unit, 6, 'unusable analysis status' FROM cu WHERE n = 6
+  UNION ALL SELECT unit, 7, 'stable id does not match its key' FROM cs WHERE symbol = 'cm1:wrong'
+  UNION ALL SELECT unit, 9, 'non-canonical location file' FROM loc WHERE unit = 'u8' AND part % 7 = 1
+  UNION ALL SELECT e.unit, 10, 'relation endpoint without a symbol' FROM ce e WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.unit = e.unit AND cs.symbol = e.source) OR NOT EXISTS (SELECT 1 FROM cs WHERE cs.unit = e.unit AND cs.symbol = e.target)
+  UNION ALL SELECT unit, 13, 'duplicate input' FROM ci GROUP BY unit, path_key HAVING count(*) > 1),
+problems AS (SELECT unit, min(rule) AS rule, arg_min(reason, rule) AS reason FROM broken GROUP BY unit)"""
+
+
+@query(f"WITH {_BATCH} SELECT unit, CAST(rule AS INTEGER) AS rule, reason FROM problems")
+def contribution_problems(spark, sf_dir):
+    return store.problems(_batch(spark, sf_dir))
+
+
+@query(
+    f"WITH {_BATCH}, good AS (SELECT unit FROM cu WHERE unit NOT IN (SELECT unit FROM problems)) SELECT unit, count(*) AS n_locations, count(DISTINCT symbol) AS n_symbols, min(b_off) + CASE WHEN unit = 'u1' THEN 1 ELSE 0 END AS first_off "
+    "FROM loc WHERE unit IN (SELECT unit FROM good) AND unit <> 'u2' GROUP BY unit"
+)
+def published_generation(spark, sf_dir):
+    """Units without faults are published; then one is replaced and one retired; the last generation is read back."""
+    root = f"{shared_dir(spark).rstrip('/')}/store-{uuid.uuid4().hex}"
+    batch = _batch(spark, sf_dir)
+    bad = stash(store.problems(batch).select("unit"), "problems")
+    batch = {t: df.join(bad, "unit", "left_anti") for t, df in batch.items()}
+    store.publish(spark, root, batch)
+    again = {t: df.filter("unit = 'u1'") for t, df in batch.items()}
+    again["location"] = again["location"].withColumn("b_off", F.col("b_off") + 1)
+    store.publish(spark, root, again, batch["unit"].select("unit").filter("unit = 'u2'"))
+    return store.snapshot(spark, root)["location"].groupBy("unit").agg(F.count("*").alias("n_locations"), F.count_distinct("symbol").alias("n_symbols"), F.min("b_off").alias("first_off"))
+
+
+@query(
+    f"WITH {_PLAN}, o AS (SELECT o_orderkey AS slot, o_custkey AS owner, o_orderstatus AS state FROM orders), b AS (SELECT slot, CASE WHEN slot % 7 = 0 THEN 'X' ELSE state END AS state, CASE WHEN slot % 5 = 0 THEN NULL ELSE owner END AS owner FROM o) "
+    "SELECT o.slot, concat_ws(',', CASE WHEN o.owner IS DISTINCT FROM b.owner THEN 'owner' END, CASE WHEN o.state IS DISTINCT FROM b.state THEN 'state' END) AS reasons FROM o JOIN b ON o.slot = b.slot"
+)
+def change_reasons(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("slot"), F.col("o_custkey").alias("owner"), F.col("o_orderstatus").alias("state"))
+    b = o.select("slot", F.when(F.col("slot") % 7 == 0, "X").otherwise(F.col("state")).alias("state"), F.when(F.col("slot") % 5 == 0, None).otherwise(F.col("owner")).alias("owner"))
+    return planning.change_reasons(o, b, ["owner", "state"])
+
+
+@query()
+def command_lines(spark, sf_dir):
+    """Every line of every document as a command line, by both rules."""
+    each = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "line"))
+    both = each.select("doc_id", argv.tokenize(F.col("line")).alias("g"), argv.tokenize(F.col("line"), "windows").alias("w"))
+    return both.groupBy("doc_id").agg(*(F.sum(F.size(f"{k}.args")).alias(f"{k}_args") for k in "gw"), *(F.sum(F.col(f"{k}.unterminated").cast("long")).alias(f"{k}_open") for k in "gw"))
