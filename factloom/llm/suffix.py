@@ -2,9 +2,10 @@
 
 Sharding. Each start of a `length`-byte window is given the GRAM-byte string in the window whose hash is least.
 Equal windows have equal least hashes, so sending windows by that hash brings all their occurrences to one shard,
-however many documents share them. Neighbouring starts mostly have the same string; a run of them is sent as one
-snippet, about length / 2 starts long. Snippets whose hash occurs once in the corpus cannot repeat and stay where they
-are; equal snippets are counted before they are sent.
+however many documents share them. Neighbouring starts mostly have the same string; a run of them is one snippet, about
+length / 2 starts long. Snippets whose hash occurs once in the corpus cannot repeat and stay where they are. The others
+are counted by a name (a 64-bit digest beside the hash); one that occurs twice repeats as a whole, and texts travel to
+shards just once for each name, and for hashes under which some snippet occurs once.
 
 Shards. A shard joins its snippets into one string and sorts its suffixes by induced sorting: suffixes are classified
 S or L, the leftmost S ones (LMS) sort their substrings by one round of induction, named substrings make a shorter
@@ -13,7 +14,7 @@ goes bucket by bucket in whole numpy vectors. Each start's predecessor in the ar
 (the permuted form), and so are their common prefixes, compared in 8-byte words up to `length`. A start repeats if it
 shares `length` bytes with a neighbour in the array, or if its snippet was counted more than once.
 
-A hash whose snippets would fill more than HOT_BYTES (boilerplate between texts that differ) isn't sent to a single
+A hash whose snippets may fill more than HOT_BYTES (boilerplate between texts that differ) isn't sent to a single
 task: its windows are counted by a 128-bit digest, spread over all tasks, and only those that occur once are dropped;
 what is left of it is equal windows, which count as one.
 
@@ -24,18 +25,18 @@ empty result; input columns keep their names, added ones get a trailing undersco
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, slices, sorted_groups, table, text_bytes
 
-LENGTH, GRAM = 200, 16
+LENGTH, GRAM = 200, 32
 #: Bytes of text hashed at once, bytes of snippets in a shard's array, and snippet bytes from which a hash is hot.
 CHUNK, SHARD_BYTES, HOT_BYTES = 512 << 10, 2 << 20, 4 << 20
 
@@ -46,22 +47,23 @@ CHUNK, SHARD_BYTES, HOT_BYTES = 512 << 10, 2 << 20, 4 << 20
 def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
     """The suffix array that follows from LMS suffixes in order (or the order of their substrings, if lms is unsorted)."""
     n = len(t)
+    small = t.astype(np.uint16) if size <= 1 << 16 else t
     count = np.bincount(t, minlength=size)
     start = np.cumsum(count) - count
     sa = np.full(n, -1, np.int64)
     used = np.flatnonzero(count)
+    order = np.argsort(small[lms], kind="stable")
+    lms = lms[order]
     by = t[lms]
-    order = np.argsort(by, kind="stable")
-    lms, by = lms[order], by[order]
     lo, hi = np.searchsorted(by, used, "left"), np.searchsorted(by, used, "right")
 
     def deal(suffixes: np.ndarray, at: np.ndarray, back: bool) -> None:
         """Puts suffixes at the fronts (or, from the back, the ends) of their buckets, in order."""
         if not len(suffixes):
             return
-        c = t[suffixes]
-        o = np.argsort(c, kind="stable")
-        c, suffixes = c[o], suffixes[o]
+        c = small[suffixes]
+        o = np.argsort(c, kind="stable")  # by radix, as names are of 16 bits
+        c, suffixes = c[o].astype(np.int64), suffixes[o]
         first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         n_of = np.diff(np.r_[first, len(c)])
         rank = np.arange(len(c)) - np.repeat(first, n_of)
@@ -107,7 +109,7 @@ def _by_doubling(t: np.ndarray) -> np.ndarray:
         nxt = np.zeros(n, np.int64)
         nxt[: max(0, n - step)] = rank[step:] + 1
         key = rank * (n + 1) + nxt
-        sa = np.argsort(key, kind="stable")
+        sa = np.argsort(key)  # equal keys share a rank, in whatever order
         new = np.zeros(n, np.int64)
         new[sa[1:]] = np.cumsum(key[sa[1:]] != key[sa[:-1]])
         if new[sa[-1]] == n - 1:
@@ -251,6 +253,11 @@ def _anchors(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def name(snippet: bytes) -> int:
+    """What a snippet goes by, together with its hash."""
+    return xxhash.xxh3_64_intdigest(snippet) - 2**63
+
+
 def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(k, spans): the byte ranges to remove of each text that has any.
 
@@ -271,27 +278,25 @@ def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: i
                 )
 
     anchors = texts.mapInArrow(found, "h long, k binary, lo int, hi int, copies long")
-    often = anchors.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1").select("h")
-    wanted = anchors.join(often, "h").groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "h")).alias("at"))
+    often = anchors.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1").select("h", (F.col("n") * (n_bytes + n_bytes // 2) > hot_bytes).alias("hot"))
+    wanted = anchors.select("h", "k", "lo", "hi").join(often, "h").groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "h", "hot")).alias("at"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            body, offsets = text_bytes(b.column("text"))
-            at = b.column("at")
-            flat = at.flatten()
-            row = np.repeat(np.arange(len(b)), np.asarray(pa.compute.list_value_length(at)))
-            lo, hi, h = (flat.field(x).to_numpy() for x in range(3))
-            for i in range(0, len(row), 4096):
-                s = slice(i, i + 4096)
-                begin = offsets[row[s]] + lo[s]
-                end = offsets[row[s]] + hi[s] + n_bytes - 1
-                rows = pa.array(row[s])
-                snip = pa.array([body[x:y].tobytes() for x, y in zip(begin, end, strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([b.column("k").take(rows), pa.array(lo[s]), pa.array(h[s]), b.column("copies").take(rows), snip], names=["k", "lo", "h", "copies", "snip"])
-
-    cuts = texts.join(wanted, "k").mapInArrow(cut, "k binary, lo int, h long, copies long, snip binary")
-    distinct = cuts.groupBy("h", "snip").agg(F.sum("copies").alias("copies"))
-    hot = distinct.groupBy("h").agg(F.sum(F.octet_length("snip")).alias("b")).filter(F.col("b") > hot_bytes).select("h")
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, row, flat, snip in _cut(batches, n_bytes):
+            yield pa.RecordBatch.from_arrays([b.column("k").take(row), *flat, b.column("copies").take(row), pa.array([name(x) for x in snip], pa.int64())], names=["k", "lo", "hi", "h", "hot", "copies", "sid"])
+
+    # snippets go by their names first; texts are cut again just for those that shards have to see
+    placed = texts.join(wanted, "k").mapInArrow(named, "k binary, lo int, hi int, h long, hot boolean, copies long, sid long")
+    distinct = placed.groupBy("h", "sid").agg(F.sum("copies").alias("copies"), F.min(F.struct("k", "lo", "hi")).alias("at"), F.max("hot").alias("hot"))
+    whole = distinct.filter("copies > 1").select("h", "sid", F.array(F.struct(F.lit(0).alias("b"), (F.col("at.hi") - F.col("at.lo")).alias("e"))).alias("again"))
+    unsure = distinct.groupBy("h").agg(F.min("copies").alias("least")).filter("least = 1").select("h")
+    chosen = distinct.join(unsure, "h").groupBy("at.k").agg(F.collect_list(F.struct("at.lo", "at.hi", "h", "hot", F.col("copies").alias("n"))).alias("at"))
+
+    def texted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, flat, snip in _cut(batches, n_bytes):
+            yield pa.RecordBatch.from_arrays([*flat[2:], pa.array(snip, pa.binary())], names=["h", "hot", "copies", "snip"])
+
+    snippets = texts.join(chosen, "k").mapInArrow(texted, "h long, hot boolean, copies long, snip binary")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, int]] = []
@@ -299,8 +304,8 @@ def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: i
 
         def sort() -> pa.RecordBatch:
             flags = repeated_starts([s for _, s, _ in held], np.array([c for _, _, c in held]), n_bytes)
-            out = [(h, hashlib.md5(s).digest(), [{"b": x, "e": y} for x, y in runs(f)]) for (h, s, _), f in zip(held, flags, strict=True) if f.any()]
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())])))], names=["h", "sid", "again"])
+            out = [(h, name(s), [{"b": x, "e": y} for x, y in runs(f)]) for (h, s, c), f in zip(held, flags, strict=True) if c == 1 and f.any()]
+            return pa.RecordBatch.from_pydict({"h": pa.array([x[0] for x in out], pa.int64()), "sid": pa.array([x[1] for x in out], pa.int64()), "again": pa.array([x[2] for x in out], pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())])))})
 
         for b in batches:
             for h, s, c in zip(b.column("h").to_pylist(), b.column("snip").to_pylist(), b.column("copies").to_pylist(), strict=True):
@@ -312,30 +317,45 @@ def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: i
         if held:
             yield sort()
 
-    kind = "h long, sid binary, again array<struct<b:int,e:int>>"
-    cold = distinct.join(hot, "h", "left_anti").repartition("h").sortWithinPartitions("h").mapInArrow(shards, kind)
+    kind = "h long, sid long, again array<struct<b:int,e:int>>"
+    cold = snippets.filter("NOT hot").select("h", "snip", "copies").repartition("h").sortWithinPartitions("h").mapInArrow(shards, kind)
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for h, s, c in zip(b.column("h").to_pylist(), b.column("snip").to_pylist(), b.column("copies").to_pylist(), strict=True):
-                n, sid = len(s) - n_bytes + 1, hashlib.md5(s).digest()
+                n = len(s) - n_bytes + 1
                 digests = [xxhash.xxh3_128_digest(s[i : i + n_bytes]) for i in range(n)]
-                yield pa.RecordBatch.from_arrays([pa.array([h] * n, pa.int64()), pa.array([sid] * n, pa.binary()), pa.array(range(n), pa.int32()), pa.array([c] * n, pa.int64()), pa.array(digests, pa.binary())], names=["h", "sid", "i", "c", "d"])
+                yield pa.RecordBatch.from_pydict({"h": pa.array([h] * n, pa.int64()), "sid": pa.array([name(s)] * n, pa.int64()), "i": pa.array(range(n), pa.int32()), "c": pa.array([c] * n, pa.int64()), "d": pa.array(digests, pa.binary())})
 
-    each = distinct.join(hot, "h", "left_semi").mapInArrow(windows, "h long, sid binary, i int, c long, d binary")
+    each = snippets.filter("hot").mapInArrow(windows, "h long, sid long, i int, c long, d binary")
     twice = each.groupBy("d").agg(F.sum("c").alias("n")).filter("n > 1").select("d")
-    warm = each.join(twice, "d").groupBy("h", "sid").agg(F.collect_list(F.struct(F.col("i").alias("b"), (F.col("i") + 1).alias("e"))).alias("again"))
+    warm = each.filter("c = 1").join(twice, "d").groupBy("h", "sid").agg(F.collect_list(F.struct(F.col("i").alias("b"), (F.col("i") + 1).alias("e"))).alias("again"))
 
-    again = cold.unionByName(warm)
-    placed = cuts.select("k", "lo", "h", F.unhex(F.md5("snip")).alias("sid")).join(again, ["h", "sid"])
-    ranges = placed.select("k", F.transform("again", lambda x: F.struct((F.col("lo") + x["b"]).alias("b"), (F.col("lo") + x["e"] + (n_bytes - 1)).alias("e"))).alias("r"))
+    again = whole.unionByName(cold).unionByName(warm)
+    found = placed.select("k", "lo", "h", "sid").join(again, ["h", "sid"])
+    ranges = found.select("k", F.transform("again", lambda x: F.struct((F.col("lo") + x["b"]).alias("b"), (F.col("lo") + x["e"] + (n_bytes - 1)).alias("e"))).alias("r"))
     return ranges.groupBy("k").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
 
+def _cut(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, list[pa.Array], list[bytes]]]:
+    """Of batches with text and at (array of structs from lo and hi on): the batch, the row of each snippet, the structs' fields, the snippets."""
+    for b in batches:
+        body, offsets = text_bytes(b.column("text"))
+        at = b.column("at")
+        flat = at.flatten()
+        row = np.repeat(np.arange(len(b)), np.asarray(pc.list_value_length(at)))
+        for i in range(0, len(row), 4096):
+            part = [flat.field(x)[i : i + 4096] for x in range(flat.type.num_fields)]
+            r = row[i : i + 4096]
+            begin, end = offsets[r] + part[0].to_numpy(), offsets[r] + part[1].to_numpy() + n_bytes - 1
+            yield b, pa.array(r), part, [body[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+
+
 def remove_repeats(texts: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """(text) -> one row per distinct text: k, n_bytes, n_removed, n_spans, kept (the bytes that remain)."""
     own = texts.select(F.coalesce(F.col(texts.columns[0]).cast("string"), F.lit("")).alias("text"))
-    unique = own.select(F.unhex(F.md5("text")).alias("k"), "text").groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
+    # the filter holds anyway; said here, every use of the texts is the same plan and they are shuffled once
+    unique = own.select(F.unhex(F.md5("text")).alias("k"), "text").filter("k IS NOT NULL").groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -358,7 +378,7 @@ def remove_repeats(texts: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_
             yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.diff(offsets)), pa.array(gone_n, pa.int64()), pa.array(spans_n, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "n_spans", "kept"])
 
     found = spans(unique, length, hot_bytes=hot_bytes)
-    return unique.join(found, "k", "left").select("k", "text", "spans").mapInArrow(removed, "k binary, n_bytes long, n_removed long, n_spans long, kept binary")
+    return unique.join(found, "k", "left").select("k", "text", "copies", "spans").mapInArrow(removed, "k binary, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
