@@ -112,23 +112,23 @@ def features(text: Column, names: list[str]) -> Column:
 
 @dataclass(frozen=True)
 class Rule:
-    """keep: SQL over features; a row whose value isn't true is rejected."""
+    """keep: what a row's features (by name) have to satisfy, sql: the same in SQL; a row for which it isn't true is rejected."""
 
     name: str
-    keep: str
-
-    def features(self) -> list[str]:
-        return [f for f in FEATURES if f in self.keep]
+    features: tuple[str, ...]
+    keep: Callable[[dict[str, Column]], Column]
+    sql: str
 
 
 RULES = (
-    Rule("enough_words", "n_words >= 50"),
-    Rule("few_repeats", "100 * n_repeat_words <= 50 * n_words"),
-    Rule("word_length", "word_chars >= 2 * n_words AND word_chars <= 15 * n_words"),
-    Rule("few_symbols", "10 * n_symbols <= n_words"),
-    Rule("few_dup_lines", "10 * n_dup_lines <= 3 * n_lines"),
-    Rule("not_shouting", "10 * n_upper <= 4 * word_chars"),
-    Rule("not_abusive", "n_blocked < 2"),
+    Rule("enough_words", ("n_words",), lambda f: f["n_words"] >= 50, "n_words >= 50"),
+    Rule("few_repeats", ("n_words", "n_repeat_words"), lambda f: 100 * f["n_repeat_words"] <= 50 * f["n_words"], "100 * n_repeat_words <= 50 * n_words"),
+    Rule("word_length", ("n_words", "word_chars"), lambda f: f["word_chars"].between(2 * f["n_words"], 15 * f["n_words"]), "word_chars BETWEEN 2 * n_words AND 15 * n_words"),
+    Rule("few_symbols", ("n_words", "n_symbols"), lambda f: 10 * f["n_symbols"] <= f["n_words"], "10 * n_symbols <= n_words"),
+    # a share says little of a few lines
+    Rule("few_dup_lines", ("n_lines", "n_dup_lines"), lambda f: (f["n_lines"] < 10) | (10 * f["n_dup_lines"] <= 3 * f["n_lines"]), "n_lines < 10 OR 10 * n_dup_lines <= 3 * n_lines"),
+    Rule("not_shouting", ("n_upper", "word_chars"), lambda f: 10 * f["n_upper"] <= 4 * f["word_chars"], "10 * n_upper <= 4 * word_chars"),
+    Rule("not_abusive", ("n_blocked",), lambda f: f["n_blocked"] < 2, "n_blocked < 2"),
 )
 
 
@@ -157,25 +157,7 @@ def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "tex
 
 def _bound(rule: Rule, text: Column) -> Column:
     """The rule over a text column alone: it computes just the features that it names."""
-    return let(features(text, rule.features()), lambda x: _sql(rule.keep, {n: x[n] for n in rule.features()}))
-
-
-def _sql(keep: str, columns: dict[str, Column]) -> Column:
-    """The few forms rules take: comparisons of products of features and numbers, joined by AND."""
-
-    def product(s: str) -> Column:
-        out = F.lit(1)
-        for x in s.split("*"):
-            x = x.strip()
-            out = out * (columns[x] if x in columns else F.lit(int(x)))
-        return out
-
-    out = F.lit(True)
-    for part in keep.split(" AND "):
-        op = next(o for o in (">=", "<=", "<", ">") if o in part)
-        a, b = (product(x) for x in part.split(op))
-        out = out & {">=": a >= b, "<=": a <= b, "<": a < b, ">": a > b}[op]
-    return out
+    return let(features(text, list(rule.features)), lambda x: rule.keep({n: x[n] for n in rule.features}))
 
 
 def cascade(rules: list[Rule], holds: Callable[[Rule], Column]) -> Column:
@@ -197,7 +179,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     ordered = order_rules(docs)
     wide = docs.select("doc_id", features(F.col("text"), list(FEATURES)).alias("f")).select("doc_id", "f.*")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    verdict = cascade(ordered, lambda r: F.expr(r.keep))
+    verdict = cascade(ordered, lambda r: r.keep({n: F.col(n) for n in r.features}))
     return wide.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), F.when(base_failed, F.lit(False)).otherwise(verdict).alias("kept"),
@@ -219,5 +201,5 @@ f AS (SELECT w.rid, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(r
   CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_upper,
   CAST(len(regexp_extract_all(text, '{BLOCKED_RE}')) AS BIGINT) AS n_blocked FROM w LEFT JOIN r ON w.rid = r.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  ({" AND ".join(f"({r.keep})" for r in RULES)}) AS kept, n_lines, n_upper, n_blocked FROM f"""
+  ({" AND ".join(f"({r.sql})" for r in RULES)}) AS kept, n_lines, n_upper, n_blocked FROM f"""
 }
