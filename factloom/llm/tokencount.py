@@ -29,7 +29,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, slices, table, text_bytes
 
 #: Fixed value: the pre-token pattern of the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -157,58 +157,69 @@ class Tree:
 LEAVES = "array<struct<chars:int,tokens:int>>"
 EDITS = "array<struct<start:int,length:int,put:string>>"
 _LEAF = pa.list_(pa.struct([("chars", pa.int32()), ("tokens", pa.int32())]))
+#: Bytes of text whose trees and results a task holds at a time.
+CHUNK = 1 << 20
 
 
-def build(text: Column, vocabulary: str = VOCABULARY) -> Column:
-    """The leaves of each text's tree, as a column to keep."""
+def _pack(trees: list[np.ndarray]) -> pa.Array:
+    """Leaves of some texts as one column."""
+    flat = np.concatenate([np.zeros((0, 2), np.int64), *trees]).astype(np.int32)
+    inner = pa.StructArray.from_arrays([pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], fields=list(_LEAF.value_type))
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(t) for t in trees])].astype(np.int32)), inner).cast(_LEAF)
 
-    @F.arrow_udf(LEAVES)
-    def leaves(a: pa.Array) -> pa.Array:
-        count, sizes, flat = counter(vocabulary), [0], []
-        for x in a:
-            t = Tree.of(x.as_py() or "", count).levels[0]
-            sizes.append(sizes[-1] + len(t))
-            flat.append(t)
-        both = np.concatenate([np.zeros((0, 2), np.int64), *flat]).astype(np.int32)
-        inner = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["chars", "tokens"])
-        return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), inner).cast(_LEAF)
 
-    return leaves(text)
+def _unpack(leaves: pa.Scalar) -> np.ndarray:
+    own = leaves.values
+    return np.stack([own.field(0).to_numpy(), own.field(1).to_numpy()], axis=1).astype(np.int64) if own is not None and len(own) else np.zeros((0, 2), np.int64)
+
+
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), more])
+
+
+def _parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of CHUNK bytes of text, or of one row."""
+    for b in batches:
+        for i, j in slices(text_bytes(b.column(text))[1], CHUNK):
+            yield b.slice(i, j - i)
+
+
+def build(df: DataFrame, text: str = "text", leaves: str = "leaves", vocabulary: str = VOCABULARY) -> DataFrame:
+    """df with the leaves of each text's tree."""
+    name = fresh(df.columns, leaves)
+
+    def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = counter(vocabulary)
+        for b in _parts(batches, text):
+            own = _pack([Tree.of(x or "", count).levels[0] for x in b.column(text).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*b.columns, own], names=[*b.schema.names, name])
+
+    return df.mapInArrow(built, _schema(df, f"`{name}` {LEAVES}"))
 
 
 def apply_edits(df: DataFrame, text: str = "text", leaves: str = "leaves", edits: str = "edits", vocabulary: str = VOCABULARY) -> DataFrame:
     """df with text and leaves as the edits leave them, and n_before, n_after (tokens), n_pretokens and n_encoded (pre-tokens)."""
     put = {n: fresh(df.columns, n) for n in ("n_before", "n_after", "n_pretokens", "n_encoded")}
-    fields = {"text": pa.string(), "leaves": _LEAF} | {n: pa.int64() for n in put}
 
-    @F.arrow_udf(f"struct<text:string,leaves:{LEAVES},{','.join(f'{n}:long' for n in put)}>")
-    def edited(texts: pa.Array, trees: pa.Array, changes: pa.Array) -> pa.Array:
+    def edited(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = counter(vocabulary)
-        out: dict[str, list] = {n: [] for n in ("text", "sizes", "flat", *put)}
-        for t, x, e in zip(texts, trees, changes, strict=True):
-            new = t.as_py() or ""
-            own = x.values if x.is_valid else None
-            tree = Tree(np.stack([own.field(0).to_numpy(), own.field(1).to_numpy()], axis=1).astype(np.int64) if own is not None and len(own) else np.zeros((0, 2), np.int64))
-            out["n_before"].append(tree.tokens)
-            encoded = 0
-            for c in e.as_py() or ():
-                if c is not None:
-                    new, n = tree.edit(new, c["start"] or 0, c["length"] or 0, c["put"] or "", count)
-                    encoded += n
-            out["text"].append(new)
-            out["flat"].append(tree.levels[0].astype(np.int32))
-            out["n_after"].append(tree.tokens)
-            out["n_pretokens"].append(len(tree.levels[0]))
-            out["n_encoded"].append(encoded)
-        both = np.concatenate([np.zeros((0, 2), np.int32), *out["flat"]])
-        inner = pa.StructArray.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["chars", "tokens"])
-        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(f) for f in out["flat"]])].astype(np.int32)), inner).cast(_LEAF)
-        arrays = {"text": pa.array(out["text"], pa.string()), "leaves": lists} | {n: pa.array(out[n], pa.int64()) for n in put}
-        return pa.StructArray.from_arrays([arrays[n] for n in fields], fields=[pa.field(n, k) for n, k in fields.items()])
-
-    return df.withColumn("__e", edited(text, leaves, edits)).select(
-        *(F.col("__e.text").alias(c) if c == text else F.col("__e.leaves").alias(c) if c == leaves else F.col(c) for c in df.columns), *(F.col(f"__e.{n}").alias(p) for n, p in put.items())
-    )
+        for b in _parts(batches, text):
+            out: dict[str, list] = {n: [] for n in ("text", "trees", *put)}
+            for new, x, e in zip(b.column(text).to_pylist(), b.column(leaves), b.column(edits).to_pylist(), strict=True):
+                new = new or ""
+                tree = Tree(_unpack(x))
+                out["n_before"].append(tree.tokens)
+                encoded = 0
+                for c in e or ():
+                    if c is not None:
+                        new, n = tree.edit(new, c["start"] or 0, c["length"] or 0, c["put"] or "", count)
+                        encoded += n
+                for n, v in (("text", new), ("trees", tree.levels[0]), ("n_after", tree.tokens), ("n_pretokens", len(tree.levels[0])), ("n_encoded", encoded)):
+                    out[n].append(v)
+            own = {text: pa.array(out["text"], pa.string()), leaves: _pack(out["trees"])}
+            yield pa.RecordBatch.from_arrays([own.get(n, c) for n, c in zip(b.schema.names, b.columns, strict=True)] + [pa.array(out[n], pa.int64()) for n in put], names=[*b.schema.names, *put.values()])
+
+    return df.mapInArrow(edited, _schema(df, ", ".join(f"`{n}` long" for n in put.values())))
 
 
 def sample_edits(key: Column, text: Column) -> Column:
@@ -225,5 +236,5 @@ def sample_edits(key: Column, text: Column) -> Column:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kept = docs.select("doc_id", "text", build(F.col("text")).alias("leaves"), sample_edits(F.col("doc_id"), F.col("text")).alias("edits"))
+    kept = build(docs).withColumn("edits", sample_edits(F.col("doc_id"), F.col("text")))
     return apply_edits(kept).select("doc_id", "n_before", "n_after", "n_pretokens", "n_encoded", F.sha2("text", 256).alias("text_sha256"))

@@ -4,7 +4,6 @@ import regex
 import tiktoken
 
 from factloom.llm import tokencount as T
-from pyspark.sql import functions as F
 
 
 def whole(text):
@@ -37,13 +36,13 @@ def test_a_local_edit_encodes_little():
 def test_columns(spark):
     rows = [(1, "It's a test.", [(0, 2, "They")], 9), (2, None, None, 9), (None, "", [(0, 0, "new words"), (3, 99, None)], 9), (2, "x" * 3000, [None, (None, None, None)], 9)]
     df = spark.createDataFrame(rows, f"doc_id long, text string, edits {T.EDITS}, n_after int")
-    got = T.apply_edits(df.withColumn("leaves", T.build(F.col("text")))).collect()
+    got = T.apply_edits(T.build(df)).collect()
     enc = tiktoken.Encoding("x", pat_str=T.PATTERN, mergeable_ranks=_ranks(), special_tokens={})
     for r, (_, before, _, _) in zip(got, rows, strict=True):
         assert r.n_before == len(enc.encode_ordinary(before or "")) and r.n_after_ == len(enc.encode_ordinary(r.text)) and r.n_after == 9
     assert [r.text for r in got] == ["They's a test.", "", "new", "x" * 3000]
     empty = df.limit(0)
-    assert T.apply_edits(empty.withColumn("leaves", T.build(F.col("text")))).collect() == []
+    assert T.apply_edits(T.build(empty)).collect() == []
 
 
 def _ranks():
