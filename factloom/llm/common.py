@@ -75,59 +75,47 @@ def slices(offsets: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
         first = min(last, n)
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int | None = None) -> Iterator[pa.Table]:
-    """Tables of whole key groups from batches in which the rows of a key stand together.
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str], limit: int) -> Iterator[pa.Table]:
+    """Tables of whole key groups, about limit rows each, from batches in which the rows of a key stand together."""
 
-    limit: once that many rows are gathered, the whole groups so far are handed on; without it each group comes alone.
-    """
-
-    def starts(t: pa.Table) -> np.ndarray:
-        change = np.zeros(len(t), bool)
-        change[:1] = True
+    def last_start(t: pa.Table) -> int:
+        """Where the last group begins."""
+        same = np.ones(len(t), bool)
         for k in keys:
             x = t.column(k).combine_chunks()
-            change[1:] |= np.asarray(pc.not_equal(x[1:], x[:-1]).fill_null(True), bool) if len(t) > 1 else False
-        return np.flatnonzero(change)
+            same &= np.asarray(pc.equal(x, x[len(t) - 1]).fill_null(False), bool)
+        return int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
 
     held: list[pa.RecordBatch] = []
-    rows = 0
     for b in batches:
         held.append(b)
-        rows += len(b)
-        if rows < (limit or 1):
+        if sum(map(len, held)) < limit:
             continue
         t = pa.Table.from_batches(held)
-        at = starts(t)
-        if len(at) > 1:
-            if limit:
-                yield t.slice(0, at[-1])
-            else:
-                for x, y in zip(at[:-1], at[1:], strict=True):
-                    yield t.slice(x, y - x)
-            t = t.slice(at[-1]).combine_chunks()
-        held, rows = t.to_batches(), len(t) if limit is None or len(t) < limit else 0
-    if held and sum(map(len, held)):
-        t = pa.Table.from_batches(held)
-        at = [*starts(t), len(t)]
-        if limit:
-            yield t
-        else:
-            for x, y in zip(at[:-1], at[1:], strict=True):
-                yield t.slice(x, y - x)
+        if at := last_start(t):
+            yield t.slice(0, at)
+            held = t.slice(at).combine_chunks().to_batches()
+    if sum(map(len, held)):
+        yield pa.Table.from_batches(held)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of an undirected edge list, root being the least node of its component.
 
-    Contraction: each node takes the least of itself and its neighbours, edges are renamed so and those within a
-    node go. A node that stays is the least of its neighbourhood, so at least half of the nodes with edges go each
-    round. A round is one map-side-combined aggregation and two equi-joins, whatever the degree of a node.
+    Contraction: each node points to the least of itself and its neighbours, pointers are followed by doubling to where
+    they end, edges are renamed so and those within a node go. Chains of any length end in one round, whose doublings
+    are the logarithm of the longest. All steps are aggregations combined before the shuffle and equi-joins.
     """
     edges = stash(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a <> b").distinct(), "edges")
     maps: list[DataFrame] = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = stash(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "least")
+        while True:
+            far = stash(least.join(least.toDF("root", "next"), "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "least")
+            least = far.drop("moved")
+            if far.filter("moved").isEmpty():
+                break
         maps.append(least)
         edges = stash(
             edges.join(least.toDF("a", "ra"), "a").join(least.toDF("b", "rb"), "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(),
