@@ -34,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, sorted_groups, table, text_bytes
+from .common import fresh, slices, table, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text hashed at once, bytes of snippets in a shard's array, and snippet bytes from which a hash is hot.
-CHUNK, SHARD_BYTES, HOT_BYTES = 512 << 10, 2 << 20, 4 << 20
+CHUNK, SHARD_BYTES, HOT_BYTES = 512 << 10, 1 << 20, 4 << 20
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
@@ -360,22 +360,22 @@ def remove_repeats(texts: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_
     def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             body, offsets = text_bytes(b.column("text"))
-            gone_n, spans_n, kept = [], [], []
-            for i, s in enumerate(b.column("spans")):
-                own = body[offsets[i] : offsets[i + 1]]
-                if not s.is_valid:
-                    gone_n.append(0)
-                    spans_n.append(0)
-                    kept.append(own.tobytes())
-                    continue
-                ends = np.zeros(len(own) + 1, np.int32)
-                np.add.at(ends, s.values.field(0).to_numpy(), 1)
-                np.add.at(ends, s.values.field(1).to_numpy(), -1)
-                gone = np.cumsum(ends[:-1]) > 0
-                gone_n.append(int(gone.sum()))
-                spans_n.append(len(runs(gone)))
-                kept.append(own[~gone].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(np.diff(offsets)), pa.array(gone_n, pa.int64()), pa.array(spans_n, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "n_spans", "kept"])
+            cuts = b.column("spans")
+            for i, j in slices(offsets, CHUNK):
+                gone_n, spans_n, kept = [], [], []
+                for k in range(i, j):
+                    own, s = body[offsets[k] : offsets[k + 1]], cuts[k]
+                    gone = np.zeros(len(own), bool)
+                    if s.is_valid:
+                        ends = np.zeros(len(own) + 1, np.int32)
+                        np.add.at(ends, s.values.field(0).to_numpy(), 1)
+                        np.add.at(ends, s.values.field(1).to_numpy(), -1)
+                        gone = np.cumsum(ends[:-1]) > 0
+                    gone_n.append(int(gone.sum()))
+                    spans_n.append(len(runs(gone)))
+                    kept.append(own[~gone].tobytes())
+                size = np.diff(offsets[i : j + 1])
+                yield pa.RecordBatch.from_arrays([b.column("k")[i:j], pa.array(size), pa.array(gone_n, pa.int64()), pa.array(spans_n, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "n_spans", "kept"])
 
     found = spans(unique, length, hot_bytes=hot_bytes)
     return unique.join(found, "k", "left").select("k", "text", "copies", "spans").mapInArrow(removed, "k binary, n_bytes long, n_removed long, n_spans long, kept binary")
