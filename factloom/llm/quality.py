@@ -26,6 +26,9 @@ BLOCKED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum",
 #: One of them as a word of its own, in either case of A-Z.
 BLOCKED_RE = f"(?:^|[^A-Za-z])(?:{'|'.join(''.join(f'[{c}{c.upper()}]' for c in w) for w in BLOCKED)})(?:[^A-Za-z]|$)"
 
+#: The same with borders of no width, so that insults with one character between them are counted each.
+EACH_BLOCKED_RE = f"(?<![A-Za-z])(?:{'|'.join(''.join(f'[{c}{c.upper()}]' for c in w) for w in BLOCKED)})(?![A-Za-z])"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value), with value computed once for a row."""
@@ -92,13 +95,19 @@ def n_upper(text: Column) -> Column:
 
 
 def n_blocked(text: Column) -> Column:
+    """As op5's SQL counts: a match takes the characters beside it, so of two neighbours the second may be missed."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(BLOCKED_RE)).cast("long")
 
 
+def n_each_blocked(text: Column) -> Column:
+    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(EACH_BLOCKED_RE)).cast("long")
+
+
 #: What rules look at, by name: columns over a text, and columns over its words.
 OF_TEXT: dict[str, Callable[[Column], Column]] = {"n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_upper": n_upper, "n_blocked": n_blocked}
 OF_WORDS: dict[str, Callable[[Column], Column]] = {"n_words": n_words, "word_chars": word_chars, "n_repeat_words": n_repeat_words}
 FEATURES = (*OF_WORDS, *OF_TEXT)
+OF_TEXT["n_each_blocked"] = n_each_blocked  # not a column of op5
 
 
 def features(text: Column, names: list[str]) -> Column:
@@ -131,6 +140,9 @@ RULES = (
     Rule("not_abusive", ("n_blocked",), lambda f: f["n_blocked"] < 2, "n_blocked < 2"),
 )
 
+#: The rules with every insult counted; RULES are op5's, as its SQL has them.
+EACH_RULES = (*RULES[:-1], Rule("not_abusive", ("n_each_blocked",), lambda f: f["n_each_blocked"] < 2, "n_each_blocked < 2"))
+
 
 def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 1000) -> list[Rule]:
     """Rules by rejection per cost, both measured on sample_rows rows; ties keep the given order."""
@@ -168,7 +180,7 @@ def cascade(rules: list[Rule], holds: Callable[[Rule], Column]) -> Column:
     return out
 
 
-def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", name: str = "kept", sample_rows: int = 1000) -> DataFrame:
+def judge(df: DataFrame, rules: tuple[Rule, ...] = EACH_RULES, text: str = "text", name: str = "kept", sample_rows: int = 1000) -> DataFrame:
     """df with the verdict column; features are computed only as far as the cascade gets."""
     ordered = order_rules(df, rules, text, sample_rows)
     return df.withColumn(fresh(df.columns, name), cascade(ordered, lambda r: _bound(r, F.col(text))))
