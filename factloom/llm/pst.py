@@ -11,6 +11,11 @@ follows its parent (the context less its first byte): its count times the Kullba
 empty context down: p(a | c) = (n(c, a) + strength * p(a | parent)) / (n(c) + strength), uniform above the empty one.
 A symbol is scored in the longest retained suffix of what precedes it.
 
+Across the space, a context is the word before (a text starts after an end). With `pairs`, a word's probability after
+it is interpolated with weights by Witten and Bell: p(w | v) = (n(v, w) + t(v) * p(w)) / (n(v) + t(v)), t the number of
+different words after v, and p(w) likewise from the word counts and the byte model. Pairs are counted over whole
+texts, those of held-out texts with count 0, and texts are joined with their pairs' scores by a 64-bit hash.
+
 Counting, divergence tests and joins of scores to texts are Spark aggregations and joins. The frequent words' scores
 are broadcast (HEAD_WORDS of them, a fixed bound), which also takes the skew out of the join by word; all other words
 are joined by shuffle. The model is broadcast in parts of at most MODEL_ROWS rows: contexts are split by their last
@@ -23,11 +28,13 @@ an empty table gives an empty result; input columns keep their names.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -195,6 +202,63 @@ def models(counts: DataFrame, strength: float = STRENGTH, rows: int = MODEL_ROWS
         lo = hi
 
 
+def word_hash(words: list[bytes]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+
+
+def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    x = before * np.uint64(0x9E3779B97F4A7C15) + word
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(32))
+
+
+def pairs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of a text's words and of the word before each."""
+    h = word_hash([END, *words])
+    return h[:-1], h[1:]
+
+
+def pair_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
+    """(before, w, c): hashes of neighbours in all texts and how often training texts have them."""
+
+    def unique(held: list[np.ndarray]) -> pa.RecordBatch:
+        before, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
+        order = np.lexsort((w, before))
+        before, w, c = before[order], w[order], c[order]
+        at = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (w[1:] != w[:-1])])
+        return pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(np.add.reduceat(c, at))], names=["before", "w", "c"])
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for b in batches:
+            body, offsets = text_bytes(b.column(0))
+            fold = b.column(1).to_pylist()
+            for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+                before, w = pairs_of(tokens(body[x:y].tobytes()))
+                held.append((before, w, np.full(len(w), int(fold[i]), np.int64)))
+                n += y - x
+                if n > CHUNK:
+                    yield unique(held)
+                    held, n = [], 0
+        if held:
+            yield unique(held)
+
+    return docs.select(text, train).mapInArrow(counted, "before long, w long, c long").groupBy("before", "w").agg(F.sum("c").alias("c"))
+
+
+def pair_scores(counts: DataFrame, words: DataFrame, total: int, kinds: int) -> DataFrame:
+    """(g, c, lp): each pair's hash, training count and log10 probability. words: (word, c, lp), lp by the byte model."""
+    hashed = F.arrow_udf(lambda a: pa.array(word_hash(a.to_pylist()).view(np.int64)), "long")
+    named = F.arrow_udf(lambda a, b: pa.array(pair_hash(a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)).view(np.int64)), "long")
+    # in logarithms: a long word's probability may be below the least double
+    alone = F.when(F.col("c") > 0, F.log10((F.col("c") + kinds * F.pow(F.lit(10.0), "lp")) / (total + kinds))).otherwise(F.col("lp") + (math.log10(kinds / (total + kinds)) if kinds else 0.0))
+    single = words.select(hashed("word").alias("w"), alone.alias("alone"))
+    after = counts.filter("c > 0").groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("t"))
+    wide = counts.join(single, "w").join(after, "before", "left")
+    lp = F.when(F.col("n").isNull(), F.col("alone")).when(F.col("c") == 0, F.col("alone") + F.log10(F.col("t") / (F.col("n") + F.col("t")))).otherwise(F.log10((F.col("c") + F.col("t") * F.pow(F.lit(10.0), "alone")) / (F.col("n") + F.col("t"))))
+    return wide.select(named("before", "w").alias("g"), "c", lp.alias("lp"))
+
+
 def _scorer(sent: Broadcast, depth: int, last: tuple[int, int]) -> Callable:
     @F.arrow_udf("double")
     def scored(a: pa.Array) -> pa.Array:
@@ -225,25 +289,36 @@ def frequent(scored: DataFrame, most: int) -> DataFrame:
     return scored.filter(level >= at if at is not None else F.lit(False)) if at is not None else scored.limit(0)
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, gain: float = GAIN, strength: float = STRENGTH, head: int = HEAD_WORDS) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs."""
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, gain: float = GAIN, strength: float = STRENGTH, head: int = HEAD_WORDS, pairs: bool = False) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; pairs: words are scored after the word before."""
     fold = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), F.lit(10)) == 0
     own = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), fold.alias("held_out"))
     words = stash(word_counts(own.select("text", (~F.col("held_out")).alias("train")), "text", "train"), "words")
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
     base = F.log10((F.col("c") + 0.1) / (F.lit(float(total.n)) + 0.1 * (total.v + 1)))
     scored = stash(word_scores(words, train(words, depth, gain), depth, strength).withColumn("base", base), "scores")
+    first, known = np.zeros(0, np.int64), np.zeros(0)
+    scores = scored
+    if pairs:
+        near = stash(pair_scores(pair_counts(own.select("text", (~F.col("held_out")).alias("train")), "text", "train"), scored, int(total.n), int(total.v)), "pairs")
+        top = frequent(near, head).select("g", "lp").toArrow()
+        order = np.argsort(top.column("g").to_numpy())
+        first, known = top.column("g").to_numpy()[order], top.column("lp").to_numpy()[order]
+        # the words' own scores give way to those of pairs, under keys that no text holds
+        key = F.concat(F.lit(b"  "), F.unhex(F.lpad(F.hex("g"), 16, "0")))
+        scored = scored.withColumn("lp", F.lit(0.0))
+        scores = scored.select("word", "c", "base", "lp").unionByName(near.select(key.alias("word"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("base"), "lp"))
     top = frequent(scored, head).toArrow()
     table_of = {w: i for i, w in enumerate(top.column("word").to_pylist())}
     values = np.stack([top.column(c).to_numpy().astype(np.float64) for c in ("base", "lp")])
-    sent = docs.sparkSession.sparkContext.broadcast((table_of, values))
+    sent = docs.sparkSession.sparkContext.broadcast((table_of, values, first, known))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each text, with what its frequent words add up to, and rows of its other words with their counts.
 
         A text's own row has a word of its own that no text holds, so that the join deals such rows out evenly.
         """
-        table_of, values = sent.value
+        table_of, values, first, of_pair = sent.value
         for b in batches:
             number, ids, held = (b.column(c).to_pylist() for c in ("row", "id", "held_out"))
             body, offsets = text_bytes(b.column("text"))
@@ -262,6 +337,14 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
                         row.append(number[k])
                         word.append(w)
                         times.append(n)
+                    if pairs:
+                        g, often = np.unique(pair_hash(*pairs_of(t)).view(np.int64), return_counts=True)
+                        at = np.minimum(np.searchsorted(first, g), max(0, len(first) - 1))
+                        here = first[at] == g if len(first) else np.zeros(len(g), bool)
+                        lp[-1] += float((of_pair[at[here]] * often[here]).sum())
+                        row += [number[k]] * int((~here).sum())
+                        word += [b"  " + x.to_bytes(8, "big", signed=True) for x in g[~here].tolist()]
+                        times += often[~here].tolist()
                 n = len(row)
                 own = [b" " + number[k].to_bytes(8, "big") for k in range(i, j)]
                 long, double = pa.int64(), pa.float64()
@@ -275,7 +358,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
 
     kind = "row long, word binary, times long, id long, held_out boolean, n_tokens long, n_known long, base_here double, lp_here double"
     parts = own.withColumn("row", F.monotonically_increasing_id()).mapInArrow(summed, kind)
-    joined = parts.join(scored, "word", "left")
+    joined = parts.join(scores, "word", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     return (
         joined.groupBy("row")
@@ -291,4 +374,4 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), pairs=True)

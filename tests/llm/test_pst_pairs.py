@@ -1,0 +1,22 @@
+import random
+
+from factloom.llm import pst
+
+LARGER = "/root/testdata/sf0.01"
+
+
+def test_held_out_score_beats_base(spark):
+    rows = pst.op4_lm_score(spark, LARGER).filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_order_of_words_counts_and_heads_change_nothing(spark):
+    rng = random.Random(4)
+    line = "the quick brown fox jumps over the lazy dog and runs into the dark wood".split()
+    texts = [" ".join(line) for _ in range(40)]
+    texts += [" ".join(rng.sample(line, len(line))), " ".join(line), "zzz " + "q" * 900, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    a, b = ({r.doc_id: r for r in pst.score(df, head=n, pairs=True).collect()} for n in (300_000, 3))
+    assert len(a) == len(texts) and a[40].score < a[41].score - 5 and abs(a[40].base_score - a[41].base_score) < 1e-9
+    assert all(abs(a[i].score - b[i].score) < 1e-6 and abs(a[i].base_score - b[i].base_score) < 1e-6 and a[i][1:5] == b[i][1:5] for i in a)
+    assert pst.score(df.limit(0), pairs=True).collect() == []
