@@ -1,53 +1,57 @@
-"""Language-model scoring with a probabilistic suffix tree.
-
-Symbols are bytes. A word is read from the state "start of a word" (a space), byte by byte, and closed by a space; the
-end of a text is one more symbol at a word's start. Contexts are up to `depth` bytes long and don't reach beyond the
-space before the word, so a word's probability does not depend on its text: the corpus is first counted by word, and
-both training and scoring work on distinct words with their counts.
-
-Training counts the next symbol after each context. A context is retained if what follows it diverges from what
-follows its parent (the context less its first byte): its count times the Kullback-Leibler divergence is at least
-`gain` nats; the ancestors of retained contexts are retained too. Next-symbol distributions are smoothed from the
-empty context down: p(a | c) = (n(c, a) + strength * p(a | parent)) / (n(c) + strength), uniform above the empty one.
-A symbol is scored in the longest retained suffix of what precedes it.
-
-Across the space, a context is the word before (a text starts after an end). With `pairs`, a word's probability after
-it is interpolated with weights by Witten and Bell: p(w | v) = (n(v, w) + t(v) * p(w)) / (n(v) + t(v)), t the number of
-different words after v, and p(w) likewise from the word counts and the byte model. Pairs are counted over whole
-texts, those of held-out texts with count 0, and texts are joined with their pairs' scores by a 64-bit hash.
-
-Counting, divergence tests and joins of scores to texts are Spark aggregations and joins. The frequent words' scores
-are broadcast (HEAD_WORDS of them, a fixed bound), which also takes the skew out of the join by word; all other words
-are joined by shuffle. The model is broadcast in parts of at most MODEL_ROWS rows: contexts are split by their last
-byte, which every context of a position shares, and a part scores the positions after its bytes.
-
-Defined cases: null and empty texts are one end; a null id counts as the text 'null' for the fold; repeated rows and
-ids are rows of their own; a corpus without training rows gives N = 0, the base its smoothed values and a uniform model;
-an empty table gives an empty result; input columns keep their names.
+"""Language-model scoring with a probabilistic suffix tree over the words of whole texts.
+
+Symbols are words and the end of a text. A context is up to `depth` symbols that stand before a symbol, the nearest
+first (before a text stands an end), so contexts run across spaces and lines. A context is retained if what follows
+it in training diverges from what follows its parent (the context less its oldest symbol): its count times the
+Kullback-Leibler divergence is at least `gain` nats; the ancestors of retained contexts are retained too. Next-symbol
+distributions are smoothed from the empty context down: p(a | c) = (n(c, a) + t(c) * p(a | parent)) / (n(c) + t(c)), t
+the number of different symbols seen after c. A symbol is scored in the longest retained suffix of what precedes it.
+The empty context has a probability for each of the HEAD_WORDS most frequent words; words beyond those share the count
+of their hash class (CLASSES of them) and have their own counts in every longer context.
+
+The tree is never gathered: a context's subtree is that of its nearest symbol, so all positions after a symbol meet in
+one bucket, where their counts, divergence tests and scores are made together. What crosses the network is one packed
+row for each bucket and chunk of text, about 9 bytes a token, and back comes a number for each text and bucket.
+
+Hot symbols. Positions after a symbol that stands more than `hot` times don't meet. Their counts are aggregated by
+context and next symbol (combined before the shuffle), the probabilities follow by joins of those aggregates, and each
+combination's probability is sent to the bucket of that combination, where its positions are sent as well; one that
+itself stands more than `hot` times is dealt over several buckets. The result is the same.
+
+Broadcast: the frequent words and the hash classes, a fixed number of each, the hot words' flags with them, and the hot
+combinations, at most N / hot of them; hot grows with N above 10^5 times its size, so their number is bounded too.
+
+Defined cases: null and empty texts are one end; a null id counts as the text 'null' for the fold and stays null; ids
+keep their type; repeated rows and ids are rows of their own; texts of any length are taken whole; a corpus without
+training rows gives N = 0, the base its smoothed values and a uniform model; an empty table gives an empty result;
+columns other than id and text are not carried along, whatever their names.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, slices, stash, table, text_bytes
+from .common import LOWER, slices, sorted_groups, stash, table, text_bytes
 
-#: Longest context in bytes (a context and its next symbol fill 64 bits), least gain of a retained one, weight of the parent.
-DEPTH, GAIN, STRENGTH = 6, 12.0, 2.0
-SYMBOLS = 256
+#: Longest context in words, least gain of a retained one in nats.
+DEPTH, GAIN = 2, 3.0
 END = b"\n"
-HEAD_WORDS, MODEL_ROWS = 300_000, 1_500_000
-#: Text bytes that a task counts together.
-CHUNK = 16 << 20
+HEAD_WORDS, CLASSES = 200_000, 4096
+#: Positions of a bucket, and occurrences from which a word is hot.
+BUCKET, HOT = 2_000_000, 1_000_000
+#: Text bytes whose words a task counts together, and whose positions it deals together.
+CHUNK, DEALT = 16 << 20, 4 << 20
+#: Ids from here on are hashes of words beyond the head, ids below are places in it.
+TAIL = np.uint64(1 << 63)
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -55,323 +59,432 @@ def tokens(text: bytes) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
-    """(word, c): distinct words of all texts (the end as a line feed) and how often training texts have them."""
+    """(word, n, c): distinct words of all texts (the end as a line feed), how often all and how often training texts have them."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        other: set[bytes] = set()
+        seen: tuple[Counter, Counter] = (Counter(), Counter())
         held = 0
 
         def out() -> pa.RecordBatch:
-            other.difference_update(seen)
-            return pa.RecordBatch.from_arrays([pa.array([*seen, *other], pa.binary()), pa.array([*seen.values(), *[0] * len(other)], pa.int64())], names=["word", "c"])
+            every = [*seen[1], *(w for w in seen[0] if w not in seen[1])]
+            c = [seen[1][w] for w in every]
+            n = [k + seen[0].get(w, 0) for w, k in zip(every, c, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["word", "n", "c"])
 
         for b in batches:
             body, offsets = text_bytes(b.column(0))
             fold = b.column(1).to_pylist()
             raw = body.tobytes()
             for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                (seen if fold[i] else other).update(tokens(raw[x:y]))
+                seen[bool(fold[i])].update(tokens(raw[x:y]))
                 held += y - x
                 if held > CHUNK:
                     yield out()
-                    seen, other, held = Counter(), set(), 0
+                    seen, held = (Counter(), Counter()), 0
         yield out()
 
-    return docs.select(text, train).mapInArrow(counted, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
-
-
-class Positions:
-    """The symbols of some words: at each, the byte to predict and the packed contexts of 0 to depth bytes before it."""
-
-    def __init__(self, words: list[bytes], depth: int) -> None:
-        raw = b"".join(b" \n" if w == END else b" " + w + b" " for w in words)
-        size = np.array([2 if w == END else len(w) + 2 for w in words], np.int64)
-        body = np.frombuffer(raw, np.uint8).astype(np.uint64)
-        first = np.cumsum(size) - size
-        place = np.arange(len(body)) - np.repeat(first, size)  # bytes of the word before it, the space among them
-        self.at = np.flatnonzero(place > 0)
-        self.word = np.repeat(np.arange(len(words)), size)[self.at]
-        self.symbol = body[self.at]
-        self.before = place[self.at]
-        self.body = body
-
-    def context(self, d: int, which: np.ndarray) -> np.ndarray:
-        """d bytes before each of those positions, packed; d must not exceed `before`."""
-        out = np.zeros(len(which), np.uint64)
-        for k in range(d, 0, -1):
-            out = (out << np.uint64(8)) | self.body[self.at[which] - k]
-        return out
-
-
-def pack(d: int, context: np.ndarray, symbol: np.ndarray | int = 0) -> np.ndarray:
-    """Length, bytes and next symbol in one number, as a signed long: 8 + 48 + 8 bits."""
-    return ((np.uint64(d) << np.uint64(56)) | (context << np.uint64(8)) | np.asarray(symbol, np.uint64)).view(np.int64)
-
-
-def context_counts(words: DataFrame, depth: int) -> DataFrame:
-    """(key, n): how often each symbol follows each context, in training."""
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = Positions(b.column(0).to_pylist(), depth)
-            weight = b.column(1).to_numpy()[p.word]
-            for d in range(depth + 1):
-                which = np.flatnonzero(p.before >= d)
-                key, at = np.unique(pack(d, p.context(d, which), p.symbol[which]), return_inverse=True)
-                n = np.bincount(at, weights=weight[which], minlength=len(key))
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    return words.filter("c > 0").select("word", "c").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def train(words: DataFrame, depth: int = DEPTH, gain: float = GAIN) -> DataFrame:
-    """(context, symbol, n): next-symbol counts of retained contexts. context: the packed key without its symbol."""
-    if depth > 6:
-        raise ValueError("a context and its next symbol must fit 64 bits: depth is 6 at most")
-    low = F.lit(255).cast("long")
-    counts = stash(context_counts(words, depth).select(F.col("key").bitwiseAND(F.bitwise_not(low)).alias("context"), F.col("key").bitwiseAND(low).cast("int").alias("symbol"), "n"), "contexts")
-    totals = counts.groupBy("context").agg(F.sum("n").alias("total"))
-    d = F.shiftrightunsigned("context", 56)
-    keep = F.expr("shiftleft(1L, cast(8 * (shiftrightunsigned(context, 56) - 1) as int)) - 1")  # the bytes but the first
-    own = F.shiftrightunsigned(F.col("context"), 8).bitwiseAND(keep)
-    parent = F.when(d > 0, F.shiftleft(d - 1, 56).bitwiseOR(F.shiftleft(own, 8)))
-    wide = counts.join(totals, "context").withColumn("parent", parent)
-    above = wide.select(F.col("context").alias("parent"), "symbol", (F.col("n") / F.col("total")).alias("q"))
-    tested = wide.filter("parent IS NOT NULL").join(above, ["parent", "symbol"])
-    diverges = tested.groupBy("context", "parent").agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain"))
-    chosen = stash(diverges.select("context", "parent", (F.col("gain") >= gain).alias("kept")), "chosen")
-    # ancestors of retained contexts, from the longest up
-    kept = chosen.filter("kept").select("context")
-    found = kept
-    for _ in range(depth - 1):
-        kept = stash(chosen.join(kept, "context", "left_semi").select(F.col("parent").alias("context")).distinct(), "ancestors")
-        found = found.unionByName(kept)
-    root = words.sparkSession.range(1).select(F.lit(0).cast("long").alias("context"))
-    return stash(counts.join(found.unionByName(root).distinct(), "context", "left_semi"), "model")
-
-
-class Model:
-    """Contexts and counts as sorted arrays, as they are broadcast."""
-
-    def __init__(self, context: np.ndarray, symbol: np.ndarray, n: np.ndarray, strength: float) -> None:
-        key = context | symbol
-        order = np.argsort(key)
-        self.key, self.n = key[order], n[order].astype(np.float64)
-        self.contexts, at = np.unique(context, return_inverse=True)
-        self.totals = np.bincount(at, weights=n, minlength=len(self.contexts)).astype(np.float64)
-        self.strength = strength
-
-    @staticmethod
-    def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(sorted_keys):
-            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
-        at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
-        return at, sorted_keys[at] == keys
-
-    def log10(self, words: list[bytes], depth: int, last: tuple[int, int]) -> np.ndarray:
-        """Each word's log10 probability over its positions after bytes in last (a range)."""
-        p = Positions(words, depth)
-        ok = np.flatnonzero((p.body[p.at - 1] >= last[0]) & (p.body[p.at - 1] < last[1]))
-        prob = np.full(len(ok), 1.0 / SYMBOLS)
-        live = np.arange(len(ok))
-        for d in range(depth + 1):
-            live = live[p.before[ok[live]] >= d]
-            context = pack(d, p.context(d, ok[live]))
-            at, known = self._find(self.contexts, context)
-            live, context, total = live[known], context[known], self.totals[at[known]]
-            i, has = self._find(self.key, context | p.symbol[ok[live]].astype(np.int64))
-            seen = np.where(has, self.n[i], 0.0) if len(self.n) else np.zeros(len(live))
-            prob[live] = (seen + self.strength * prob[live]) / (total + self.strength)
-        return np.bincount(p.word[ok], weights=np.log10(prob), minlength=len(words))
-
-
-def models(counts: DataFrame, strength: float = STRENGTH, rows: int = MODEL_ROWS) -> Iterator[tuple[Model, tuple[int, int]]]:
-    """The model in parts by the contexts' last byte, each with the root; a part has about `rows` rows at most, or one byte's contexts."""
-    last = F.shiftrightunsigned(F.col("context"), 8).bitwiseAND(F.lit(255).cast("long"))
-    empty = F.shiftrightunsigned(F.col("context"), 56) == 0
-    size = {r.b: r.n for r in counts.filter(~empty).groupBy(last.alias("b")).agg(F.count("*").alias("n")).collect()}  # 256 rows at most
-    lo = 0
-    while lo < 256:
-        hi, n = lo + 1, size.get(lo, 0)
-        while hi < 256 and n + size.get(hi, 0) <= rows:
-            n += size.get(hi, 0)
-            hi += 1
-        part = counts.filter(empty | ((last >= lo) & (last < hi))).select("context", F.col("symbol").cast("long"), "n").toArrow()
-        yield Model(*(part.column(c).to_numpy() for c in ("context", "symbol", "n")), strength), (lo, hi)
-        lo = hi
+    return docs.select(text, train).mapInArrow(counted, "word binary, n long, c long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
 
 
 def word_hash(words: list[bytes]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words))
+    return np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in words), np.uint64, len(words)) | TAIL
 
 
-def pair_hash(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    x = before * np.uint64(0x9E3779B97F4A7C15) + word
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """64 bits of two columns of numbers."""
+    x = (a ^ (a >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) + np.atleast_1d(b) * np.uint64(0xC2B2AE3D27D4EB4F)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x165667B19E3779F9)
     return x ^ (x >> np.uint64(32))
 
 
-def pairs_of(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of a text's words and of the word before each."""
-    h = word_hash([END, *words])
-    return h[:-1], h[1:]
+@dataclass
+class Root:
+    """What is broadcast: the head's words with their places, the empty context, base scores, and what is hot."""
+
+    place: dict[bytes, int]
+    p: np.ndarray
+    base: np.ndarray
+    known: np.ndarray
+    hot: np.ndarray
+    classes: np.ndarray
+    combos: np.ndarray
+    salts: np.ndarray
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        out = at.astype(np.uint64)
+        rare = np.flatnonzero(at < 0)
+        out[rare] = word_hash([words[i] for i in rare.tolist()])
+        return out
 
+    def alone(self, ids: np.ndarray) -> np.ndarray:
+        """Probabilities in the empty context."""
+        out = self.classes[(ids & np.uint64(CLASSES - 1)).astype(np.int64)]
+        head = ids < TAIL
+        out[head] = self.p[ids[head].astype(np.int64)]
+        return out
 
-def pair_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
-    """(before, w, c): hashes of neighbours in all texts and how often training texts have them."""
+    def is_hot(self, ids: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(ids), bool)
+        head = ids < TAIL
+        out[head] = self.hot[ids[head].astype(np.int64)]
+        return out
 
-    def unique(held: list[np.ndarray]) -> pa.RecordBatch:
-        before, w, c = (np.concatenate(x) for x in zip(*held, strict=True))
-        order = np.lexsort((w, before))
-        before, w, c = before[order], w[order], c[order]
-        at = np.flatnonzero(np.r_[True, (before[1:] != before[:-1]) | (w[1:] != w[:-1])])
-        return pa.RecordBatch.from_arrays([pa.array(before[at].view(np.int64)), pa.array(w[at].view(np.int64)), pa.array(np.add.reduceat(c, at))], names=["before", "w", "c"])
+
+class Positions:
+    """The symbols of some texts and those before each: ids, before[0] the nearest; the text of each position."""
+
+    def __init__(self, raw: bytes, offsets: np.ndarray, root: Root, depth: int) -> None:
+        cut = offsets.tolist()
+        own = [tokens(raw[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        self.size = np.array([len(t) for t in own], np.int64)
+        self.ids = root.ids(list(chain.from_iterable(own)))
+        self.text = np.repeat(np.arange(len(own)), self.size)
+        at = np.arange(len(self.ids))
+        place = at - np.repeat(np.cumsum(self.size) - self.size, self.size)
+        end = np.uint64(root.place[END])
+        self.before = [np.where(place >= d, self.ids[np.maximum(at - d, 0)], end) for d in range(1, depth + 1)]
+
+
+def contexts(before: list[np.ndarray]) -> list[np.ndarray]:
+    """A number for each position's context of 1, 2, ... symbols."""
+    out, x = [], np.zeros(len(before[0]), np.uint64)
+    for w in before:
+        x = mix(x, w)
+        out.append(x)
+    return out
+
+
+def combination(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    return mix(~context, symbol)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, all their first bytes first: the high ones are mostly zero and pack well on the wire."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _numbers(raw: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
+
+
+def pack(base: int, columns: list[np.ndarray], text: np.ndarray, train: np.ndarray) -> bytes:
+    """Columns of ids with each position's text (its number from base on, not falling) and fold."""
+    every = np.concatenate(columns)
+    tail = np.unique(every[every >= TAIL])
+    coded = np.where(every < TAIL, every, np.uint64(HEAD_WORDS + 1) + np.searchsorted(tail, every).astype(np.uint64))
+    head = np.array([base, len(text), len(tail)], "<i8").tobytes()
+    return b"".join([head, tail.tobytes(), *(_planes(c) for c in coded.reshape(len(columns), -1)), _planes(np.diff(text, prepend=0)), np.packbits(train).tobytes()])
+
+
+def unpack(raw: bytes, width: int) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray]:
+    base, n, k = np.frombuffer(raw, "<i8", 3).tolist()
+    tail, at = np.frombuffer(raw, "<u8", k, 24), 24 + 8 * k
+    columns = []
+    for i in range(width + 1):
+        x = _numbers(raw[at + 4 * n * i : at + 4 * n * (i + 1)], n).astype(np.uint64)
+        if i < width:
+            rare = x > HEAD_WORDS
+            x[rare] = tail[(x[rare] - np.uint64(HEAD_WORDS + 1)).astype(np.int64)]
+        columns.append(x)
+    train = np.unpackbits(np.frombuffer(raw, np.uint8, -1, at + 4 * n * (width + 1)), count=n).astype(bool)
+    return base, columns[:-1], np.cumsum(columns[-1].astype(np.int64)), train
+
+
+def subtree(before: list[np.ndarray], symbol: np.ndarray, train: np.ndarray, alone: np.ndarray, gain: float) -> np.ndarray:
+    """The probability of each position's symbol; all positions after each nearest symbol are here."""
+    levels = []
+    own_c, own_n = None, None
+    for x in contexts(before):
+        _, first, of = np.unique(x, return_index=True, return_inverse=True)
+        _, s_first, s_of = np.unique(combination(x, symbol), return_index=True, return_inverse=True)
+        n = np.bincount(of, weights=train, minlength=len(first))
+        c = np.bincount(s_of, weights=train, minlength=len(s_first))
+        t = np.bincount(of[s_first], weights=c > 0, minlength=len(first))
+        q = alone[s_first] if own_c is None else np.divide(own_c[s_first], own_n[s_first], out=np.ones(len(c)), where=own_n[s_first] > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            each = np.where(c > 0, c * np.log(c / n[of[s_first]] / q), 0.0)
+        kept = np.bincount(of[s_first], weights=each, minlength=len(first)) >= gain
+        levels.append((first, of, n, t, kept & (n > 0), c[s_of]))
+        own_c, own_n = c[s_of], n[of]
+    for (_, up, _, _, above, _), (first, _, _, _, kept, _) in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        above[up[first[kept]]] = True
+    p = alone.copy()
+    for _, of, n, t, kept, c in levels:
+        here = kept[of]
+        up = of[here]
+        p[here] = (c[here] + t[up] * p[here]) / (n + t)[up]
+    return p
+
+
+def _of(x: np.ndarray) -> pa.Array:
+    return pa.array(x.view(np.int64))
+
+
+def hot_scores(docs: DataFrame, root: Root, depth: int, gain: float, alone) -> DataFrame:
+    """(key, p, n): of each context after a hot symbol with the symbol that follows it: its number, probability and positions."""
+    sent = docs.sparkSession.sparkContext.broadcast(root)
+    names = [f"x{d}" for d in range(1, depth + 1)]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n = [], 0
         for b in batches:
-            body, offsets = text_bytes(b.column(0))
-            fold = b.column(1).to_pylist()
-            for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                before, w = pairs_of(tokens(body[x:y].tobytes()))
-                held.append((before, w, np.full(len(w), int(fold[i]), np.int64)))
-                n += y - x
-                if n > CHUNK:
-                    yield unique(held)
-                    held, n = [], 0
-        if held:
-            yield unique(held)
-
-    return docs.select(text, train).mapInArrow(counted, "before long, w long, c long").groupBy("before", "w").agg(F.sum("c").alias("c"))
-
-
-def pair_scores(counts: DataFrame, words: DataFrame, total: int, kinds: int) -> DataFrame:
-    """(g, c, lp): each pair's hash, training count and log10 probability. words: (word, c, lp), lp by the byte model."""
-    hashed = F.arrow_udf(lambda a: pa.array(word_hash(a.to_pylist()).view(np.int64)), "long")
-    named = F.arrow_udf(lambda a, b: pa.array(pair_hash(a.to_numpy().view(np.uint64), b.to_numpy().view(np.uint64)).view(np.int64)), "long")
-    # in logarithms: a long word's probability may be below the least double
-    alone = F.when(F.col("c") > 0, F.log10((F.col("c") + kinds * F.pow(F.lit(10.0), "lp")) / (total + kinds))).otherwise(F.col("lp") + (math.log10(kinds / (total + kinds)) if kinds else 0.0))
-    single = words.select(hashed("word").alias("w"), alone.alias("alone"))
-    after = counts.filter("c > 0").groupBy("before").agg(F.sum("c").alias("n"), F.count("*").alias("t"))
-    wide = counts.join(single, "w").join(after, "before", "left")
-    lp = F.when(F.col("n").isNull(), F.col("alone")).when(F.col("c") == 0, F.col("alone") + F.log10(F.col("t") / (F.col("n") + F.col("t")))).otherwise(F.log10((F.col("c") + F.col("t") * F.pow(F.lit(10.0), "alone")) / (F.col("n") + F.col("t"))))
-    return wide.select(named("before", "w").alias("g"), "c", lp.alias("lp"))
-
-
-def _scorer(sent: Broadcast, depth: int, last: tuple[int, int]) -> Callable:
-    @F.arrow_udf("double")
-    def scored(a: pa.Array) -> pa.Array:
-        w = a.to_pylist()
-        return pa.array(np.concatenate([np.zeros(0), *(sent.value.log10(w[i : i + 20_000], depth, last) for i in range(0, len(w), 20_000))]))
-
-    return scored
-
-
-def word_scores(words: DataFrame, counts: DataFrame, depth: int = DEPTH, strength: float = STRENGTH) -> DataFrame:
-    """words with lp, each word's log10 probability under the model (counts: train's result)."""
-    out = words
-    parts = []
-    for k, (model, last) in enumerate(models(counts, strength)):
-        parts.append(f"lp_{k}")
-        out = out.withColumn(parts[-1], _scorer(words.sparkSession.sparkContext.broadcast(model), depth, last)("word"))
-    return out.select(*words.columns, sum((F.col(x) for x in parts[1:]), F.col(parts[0])).alias("lp"))
-
-
-def frequent(scored: DataFrame, most: int) -> DataFrame:
-    """The words with the highest counts, `most` of them at the most: those above a limit found from a histogram of logarithms."""
-    level = F.floor(F.log2(F.col("c")) * 16)
+            body, offsets = text_bytes(b.column("text"))
+            raw, held = body.tobytes(), np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
+            for i, j in slices(offsets, DEALT):
+                p = Positions(raw, offsets[i : j + 1], sent.value, depth)
+                here = np.flatnonzero(sent.value.is_hot(p.before[0]))
+                x = contexts([w[here] for w in p.before])
+                key, first, of = np.unique(combination(x[-1], p.ids[here]), return_index=True, return_inverse=True)
+                c = np.bincount(of, weights=~held[i:j][p.text[here]], minlength=len(key)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays(
+                    [*(_of(k[first]) for k in x), _of(p.ids[here][first]), _of(key), pa.array(c), pa.array(np.bincount(of, minlength=len(key)))], names=[*names, "w", "key", "c", "n"]
+                )
+
+    grams = docs.mapInArrow(counted, ", ".join(f"{x} long" for x in [*names, "w", "key", "c", "n"]))
+    grams = stash(grams.groupBy(*names, "w", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "hot")
+    wide: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    for d, x in enumerate(names):
+        up = names[d - 1 : d]
+        each = grams.groupBy(x, *up, "w").agg(F.sum("c").alias("c"))
+        total = each.groupBy(x).agg(F.sum("c").alias("t_n"), F.sum((F.col("c") > 0).cast("long")).alias("t_t"))
+        own = stash(each.join(total, x), "levels")
+        seen = own.filter("c > 0")
+        q = seen.withColumn("q", alone(F.col("w"))) if not d else seen.join(wide[-1].filter("c > 0").select(*up, "w", (F.col("c") / F.col("t_n")).alias("q")), [*up, "w"])
+        tested = q.groupBy(x, *up).agg(F.sum(F.col("c") * F.log(F.col("c") / F.col("t_n") / F.col("q"))).alias("g"))
+        kept.append(stash(tested.filter(F.col("g") >= gain).select(x, *up), "kept"))
+        wide.append(own)
+    out = grams.withColumn("p", alone(F.col("w")))
+    chosen: list[DataFrame] = [kept[-1].select(names[-1])]
+    for d in range(depth - 2, -1, -1):
+        below = stash(kept[d].select(names[d]).unionByName(kept[d + 1].join(chosen[0], names[d + 1], "left_semi").select(names[d])).distinct(), "kept")
+        chosen.insert(0, below)
+    for x, own, those in zip(names, wide, chosen, strict=True):
+        level = own.join(those, x, "left_semi").select(x, "w", F.col("c").alias("l_c"), "t_n", "t_t")
+        smoothed = (F.col("l_c") + F.col("t_t") * F.col("p")) / (F.col("t_n") + F.col("t_t"))
+        out = out.join(level, [x, "w"], "left").withColumn("p", F.coalesce(smoothed, F.col("p"))).drop("l_c", "t_n", "t_t")
+    return stash(out.select("key", "p", "n"), "hot-scores")
+
+
+DOC, WORD, LEVEL, COLD, WARM, RARE = range(6)
+#: Rows that buckets are made of: texts with their own columns, counts of words, probabilities of combinations, and packed positions.
+SENT = [("bucket", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("value", pa.float64()), ("blob", pa.binary()), ("base", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("id", pa.string())]
+SENT_KIND = "bucket int, kind byte, key long, value double, blob binary, base long, held_out boolean, n_tokens long, id string"
+#: What a bucket adds to texts: numbers from base on, and what is added to which column (0: base score, 1: known words, 2: score).
+ADDED_KIND = "base long, what byte, text array<int>, added array<double>, held_out boolean, n_tokens long, id string"
+
+
+def _batch(**columns) -> pa.RecordBatch:
+    n = max(len(c) for c in columns.values())
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in SENT], names=[c for c, _ in SENT])
+
+
+def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(bucket, kind="stable")
+    cut = np.flatnonzero(np.diff(bucket[order])) + 1
+    for part in np.split(order, cut):
+        if len(part):
+            yield int(bucket[part[0]]), part
+
+
+def head_of(words: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The most frequent words, `most` of them at the most and the end of texts, and the others. Found from a histogram of logarithms."""
+    level = F.floor(F.log2(F.col("n")) * 16)
     left, at = most, None
-    for r in sorted(scored.filter("c > 0").groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.l):  # about 16 rows for each doubling of the top count
+    # about 16 rows for each doubling of the top count
+    for r in sorted(words.groupBy(level.alias("l")).agg(F.count("*").alias("n")).collect(), key=lambda r: -r.l):
         if r.n > left:
             break
         left, at = left - r.n, r.l
-    return scored.filter(level >= at if at is not None else F.lit(False)) if at is not None else scored.limit(0)
+    inside = (level >= at) | (F.col("word") == END) if at is not None else F.col("word") == END
+    return words.filter(inside), words.filter(~inside)
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, gain: float = GAIN, strength: float = STRENGTH, head: int = HEAD_WORDS, pairs: bool = False) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; pairs: words are scored after the word before."""
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int = DEPTH, gain: float = GAIN, head: int = HEAD_WORDS, bucket: int = BUCKET, hot: int = HOT) -> DataFrame:
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score), a row for each row of docs; key keeps its name and type."""
+    spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("null")).cast("binary")), F.lit(10)) == 0
-    own = docs.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), fold.alias("held_out"))
+    own = docs.select(F.col(key).cast("string").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"), fold.alias("held_out"))
     words = stash(word_counts(own.select("text", (~F.col("held_out")).alias("train")), "text", "train"), "words")
-    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0)).alias("v")).first()
-    base = F.log10((F.col("c") + 0.1) / (F.lit(float(total.n)) + 0.1 * (total.v + 1)))
-    scored = stash(word_scores(words, train(words, depth, gain), depth, strength).withColumn("base", base), "scores")
-    first, known = np.zeros(0, np.int64), np.zeros(0)
-    scores = scored
-    if pairs:
-        near = stash(pair_scores(pair_counts(own.select("text", (~F.col("held_out")).alias("train")), "text", "train"), scored, int(total.n), int(total.v)), "pairs")
-        top = frequent(near, head).select("g", "lp").toArrow()
-        order = np.argsort(top.column("g").to_numpy())
-        first, known = top.column("g").to_numpy()[order], top.column("lp").to_numpy()[order]
-        # the words' own scores give way to those of pairs, under keys that no text holds
-        key = F.concat(F.lit(b"  "), F.unhex(F.lpad(F.hex("g"), 16, "0")))
-        scored = scored.withColumn("lp", F.lit(0.0))
-        scores = scored.select("word", "c", "base", "lp").unionByName(near.select(key.alias("word"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("base"), "lp"))
-    top = frequent(scored, head).toArrow()
-    table_of = {w: i for i, w in enumerate(top.column("word").to_pylist())}
-    values = np.stack([top.column(c).to_numpy().astype(np.float64) for c in ("base", "lp")])
-    sent = docs.sparkSession.sparkContext.broadcast((table_of, values, first, known))
-
-    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row for each text, with what its frequent words add up to, and rows of its other words with their counts.
-
-        A text's own row has a word of its own that no text holds, so that the join deals such rows out evenly.
-        """
-        table_of, values, first, of_pair = sent.value
+    total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(a) for a, c in (("n", F.col("c")), ("every", F.col("n")), ("v", (F.col("c") > 0).cast("long"))))).first()
+    hot = max(hot, int(total.every) // 100_000)
+    buckets = 1 + int(total.every) // bucket
+
+    top, rest = head_of(words, min(head, HEAD_WORDS))
+    known = top.toArrow()  # at most head + 1 words
+    c = np.r_[known.column("c").to_numpy(), 0].astype(np.float64)
+    place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
+    place.setdefault(END, len(place))
+    hashed = F.arrow_udf(lambda a: _of(word_hash(a.to_pylist())), "long")
+    rare = rest.filter("c > 0").select(hashed("word").alias("key"), "c")
+    by = rare.groupBy(F.col("key").bitwiseAND(F.lit(CLASSES - 1).cast("long")).alias("k")).agg(F.sum("c").alias("c"), F.count("*").alias("n")).toArrow()  # CLASSES rows at most
+    class_c, class_n = np.zeros(CLASSES), np.zeros(CLASSES)
+    class_c[by.column("k").to_numpy()], class_n[by.column("k").to_numpy()] = by.column("c").to_numpy(), by.column("n").to_numpy()
+    mass = total.n + 0.1 * (total.v + CLASSES)
+    root = Root(
+        place, (c + 0.1) / mass, np.log10((c + 0.1) / (total.n + 0.1 * (total.v + 1))), c > 0, np.r_[known.column("n").to_numpy() > hot, False],
+        (class_c + 0.1 * (class_n + 1)) / (class_n + 1) / mass, np.zeros(0, np.uint64), np.zeros(0, np.int64),
+    )
+    unseen = np.log10(0.1 / (total.n + 0.1 * (total.v + 1)))
+
+    side = rare.mapInArrow(lambda batches: _sides(batches, buckets, WORD), SENT_KIND)
+    if root.hot.any():
+        at_root = spark.sparkContext.broadcast(root)
+        alone = F.arrow_udf(lambda a: pa.array(at_root.value.alone(a.to_numpy().view(np.uint64))), "double")
+        levels = hot_scores(own.select("text", "held_out"), root, depth, gain, alone)
+        big = levels.filter(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("s")).toArrow()  # at most total / hot
+        order = np.argsort(big.column("key").to_numpy().view(np.uint64))
+        root.combos, root.salts = big.column("key").to_numpy().view(np.uint64)[order], big.column("s").to_numpy()[order].astype(np.int64)
+        salted = levels.select("key", F.log10("p").alias("c"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / hot).cast("int") - 1)).alias("salt"))
+        side = side.unionByName(salted.mapInArrow(lambda batches: _sides(batches, buckets, LEVEL), SENT_KIND))
+    sent = spark.sparkContext.broadcast(root)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = sent.value
         for b in batches:
-            number, ids, held = (b.column(c).to_pylist() for c in ("row", "id", "held_out"))
+            number, held = b.column("row").to_numpy(), np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
             body, offsets = text_bytes(b.column("text"))
-            for i, j in slices(offsets, 1 << 20):
-                raw = body[offsets[i] : offsets[j]].tobytes()
-                n_tokens, n_known, base, lp, row, word, times = [], [], [], [], [], [], []
-                for k in range(i, j):
-                    t = tokens(raw[offsets[k] - offsets[i] : offsets[k + 1] - offsets[i]])
-                    at = np.array([table_of.get(w, -1) for w in t])
-                    known = values[:, at[at >= 0]]
-                    n_tokens.append(len(t))
-                    n_known.append(known.shape[1])
-                    base.append(known[0].sum())
-                    lp.append(known[1].sum())
-                    for w, n in Counter(t[x] for x in np.flatnonzero(at < 0)).items():
-                        row.append(number[k])
-                        word.append(w)
-                        times.append(n)
-                    if pairs:
-                        g, often = np.unique(pair_hash(*pairs_of(t)).view(np.int64), return_counts=True)
-                        at = np.minimum(np.searchsorted(first, g), max(0, len(first) - 1))
-                        here = first[at] == g if len(first) else np.zeros(len(g), bool)
-                        lp[-1] += float((of_pair[at[here]] * often[here]).sum())
-                        row += [number[k]] * int((~here).sum())
-                        word += [b"  " + x.to_bytes(8, "big", signed=True) for x in g[~here].tolist()]
-                        times += often[~here].tolist()
-                n = len(row)
-                own = [b" " + number[k].to_bytes(8, "big") for k in range(i, j)]
-                long, double = pa.int64(), pa.float64()
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "row": pa.array(number[i:j] + row, long), "word": pa.array(own + word, pa.binary()), "times": pa.array([0] * (j - i) + times, long),
-                        "id": pa.array(ids[i:j] + [None] * n, long), "held_out": pa.array(held[i:j] + [None] * n, pa.bool_()), "n_tokens": pa.array(n_tokens + [None] * n, long),
-                        "n_known": pa.array(n_known + [None] * n, long), "base_here": pa.array(base + [None] * n, double), "lp_here": pa.array(lp + [None] * n, double),
-                    }
+            raw = body.tobytes()
+            for i, j in slices(offsets, DEALT):
+                p = Positions(raw, offsets[i : j + 1], r, depth)
+                base, train = int(number[i]), ~held[i:j][p.text]
+                ranked = p.ids < TAIL
+                at = p.ids[ranked].astype(np.int64)
+                add = lambda v: np.bincount(p.text[ranked], weights=v, minlength=j - i)  # noqa: B023, E731
+                yield _batch(
+                    bucket=np.full(j - i, base % buckets, np.int32), kind=np.full(j - i, DOC, np.int8), key=number[i:j], value=add(r.base[at]), base=add(r.known[at]).astype(np.int64),
+                    held_out=held[i:j], n_tokens=p.size, id=b.column("id")[i:j],
                 )
-
-    kind = "row long, word binary, times long, id long, held_out boolean, n_tokens long, n_known long, base_here double, lp_here double"
-    parts = own.withColumn("row", F.monotonically_increasing_id()).mapInArrow(summed, kind)
-    joined = parts.join(scores, "word", "left")
-    zero = lambda c: F.coalesce(c, F.lit(0))
+                sent_on: list[tuple[int, int, bytes]] = []
+                is_hot = r.is_hot(p.before[0])
+                cold = np.flatnonzero(~is_hot)
+                for k, part in _dealt((mix(p.before[0][cold], np.uint64(COLD)) % np.uint64(buckets)).astype(np.int64)):
+                    w = cold[part]
+                    sent_on.append((k, COLD, pack(base, [*(x[w] for x in p.before), p.ids[w]], p.text[w], train[w])))
+                warm = np.flatnonzero(is_hot)
+                if len(warm):
+                    deal = combination(contexts([x[warm] for x in p.before])[-1], p.ids[warm])
+                    salt = np.zeros(len(warm), np.int64)
+                    if len(r.combos):
+                        x = np.minimum(np.searchsorted(r.combos, deal), len(r.combos) - 1)
+                        salt = np.where(r.combos[x] == deal, (base + p.text[warm]) % r.salts[x], 0)
+                    for k, part in _dealt((mix(deal, salt.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+                        sent_on.append((k, WARM, _keyed(base, deal[part], p.text[warm[part]])))
+                tail = np.flatnonzero(~ranked)
+                for k, part in _dealt((mix(p.ids[tail], np.uint64(0)) % np.uint64(buckets)).astype(np.int64)):
+                    sent_on.append((k, RARE, _keyed(base, p.ids[tail[part]], p.text[tail[part]])))
+                if sent_on:
+                    yield _batch(**dict(zip(("bucket", "kind", "blob"), map(list, zip(*sent_on, strict=True)), strict=True)))
+
+    # texts are numbered in one scan and only there
+    packed = own.withColumn("row", F.monotonically_increasing_id()).mapInArrow(dealt, SENT_KIND).unionByName(side)
+    smooth = total.n + 0.1 * (total.v + 1)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, ["bucket"], 1):
+            of = g.column("bucket").to_numpy()
+            cut = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+            for x, y in zip(cut[:-1], cut[1:], strict=True):
+                t = g.slice(x, y - x)
+                kind = t.column("kind").to_numpy()
+                yield from _bucket({k: t.filter(pa.array(kind == k)) for k in np.unique(kind).tolist()})
+
+    def _bucket(parts: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
+        r = sent.value
+        if DOC in parts:
+            d = parts[DOC]
+            n, zero = len(d), np.arange(len(d) + 1, dtype=np.int32)
+            lists = lambda v, k: pa.ListArray.from_arrays(pa.array(zero), pa.array(v, k))
+            for what, v in ((0, d.column("value").to_numpy()), (1, d.column("base").to_numpy().astype(np.float64))):
+                more = [d.column(c).combine_chunks() if not what else pa.nulls(n, k) for c, k in SENT[-3:]]
+                yield pa.RecordBatch.from_arrays(
+                    [d.column("key").combine_chunks(), pa.array([what] * n, pa.int8()), lists([0] * n, pa.int32()), lists(v, pa.float64()), *more], names=ADDED
+                )
+        cold = [unpack(x, depth + 1) for x in parts[COLD].column("blob").to_pylist()] if COLD in parts else []
+        if cold:
+            columns = [np.concatenate([x[1][k] for x in cold]) for k in range(depth + 1)]
+            train = np.concatenate([x[3] for x in cold])
+            lp = np.log10(subtree(columns[:-1], columns[-1], train, r.alone(columns[-1]), gain))
+            at = 0
+            for base, _, text, _ in cold:
+                yield _added(base, 2, text, lp[at : at + len(text)])
+                at += len(text)
+        for kind, side, whats in ((WARM, LEVEL, (2,)), (RARE, WORD, (0, 1))):
+            known = parts[side].select(["key", "value"]) if side in parts else None
+            if known is not None:
+                keys = known.column("key").to_numpy().view(np.uint64)
+                order = np.argsort(keys)
+                keys, values = keys[order], known.column("value").to_numpy()[order]
+            for raw in parts[kind].column("blob").to_pylist() if kind in parts else ():
+                base, wanted, text = _unkeyed(raw)
+                value = np.zeros(len(wanted))
+                if known is not None:
+                    x = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+                    value = np.where(keys[x] == wanted, values[x], 0.0)
+                for what in whats:
+                    yield _added(base, what, text, value if what == 2 else value > 0 if what else np.where(value > 0, np.log10((value + 0.1) / smooth), unseen))
+
+    done = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scored, ADDED_KIND)
+    sums = done.repartition("base").sortWithinPartitions("base").mapInArrow(_summed, "row long, what0 double, what1 double, what2 double, held_out boolean, n_tokens long, id string")
     return (
-        joined.groupBy("row")
-        .agg(
-            F.max("id").alias("doc_id"), F.max("held_out").alias("held_out"), F.max("n_tokens").alias("n_tokens"),
-            F.sum(zero(F.col("n_known")) + F.when(zero(F.col("c")) > 0, F.col("times")).otherwise(0)).alias("n_known"),
-            F.lit(int(total.n)).cast("long").alias("train_tokens"),
-            F.sum(zero(F.col("base_here")) + zero(F.col("times") * F.col("base"))).alias("base_score"),
-            F.sum(zero(F.col("lp_here")) + zero(F.col("times") * F.col("lp"))).alias("score"),
+        sums.groupBy("row")
+        .agg(*(F.first(c, True).alias(c) for c in ("held_out", "n_tokens", "id")), *(F.sum(f"what{k}").alias(f"what{k}") for k in range(3)))
+        .select(
+            F.col("id").cast(docs.schema[key].dataType).alias(key), "held_out", "n_tokens", F.col("what1").cast("long").alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"),
+            F.col("what0").alias("base_score"), F.col("what2").alias("score"),
         )
-        .drop("row")
     )
 
 
+ADDED = ["base", "what", "text", "added", "held_out", "n_tokens", "id"]
+
+
+def _keyed(base: int, key: np.ndarray, text: np.ndarray) -> bytes:
+    return np.array([base, len(key)], "<i8").tobytes() + key.tobytes() + text.astype("<u4").tobytes()
+
+
+def _unkeyed(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    base, n = np.frombuffer(raw, "<i8", 2).tolist()
+    return base, np.frombuffer(raw, "<u8", n, 16), np.frombuffer(raw, "<u4", n, 16 + 8 * n).astype(np.int64)
+
+
+def _added(base: int, what: int, text: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
+    """The sums of a packed row by text."""
+    sums = np.bincount(text, weights=value)
+    here = np.flatnonzero(np.bincount(text))
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([base], pa.int64()), pa.array([what], pa.int8()), pa.ListArray.from_arrays(pa.array([0, len(here)], pa.int32()), pa.array(here.astype(np.int32))),
+            pa.ListArray.from_arrays(pa.array([0, len(here)], pa.int32()), pa.array(sums[here])), *(pa.nulls(1, k) for _, k in SENT[-3:]),
+        ],
+        names=ADDED,
+    )
+
+
+def _sides(batches: Iterator[pa.RecordBatch], buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
+    """Rows of (key, c) and perhaps salt for the buckets of their keys."""
+    for b in batches:
+        k = b.column("key").to_numpy().view(np.uint64)
+        salt = b.column("salt").to_numpy().astype(np.uint64) if "salt" in b.schema.names else np.uint64(0)
+        yield _batch(bucket=(mix(k, salt) % np.uint64(buckets)).astype(np.int32), kind=np.full(len(k), kind, np.int8), key=k.view(np.int64), value=b.column("c").to_numpy().astype(np.float64))
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What was added to each text, by text."""
+    for g in sorted_groups(batches, ["base"], 1):
+        t = g.combine_chunks()
+        text, added = t.column("text").combine_chunks(), t.column("added").combine_chunks()
+        size = np.diff(text.offsets.to_numpy())
+        row = np.repeat(t.column("base").to_numpy(), size) + text.flatten().to_numpy()
+        rows, of = np.unique(row, return_inverse=True)
+        what = np.repeat(t.column("what").to_numpy(), size)
+        sums = [np.bincount(of[what == k], weights=added.flatten().to_numpy()[what == k], minlength=len(rows)).astype(np.float64) for k in range(3)]
+        doc = np.flatnonzero(t.column("held_out").is_valid().to_numpy())
+        at = np.full(len(rows), -1, np.int64)
+        at[np.searchsorted(rows, t.column("base").to_numpy()[doc])] = doc
+        pick = pa.array(np.where(at < 0, 0, at), mask=at < 0)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), *map(pa.array, sums), *(t.column(c).combine_chunks().take(pick) for c in ADDED[-3:])], names=["row", "what0", "what1", "what2", *ADDED[-3:]])
+
+
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(table(spark, sf_dir, "documents").select("doc_id", "text"), pairs=True)
+    return score(table(spark, sf_dir, "documents").select("doc_id", "text"))

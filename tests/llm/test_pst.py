@@ -1,52 +1,66 @@
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
+
 from factloom.llm import pst
 
-SMALL = "/root/testdata/sf0.001"
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
 
 
-def lower(t):
+def words(t):
     return (t or "").encode().translate(pst.LOWER).split() + [pst.END]
 
 
-def brute(rows, depth, gain, strength):
-    """The model by dictionaries, from the words of training texts."""
+def brute(rows, depth, gain, head):
+    """The model by dictionaries over whole texts."""
     held = [zlib.crc32(("null" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows]
-    c = Counter(w for (_, t), h in zip(rows, held) if not h for w in lower(t))
+    c = Counter(w for (_, t), h in zip(rows, held) if not h for w in words(t))
+    every = Counter(w for _, t in rows for w in words(t))
     n, v = sum(c.values()), len(c)
+    tail = {w for w in every if w not in head}
+    tag = lambda w: int(pst.word_hash([w])[0]) % pst.CLASSES
+    class_c, class_n = Counter(), Counter()
+    for w in tail:
+        if c[w]:
+            class_c[tag(w)] += c[w]
+            class_n[tag(w)] += 1
+    mass = n + 0.1 * (v + pst.CLASSES)
+
+    def alone(w):
+        return ((class_c[tag(w)] + 0.1 * (class_n[tag(w)] + 1)) / (class_n[tag(w)] + 1) if w in tail else c[w] + 0.1) / mass
+
     follow = defaultdict(Counter)
-    symbols = lambda w: b" \n" if w == pst.END else b" " + w + b" "
-    for w, k in c.items():
-        s = symbols(w)
-        for i in range(1, len(s)):
-            for d in range(0, min(depth, i) + 1):
-                follow[s[i - d : i]][s[i]] += k
-    kept = {b""}
+    for (_, t), h in zip(rows, held):
+        s = [pst.END] * depth + words(t)
+        for i in range(depth, len(s)):
+            for d in range(1, depth + 1):
+                if not h:
+                    follow[tuple(s[i - d : i])][s[i]] += 1
+    kept = set()
     for x, nxt in follow.items():
-        if x:
-            up = follow[x[1:]]
-            total, up_total = sum(nxt.values()), sum(up.values())
-            if sum(k * math.log(k / total / (up[a] / up_total)) for a, k in nxt.items()) >= gain - 1e-9:
-                kept |= {x[i:] for i in range(len(x))}
-
-    def p(context, a):
-        out = 1 / pst.SYMBOLS
-        for d in range(0, len(context) + 1):
-            x = context[len(context) - d :]
-            if x not in kept or x not in follow:
+        total, up = sum(nxt.values()), follow.get(x[1:])
+        q = {a: up[a] / sum(up.values()) if up else alone(a) for a in nxt}
+        if sum(k * math.log(k / total / q[a]) for a, k in nxt.items()) >= gain - 1e-9:
+            kept |= {x[i:] for i in range(len(x))}
+
+    def p(before, a):
+        out = alone(a)
+        for d in range(1, depth + 1):
+            x = tuple(before[-d:])
+            if x not in kept:
                 break
-            out = (follow[x][a] + strength * out) / (sum(follow[x].values()) + strength)
+            out = (follow[x][a] + len(follow[x]) * out) / (sum(follow[x].values()) + len(follow[x]))
         return out
 
-    def lp(w):
-        s = symbols(w)
-        return sum(math.log10(p(s[max(0, i - depth) : i], s[i])) for i in range(1, len(s)))
-
     for (i, t), h in zip(rows, held):
-        ws = lower(t)
-        yield i, h, len(ws), sum(w in c for w in ws), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws), sum(map(lp, ws))
+        s = words(t)
+        wide = [pst.END] * depth + s
+        lp = sum(math.log10(p(wide[:k], wide[k])) for k in range(depth, len(wide)))
+        yield i, h, len(s), sum(w in c for w in s), n, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in s), lp
 
 
 def check(got, want):
@@ -57,31 +71,56 @@ def check(got, want):
         assert a[:5] == b[:5] and all(abs(x - y) < 1e-6 * (1 + abs(y)) for x, y in zip(a[5:], b[5:])), (a, b)
 
 
-def test_against_brute_force(spark):
-    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()][:60]
-    rows += [(None, None), (None, ""), (5, "The the THE"), (5, "The the THE"), (7, "x" * 5000), (10**12, "é ß 日本")]
-    df = spark.createDataFrame([(i, t, 1.0) for i, t in rows], "doc_id long, text string, score double")
-    for gain, head in ((12.0, 300_000), (2.0, 5)):
-        check(pst.score(df, gain=gain, head=head).collect(), list(brute(rows, pst.DEPTH, gain, pst.STRENGTH)))
+def head_words(rows, most, spark):
+    every = spark.createDataFrame([(w, n) for w, n in Counter(w for _, t in rows for w in words(t)).items()], "word binary, n long")
+    return {bytes(r.word) for r in pst.head_of(every, most)[0].collect()} | {pst.END}
 
 
-def test_parts_of_a_model_add_up(spark):
-    words = spark.createDataFrame([(b"the", 50), (b"then", 20), (b"hen", 9), (b"zebra", 0), (pst.END, 7)], "word binary, c long")
-    m = pst.train(words, gain=0.5)
-    whole = {bytes(r.word): r.lp for r in pst.word_scores(words, m).collect()}
-    parts = list(pst.models(m, pst.STRENGTH, rows=3))
-    assert len(parts) > 2
-    ws = sorted(whole)
-    total = sum(model.log10(ws, pst.DEPTH, last) for model, last in parts)
-    assert all(abs(whole[w] - x) < 1e-9 for w, x in zip(ws, total))
+def test_query_against_brute_force(spark):
+    """The registered query over a whole table."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
+    check(pst.op4_lm_score(spark, SMALL).collect(), list(brute(rows, pst.DEPTH, pst.GAIN, head_words(rows, pst.HEAD_WORDS, spark))))
 
 
-def test_probabilities_sum_to_one(spark):
-    words = spark.createDataFrame([(b"the", 50), (b"then", 20), (pst.END, 7)], "word binary, c long")
-    (model, last), *_ = pst.models(pst.train(words, gain=0.1))
-    one = model.log10([bytes([a]) for a in range(256) if a not in (32, 10)] + [pst.END], pst.DEPTH, (32, 33))  # the first symbol of a word alone
-    assert abs(sum(10**one) - 1) < 2 / 256 and last == (0, 256)
+@pytest.mark.parametrize(("depth", "gain", "head", "bucket", "hot"), [(2, 3.0, 50, 500, 10**9), (3, 1.0, 300, 2000, 60), (2, 0.0, 10, 10**6, 20), (1, 4.0, 1000, 300, 5)])
+def test_paths_against_brute_force(spark, depth, gain, head, bucket, hot):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()][:60]
+    rows += [(None, None), (None, ""), (5, "The the THE"), (5, "The the THE"), (7, "x" * 5000), (10**12, "é ß 日本"), *((900 + i, "spam spam spam eggs") for i in range(30))]
+    df = spark.createDataFrame([(i, t, 1.0, b"", 2) for i, t in rows], "doc_id long, text string, score double, row binary, base int").repartition(3)
+    got = pst.score(df, depth=depth, gain=gain, head=head, bucket=bucket, hot=hot).collect()
+    check(got, list(brute(rows, depth, gain, head_words(rows, head, spark))))
+
+
+def test_held_out_score_beats_base_and_knows_copies(spark):
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text")
+    rows = pst.op4_lm_score(spark, LARGER).filter("held_out").collect()
+    assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    trained = {t for i, t in text.items() if zlib.crc32(str(i).encode()) % 10}
+    gain = lambda r: (r.score - r.base_score) / r.n_tokens
+    long = [r for r in rows if r.n_tokens > 50]
+    copies = [gain(r) for r in long if text[r.doc_id] in trained]
+    others = [gain(r) for r in long if text[r.doc_id] not in trained]
+    assert copies and np.median(copies) > np.median(others) + 0.5
+
+
+def test_order_of_words_counts(spark):
+    rng = random.Random(4)
+    line = "the quick brown fox jumps over the lazy dog and runs into the dark wood".split()
+    texts = [" ".join(line) for _ in range(40)] + [" ".join(rng.sample(line, len(line))), " ".join(line)]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    a = {r.doc_id: r for r in pst.score(df).collect()}
+    assert len(a) == len(texts) and a["40"].score < a["41"].score - 5 and abs(a["40"].base_score - a["41"].base_score) < 1e-9
+
+
+def test_packed_rows_come_back():
+    rng = np.random.default_rng(1)
+    columns = [np.where(rng.random(500) < 0.2, rng.integers(2**63, 2**64, 500, np.uint64), rng.integers(0, pst.HEAD_WORDS + 1, 500).astype(np.uint64)) for _ in range(3)]
+    text, train = np.sort(rng.integers(0, 70_000, 500)), rng.random(500) < 0.5
+    base, got, t, own = pst.unpack(pst.pack(2**40, columns, text, train), 3)
+    assert base == 2**40 and all((x == y).all() for x, y in zip(got, columns, strict=True)) and (t == text).all() and (own == train).all()
 
 
 def test_empty_table(spark):
-    assert pst.score(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    got = pst.score(spark.createDataFrame([], "doc_id string, text string"))
+    assert got.collect() == [] and dict(got.dtypes)["doc_id"] == "string"
