@@ -3,20 +3,21 @@
 Sharding. Each start of a `length`-byte window is given the GRAM-byte string in the window whose hash is least.
 Equal windows have equal least hashes, so sending windows by that hash brings all their occurrences to one shard,
 however many documents share them. Neighbouring starts mostly have the same string; a run of them is one snippet, about
-length / 2 starts long. Snippets whose hash occurs once in the corpus cannot repeat and stay where they are. The others
-are counted by a name (a 64-bit digest beside the hash); one that occurs twice repeats as a whole, and texts travel to
-shards just once for each name, and for hashes under which some snippet occurs once.
+length / 2 starts long. Snippets whose hash occurs once in the corpus cannot repeat and stay where they are. Equal ones
+of the others are counted as one (by 128 bits of their own beside the hash's 64), and that one travels to its shard
+once; a hash all of whose snippets have copies needs no array, since all its windows occur again.
 
 Shards. A shard joins its snippets into one string and sorts its suffixes by induced sorting: suffixes are classified
 S or L, the leftmost S ones (LMS) sort their substrings by one round of induction, named substrings make a shorter
-string that is sorted recursively, and a last round induces the shard's array from the sorted LMS suffixes. Induction
-goes bucket by bucket in whole numpy vectors. Each start's predecessor in the array is written in text order
+string that is sorted recursively, whatever its length, and a last round induces the shard's array from the sorted LMS
+suffixes. Induction goes bucket by bucket in whole numpy vectors; neighbouring buckets that don't induce into each other
+go together, which keeps steps few where names are many. Each start's predecessor in the array is written in text order
 (the permuted form), and so are their common prefixes, compared in 8-byte words up to `length`. A start repeats if it
 shares `length` bytes with a neighbour in the array, or if its snippet was counted more than once.
 
-A hash whose snippets may fill more than HOT_BYTES (boilerplate between texts that differ) isn't sent to a single
-task: its windows are counted by a 128-bit digest, spread over all tasks, and only those that occur once are dropped;
-what is left of it is equal windows, which count as one.
+A hash whose different snippets fill more than HOT_BYTES (boilerplate between texts that differ) isn't sent to a single
+task: its snippets are parted by how far their starts are from the least gram, WIDTHS starts at a time, each part under
+a hash of the bytes that all its windows share. Equal windows have equal parts, so parts are decided like snippets.
 
 Defined cases: null is empty; texts shorter than `length` have no windows; copies of a text are collapsed first and
 counted, so repeated rows, null and repeated ids are fine; ties in hashes only merge runs; an empty table gives an
@@ -25,7 +26,7 @@ empty result; input columns keep their names, added ones get a trailing undersco
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,35 +35,52 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, table, text_bytes
+from .common import fresh, slices, stash, table, text_bytes
 
 LENGTH, GRAM = 200, 32
 #: Bytes of text hashed at once, bytes of snippets in a shard's array, and snippet bytes from which a hash is hot.
-CHUNK, SHARD_BYTES, HOT_BYTES = 512 << 10, 1 << 20, 4 << 20
+CHUNK, SHARD_BYTES, HOT_BYTES = 512 << 10, 1 << 20, 2 << 20
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
 
 
+def _batches(least: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of buckets that one step may take together.
+
+    least: for each bucket the first bucket that a suffix in it induces into (its own number, if a run stays inside).
+    """
+    out, a, stop = [], 0, len(least)
+    for b, x in enumerate(least.tolist()):
+        if b and (b >= stop or x == b or least[b - 1] == b - 1):
+            out.append((a, b))
+            a, stop = b, len(least)
+        if x < stop:
+            stop = x
+    if len(least):
+        out.append((a, len(least)))
+    return out
+
+
 def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) -> np.ndarray:
-    """The suffix array that follows from LMS suffixes in order (or the order of their substrings, if lms is unsorted)."""
+    """The suffix array that follows from LMS suffixes in order (or the order of their substrings, if lms is unsorted).
+
+    Buckets are taken in order, those side by side together as long as none of them induces into another one.
+    """
     n = len(t)
     small = t.astype(np.uint16) if size <= 1 << 16 else t
     count = np.bincount(t, minlength=size)
     start = np.cumsum(count) - count
     sa = np.full(n, -1, np.int64)
-    used = np.flatnonzero(count)
-    order = np.argsort(small[lms], kind="stable")
-    lms = lms[order]
-    by = t[lms]
-    lo, hi = np.searchsorted(by, used, "left"), np.searchsorted(by, used, "right")
+    lms = lms[np.argsort(small[lms], kind="stable")]
+    at_lms = np.searchsorted(t[lms], np.arange(size + 1))
 
     def deal(suffixes: np.ndarray, at: np.ndarray, back: bool) -> None:
         """Puts suffixes at the fronts (or, from the back, the ends) of their buckets, in order."""
         if not len(suffixes):
             return
         c = small[suffixes]
-        o = np.argsort(c, kind="stable")  # by radix, as names are of 16 bits
+        o = np.argsort(c, kind="stable")  # by radix, as long as names are of 16 bits
         c, suffixes = c[o].astype(np.int64), suffixes[o]
         first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
         n_of = np.diff(np.r_[first, len(c)])
@@ -74,49 +92,50 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) -> np
             sa[at[c] + rank] = suffixes
             at[c[first]] += n_of
 
+    before, here = t[:-1], t[1:]
+    to_l = np.full(size, size)
+    np.minimum.at(to_l, here[~s_type[:-1]], before[~s_type[:-1]])
     head = start.copy()
-    for b, x, y in zip(used.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        done = int(start[b])
-        while done < head[b]:
-            seg = sa[done : head[b]]
-            done = int(head[b])
-            pred = seg[seg > 0] - 1
-            deal(pred[~s_type[pred]], head, False)
-        if y > x:
-            pred = lms[x:y] - 1
-            deal(pred[(pred >= 0) & ~s_type[pred]], head, False)
+    for a, b in _batches(to_l):
+        if b - a == 1 and to_l[a] == a:  # runs of one symbol
+            done = int(start[a])
+            while done < head[a]:
+                seg = sa[done : head[a]]
+                done = int(head[a])
+                pred = seg[seg > 0] - 1
+                deal(pred[~s_type[pred]], head, False)
+            own = lms[at_lms[a] : at_lms[b]]
+        else:
+            own = sa[start[a] : start[b - 1] + count[b - 1]]
+            own, more = own[own >= 0], lms[at_lms[a] : at_lms[b]]
+            if len(more) and len(own):
+                own = np.r_[own, more]
+                own = own[np.argsort(2 * t[own] + s_type[own], kind="stable")]
+            elif len(more):
+                own = more
+        pred = own[own > 0] - 1
+        deal(pred[~s_type[pred]], head, False)
     tail = start + count
-    for b in used[::-1].tolist():
-        done = int(start[b] + count[b])
-        while done > tail[b]:
-            seg = sa[tail[b] : done][::-1]
-            done = int(tail[b])
-            pred = seg[seg > 0] - 1
-            deal(pred[s_type[pred]], tail, True)
-        seg = sa[start[b] : head[b]][::-1]
-        pred = seg[seg > 0] - 1
+    to_s = np.full(size, size)  # counted from the end
+    np.minimum.at(to_s, size - 1 - here[s_type[:-1]], size - 1 - before[s_type[:-1]])
+    for x, y in _batches(to_s):
+        a, b = size - y, size - x
+        if b - a == 1 and to_s[x] == x:
+            done = int(start[a] + count[a])
+            while done > tail[a]:
+                seg = sa[tail[a] : done][::-1]
+                done = int(tail[a])
+                pred = seg[seg > 0] - 1
+                deal(pred[s_type[pred]], tail, True)
+            own = sa[start[a] : head[a]][::-1]
+        else:
+            own = sa[start[a] : start[b - 1] + count[b - 1]][::-1]
+        pred = own[own > 0] - 1
         deal(pred[s_type[pred]], tail, True)
     sa[0] = n - 1
     return sa
 
 
-def _by_doubling(t: np.ndarray) -> np.ndarray:
-    """For strings over more names than buckets pay for: ranks of 1, 2, 4, ... names."""
-    n = len(t)
-    rank = np.unique(t, return_inverse=True)[1].astype(np.int64)
-    step = 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: max(0, n - step)] = rank[step:] + 1
-        key = rank * (n + 1) + nxt
-        sa = np.argsort(key)  # equal keys share a rank, in whatever order
-        new = np.zeros(n, np.int64)
-        new[sa[1:]] = np.cumsum(key[sa[1:]] != key[sa[:-1]])
-        if new[sa[-1]] == n - 1:
-            return sa
-        rank, step = new, step * 2
-
-
 def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
     """Suffixes in order, by induced sorting. t: numbers below size, the last one 0 and smaller than all others."""
     n = len(t)
@@ -138,10 +157,14 @@ def suffix_array(t: np.ndarray, size: int) -> np.ndarray:
         rank = np.empty(len(lms), np.int64)
         rank[short] = np.arange(len(lms))
     else:
-        rank = suffix_array(short, k) if k <= 2048 else _by_doubling(short)
+        rank = suffix_array(short, k)
     return _induce(t, s_type, lms[rank], size)
 
 
+#: Symbols of a pair of LMS substrings that are compared in one step, once few pairs are left.
+STRIDE = 32
+
+
 def _name_substrings(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, ordered: np.ndarray) -> np.ndarray:
     """Names, in order, of the LMS substrings (up to and with the next LMS place); equal substrings share one."""
     n = len(t)
@@ -150,12 +173,14 @@ def _name_substrings(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, ordered
     a, b = ordered[:-1], ordered[1:]
     size = end[b] - b
     same = (end[a] - a == size) & (end[a] < n) & (end[b] < n)
+    coded = 2 * t + s_type
     live, at = np.flatnonzero(same), 0
     while len(live):
-        x, y = a[live] + at, b[live] + at
-        equal = (t[x] == t[y]) & (s_type[x] == s_type[y])
+        wide = STRIDE if at >= 8 else 1
+        step = np.minimum(at + np.arange(wide), size[live][:, None])
+        equal = (coded[a[live][:, None] + step] == coded[b[live][:, None] + step]).all(axis=1)
         same[live[~equal]] = False
-        at += 1
+        at += wide
         live = live[equal & (size[live] >= at)]
     names = np.zeros(n, np.int64)
     names[b] = np.cumsum(~same)
@@ -253,87 +278,136 @@ def _anchors(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def name(snippet: bytes) -> int:
-    """What a snippet goes by, together with its hash."""
-    return xxhash.xxh3_64_intdigest(snippet) - 2**63
+def name(snippet: bytes) -> tuple[int, int]:
+    """What a snippet goes by, together with its hash: 128 bits of its own."""
+    x = xxhash.xxh3_128_intdigest(snippet)
+    return (x >> 64) - 2**63, (x & (2**64 - 1)) - 2**63
 
 
-def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(k, spans): the byte ranges to remove of each text that has any.
+def _names(snippets: list[bytes]) -> list[pa.Array]:
+    x = np.array([name(s) for s in snippets], np.int64).reshape(-1, 2)
+    return [pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())]
 
-    texts: k binary (a digest of the text), text, copies long; k without repeats.
-    """
-    if length % 8:
-        raise ValueError("length must be a multiple of 8")
-    n_bytes = length
 
-    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+AGAIN = "array<struct<b:int,e:int>>"
+_AGAIN = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
+#: The name of a snippet in a table.
+NAME = ["h", "s1", "s2"]
+
+
+def _minimal(length: int, gram: int) -> Callable:
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             body, offsets = text_bytes(b.column("text"))
             for i, j in slices(offsets, CHUNK):
-                r, lo, hi, h = _anchors(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], n_bytes, gram)
+                r, lo, hi, h = _anchors(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
                 rows = pa.array(r + i)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), b.column("k").take(rows), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), b.column("copies").take(rows)], names=["h", "k", "lo", "hi", "copies"]
+                    [pa.array(h.view(np.int64)), b.column("k").take(rows), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), b.column("copies").take(rows)], names=ANCHOR
                 )
 
-    anchors = texts.mapInArrow(found, "h long, k binary, lo int, hi int, copies long")
-    often = anchors.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1").select("h", (F.col("n") * (n_bytes + n_bytes // 2) > hot_bytes).alias("hot"))
-    wanted = anchors.select("h", "k", "lo", "hi").join(often, "h").groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "h", "hot")).alias("at"))
+    return anchors
 
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, row, flat, snip in _cut(batches, n_bytes):
-            yield pa.RecordBatch.from_arrays([b.column("k").take(row), *flat, b.column("copies").take(row), pa.array([name(x) for x in snip], pa.int64())], names=["k", "lo", "hi", "h", "hot", "copies", "sid"])
 
-    # snippets go by their names first; texts are cut again just for those that shards have to see
-    placed = texts.join(wanted, "k").mapInArrow(named, "k binary, lo int, hi int, h long, hot boolean, copies long, sid long")
-    distinct = placed.groupBy("h", "sid").agg(F.sum("copies").alias("copies"), F.min(F.struct("k", "lo", "hi")).alias("at"), F.max("hot").alias("hot"))
-    whole = distinct.filter("copies > 1").select("h", "sid", F.array(F.struct(F.lit(0).alias("b"), (F.col("at.hi") - F.col("at.lo")).alias("e"))).alias("again"))
-    unsure = distinct.groupBy("h").agg(F.min("copies").alias("least")).filter("least = 1").select("h")
-    chosen = distinct.join(unsure, "h").groupBy("at.k").agg(F.collect_list(F.struct("at.lo", "at.hi", "h", "hot", F.col("copies").alias("n"))).alias("at"))
+ANCHOR, ANCHOR_KIND = ["h", "k", "lo", "hi", "copies"], "h long, k binary, lo int, hi int, copies long"
 
-    def texted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, flat, snip in _cut(batches, n_bytes):
-            yield pa.RecordBatch.from_arrays([*flat[2:], pa.array(snip, pa.binary())], names=["h", "hot", "copies", "snip"])
 
-    snippets = texts.join(chosen, "k").mapInArrow(texted, "h long, hot boolean, copies long, snip binary")
+def _split(length: int, gram: int, width: int) -> Callable:
+    """Parts of snippets: starts whose distance to the least gram is in the same `width`, under a hash of the bytes that all windows of such starts share."""
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, bytes, int]] = []
-        size, last = 0, None
+    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[tuple[int, int, int, int]] = []
+            for row, text in enumerate(b.column("text").to_pylist()):
+                m = int(least_grams(np.frombuffer(text, np.uint8), length, gram)[0][0])
+                starts = len(text) - length + 1
+                for near in range(m // width * width, -1, -width):
+                    far = min(near + width - 1, length - gram)
+                    lo, hi = max(0, m - far), min(starts, m - near + 1)
+                    if lo < hi:
+                        shared = text[m - near : m - far + length]
+                        out.append((xxhash.xxh3_64_intdigest(shared, near) - 2**63, row, lo, hi))
+            h, row, lo, hi = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
+            rows = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("k").take(rows), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), b.column("copies").take(rows)], names=ANCHOR)
+
+    return anchors
+
+
+#: Starts of a part of a hot snippet, step by step; windows of one start are equal or have different hashes.
+WIDTHS = (24, 1)
+
+
+def _found(texts: DataFrame, length: int, gram: int, hot_bytes: int, widths: tuple[int, ...], cut: Callable) -> DataFrame:
+    """(k, lo, again): of snippets that start at lo in the text k, which of their starts (counted from lo) are of windows that occur again."""
+    anchors = texts.mapInArrow(cut, ANCHOR_KIND)
+    # a table, so that a hash with very many rows can be split in the join
+    often = stash(anchors.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1"), "often")
+    wanted = anchors.join(often.select("h"), "h").groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "h")).alias("at"))
 
-        def sort() -> pa.RecordBatch:
-            flags = repeated_starts([s for _, s, _ in held], np.array([c for _, _, c in held]), n_bytes)
-            out = [(h, name(s), [{"b": x, "e": y} for x, y in runs(f)]) for (h, s, c), f in zip(held, flags, strict=True) if c == 1 and f.any()]
-            return pa.RecordBatch.from_pydict({"h": pa.array([x[0] for x in out], pa.int64()), "sid": pa.array([x[1] for x in out], pa.int64()), "again": pa.array([x[2] for x in out], pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())])))})
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, row, flat, snip in _cut(batches, length):
+            yield pa.RecordBatch.from_arrays([b.column("k").take(row), *flat, b.column("copies").take(row), *_names(snip)], names=["k", "lo", "hi", "h", "copies", "s1", "s2"])
 
+    # snippets go by their names first; texts are cut again just for those that shards have to see
+    placed = texts.join(wanted, "k").mapInArrow(named, "k binary, lo int, hi int, h long, copies long, s1 long, s2 long")
+    distinct = placed.groupBy(*NAME).agg(F.sum("copies").alias("copies"), F.min(F.struct("k", "lo", "hi")).alias("at"))
+    whole = distinct.filter("copies > 1").select(*NAME, F.array(F.struct(F.lit(0).alias("b"), (F.col("at.hi") - F.col("at.lo")).alias("e"))).alias("again"))
+    size = F.sum((F.col("at.hi") - F.col("at.lo") + (length - 1)).cast("long"))
+    unsure = distinct.groupBy("h").agg(F.min("copies").alias("least"), (size > hot_bytes).alias("hot")).filter("least = 1").select("h", "hot")
+    chosen = distinct.join(unsure, "h").groupBy("at.k").agg(F.collect_list(F.struct("at.lo", "at.hi", *NAME, "hot", F.col("copies").alias("n"))).alias("at"))
+
+    def texted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, flat, snip in _cut(batches, length):
+            yield pa.RecordBatch.from_arrays([*flat[2:], pa.array(snip, pa.binary())], names=[*NAME, "hot", "copies", "snip"])
+
+    snippets = texts.join(chosen, "k").mapInArrow(texted, "h long, s1 long, s2 long, hot boolean, copies long, snip binary")
+    kind = f"h long, s1 long, s2 long, again {AGAIN}"
+    cold = snippets.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_shards(length), kind)
+    again = whole.unionByName(cold)
+    if widths and not often.filter(F.col("n") * (length + length // 2) > hot_bytes).isEmpty():
+        ident = F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in NAME))
+        hot = stash(snippets.filter("hot").select(ident.alias("k"), F.col("snip").alias("text"), "copies"), "hot")
+        parts = _found(hot, length, gram, hot_bytes, widths[1:], _split(length, gram, widths[0]))
+        moved = parts.select("k", F.transform("again", lambda x: F.struct((F.col("lo") + x["b"]).alias("b"), (F.col("lo") + x["e"]).alias("e"))).alias("again"))
+        number = lambda i: F.conv(F.hex(F.substring("k", 8 * i + 1, 8)), 16, -10).cast("long")
+        again = again.unionByName(moved.groupBy("k").agg(F.flatten(F.collect_list("again")).alias("again")).select(*(number(i).alias(c) for i, c in enumerate(NAME)), "again"))
+    return placed.select("k", "lo", *NAME).join(again, NAME).select("k", "lo", "again")
+
+
+def _shards(length: int) -> Callable:
+    """Suffix arrays over snippets whose hashes stand together: for those that were counted once, the starts that occur again."""
+
+    def sort(held: list[tuple[tuple[int, int, int], int, bytes]]) -> pa.RecordBatch:
+        flags = repeated_starts([s for _, _, s in held], np.array([c for _, c, _ in held]), length)
+        out = [(n, [{"b": x, "e": y} for x, y in runs(f)]) for (n, c, _), f in zip(held, flags, strict=True) if c == 1 and f.any()]
+        return pa.RecordBatch.from_arrays([*(pa.array([n[i] for n, _ in out], pa.int64()) for i in range(3)), pa.array([x for _, x in out], _AGAIN)], names=[*NAME, "again"])
+
+    def sorted_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[tuple[int, int, int], int, bytes]] = []
+        size, last = 0, None
         for b in batches:
-            for h, s, c in zip(b.column("h").to_pylist(), b.column("snip").to_pylist(), b.column("copies").to_pylist(), strict=True):
-                if h != last and size >= SHARD_BYTES:
-                    yield sort()
+            for *n, c, s in zip(*(b.column(x).to_pylist() for x in (*NAME, "copies", "snip")), strict=True):
+                if n[0] != last and size >= SHARD_BYTES:
+                    yield sort(held)
                     held, size = [], 0
-                held.append((h, s, c))
-                size, last = size + len(s), h
+                held.append((tuple(n), c, s))
+                size, last = size + len(s), n[0]
         if held:
-            yield sort()
+            yield sort(held)
 
-    kind = "h long, sid long, again array<struct<b:int,e:int>>"
-    cold = snippets.filter("NOT hot").select("h", "snip", "copies").repartition("h").sortWithinPartitions("h").mapInArrow(shards, kind)
+    return sorted_
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for h, s, c in zip(b.column("h").to_pylist(), b.column("snip").to_pylist(), b.column("copies").to_pylist(), strict=True):
-                n = len(s) - n_bytes + 1
-                digests = [xxhash.xxh3_128_digest(s[i : i + n_bytes]) for i in range(n)]
-                yield pa.RecordBatch.from_pydict({"h": pa.array([h] * n, pa.int64()), "sid": pa.array([name(s)] * n, pa.int64()), "i": pa.array(range(n), pa.int32()), "c": pa.array([c] * n, pa.int64()), "d": pa.array(digests, pa.binary())})
-
-    each = snippets.filter("hot").mapInArrow(windows, "h long, sid long, i int, c long, d binary")
-    twice = each.groupBy("d").agg(F.sum("c").alias("n")).filter("n > 1").select("d")
-    warm = each.filter("c = 1").join(twice, "d").groupBy("h", "sid").agg(F.collect_list(F.struct(F.col("i").alias("b"), (F.col("i") + 1).alias("e"))).alias("again"))
-
-    again = whole.unionByName(cold).unionByName(warm)
-    found = placed.select("k", "lo", "h", "sid").join(again, ["h", "sid"])
-    ranges = found.select("k", F.transform("again", lambda x: F.struct((F.col("lo") + x["b"]).alias("b"), (F.col("lo") + x["e"] + (n_bytes - 1)).alias("e"))).alias("r"))
+
+def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """(k, spans): the byte ranges to remove of each text that has any.
+
+    texts: k binary (a digest of the text), text, copies long; k without repeats.
+    """
+    if length % 8:
+        raise ValueError("length must be a multiple of 8")
+    found = _found(texts, length, gram, hot_bytes, WIDTHS, _minimal(length, gram))
+    ranges = found.select("k", F.transform("again", lambda x: F.struct((F.col("lo") + x["b"]).alias("b"), (F.col("lo") + x["e"] + (length - 1)).alias("e"))).alias("r"))
     return ranges.groupBy("k").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
 

@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 from factloom.llm import suffix
@@ -44,6 +45,41 @@ def test_suffix_array(n):
         assert suffix.suffix_array(np.array(t), k + 1).tolist() == sorted(range(n + 1), key=lambda i: t[i:])
 
 
+def test_sorts_recursively_at_every_size():
+    """A shard of 1 MB of documents: the string of names is sorted in the same way, down to the end."""
+    texts = pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    raw = "\n".join(x or "" for x in texts).encode()[:1_000_000]
+    t = np.r_[np.frombuffer(raw, np.uint8).astype(np.int64) + 2, 0]
+    sizes, plain = [], suffix.suffix_array
+
+    def counted(x, size):
+        sizes.append(len(x))
+        return plain(x, size)
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(suffix, "suffix_array", counted)
+        sa = counted(t, 258)
+    assert len(sizes) > 4 and sizes[1] > 100_000 and sizes[-1] < 1000
+    assert np.bincount(sa).max() == 1 and not hasattr(suffix, "_by_doubling")
+    at = np.random.default_rng(0).integers(1, len(sa), 20_000)
+    body = raw + b"\0"
+    assert all(body[a : a + 5000] <= body[b : b + 5000] for a, b in zip(sa[at - 1].tolist(), sa[at].tolist(), strict=True))
+
+
+def test_runs_and_periods():
+    for t in ([2] * 3000, [2, 3] * 1500, [3] * 2000 + [2] * 2000, list(range(900, 1, -1)) * 2, [5, *[2] * 1000, 7, *[2] * 1000, 3]):
+        got = suffix.suffix_array(np.array([*t, 0]), 1000)
+        assert got.tolist() == sorted(range(len(t) + 1), key=lambda i: [*t, 0][i:])
+
+
+def test_query_against_brute_force(spark):
+    """The registered query over a whole table."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    want = {r.doc_id: x for r, x in zip(rows, brute([r.text for r in rows], 200), strict=True)}
+    got = suffix.op2_suffix_dedup(spark, "/root/testdata/sf0.001").select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert {r[0]: tuple(r[1:]) for r in got} == want and len(got) == len(rows)
+
+
 @pytest.mark.parametrize("hot", [suffix.HOT_BYTES, 600])
 def test_against_brute_force(spark, hot):
     docs = fixture()
