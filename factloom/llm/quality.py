@@ -1,12 +1,17 @@
 """Quality rules as a short-circuit cascade, in DataFrame functions only.
 
 Each rule is a boolean column over a text's features. Its cost (seconds) and selectivity (share of rows it rejects)
-are measured on a bounded sample, rules are ordered by rejection per cost, and the verdict is a CASE in that order:
-a row leaves at the first rule it fails. The order changes the work, never the verdict.
+are measured on a seeded sample, rules are ordered by rejection per cost, and the verdict is a CASE in that order:
+a row leaves at the first rule it fails, and features that only later rules look at are not computed for it. The order
+changes the work, never the verdict.
+
+The words that mark a text as abusive are learned from labelled rows: at most LABELLED of them (those with the least
+MD5 of their id) are joined with their texts, and a word is taken if at least a tenth of the toxic rows and three of
+them have it, and toxic rows have it LIFT times as often as others do. Without labels no word is taken.
 
 Defined cases: a null text has no words and fails; an empty text likewise; texts of any length are taken whole;
-repeated rows and null ids are judged row by row; an empty table gives an empty result; input columns keep their
-names and the added ones get a trailing underscore where a name is taken.
+repeated rows and null ids are judged row by row; labels of null ids or null labels are left out; an empty table gives
+an empty result; input columns keep their names and the added ones get a trailing underscore where a name is taken.
 """
 
 from __future__ import annotations
@@ -21,13 +26,11 @@ from pyspark.sql import functions as F
 from .common import fresh, table
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Insults that mark a text as abusive.
-BLOCKED = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
-#: One of them as a word of its own, in either case of A-Z.
-BLOCKED_RE = f"(?:^|[^A-Za-z])(?:{'|'.join(''.join(f'[{c}{c.upper()}]' for c in w) for w in BLOCKED)})(?:[^A-Za-z]|$)"
-
-#: The same with borders of no width, so that insults with one character between them are counted each.
-EACH_BLOCKED_RE = f"(?<![A-Za-z])(?:{'|'.join(''.join(f'[{c}{c.upper()}]' for c in w) for w in BLOCKED)})(?![A-Za-z])"
+#: Labelled rows that abusive words are learned from, and how many times as often toxic rows have them.
+LABELLED, LIFT = 10_000, 20
+#: Rows that rules are timed on, about.
+SAMPLE_ROWS = 1000
+UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -94,25 +97,36 @@ def n_upper(text: Column) -> Column:
     return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"[^\p{Lu}]+", "")).cast("long")
 
 
-def n_blocked(text: Column) -> Column:
-    """As op5's SQL counts: a match takes the characters beside it, so of two neighbours the second may be missed."""
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(BLOCKED_RE)).cast("long")
+def letters_of(text: Column) -> Column:
+    """Runs of the letters a to z, lower-cased."""
+    return F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOW), "[^a-z]+")
+
 
+def abusive_words(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", toxic: str = "toxic", labelled: int = LABELLED, lift: int = LIFT) -> list[str]:
+    """The words that labelled toxic rows have and others hardly do; no more than ten times as many as a toxic row has words."""
+    ranked = labels.filter(F.col(key).isNotNull() & F.col(toxic).isNotNull()).select(F.col(key).alias("k"), (F.col(toxic) > 0).cast("long").alias("toxic"))
+    some = ranked.orderBy(F.md5(F.col("k").cast("string").cast("binary"))).limit(labelled)
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(some), "k").select("toxic", F.array_distinct(letters_of(F.col("t"))).alias("w"))
+    n = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)).alias("bad"), F.count("*").alias("all")).first()
+    each = rows.select("toxic", F.explode("w").alias("w")).filter("w <> ''").groupBy("w").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
+    clean = n["all"] - n.bad
+    found = each.filter((F.col("t") >= 3) & (10 * F.col("t") >= n.bad) & (F.col("t") * (clean + 1) >= lift * n.bad * (F.col("n") - F.col("t") + 1)))
+    return sorted(r.w for r in found.select("w").collect())
 
-def n_each_blocked(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(EACH_BLOCKED_RE)).cast("long")
+
+def n_abusive(words: list[str]) -> Callable[[Column], Column]:
+    return lambda text: F.size(F.filter(letters_of(text), lambda w: w.isin(words))).cast("long") if words else F.lit(0).cast("long")
 
 
 #: What rules look at, by name: columns over a text, and columns over its words.
-OF_TEXT: dict[str, Callable[[Column], Column]] = {"n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_upper": n_upper, "n_blocked": n_blocked}
+OF_TEXT: dict[str, Callable[[Column], Column]] = {"n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_upper": n_upper}
 OF_WORDS: dict[str, Callable[[Column], Column]] = {"n_words": n_words, "word_chars": word_chars, "n_repeat_words": n_repeat_words}
-FEATURES = (*OF_WORDS, *OF_TEXT)
-OF_TEXT["n_each_blocked"] = n_each_blocked  # not a column of op5
 
 
-def features(text: Column, names: list[str]) -> Column:
-    """A struct of the named features; the text is split into words once at most."""
-    own = [OF_TEXT[n](text).alias(n) for n in names if n in OF_TEXT]
+def features(text: Column, names: list[str], more: dict[str, Callable[[Column], Column]] | None = None) -> Column:
+    """A struct of the named features; the text is split into words once at most. more: features beside the known ones."""
+    of_text = OF_TEXT | (more or {})
+    own = [of_text[n](text).alias(n) for n in names if n in of_text]
     counted = [n for n in names if n in OF_WORDS]
     if not counted:
         return F.struct(*own)
@@ -129,47 +143,65 @@ class Rule:
     sql: str
 
 
-RULES = (
+#: What the base verdict of op5 asks for.
+BASE = (
     Rule("enough_words", ("n_words",), lambda f: f["n_words"] >= 50, "n_words >= 50"),
     Rule("few_repeats", ("n_words", "n_repeat_words"), lambda f: 100 * f["n_repeat_words"] <= 50 * f["n_words"], "100 * n_repeat_words <= 50 * n_words"),
+)
+RULES = (
     Rule("word_length", ("n_words", "word_chars"), lambda f: f["word_chars"].between(2 * f["n_words"], 15 * f["n_words"]), "word_chars BETWEEN 2 * n_words AND 15 * n_words"),
     Rule("few_symbols", ("n_words", "n_symbols"), lambda f: 10 * f["n_symbols"] <= f["n_words"], "10 * n_symbols <= n_words"),
-    # a share says little of a few lines
-    Rule("few_dup_lines", ("n_lines", "n_dup_lines"), lambda f: (f["n_lines"] < 10) | (10 * f["n_dup_lines"] <= 3 * f["n_lines"]), "n_lines < 10 OR 10 * n_dup_lines <= 3 * n_lines"),
+    # in a short text, one or two lines that come again are no sign of anything
+    Rule("few_dup_lines", ("n_lines", "n_dup_lines"), lambda f: (f["n_dup_lines"] < 3) | (10 * f["n_dup_lines"] <= 3 * f["n_lines"]), "n_dup_lines < 3 OR 10 * n_dup_lines <= 3 * n_lines"),
     Rule("not_shouting", ("n_upper", "word_chars"), lambda f: 10 * f["n_upper"] <= 4 * f["word_chars"], "10 * n_upper <= 4 * word_chars"),
-    Rule("not_abusive", ("n_blocked",), lambda f: f["n_blocked"] < 2, "n_blocked < 2"),
+    Rule("not_abusive", ("n_abusive",), lambda f: f["n_abusive"] < 2, "n_abusive < 2"),
+)
+#: For a filtering stage: a short text may be a clean one, so that only wordless ones fail, and repeats count from 50 words on.
+STAGE_RULES = (
+    Rule("any_words", ("n_words",), lambda f: f["n_words"] >= 1, "n_words >= 1"),
+    Rule("few_repeats", ("n_words", "n_repeat_words"), lambda f: (f["n_words"] < 50) | (100 * f["n_repeat_words"] <= 50 * f["n_words"]), "n_words < 50 OR 100 * n_repeat_words <= 50 * n_words"),
+    *RULES,
 )
 
-#: The rules with every insult counted; RULES are op5's, as its SQL has them.
-EACH_RULES = (*RULES[:-1], Rule("not_abusive", ("n_each_blocked",), lambda f: f["n_each_blocked"] < 2, "n_each_blocked < 2"))
 
+def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", more: dict[str, Callable[[Column], Column]] | None = None, sample_rows: int = SAMPLE_ROWS, seed: int = 42) -> list[Rule]:
+    """Rules by rejection per cost, both measured on a sample of about sample_rows rows; ties keep the given order.
 
-def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 1000) -> list[Rule]:
-    """Rules by rejection per cost, both measured on sample_rows rows; ties keep the given order."""
-    sample = df.select(F.col(text).alias("text")).limit(sample_rows).cache()
+    Each row is judged several times over, so that a job's time is that of the rule and not of starting it.
+    """
+    every = df.count()
+    if not every:
+        return list(rules)
+    sample = df.select(F.col(text).alias("text")).sample(min(1.0, sample_rows / every), seed).cache()
     try:
         n = sample.count()
         if not n:
             return list(rules)
 
-        def timed(c: Column) -> tuple[float, int]:
+        def timed(c: Column, times: int) -> tuple[float, int]:
+            again = sample.select("text", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("i"))
             began = time.perf_counter()
-            found = sample.select(F.sum(c.cast("long"))).first()[0]
-            return time.perf_counter() - began, found
+            found = again.select(F.sum((c & (F.col("i") > 0)).cast("long"))).first()[0]
+            return time.perf_counter() - began, found // times
 
-        floor = timed(F.lit(1))[0]
+        timed(F.lit(True), 1)
+        floor = timed(F.lit(True), 1)[0]
         score = {}
         for r in rules:
-            cost, rejected = timed(~F.coalesce(_bound(r, F.col("text")), F.lit(False)))
-            score[r.name] = (rejected / n) / max(cost - floor, 1e-3)
+            fails, times = ~F.coalesce(_bound(r, F.col("text"), more), F.lit(False)), 1
+            cost, rejected = timed(fails, times)
+            while cost < 4 * floor and times < 64:
+                times *= 8
+                cost = timed(fails, times)[0]
+            score[r.name] = rejected / n / (max(cost - floor, 1e-3) / times)
         return sorted(rules, key=lambda r: -score[r.name])
     finally:
         sample.unpersist()
 
 
-def _bound(rule: Rule, text: Column) -> Column:
+def _bound(rule: Rule, text: Column, more: dict[str, Callable[[Column], Column]] | None = None) -> Column:
     """The rule over a text column alone: it computes just the features that it names."""
-    return let(features(text, list(rule.features)), lambda x: rule.keep({n: x[n] for n in rule.features}))
+    return let(features(text, list(rule.features), more), lambda x: rule.keep({n: x[n] for n in rule.features}))
 
 
 def cascade(rules: list[Rule], holds: Callable[[Rule], Column]) -> Column:
@@ -180,25 +212,32 @@ def cascade(rules: list[Rule], holds: Callable[[Rule], Column]) -> Column:
     return out
 
 
-def judge(df: DataFrame, rules: tuple[Rule, ...] = EACH_RULES, text: str = "text", name: str = "kept", sample_rows: int = 1000) -> DataFrame:
-    """df with the verdict column; features are computed only as far as the cascade gets."""
-    ordered = order_rules(df, rules, text, sample_rows)
-    return df.withColumn(fresh(df.columns, name), cascade(ordered, lambda r: _bound(r, F.col(text))))
+def judge(df: DataFrame, rules: tuple[Rule, ...] = STAGE_RULES, text: str = "text", name: str = "kept", abusive: list[str] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """df with the verdict column; features are computed only as far as the cascade gets. abusive: what abusive_words found."""
+    more = {"n_abusive": n_abusive(abusive or [])}
+    ordered = order_rules(df, rules, text, more, sample_rows)
+    return df.withColumn(fresh(df.columns, name), cascade(ordered, lambda r: _bound(r, F.col(text), more)))
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's features for every row; what else rules look at is computed inside the CASE, as far as it gets."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ordered = order_rules(docs)
-    wide = docs.select("doc_id", features(F.col("text"), list(FEATURES)).alias("f")).select("doc_id", "f.*")
+    more = {"n_abusive": n_abusive(abusive_words(docs, table(spark, sf_dir, "labels")))}
+    ordered = order_rules(docs, more=more)
+    own = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    wide = docs.select("doc_id", "text", features(F.col("text"), own).alias("f")).select("doc_id", "text", "f.*")
     base_failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    verdict = cascade(ordered, lambda r: r.keep({n: F.col(n) for n in r.features}))
-    return wide.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        base_failed.alias("base_failed"), F.when(base_failed, F.lit(False)).otherwise(verdict).alias("kept"),
-        "n_lines", "n_upper", "n_blocked",
-    )
+
+    def holds(r: Rule) -> Column:
+        lacks = [n for n in r.features if n not in own]
+        if not lacks:
+            return r.keep({n: F.col(n) for n in r.features})
+        return let(features(F.col("text"), lacks, more), lambda x: r.keep({n: x[n] if n in lacks else F.col(n) for n in r.features}))
+
+    return wide.select("doc_id", *own, base_failed.alias("base_failed"), F.when(base_failed, F.lit(False)).otherwise(cascade(ordered, holds)).alias("kept"))
 
 
+_LETTERS = f"string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOW}'), '[^a-z]+')"
 SQL = {
     "op5_quality_rules": f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
@@ -208,10 +247,15 @@ g AS (SELECT rid, unnest(list_transform(range(1, len(words) - 1), lambda i: word
   FROM w WHERE len(words) >= 4),
 c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM g),
 r AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM c WHERE n > 1) GROUP BY rid),
+lab AS (SELECT doc_id AS k, CAST(toxic > 0 AS BIGINT) AS toxic FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL ORDER BY md5(CAST(doc_id AS VARCHAR)) LIMIT {LABELLED}),
+read AS (SELECT toxic, list_distinct({_LETTERS}) AS w FROM documents JOIN lab ON doc_id = k),
+n AS (SELECT coalesce(sum(toxic), 0) AS bad, count(*) - coalesce(sum(toxic), 0) AS clean FROM read),
+per AS (SELECT w, sum(toxic) AS t, count(*) AS n FROM (SELECT toxic, unnest(w) AS w FROM read) WHERE w <> '' GROUP BY w),
+abusive AS (SELECT coalesce(list(w), []) AS found FROM per, n WHERE t >= 3 AND 10 * t >= bad AND t * (clean + 1) >= {LIFT} * bad * (per.n - t + 1)),
 f AS (SELECT w.rid, doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\\x20\\x09-\\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(translate(text, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines, CAST(length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS BIGINT) AS n_upper,
-  CAST(len(regexp_extract_all(text, '{BLOCKED_RE}')) AS BIGINT) AS n_blocked FROM w LEFT JOIN r ON w.rid = r.rid)
+  CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines, length(regexp_replace(text, '[^\\p{{Lu}}]+', '', 'g')) AS n_upper,
+  len(list_filter({_LETTERS}, lambda x: list_contains(abusive.found, x))) AS n_abusive FROM w CROSS JOIN abusive LEFT JOIN r ON w.rid = r.rid)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  ({" AND ".join(f"({r.sql})" for r in RULES)}) AS kept, n_lines, n_upper, n_blocked FROM f"""
+  ({" AND ".join(f"({r.sql})" for r in (*BASE, *RULES))}) AS kept FROM f"""
 }

@@ -19,38 +19,65 @@ def prose(rng, n):
 # --- quality -------------------------------------------------------------------------------------------------------
 
 
+ABUSIVE = ["idiot", "moron", "scum"]
+
+
 def features_by_hand(text):
     t = text or ""
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", t) if x]
     grams = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
     n = Counter(grams)
     lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
-    blocked = re.findall(quality.BLOCKED_RE, t)
-    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len({i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(3)}), len(blocked)
+    bad = sum(x.lower() in ABUSIVE for x in re.findall("[A-Za-z]+", t))
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len({i + k for i, g in enumerate(grams) if n[g] > 1 for k in range(3)}), bad
 
 
 def test_features_and_verdict(spark):
     rng = random.Random(1)
     clean = [prose(rng, 80) for _ in range(5)]
-    bad = ["### " * 60 + clean[0], "| ".join(WORDS * 4), " ".join(x.upper() + "!!" for x in clean[1].split()), "a line\n" * 40, clean[2] + " you idiot, you moron", "word " * 90, "few words", "", None, "a b c a b c", "\n\n \t", "é" * 4000]
-    texts = clean + bad + ["one two three four " * 2, prose(rng, 6000) + "\n" + clean[0]]
+    bad = ["### " * 60 + clean[0], "| ".join(WORDS * 4), " ".join(x.upper() + "!!" for x in clean[1].split()), "a line\n" * 40, clean[2] + " you idiot, you moron", "word " * 90, "", None, "\n\n \t", "é" * 4000]
+    short = ["few words", "and be can and be can", "one two three four " * 2, "a line\na line"]
+    texts = clean + bad + short + [prose(rng, 6000) + "\n" + clean[0], clean[3] + " scum"]
     df = spark.createDataFrame([(i, t, True) for i, t in enumerate(texts)], "doc_id long, text string, kept boolean")
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_blocked"]
-    got = df.select("doc_id", quality.features(F.col("text"), names).alias("f")).collect()
+    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_abusive"]
+    got = df.select("doc_id", quality.features(F.col("text"), names, {"n_abusive": quality.n_abusive(ABUSIVE)}).alias("f")).collect()
     assert {r.doc_id: tuple(r.f[n] for n in names) for r in got} == {i: features_by_hand(t) for i, t in enumerate(texts)}
-    kept = {r.doc_id for r in quality.judge(df).filter("kept_").collect()}
-    assert kept == {0, 1, 2, 3, 4, len(texts) - 1}
+    kept = {r.doc_id for r in quality.judge(df, abusive=ABUSIVE).filter("kept_").collect()}
+    assert kept == set(range(5)) | set(range(5 + len(bad), len(texts)))
     assert quality.judge(df.limit(0)).collect() == []
 
 
 def test_order_changes_no_verdict(spark):
     rng = random.Random(2)
     df = spark.createDataFrame([(prose(rng, rng.randint(1, 120)) + "#|" * rng.randint(0, 20),) for _ in range(40)], "text string")
-    verdicts = []
-    for rules in (quality.RULES, quality.RULES[::-1]):
-        verdicts.append([r.k for r in df.select(quality.cascade(list(rules), lambda r: quality._bound(r, F.col("text"))).alias("k")).collect()])
+    verdicts, more = [], {"n_abusive": quality.n_abusive(ABUSIVE)}
+    for rules in (quality.STAGE_RULES, quality.STAGE_RULES[::-1]):
+        verdicts.append([r.k for r in df.select(quality.cascade(list(rules), lambda r: quality._bound(r, F.col("text"), more)).alias("k")).collect()])
     assert verdicts[0] == verdicts[1] and len(set(verdicts[0])) == 2
-    assert {r.name for r in quality.order_rules(df)} == {r.name for r in quality.RULES}
+    assert {r.name for r in quality.order_rules(df, more=more)} == {r.name for r in quality.RULES}
+
+
+def test_costly_rules_that_reject_little_come_last(spark):
+    df = spark.createDataFrame([(f"x {i} " * 200,) for i in range(300)], "text string")
+    slow = quality.Rule("slow", ("n_repeat_words",), lambda f: f["n_repeat_words"] < 0, "")
+    quick = quality.Rule("quick", ("n_symbols",), lambda f: f["n_symbols"] < 0, "")
+    never = quality.Rule("never", ("n_symbols",), lambda f: f["n_symbols"] >= 0, "")
+    assert [r.name for r in quality.order_rules(df, (never, slow, quick))] == ["quick", "slow", "never"]
+
+
+def test_abusive_words_come_from_labels(spark):
+    rng = random.Random(3)
+    rows = [(i, prose(rng, 30) + (f" {rng.choice(ABUSIVE)}, {rng.choice(ABUSIVE)}" if i % 5 == 0 else "")) for i in range(200)] + [(None, "idiot"), (7000, None)]
+    docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(200)] + [(None, 1), (7000, 0), (8000, 1), (3, None)], "doc_id long, toxic int")
+    assert quality.abusive_words(docs, labels) == sorted(ABUSIVE)
+    assert quality.abusive_words(docs, labels.limit(0)) == quality.abusive_words(docs.limit(0), labels) == []
+
+
+def test_query_skips_what_the_cascade_does_not_reach(spark):
+    plan = quality.op5_quality_rules(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    case = plan[plan.index("CASE WHEN") :]
+    assert "Lu}" in case and "Lu}" not in plan[: plan.index("CASE WHEN")]
 
 
 # --- mixing --------------------------------------------------------------------------------------------------------
