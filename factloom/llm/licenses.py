@@ -3,141 +3,137 @@
 Texts and templates are lower-cased words [a-z0-9]+; a shingle is SHINGLE words (a template of fewer words is one
 shingle of its own). Templates are grouped by size class, the least power of two of shingles that holds them, and each
 class has windows of twice that many shingles, every window starting one class size after the one before, so a template
-that occurs lies whole in some window. Each window is reduced to BANDS minima of hashed shingles (a band is one row):
-it retrieves the templates that share a minimum. A window that holds a template of n shingles has a Jaccard similarity
-with it of at least n / (2 * class) > 1 / 4, so all BANDS miss it with a probability under (3/4) ** BANDS, 1e-4 for 32; one
-that holds 80 % of it has at least 1 / 6 and is missed with one under (5/6) ** 32, 3e-3. Minima can only be shared
-where a shingle is, so windows without any shingle of a template are passed over. A candidate is verified by containment: the share
-of the template's shingles among the window's, at least `least` (0.8).
-
-Template minima are constants of the query (a fixed list of templates, whatever the data), so nothing is joined,
-shuffled or broadcast: retrieval, verification and the result are columns over each document.
+that occurs lies whole in some window. Every window is hashed, whatever is in it: a shingle's hash gives its band (of
+BANDS) by its high bits, and a window's value in a band is the least hash there (a minimum for each band from one
+permutation). An index of the templates' values, by class, retrieves those that share one. A window that holds a
+template of n shingles has a Jaccard similarity with it of at least n / (2 * class) > 1 / 4, which is the chance that a
+band of both agrees; of small sets each shingle has a band nearly to itself (two of them share one with a chance of 1 / BANDS), of larger
+ones all BANDS are filled and all miss with a chance under (3/4) ** BANDS; one that holds 80 % of a template has at
+least 1 / 6. A candidate is verified by containment: the share of the template's shingles among the window's,
+at least `least` (0.8).
+
+Templates are a table (name, text) of up to TEMPLATES rows and TEMPLATE_WORDS words in all; their index is one row of
+that bounded size, which is broadcast. Nothing else is joined or shuffled: retrieval, verification and the result are
+columns over each document.
 
 Defined cases: null and empty texts match nothing; texts of any length are scanned whole; repeated rows and null ids are
-rows of their own; an empty table gives an empty result; the added column gets a trailing underscore where its name is
-taken; equal containments keep all templates, in the order of their names.
+rows of their own; an empty table gives an empty result, and an empty table of templates no matches; templates without
+words or name are left out, of those with one name the first by text is taken; added columns get a trailing underscore
+where a name is taken; equal containments keep all templates, in the order of their names.
 """
 
 from __future__ import annotations
 
+import json
 import re
-import struct
+from pathlib import Path
 
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, table
 from .quality import let
 
-SHINGLE, BANDS, LEAST = 5, 32, 0.8
-#: Opening or notice sentences of common licences.
-TEMPLATES = {
-    "all-rights-reserved": "All rights reserved.",
-    "apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "apache-2.0-notice": "you may not use this file except in compliance with the License. You may obtain a copy of the License at",
-    "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
-    "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
-    "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
-    "mit": "Released under the MIT License.",
-    "mit-grant": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
-    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
-    "unlicense": "This is free and unencumbered software released into the public domain.",
-}
+SHINGLE, BANDS, LEAST = 5, 256, 0.8
+#: The most templates and words of templates that an index is made of.
+TEMPLATES, TEMPLATE_WORDS = 10_000, 2_000_000
+#: Licence texts and notices by name.
+TEXTS = Path(__file__).with_name("license_texts.json")
 
 
-def template_words(text: str) -> list[str]:
-    return re.findall("[a-z0-9]+", text.lower())
+def own_templates(spark: SparkSession) -> DataFrame:
+    """(name, text): the licences that come with the package."""
+    return spark.createDataFrame(sorted(json.loads(TEXTS.read_text()).items()), "name string, text string")
 
 
-def template_shingles(text: str, size: int = SHINGLE) -> list[str]:
-    w = template_words(text)
-    return sorted({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+def words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def size_class(n: int) -> int:
-    """The least power of two that is n or more."""
-    return 1 << (n - 1).bit_length()
+def shingle(w: Column, i: Column, size: int) -> Column:
+    return F.concat_ws(" ", *(F.get(w, i + k) for k in range(size)))
 
 
-def template_minima(shingles: list[str], bands: int) -> list[int]:
-    """As minima(), of a template: XXH64 of the shingle, then of the band with that as its seed."""
-    hashed = lambda s, b: xxhash.xxh64_intdigest(struct.pack("<i", b), xxhash.xxh64_intdigest(s.encode(), 42))
-    signed = lambda x: x - 2**64 if x >= 2**63 else x
-    return [min(signed(hashed(s, b)) for s in shingles) for b in range(bands)]
+def hashes(w: Column, size: int) -> Column:
+    """The hash of the shingle from each word on."""
+    places = F.when(F.size(w) >= size, F.sequence(F.lit(0), F.size(w) - size)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.xxhash64(shingle(w, i, size)))
 
 
-def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+def band(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 64 - (BANDS - 1).bit_length())
 
 
-def minima(shingles: Column, bands: int) -> Column:
-    least = lambda b: F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, F.lit(b))))
-    return F.array(*map(least, range(bands)))
+def minima(h: Column) -> Column:
+    """The least hash of each band that has any (as signed numbers, whose order in a band is that of its hashes)."""
+    return let(F.sort_array(h), lambda s: F.filter(s, lambda x, i: (i == 0) | (band(x) != band(F.get(s, i - 1)))))
 
 
-def shingle(w: Column, i: Column, size: int) -> Column:
-    return F.concat_ws(" ", *(F.get(w, i + k) for k in range(size)))
+def index(templates: DataFrame, name: str = "name", text: str = "text") -> DataFrame:
+    """(length, class, name, shingles, values) of each template: words in a shingle, size class, its shingles and its values in the bands."""
+    own = templates.select(F.col(name).cast("string").alias("name"), words(F.col(text).cast("string")).alias("w")).filter("name IS NOT NULL AND size(w) > 0")
+    own = own.groupBy("name").agg(F.min("w").alias("w"))
+    n = own.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("w")), F.lit(0)).alias("w")).first()
+    if n.n > TEMPLATES or n.w > TEMPLATE_WORDS:
+        raise ValueError(f"{n.n} templates of {n.w} words: more than an index holds; scan with parts of the table")
+    length = F.least(F.size("w"), F.lit(SHINGLE))
+    # shorter shingles take as many words as there are
+    each = F.transform(F.sequence(F.lit(0), F.size("w") - length), lambda i: F.array_join(F.slice("w", i + 1, length), " "))
+    cut = own.select("name", length.alias("length"), F.array_distinct(each).alias("shingles"))
+    size = F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles")))).cast("int")
+    return cut.select("length", size.alias("class"), "name", "shingles", minima(F.transform("shingles", lambda s: F.xxhash64(s))).alias("values"))
 
 
-def _class_matches(w: Column, hits: Column, length: int, size: int, templates: dict[str, list[str]], bands: int, least: float) -> Column:
+def _class_matches(w: Column, h: Column, own: Column, values: list[int], length: int, size: int, least: float) -> Column:
     """Matches of the templates of one size class: array of struct(name, containment, first_word)."""
-    own = F.filter(hits, lambda h: h["s"].isin(sorted({s for x in templates.values() for s in x})))
-    at = F.filter(F.array_distinct(F.flatten(F.transform(own, lambda h: F.array(F.floor(h["i"] / size).cast("int"), F.floor(h["i"] / size).cast("int") - 1)))), lambda k: k >= 0)
-
-    def window(k: Column) -> Column:
-        last = F.least(k * size + 2 * size, F.size(w) - length + 1) - 1
-        return F.transform(F.sequence(k * size, last), lambda i: shingle(w, i, length))
-
-    def judged(k: Column, s: Column) -> Column:
-        def each(m: Column) -> Column:
-            out = []
-            for name, own in sorted(templates.items()):
-                shared = F.exists(F.zip_with(m, F.array(*map(F.lit, template_minima(own, bands))), lambda a, b: a == b), lambda x: x)
-                held = F.size(F.array_intersect(s, F.array(*map(F.lit, own)))) / F.lit(len(own))
-                out.append(F.struct(F.lit(name).alias("name"), F.when(shared, held).alias("containment"), (k * size).cast("long").alias("first_word")))
-            return F.filter(F.array(*out), lambda x: x["containment"] >= least)
-
-        return let(minima(s, bands), each)
-
-    return F.flatten(F.transform(at, lambda k: let(window(k), lambda s: judged(k, s))))
-
-
-def matches(text: Column, templates: dict[str, str] | None = None, bands: int = BANDS, least: float = LEAST) -> Column:
-    """array of struct(name, containment, first_word) by name: each template that a text holds, at its best window (the first of equal ones)."""
-    templates = TEMPLATES if templates is None else templates
-    own = {n: (min(SHINGLE, len(template_words(t))), template_shingles(t)) for n, t in templates.items() if template_words(t)}
-    lengths = sorted({length for length, _ in own.values()})
-
-    def of_length(w: Column, length: int) -> Column:
-        group = {n: s for n, (k, s) in own.items() if k == length}
-        every = sorted({s for x in group.values() for s in x})
-        first = sorted({s.split(" ")[0] for s in every})
-        places = F.when(F.size(w) >= length, F.sequence(F.lit(0), F.size(w) - length)).otherwise(F.array().cast("array<int>"))
-        hits = F.filter(places, lambda i: F.get(w, i).isin(first) & shingle(w, i, length).isin(every))
-        held = F.transform(hits, lambda i: F.struct(i.alias("i"), shingle(w, i, length).alias("s")))
-        by_class: dict[int, dict] = {}
-        for n, s in group.items():
-            by_class.setdefault(size_class(len(s)), {})[n] = s
-        return let(held, lambda h: F.concat(*(_class_matches(w, h, length, c, g, bands, least) for c, g in sorted(by_class.items()))))
+    starts = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / size).cast("int"))
+    near = lambda k: F.exists(minima(F.slice(h, k * size + 1, 2 * size)), lambda x: x.isin(values))
 
-    def found(w: Column) -> Column:
-        return F.concat(*(of_length(w, k) for k in lengths))
+    def judged(k: Column) -> Column:
+        last = F.least(k * size + 2 * size, F.size(h)) - 1
+        held = F.transform(F.sequence(k * size, last), lambda i: shingle(w, i, length))
 
-    def best(all_of: Column) -> Column:
-        names = F.array_sort(F.array_distinct(F.transform(all_of, lambda x: x["name"])))
-        rank = lambda x: F.struct((-x["containment"]).alias("c"), x["first_word"].alias("f"))
-        one = lambda n: F.array_min(F.transform(F.filter(all_of, lambda x: x["name"] == n), rank))
-        return F.transform(names, lambda n: let(one(n), lambda r: F.struct(n.alias("name"), (-r["c"]).alias("containment"), r["f"].alias("first_word"))))
+        def each(s: Column) -> Column:
+            shares = let(minima(F.slice(h, k * size + 1, 2 * size)), lambda m: F.filter(own, lambda t: F.arrays_overlap(t["values"], m)))
+            share = lambda t: (F.size(F.array_intersect(s, t["shingles"])) / F.size(t["shingles"])).alias("containment")
+            first = lambda t: F.array_min(F.transform(F.array_intersect(s, t["shingles"]), lambda x: F.array_position(s, x)))
+            rows = F.transform(shares, lambda t: F.struct(t["name"], share(t), (k * size + first(t) - 1).cast("long").alias("first_word")))
+            return F.filter(rows, lambda x: x["containment"] >= least)
+
+        return let(held, each)
 
-    return let(let(words(text), found), best)
+    return F.when(F.size(h) > 0, F.flatten(F.transform(F.filter(starts, near), judged))).otherwise(F.array().cast("array<struct<name:string,containment:double,first_word:bigint>>"))
 
 
-def scan(df: DataFrame, text: str = "text", name: str = "licenses", **more) -> DataFrame:
-    """df with the matches of each row's text."""
-    return df.select("*", matches(F.col(text), **more).alias(fresh(df.columns, name)))
+def scan(df: DataFrame, text: str = "text", name: str = "licenses", templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
+    """df with array of struct(name, containment, first_word) by name: each template that a text holds, at its best window (the first of equal ones).
+
+    first_word is the place of the first word that the window shares with the template.
+    """
+    name, one = fresh(df.columns, name), fresh([*df.columns, name], "index")
+    known = index(own_templates(df.sparkSession) if templates is None else templates).cache()
+    try:
+        groups = known.groupBy("length", "class").agg(F.array_distinct(F.flatten(F.collect_list("values"))).alias("values")).orderBy("length", "class").collect()
+        kept = known.select(F.struct("length", "class", "name", "shingles", "values").alias("t")).agg(F.array_sort(F.collect_list("t")).alias(one))
+        row = df.sparkSession.createDataFrame(kept.collect(), kept.schema)  # one row, whose size is bounded above
+    finally:
+        known.unpersist()
+
+    def best(every: Column) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(every, lambda x: x["name"])))
+        rank = lambda x: F.struct((-x["containment"]).alias("c"), x["first_word"].alias("f"))
+        first = lambda n: F.array_min(F.transform(F.filter(every, lambda x: x["name"] == n), rank))
+        return F.transform(names, lambda n: let(first(n), lambda r: F.struct(n.alias("name"), (-r["c"]).alias("containment"), r["f"].alias("first_word"))))
+
+    def found(w: Column) -> Column:
+        out = []
+        for length in sorted({g["length"] for g in groups}):
+            own = [g for g in groups if g["length"] == length]
+            of = lambda g: F.filter(F.col(one), lambda t: (t["length"] == g["length"]) & (t["class"] == g["class"]))
+            out.append(let(hashes(w, length), lambda h: F.concat(*(_class_matches(w, h, of(g), list(g["values"]), length, g["class"], least) for g in own))))  # noqa: B023
+        return F.concat(*out) if out else F.array().cast("array<struct<name:string,containment:double,first_word:bigint>>")
+
+    return df.crossJoin(F.broadcast(row)).withColumn(name, let(let(words(F.col(text)), found), best)).drop(one)
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +144,22 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def template_words(text: str) -> list[str]:
+    return re.findall("[a-z0-9]+", text.lower())
+
+
+def template_shingles(text: str, size: int = SHINGLE) -> list[str]:
+    w = template_words(text)
+    return sorted({" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))})
+
+
+def size_class(n: int) -> int:
+    """The least power of two that is n or more."""
+    return 1 << (n - 1).bit_length()
+
+
 def _sql() -> str:
-    rows = [(n, min(SHINGLE, len(template_words(t))), size_class(len(s)), len(s), x) for n, t in TEMPLATES.items() for s in [template_shingles(t)] for x in s]
+    rows = [(n, min(SHINGLE, len(template_words(t))), size_class(len(s)), len(s), x) for n, t in json.loads(TEXTS.read_text()).items() for s in [template_shingles(t)] for x in s]
     values = ", ".join(f"('{n}', {k}, {c}, {m}, '{x}')" for n, k, c, m, x in rows)
     lengths = sorted({r[1] for r in rows})
     grams = " UNION ALL ".join(
@@ -159,8 +169,8 @@ def _sql() -> str:
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
 t(name, k, c, n, s) AS (VALUES {values}),
 g AS ({grams}),
-h AS (SELECT g.rid, t.name, t.c, t.n, g.s, unnest([g.i // t.c, g.i // t.c - 1]) AS win FROM g JOIN t ON g.k = t.k AND g.s = t.s),
-m AS (SELECT rid, name, CAST(count(DISTINCT s) AS DOUBLE) / n AS containment, win * c AS first_word FROM h WHERE win >= 0 GROUP BY rid, name, c, n, win HAVING count(DISTINCT s) >= {LEAST} * n),
+h AS (SELECT g.rid, t.name, t.c, t.n, g.s, g.i, unnest([g.i // t.c, g.i // t.c - 1]) AS win FROM g JOIN t ON g.k = t.k AND g.s = t.s),
+m AS (SELECT rid, name, CAST(count(DISTINCT s) AS DOUBLE) / n AS containment, min(i) AS first_word FROM h WHERE win >= 0 GROUP BY rid, name, c, n, win HAVING count(DISTINCT s) >= {LEAST} * n),
 b AS (SELECT rid, name, max(containment) AS containment, arg_min(first_word, (-containment, first_word)) AS first_word FROM m GROUP BY rid, name),
 r AS (SELECT rid, count(*) AS n_licenses, string_agg(name, ',' ORDER BY name) AS names, max(containment) AS containment, min(first_word) AS first_word FROM b GROUP BY rid)
 SELECT doc_id, CAST(coalesce(n_licenses, 0) AS BIGINT) AS n_licenses, coalesce(names, '') AS names, containment, CAST(first_word AS BIGINT) AS first_word FROM d LEFT JOIN r ON d.rid = r.rid"""

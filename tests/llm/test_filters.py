@@ -1,5 +1,6 @@
 """Quality rules, mixing, chat formatting, license scans and decontamination on rows of all kinds."""
 
+import json
 import random
 import re
 from collections import Counter, defaultdict
@@ -128,26 +129,48 @@ def test_parts_become_placeholders_and_texts_come_back(spark):
 # --- licenses ------------------------------------------------------------------------------------------------------
 
 
+LICENSES = json.loads(licenses.TEXTS.read_text())
+
+
 def test_licenses_are_found_and_others_left(spark):
     rng = random.Random(4)
-    mit = licenses.TEMPLATES["mit-grant"]
-    texts = [f"{prose(rng, rng.randint(0, 300))} {t.upper() if i % 2 else t} {prose(rng, rng.randint(0, 300))}" for i, t in enumerate(licenses.TEMPLATES.values())]
-    texts += [prose(rng, 500), None, "", "all rights", mit.replace("person", "people"), " ".join(mit.split()[:9]), mit + "\n\n" + mit, prose(rng, 9000) + " " + mit]
-    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, licenses string")
-    got = {r.doc_id: {x.name: x.containment for x in r.licenses_} for r in licenses.scan(df).collect()}
-    for i, name in enumerate(licenses.TEMPLATES):
+    mit = LICENSES["mit-text"]
+    texts = [f"{prose(rng, rng.randint(0, 300))} {t.upper() if i % 2 else t} {prose(rng, rng.randint(0, 300))}" for i, t in enumerate(LICENSES.values())]
+    near = " ".join("people" if i % 60 == 30 else x for i, x in enumerate(mit.split()))
+    texts += [prose(rng, 500), None, "", "all rights", " ".join(mit.split()[:9]), near, mit + "\n\n" + mit, prose(rng, 9000) + " " + mit]
+    df = spark.createDataFrame([(i, t, "x", 1, "w") for i, t in enumerate(texts)], "doc_id long, text string, licenses string, index int, name string")
+    found = licenses.scan(df)
+    got = {r.doc_id: {x.name: x.containment for x in r.licenses_} for r in found.collect()}
+    assert found.columns == [*df.columns, "licenses_"]
+    for i, name in enumerate(LICENSES):
         assert got[i].get(name) == 1.0, name
-    k = len(licenses.TEMPLATES)
-    assert [got[k + i] for i in (0, 1, 2, 3, 5)] == [{}] * 5
-    assert "mit-grant" not in got[k + 4] or got[k + 4]["mit-grant"] >= 0.8
-    assert got[k + 6] == got[k + 7] == {"mit-grant": 1.0}
+    k = len(LICENSES)
+    assert [got[k + i] for i in range(5)] == [{}] * 5
+    assert 0.8 <= got[k + 5]["mit-text"] < 1 and got[k + 6] == got[k + 7] == {"mit-text": 1.0}
     assert licenses.scan(df.limit(0)).collect() == []
 
 
-def test_minima_are_those_of_spark(spark):
-    s = licenses.template_shingles(licenses.TEMPLATES["bsd"])
-    got = spark.range(1).select(licenses.minima(F.array(*map(F.lit, s)), 4).alias("m")).first().m
-    assert got == licenses.template_minima(s, 4)
+def test_templates_are_a_table(spark):
+    rows = [("a", "one two three four five six seven"), ("a", "zz"), (None, "x y"), ("b", None), ("c", "..."), ("d", "x y")]
+    templates = spark.createDataFrame(rows, "name string, text string")
+    df = spark.createDataFrame([(1, "it was one two three four five six seven x Y z")], "doc_id long, text string")
+    assert [x.name for x in licenses.scan(df, templates=templates).first().licenses] == ["a", "d"]
+    assert licenses.scan(df, templates=templates.limit(0)).first().licenses == []
+
+
+def test_minima_retrieve(spark):
+    """How often windows that hold a template, or 80 % of it, share a value with it."""
+    rng = random.Random(6)
+    rows = []
+    for n in (1, 2, 5, 17, 100, 256):
+        for _ in range(60):
+            own = [f"t{rng.random()}" for _ in range(n)]
+            size = 2 * licenses.size_class(n)
+            rows.append((own, [f"w{rng.random()}" for _ in range(size - n)], own[: -(-n * 4 // 5)]))
+    df = spark.createDataFrame(rows, "t array<string>, w array<string>, part array<string>")
+    of = lambda c: licenses.minima(F.transform(c, lambda s: F.xxhash64(s)))
+    got = df.select(F.arrays_overlap(of(F.col("t")), of(F.concat("t", "w"))).alias("whole"), F.arrays_overlap(of(F.col("t")), of(F.concat("part", "w"))).alias("most")).collect()
+    assert sum(r.whole for r in got) >= 0.99 * len(got) and sum(r.most for r in got) >= 0.98 * len(got)
 
 
 # --- decontamination -----------------------------------------------------------------------------------------------
