@@ -2,11 +2,11 @@
 
 A source's mean repetition rate is its target share of the output over its share of the input. A document's number of
 copies is a Poisson draw of that mean, inverted from a uniform value that a seeded hash of the document gives, so a
-document's copies depend on nothing but its id, the seed and the rate. A mean above STEP is drawn as a sum of
+document's copies depend on nothing but its id, its text, the seed and the rate. A mean above STEP is drawn as a sum of
 independent draws of at most STEP each (sums of Poisson draws are Poisson), so no mean is too large to invert.
 
-Defined cases: a null source is a source of its own; null ids share one draw; rows that repeat an id get the same
-draw and are told apart by nothing; a source without weight gets none of the output; empty and very long texts are
+Defined cases: a null source is a source of its own; a row is told apart by its id (null is one more) and its text, so
+that rows with null or repeated ids have draws of their own, and only rows that repeat both share one; a source without weight gets none of the output; empty and very long texts are
 carried along; an empty table gives an empty result; added columns get a trailing underscore where a name is taken.
 """
 
@@ -50,32 +50,38 @@ def distribution(rate: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(SPAN)), first, step, lambda s: s["c"])
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 42, source: str = "source", key: str = "doc_id", copy: str = "copy", order: str = "shuffle_key") -> DataFrame:
+def mix(
+    docs: DataFrame, weights: dict[str, float] | None = None, seed: int = 42, source: str = "source", key: str = "doc_id", text: str = "text", copy: str = "copy", order: str = "shuffle_key"
+) -> DataFrame:
     """docs with each row as often as drawn; copy numbers a row's copies from 0, order is the global random order.
 
     The rows are dealt to partitions by the order column's hash and sorted by it in each: a random permutation that
-    depends on ids and seed alone.
+    depends on ids, texts and seed alone.
     """
+    own = docs.columns
+    names = list(own)
+    for n in (copy, order, "source", "draws", "table", "draw", "u", "n", "number", "ident"):
+        names.append(fresh(names, n))
+    copy, order, of, draws, given, draw, u, n, number, ident = names[len(own) :]
     per = rates(docs, weights, source).select(
-        F.col("source").alias("__source"),
-        F.ceil(F.col("rate") / STEP).cast("int").alias("__draws"),
-        distribution(F.col("rate") / F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP))).alias("__table"),
+        F.col("source").alias(of),
+        F.ceil(F.col("rate") / STEP).cast("int").alias(draws),
+        distribution(F.col("rate") / F.greatest(F.lit(1), F.ceil(F.col("rate") / STEP))).alias(given),
     )
     if per.count() <= BROADCAST_SOURCES:
         per = F.broadcast(per)
-    ident = F.coalesce(F.col(key).cast("string"), F.lit("null"))
-    own = docs.columns
-    copy, order = fresh(own, copy), fresh(own, order)
+    who = F.concat_ws("|", F.coalesce(F.col(key).cast("string"), F.lit("null")), F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")).cast("binary")))
     drawn = (
-        docs.join(per, F.col(source).eqNullSafe(F.col("__source")))
-        .filter("__draws > 0")
-        .withColumn("__draw", F.explode(F.sequence(F.lit(0), F.col("__draws") - 1)))
-        .withColumn("__u", uniform(F.lit(str(seed)), ident, F.col("__draw").cast("string")))
-        .withColumn("__n", F.size(F.filter("__table", lambda c: c <= F.col("__u"))))
-        .filter("__n > 0")
-        .withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+        docs.withColumn(ident, who)
+        .join(per, F.col(source).eqNullSafe(F.col(of)))
+        .filter(F.col(draws) > 0)
+        .withColumn(draw, F.explode(F.sequence(F.lit(0), F.col(draws) - 1)))
+        .withColumn(u, uniform(F.lit(str(seed)), F.col(ident), F.col(draw).cast("string")))
+        .withColumn(n, F.size(F.filter(given, lambda c: c <= F.col(u))))
+        .filter(F.col(n) > 0)
+        .withColumn(number, F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
     )
-    number = (F.col("__draw") * (SPAN + 2) + F.col("__copy")).cast("long")
+    number = (F.col(draw) * (SPAN + 2) + F.col(number)).cast("long")
     out = drawn.select(*own, number.alias(copy), F.md5(F.concat_ws("|", F.lit(f"order-{seed}"), ident, number.cast("string"))).alias(order))
     return out.repartition(order).sortWithinPartitions(order)
 
@@ -90,11 +96,11 @@ def mix_sql(docs: str, columns: str, seed: int = 42) -> str:
 WITH per AS (SELECT source, CAST(sum(count(*)) OVER () AS DOUBLE) / count(*) OVER () / count(*) AS rate FROM {docs} GROUP BY source),
 steps AS (SELECT source, CAST(ceil(rate / {STEP}) AS INTEGER) AS draws, rate / greatest(1, ceil(rate / {STEP})) AS m FROM per),
 cdf AS (SELECT source, k, sum(exp(-m + k * ln(m) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS c FROM steps, (SELECT unnest(range(0, {SPAN + 1})) AS k)),
-draws AS (SELECT d.*, s.draw, CAST(CAST(('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || s.draw), 1, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
+draws AS (SELECT d.*, s.draw, CAST(CAST(('0x' || substr(md5('{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) || '|' || s.draw), 1, 13)) AS BIGINT) AS DOUBLE) / 4503599627370496.0 AS u
   FROM {docs} d JOIN (SELECT source, unnest(range(0, draws)) AS draw FROM steps) s ON d.source IS NOT DISTINCT FROM s.source),
 n AS (SELECT d.*, (SELECT count(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.c <= d.u) AS n FROM draws d),
 x AS (SELECT *, CAST(draw * {SPAN + 2} + unnest(range(0, n)) AS BIGINT) AS copy FROM n)
-SELECT {columns}, copy, md5('order-{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || copy) AS shuffle_key FROM x"""
+SELECT {columns}, copy, md5('order-{seed}|' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '|' || md5(coalesce(text, '')) || '|' || copy) AS shuffle_key FROM x"""
 
 
 SQL = {"op1_mix_sources": mix_sql("documents", "doc_id, source, text")}

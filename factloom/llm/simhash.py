@@ -139,11 +139,12 @@ def first_of_groups(df: DataFrame, text: str = "text", key: str = "doc_id", word
     """df's rows, one of each near-duplicate group: that with the least id; of rows that share it, any one. A group of null ids keeps one row."""
     prints = stash(df.select(F.col(key).alias("id"), fingerprint(F.col(text), words).alias("fp")), "fingerprints")
     of = prints.join(groups(prints, radius), "fp").filter(F.col("id").eqNullSafe(F.col("least")))
-    chosen = stash(of.groupBy("root", F.col("id").alias("__id")).agg(F.min("fp").alias("__fp"), F.count("*").alias("n")), "chosen")
-    marked = df.withColumn("__print", fingerprint(F.col(text), words))
-    out = marked.join(chosen, (F.col("__print") == F.col("__fp")) & F.col(key).eqNullSafe(F.col("__id")))
-    if not chosen.filter("n > 1").isEmpty():  # rows that repeat an id
-        out = out.dropDuplicates(["__print", key])
+    own, ident, of_text = fresh(df.columns, "fp"), fresh(df.columns, "least"), fresh(df.columns, "print")
+    chosen = of.groupBy("root", F.col("id").alias(ident)).agg(F.min("fp").alias(own), F.count("*").alias("rows"))
+    chosen = stash(chosen.drop("root"), "chosen")
+    out = df.withColumn(of_text, fingerprint(F.col(text), words)).join(chosen.select(own, ident), (F.col(of_text) == F.col(own)) & F.col(key).eqNullSafe(F.col(ident)))
+    if not chosen.filter("rows > 1").isEmpty():  # rows that repeat an id
+        out = out.dropDuplicates([of_text, key])
     return out.select(df.columns)
 
 

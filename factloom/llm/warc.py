@@ -28,12 +28,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import new_path, stash, table
+from .common import fresh, new_path, stash, table
 
-MAGIC, END = "WARC/1.0\r\n", "\r\n\r\n"
+#: What every record starts with, the versions that may follow, and what ends a record.
+MAGIC, VERSIONS, END = "WARC/1.", (b"0\r\n", b"1\r\n"), "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: Revisits (about 100 bytes each) up to which they are broadcast to the pages; beyond, they are joined by shuffle.
 BROADCAST_REVISITS = 200_000
+#: Bytes of a file that are looked through together for the pieces of records whose payloads hold the magic.
+PART = 64 << 10
 
 
 def sha1_base32(payload: Column) -> Column:
@@ -43,19 +46,20 @@ def sha1_base32(payload: Column) -> Column:
     return F.translate(F.upper(F.concat(*parts)), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def plan(pages: DataFrame, key: str, payload: str, least: int = 0) -> DataFrame:
-    """pages with digest and refers_to (null for responses).
+def plan(pages: DataFrame, key: str, payload: str, least: int = 0) -> tuple[DataFrame, str, str]:
+    """pages with two more columns and their names: the payload's digest, and the id it refers to (null for responses).
 
     Only digests that occur more than once move; pages stay where they are while revisits are few.
     """
     body = F.encode(F.coalesce(F.col(payload), F.lit("")), "UTF-8")
-    marked = pages.withColumn("digest", sha1_base32(body))
-    ids = marked.filter(F.octet_length(body) >= least).select("digest", F.col(key).alias("id"))
-    groups = stash(ids.groupBy("digest").agg(F.max("id").alias("winner"), F.count("*").alias("n")).filter("n > 1").drop("n"), "copies")
+    digest, winner, refers_to = (fresh(pages.columns, n) for n in ("digest", "winner", "refers_to"))
+    marked = pages.withColumn(digest, sha1_base32(body))
+    ids = marked.filter(F.octet_length(body) >= least).select(F.col(digest).alias("d"), F.col(key).alias("id"))
+    groups = stash(ids.groupBy("d").agg(F.max("id").alias("w"), F.count("*").alias("n")).filter("n > 1").select(F.col("d").alias(digest), F.col("w").alias(winner)), "copies")
     few = groups.count() <= BROADCAST_REVISITS
-    joined = marked.join(F.broadcast(groups) if few else groups, "digest", "left")
-    revisit = F.col("winner").isNotNull() & ~F.col(key).eqNullSafe(F.col("winner")) & (F.octet_length(body) >= least)
-    return joined.withColumn("refers_to", F.when(revisit, F.col("winner"))).drop("winner")
+    joined = marked.join(F.broadcast(groups) if few else groups, digest, "left")
+    revisit = F.col(winner).isNotNull() & ~F.col(key).eqNullSafe(F.col(winner)) & (F.octet_length(body) >= least)
+    return joined.withColumn(refers_to, F.when(revisit, F.col(winner))).drop(winner), digest, refers_to
 
 
 def record(key: Column, url: Column, payload: Column, digest: Column, refers_to: Column) -> Column:
@@ -64,8 +68,8 @@ def record(key: Column, url: Column, payload: Column, digest: Column, refers_to:
     name = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
     uri = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\x00-\x20]", "%20")
     head = lambda kind, *more: F.concat(
-        F.lit(f"{MAGIC}WARC-Type: {kind}\r\nWARC-Record-ID: "), name(key), F.lit("\r\nWARC-Target-URI: "), uri,
-        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Payload-Digest: sha1:"), digest, *more, F.lit("\r\nX-Payload-Length: "), F.octet_length(body).cast("string"),
+        F.lit(f"{MAGIC}{VERSIONS[0].decode()}WARC-Type: {kind}\r\nWARC-Record-ID: "), name(key), F.lit("\r\nWARC-Target-URI: "), uri,
+        F.lit(f"\r\nWARC-Date: {DATE}\r\nWARC-Payload-Digest: sha1:"), digest, *more,
         F.lit("\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
     )
     full = F.concat(head("response"), F.octet_length(body).cast("string"), F.lit(END), body)
@@ -74,8 +78,8 @@ def record(key: Column, url: Column, payload: Column, digest: Column, refers_to:
 
 
 def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> None:
-    p = plan(pages, key, payload, least)
-    p.select(record(F.col(key), F.col(url), F.col(payload), F.col("digest"), F.col("refers_to")).alias("value")).write.option("lineSep", END).text(path)
+    p, digest, refers_to = plan(pages, key, payload, least)
+    p.select(record(F.col(key), F.col(url), F.col(payload), F.col(digest), F.col(refers_to)).alias("value")).write.option("lineSep", END).text(path)
 
 
 # --- reading -------------------------------------------------------------------------------------------------------
@@ -84,10 +88,10 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
 def parse_head(piece: bytes) -> tuple[dict[str, str], int, int] | None:
     """Of the bytes after a record's magic: its fields, the length of its head, and of its content; None if it isn't one."""
     end = piece.find(b"\r\n\r\n")
-    if end < 0:
+    if end < 0 or piece[:3] not in VERSIONS:
         return None
     fields = {}
-    for line in piece[:end].split(b"\r\n"):
+    for line in piece[3:end].split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if not colon:
             return None
@@ -98,7 +102,7 @@ def parse_head(piece: bytes) -> tuple[dict[str, str], int, int] | None:
     return fields, end + 4, int(n)
 
 
-FIELDS = ("warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-refers-to", "x-payload-length")
+FIELDS = ("warc-type", "warc-record-id", "warc-target-uri", "warc-payload-digest", "warc-refers-to")
 PIECE = "file string, block long, rel long, size long, next_rel long, exit_rel long, fields array<string>, sha1 string, n long, whole boolean"
 
 
@@ -194,23 +198,35 @@ def _inside(entries: DataFrame, placed: DataFrame) -> DataFrame:
     return links.repartition("file", "block").sortWithinPartitions("file", "block", "off").mapInArrow(followed, kind)
 
 
-def read(path: str, spark: SparkSession) -> DataFrame:
-    """(file, off, record_type, record_id, uri, digest, refers_to, payload_length, content_bytes, content_digest) of each record.
+def read(path: str, spark: SparkSession, payload: bool = False) -> DataFrame:
+    """(file, off, record_type, record_id, uri, digest, refers_to, content_bytes, content_digest) of each record, and its payload (binary) if asked for.
 
-    content_digest is recomputed from the bytes that were read.
+    content_bytes and content_digest are of the bytes that were read; payloads take a second read of the archive.
     """
     placed, reached = boundaries(path, spark)
     records = stash(_inside(reached, placed).drop("entry", "block"), "records")
     cut = records.filter("NOT whole")
     rest = records.filter("whole")
     if not cut.isEmpty():
-        rest = rest.unionByName(_joined(path, spark, placed, cut))
-    names = {"warc-type": "record_type", "warc-record-id": "record_id", "warc-target-uri": "uri", "warc-payload-digest": "digest", "warc-refers-to": "refers_to", "x-payload-length": "payload_length"}
-    return rest.select("file", "off", *(F.col("fields")[i].alias(names[x]) for i, x in enumerate(FIELDS)), F.col("n").alias("content_bytes"), F.col("sha1").alias("content_digest"))
+        sha1 = F.arrow_udf(lambda p: pa.array([base64.b32encode(hashlib.sha1(x).digest()).decode() for x in map(_content, p)], pa.string()), "string")
+        own = _pieces_of(path, spark, placed, cut).select("file", "off", sha1("p").alias("sha1"))
+        rest = rest.unionByName(cut.drop("sha1").join(own, ["file", "off"]).select(cut.columns))
+    names = {"warc-type": "record_type", "warc-record-id": "record_id", "warc-target-uri": "uri", "warc-payload-digest": "digest", "warc-refers-to": "refers_to"}
+    out = rest.select("file", "off", *(F.col("fields")[i].alias(names[x]) for i, x in enumerate(FIELDS)), F.col("n").alias("content_bytes"), F.col("sha1").alias("content_digest"))
+    if not payload:
+        return out
+    content = F.arrow_udf(lambda p: pa.array(map(_content, p), pa.binary()), "binary")
+    return out.join(_pieces_of(path, spark, placed, records).select("file", "off", content("p").alias("payload")), ["file", "off"])
 
 
-def _joined(path: str, spark: SparkSession, placed: DataFrame, cut: DataFrame) -> DataFrame:
-    """Records whose payloads hold the magic, put together from the pieces between them and their successors."""
+def _content(pieces: pa.Scalar) -> bytes:
+    piece = MAGIC.encode().join(x["value"].as_py() for x in pieces)
+    _, skip, n = parse_head(piece)
+    return piece[skip : skip + n]
+
+
+def _pieces_of(path: str, spark: SparkSession, placed: DataFrame, records: DataFrame) -> DataFrame:
+    """(file, off, p): the pieces of each record in order; several where its payload holds the magic."""
     base = placed.select("file", "block", (F.col("off") - F.col("rel")).alias("base")).distinct()
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,37 +240,31 @@ def _joined(path: str, spark: SparkSession, placed: DataFrame, cut: DataFrame) -
                 at += len(value) + len(MAGIC)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(rel, pa.int64()), b.column(2).cast(pa.binary())], names=["file", "block", "rel", "value"])
 
-    of = cut.select("file", F.col("off").alias("start"), F.col("next_off").alias("stop"))
+    part = lambda c: F.floor(F.col(c) / PART)
+    # records don't overlap, so a part of a file has few of them; a long record has a row for each part that it reaches into
+    of = records.select("file", F.col("off").alias("start"), F.col("next_off").alias("stop"))
+    of = of.withColumn("part", F.explode(F.sequence(part("start"), part("stop"))))
     files = of.select("file").distinct()
     bytes_at = _pieces(path, spark).mapInArrow(numbered, "file string, block long, rel long, value binary").join(files, "file", "left_semi").join(base, ["file", "block"]).select("file", (F.col("rel") + F.col("base")).alias("off"), "value")
-    marked = bytes_at.join(of.withColumn("off", F.col("start")), ["file", "off"], "left")
-    along = W.partitionBy("file").orderBy("off")
-    inside = marked.withColumn("start", F.last("start", True).over(along)).withColumn("stop", F.last("stop", True).over(along)).filter("off < stop")
+    inside = bytes_at.withColumn("part", part("off")).join(of, ["file", "part"]).filter("start <= off AND off < stop")
     whole = inside.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("off", "value"))).alias("p"))
 
-    @F.arrow_udf("string")
-    def digest(p: pa.Array) -> pa.Array:
-        out = []
-        for x in p:
-            piece = MAGIC.encode().join(y["value"].as_py() for y in x)
-            _, skip, n = parse_head(piece)
-            out.append(base64.b32encode(hashlib.sha1(piece[skip : skip + n]).digest()).decode())
-        return pa.array(out, pa.string())
-
-    return cut.drop("sha1").join(whole.select("file", F.col("start").alias("off"), digest("p").alias("sha1")), ["file", "off"]).select(cut.columns)
+    return whole.select("file", F.col("start").alias("off"), "p")
 
 
 def op10_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Length and digest are those of the bytes read back: a response's own, or for a revisit those of the response with the digest that it names."""
     path = new_path(spark, "archives")
     write(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path)
     ident = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1)
     id_of = lambda c: F.when(ident(c) != "", ident(c).cast("long"))
-    r = read(path, spark)
-    return r.select(
-        id_of(F.col("record_id")).alias("page_id"), F.col("payload_length").cast("long").alias("payload_bytes"),
-        F.when(F.col("record_type") == "revisit", F.regexp_replace("digest", "^sha1:", "")).otherwise(F.col("content_digest")).alias("payload_digest"),
-        "record_type", id_of(F.col("refers_to")).alias("refers_to"),
-    )
+    records = read(path, spark)
+    own = records.filter("record_type <> 'revisit'")
+    of = own.groupBy("content_digest").agg(F.first("content_bytes").alias("content_bytes"))
+    again = records.filter("record_type = 'revisit'").select("record_id", "record_type", "refers_to", F.regexp_replace("digest", "^sha1:", "").alias("content_digest")).join(of, "content_digest")
+    return own.select(again.columns).unionByName(again).select(
+        id_of(F.col("record_id")).alias("page_id"), F.col("content_bytes").alias("payload_bytes"), F.col("content_digest").alias("payload_digest"), "record_type", id_of(F.col("refers_to")).alias("refers_to")
+    )
 
 
 _B32 = "translate(concat(" + ", ".join(f"to_base(CAST('0x' || substr(h, {5 * i + 1}, 5) AS BIGINT), 32, 4)" for i in range(8)) + "), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')"

@@ -104,6 +104,16 @@ def test_poisson_is_inverted(spark):
         assert abs(sum(1 - x for x in r.c) - r.m) < 1e-9  # the mean
 
 
+def test_mix_with_clashing_names_and_null_ids(spark):
+    names = ["source_", "draws", "table", "draw", "u", "n", "number", "ident", "shuffle_key", "copy"]
+    rows = [(None if i % 2 else "x", "s", f"text {i}", *range(10)) for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id string, source string, text string, " + ", ".join(f"{n} int" for n in names))
+    got = mixing.mix(df).collect()
+    assert 1700 < len(got) < 2300 and all(tuple(r[n] for n in names) == tuple(range(10)) for r in got)
+    times = Counter(r.text for r in got)
+    assert len(set(times.values())) > 3  # null and repeated ids have draws of their own
+
+
 # --- chat ----------------------------------------------------------------------------------------------------------
 
 
