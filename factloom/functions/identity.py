@@ -45,6 +45,18 @@ def serialize(key: Column) -> Column:
     )
 
 
+def scope_file(serialized: Column) -> Column:
+    """The file that a symbol of internal linkage belongs to; null for others."""
+    found = F.regexp_extract(serialized, r"linkage=8:internal;file=\d+:(.*);$", 1)
+    return F.when(found != "", found)
+
+
+def enclosing(serialized: Column) -> Column:
+    """The stable id of the symbol around a local one; null for others."""
+    found = F.regexp_extract(serialized, rf"linkage=5:local;enclosing=\d+:({SCHEMA}:[0-9a-f]{{32}});anchor=", 1)
+    return F.when(found != "", found)
+
+
 def stable_id(serialized: Column) -> Column:
     return F.concat(F.lit(f"{SCHEMA}:"), F.substring(F.sha2(serialized.cast("binary"), 256), 1, 32))
 

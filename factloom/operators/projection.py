@@ -13,19 +13,38 @@ def visible(rows: DataFrame, withheld: DataFrame) -> DataFrame:
     return rows.join(withheld.select("path"), "path", "left_anti")
 
 
-def presence(locations: DataFrame, withheld: DataFrame) -> DataFrame:
+def presence(locations: DataFrame, withheld: DataFrame, placeholders: DataFrame | None = None) -> DataFrame:
     """(symbol, presence, n_locations, n_visible): indexed by a visible real location, implicit_hidden by a visible
-    implicit one only, null where nothing is visible. Location counts include withheld ones."""
+    implicit one only, external_placeholder without any location if registered as one, null where nothing is visible.
+    Location counts include withheld ones. placeholders: a column symbol."""
     w = withheld.select("path", F.lit(True).alias("__w"))
     seen = locations.join(w, "path", "left").withColumn("__v", F.col("__w").isNull())
     real = F.max(F.col("__v") & (F.col("role") != "implicit_declaration"))
-    return seen.groupBy("symbol").agg(
+    located = seen.groupBy("symbol").agg(
         F.when(real, "indexed").when(F.max("__v"), "implicit_hidden").alias("presence"), F.count("*").alias("n_locations"), F.sum(F.col("__v").cast("long")).alias("n_visible")
     )
+    if placeholders is None:
+        return located
+    bare = placeholders.select("symbol").distinct().join(located.select("symbol"), "symbol", "left_anti")
+    none = F.lit(0).cast("long")
+    return located.unionByName(bare.select("symbol", F.lit("external_placeholder").alias("presence"), none.alias("n_locations"), none.alias("n_visible")))
 
 
-def public(locations: DataFrame, withheld: DataFrame) -> DataFrame:
-    return presence(locations, withheld).filter("presence IS NOT NULL").select("symbol", "presence")
+def public(locations: DataFrame, withheld: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(symbol, presence) of what may be shown.
+
+    symbols (symbol, placeholder, scope_file, enclosing) adds what locations don't tell: placeholders, symbols of
+    internal linkage, which go with their file, and local ones, which go with the symbol around them. A symbol that has
+    neither a location nor a placeholder is an endpoint only and hides what it encloses.
+    """
+    if symbols is None:
+        return presence(locations, withheld).filter("presence IS NOT NULL").select("symbol", "presence")
+    shown = stash(presence(locations, withheld, symbols.filter("placeholder")).filter("presence IS NOT NULL").select("symbol", "presence"), "presence")
+    known = symbols.groupBy("symbol").agg(F.min("scope_file").alias("scope_file"), F.min("enclosing").alias("enclosing"))
+    scoped = known.join(withheld.select(F.col("path").alias("scope_file")), "scope_file", "left_semi").select("symbol")
+    hidden = known.select("symbol").join(shown.select("symbol"), "symbol", "left_anti").unionByName(scoped)
+    inner = known.filter("enclosing IS NOT NULL").select("symbol", "enclosing")
+    return shown.join(withhold_locals(inner, hidden), "symbol", "left_anti")
 
 
 def searchable(public_symbols: DataFrame) -> DataFrame:
@@ -39,10 +58,16 @@ def primary_location(locations: DataFrame, withheld: DataFrame) -> DataFrame:
     return visible(locations, withheld).groupBy("symbol").agg(F.min(place).alias("l")).select("symbol", "l.role", "l.path", "l.b_off", "l.e_off", "l.unit")
 
 
+#: Public symbols (about 40 bytes each) up to which they are broadcast to the evidence; beyond, both sides are shuffled.
+BROADCAST_SYMBOLS = 500_000
+
+
 def public_evidence(evidence: DataFrame, public_symbols: DataFrame, withheld: DataFrame) -> DataFrame:
-    """Visible evidence of relations whose two ends are public."""
+    """Visible evidence of relations whose two ends are public. public_symbols is counted, so it should be a table."""
     ends = public_symbols.select("symbol")
-    return visible(evidence, withheld).join(ends.withColumnRenamed("symbol", "source"), "source", "left_semi").join(ends.withColumnRenamed("symbol", "target"), "target", "left_semi")
+    few = ends.count() <= BROADCAST_SYMBOLS
+    side = lambda c: F.broadcast(ends.withColumnRenamed("symbol", c)) if few else ends.withColumnRenamed("symbol", c)
+    return visible(evidence, withheld).join(side("source"), "source", "left_semi").join(side("target"), "target", "left_semi")
 
 
 def public_relations(evidence: DataFrame, public_symbols: DataFrame, withheld: DataFrame) -> DataFrame:

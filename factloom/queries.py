@@ -39,7 +39,14 @@ class Facts:
         self.spark, self.sf_dir = spark, sf_dir
         self.loc = lens.locations(spark, sf_dir)
         self.withheld = lens.withheld(self.loc)
-        self.public = projection.public(self.loc, self.withheld)
+        self._public: DataFrame | None = None
+
+    @property
+    def public(self) -> DataFrame:
+        """A table: joined several times and counted."""
+        if self._public is None:
+            self._public = stash(projection.public(self.loc, self.withheld), "public")
+        return self._public
 
     @property
     def seen(self) -> DataFrame:
@@ -244,8 +251,8 @@ _TRACE = f"WITH RECURSIVE {SQL_CALLS}, {_CLOSURE}, {_TOP}, f0 AS (SELECT symbol,
 @query(f"{_TRACE} SELECT * FROM f1 UNION ALL SELECT * FROM f2")
 def trace_2hop(spark, sf_dir):
     f = Facts(spark, sf_dir)
-    seen = f.seen
-    return trace.trace(seen, trace.override_closure(f.seen_overrides), trace.top_symbol(seen), depth=2)
+    seen = stash(f.seen, "seen")
+    return trace.trace(seen, trace.override_closure(f.seen_overrides), trace.top_symbol(seen), depth=2, stashed=True)
 
 
 @query(f"{_TRACE} SELECT hop, path_confirmed, count(*) AS n FROM (SELECT * FROM f1 UNION ALL SELECT * FROM f2) GROUP BY hop, path_confirmed")
@@ -263,8 +270,8 @@ FROM s WHERE other NOT IN (SELECT symbol FROM t) GROUP BY other"""
 )
 def trace_callees(spark, sf_dir):
     f = Facts(spark, sf_dir)
-    seen = f.seen
-    return trace.trace(seen, trace.override_closure(f.seen_overrides), trace.top_symbol(seen, "source"), incoming=False)
+    seen = stash(f.seen, "seen")
+    return trace.trace(seen, trace.override_closure(f.seen_overrides), trace.top_symbol(seen, "source"), incoming=False, stashed=True)
 
 
 @query(
@@ -521,12 +528,12 @@ _BATCH = f"""{SQL_LOC}, cu AS (SELECT DISTINCT unit, CAST(substr(unit, 2) AS INT
 cs AS (SELECT DISTINCT unit, CASE WHEN unit = 'u7' AND part % 5 = 2 THEN 'cm1:wrong' ELSE symbol END AS symbol FROM loc),
 ce AS (SELECT a.unit, a.symbol AS source, t.symbol AS target FROM loc a JOIN loc t ON a.part = t.part + CASE WHEN t.unit = 'u9' THEN 1 ELSE 16 END),
 ci AS (SELECT DISTINCT unit, CASE WHEN unit = 'u10' THEN 'same' ELSE path END AS path_key, path FROM loc),
-broken AS (SELECT unit, 2 AS rule, 'a fact label is used by two slots' AS reason FROM cu WHERE n IN (3, 4) AND (SELECT count(*) FROM cu WHERE n IN (3, 4)) > 1
-  UNION ALL SELECT unit, 4, 'missing command identity' FROM cu WHERE n = 5 UNION ALL SELECT unit, 6, 'unusable analysis status' FROM cu WHERE n = 6
-  UNION ALL SELECT unit, 7, 'stable id does not match its key' FROM cs WHERE symbol = 'cm1:wrong'
-  UNION ALL SELECT unit, 9, 'non-canonical location file' FROM loc WHERE unit = 'u8' AND part % 7 = 1
-  UNION ALL SELECT e.unit, 10, 'relation endpoint without a symbol' FROM ce e WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.unit = e.unit AND cs.symbol = e.source) OR NOT EXISTS (SELECT 1 FROM cs WHERE cs.unit = e.unit AND cs.symbol = e.target)
-  UNION ALL SELECT unit, 13, 'duplicate input' FROM ci GROUP BY unit, path_key HAVING count(*) > 1),
+broken AS (SELECT unit, 2 AS rule, 'two slots share a fact label' AS reason FROM cu WHERE n IN (3, 4) AND (SELECT count(*) FROM cu WHERE n IN (3, 4)) > 1
+  UNION ALL SELECT unit, 4, 'no command id' FROM cu WHERE n = 5 UNION ALL SELECT unit, 6, 'the analysis has no usable status' FROM cu WHERE n = 6
+  UNION ALL SELECT unit, 7, 'the id isn''t that of its key' FROM cs WHERE symbol = 'cm1:wrong'
+  UNION ALL SELECT unit, 9, 'a location''s path isn''t canonical' FROM loc WHERE unit = 'u8' AND part % 7 = 1
+  UNION ALL SELECT e.unit, 10, 'an end of a relation is unknown' FROM ce e WHERE NOT EXISTS (SELECT 1 FROM cs WHERE cs.unit = e.unit AND cs.symbol = e.source) OR NOT EXISTS (SELECT 1 FROM cs WHERE cs.unit = e.unit AND cs.symbol = e.target)
+  UNION ALL SELECT unit, 13, 'an input is given twice' FROM ci GROUP BY unit, path_key HAVING count(*) > 1),
 problems AS (SELECT unit, min(rule) AS rule, arg_min(reason, rule) AS reason FROM broken GROUP BY unit)"""
 
 

@@ -53,7 +53,7 @@ def decode_response(content: Column) -> Column:
         F.when(encoding.isNull(), "the encoding is not supported")
         .when((encoding == "utf8_bom") & ~valid8, "malformed UTF-8")
         .when((encoding == "utf16le_bom") & (F.octet_length(content) % 2 == 1), "an odd number of bytes")
-        .when((encoding == "ascii") & nul, "embedded NUL byte")
+        .when((encoding == "ascii") & nul, "a NUL byte inside the text")
         .when((encoding == "ascii") & ~ascii_only, "non-ASCII byte without a byte order mark")
     )
     text = F.when(encoding == "utf8_bom", body8.cast("string")).when(encoding == "utf16le_bom", F.decode(body16, "UTF-16LE")).otherwise(content.cast("string"))

@@ -24,7 +24,7 @@ def contributions(spark, *units):
 
 
 def digests(tables):
-    return {t: facts.fact_hash(df) for t, df in tables.items()}
+    return {t: facts.distributed_digest(df).first().digest for t, df in tables.items() if t in store.SCHEMAS}
 
 
 def test_replacement_equals_a_fresh_build(spark, tmp_path):
@@ -47,8 +47,8 @@ def test_bad_batches_change_nothing(spark, tmp_path):
     good = contributions(spark, "u1")
     store.publish(spark, root, good)
     for t, c, v, why in (
-        ("unit", "status", "broken", "unusable analysis status"), ("symbol", "symbol", "cm1:x", "stable id"), ("location", "path", "/abs", "location file"), ("evidence", "target", "cm1:y", "endpoint"),
-        ("unit", "fact_label", "", "fact label"), ("unit", "command_id", None, "command"), ("input", "path_key", "same", "duplicate input"), ("input", "repo_path", "a//b", "input"),
+        ("unit", "status", "broken", "usable status"), ("symbol", "symbol", "cm1:x", "the id"), ("location", "path", "/abs", "location's path"), ("evidence", "target", "cm1:y", "end of a relation"),
+        ("unit", "fact_label", "", "label is blank"), ("unit", "command_id", None, "command id"), ("input", "path_key", "same", "given twice"), ("input", "repo_path", "a//b", "input's path"),
     ):
         bad = good | {t: good[t].withColumn(c, F.lit(v).cast("string"))}
         n, found = store.publish(spark, root, bad)
@@ -56,6 +56,28 @@ def test_bad_batches_change_nothing(spark, tmp_path):
     assert store.current(spark, root) == 1 and store.log(spark, root).filter("state = 'failed'").count() == 8
 
 
+def test_labels_and_slots_of_others(spark, tmp_path):
+    root = str(tmp_path)
+    store.publish(spark, root, contributions(spark, "u1", "u2"))
+    taken = contributions(spark, "u3")
+    taken["unit"] = taken["unit"].withColumn("fact_label", F.lit("fact-u1"))
+    assert "owns the fact label" in store.publish(spark, root, taken)[1].first().reason
+    assert "at once" in store.publish(spark, root, contributions(spark, "u3"), spark.createDataFrame([("u3",)], "unit string"))[1].first().reason
+    assert store.publish(spark, root, taken, spark.createDataFrame([("u1",)], "unit string"))[0] == 2
+
+
+def test_publication_rewrites_only_its_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    units = [f"u{i}" for i in range(8)]
+    store.publish(spark, root, contributions(spark, *units))
+    store.publish(spark, root, contributions(spark, "u3"))
+    first, second = ({(r.table, r.bucket): r.folder for r in store._folders(spark, root, n)} for n in (1, 2))
+    own = spark.createDataFrame([("u3",)], "unit string").select(store.bucket_of().alias("b")).first().b
+    assert {k[1] for k in second if second[k] != first.get(k)} == {own} and set(second) == set(first) and len({k[1] for k in first}) > 3
+    assert digests(store.snapshot(spark, root)) == digests(contributions(spark, *units))
+    assert store.interrupted(spark, root).count() == 0
+
+
 def test_nothing_to_publish_is_not_recorded(spark, tmp_path):
     none = {t: spark.createDataFrame([], s) for t, s in store.SCHEMAS.items()}
     assert store.publish(spark, str(tmp_path), none)[0] == 0 and store.log(spark, str(tmp_path)).count() == 0
