@@ -46,19 +46,22 @@ CHUNK, SHARD_BYTES, HOT_BYTES = 512 << 10, 1 << 20, 2 << 20
 
 
 def _batches(least: np.ndarray) -> list[tuple[int, int]]:
-    """Ranges of buckets that one step may take together.
+    """Ranges of buckets that one step may take together: none of them induces into another one, or there is just one.
 
     least: for each bucket the first bucket that a suffix in it induces into (its own number, if a run stays inside).
     """
-    out, a, stop = [], 0, len(least)
-    for b, x in enumerate(least.tolist()):
-        if b and (b >= stop or x == b or least[b - 1] == b - 1):
-            out.append((a, b))
-            a, stop = b, len(least)
-        if x < stop:
-            stop = x
-    if len(least):
-        out.append((a, len(least)))
+    out, a, wide = [], 0, 64
+    while a < len(least):
+        low = np.minimum.accumulate(least[a : a + wide])
+        inside = low < np.arange(a + 1, a + len(low) + 1)
+        k = int(inside.argmax())
+        if not inside[k]:
+            if a + wide < len(least):
+                wide *= 4  # no end in sight
+                continue
+            k = len(low)
+        out.append((a, a + max(k, 1)))
+        a, wide = a + max(k, 1), max(64, 2 * k)
     return out
 
 
@@ -82,8 +85,11 @@ def _induce(t: np.ndarray, s_type: np.ndarray, lms: np.ndarray, size: int) -> np
         c = small[suffixes]
         o = np.argsort(c, kind="stable")  # by radix, as long as names are of 16 bits
         c, suffixes = c[o].astype(np.int64), suffixes[o]
-        first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-        n_of = np.diff(np.r_[first, len(c)])
+        edge = np.flatnonzero(c[1:] != c[:-1])
+        first, n_of = np.zeros(len(edge) + 1, np.int64), np.empty(len(edge) + 1, np.int64)
+        first[1:] = edge + 1
+        np.subtract(first[1:], first[:-1], out=n_of[:-1])
+        n_of[-1] = len(c) - first[-1]
         rank = np.arange(len(c)) - np.repeat(first, n_of)
         if back:
             sa[at[c] - 1 - rank] = suffixes
