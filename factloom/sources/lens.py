@@ -106,6 +106,68 @@ def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("slot"), F.col("event_id").alias("attempt"), state.alias("state"))
 
 
+def externals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as symbols that nothing locates: ext, symbol, placeholder (every fifth is an endpoint only)."""
+    name = F.regexp_replace("s_name", "[# ]", "_")
+    keyed = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("ext"), identity.serialize(_key(F.lit("ext"), F.lit("lib"), name, F.lit("()"))).alias("key"))
+    return keyed.select("ext", identity.stable_id(F.col("key")).alias("symbol"), (F.col("ext") % 5 != 0).alias("placeholder"))
+
+
+def scopes(loc: DataFrame, ext: DataFrame) -> DataFrame:
+    """(symbol, placeholder, scope_file, enclosing): some symbols are internal to their file, others local to the one before them."""
+    first = loc.groupBy("symbol").agg(F.min(F.struct("part", "path")).alias("x")).select("symbol", "x.part", "x.path")
+    outer = loc.select((F.col("part") + 1).alias("part"), F.col("symbol").alias("outer"))
+    own = first.join(outer, "part", "left").select(
+        "symbol", F.lit(False).alias("placeholder"), F.when(F.col("part") % 17 == 5, F.col("path")).alias("scope_file"), F.when((F.col("part") % 7).isin(1, 2, 3), F.col("outer")).alias("enclosing")
+    )
+    none = F.lit(None).cast("string")
+    return own.unionByName(ext.select("symbol", "placeholder", none.alias("scope_file"), none.alias("enclosing")))
+
+
+def external_calls(spark: SparkSession, sf_dir: str, loc: DataFrame, ext: DataFrame) -> DataFrame:
+    """Call evidence from parts to suppliers: source, target, path (null for second lines: built in), b_off, unit."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    s = loc.select(F.col("part").alias("l_partkey"), F.col("symbol").alias("source"), "path")
+    t = ext.select(F.col("ext").alias("l_suppkey"), F.col("symbol").alias("target"))
+    at = F.when(F.col("l_linenumber") != 2, F.col("path"))
+    return lines.join(s, "l_partkey").join(t, "l_suppkey").select(
+        "source", "target", at.alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("b_off"), F.concat(F.lit("u"), (F.col("l_orderkey") % 16).cast("string")).alias("unit")
+    ).distinct()
+
+
+def unresolved(spark: SparkSession, sf_dir: str, loc: DataFrame) -> DataFrame:
+    """Call sites without a callee: symbol, expression, reason, path (null for third lines), b_off, unit."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'N'").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_linestatus")
+    s = loc.select(F.col("part").alias("l_partkey"), "symbol", "path")
+    return lines.join(s, "l_partkey").select(
+        "symbol", F.concat(F.lit("call_"), (F.col("l_suppkey") % 7).cast("string"), F.lit("()")).alias("expression"), F.when(F.col("l_linestatus") == "F", "dependent").otherwise("indirect_callee").alias("reason"),
+        F.when(F.col("l_linenumber") != 3, F.col("path")).alias("path"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("b_off"), F.concat(F.lit("u"), (F.col("l_orderkey") % 16).cast("string")).alias("unit"),
+    ).distinct()
+
+
+def includes(spark: SparkSession, sf_dir: str, loc: DataFrame) -> DataFrame:
+    """First lines of orders as include directives between parts' files; unresolved ones have no target."""
+    lines = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select("l_orderkey", "l_partkey", "l_suppkey", "l_returnflag")
+    a, b = loc.select(F.col("part").alias("l_partkey"), "path"), loc.select(F.col("part").alias("l_suppkey"), F.col("path").alias("to"))
+    active = F.when(F.col("l_returnflag") == "R", "inactive").otherwise("active")
+    found = F.col("l_orderkey") % 9 != 0
+    return lines.join(a, "l_partkey").join(b, "l_suppkey").select(
+        F.concat(F.lit("u"), (F.col("l_orderkey") % 16).cast("string")).alias("unit"), F.format_string("i%09d", "l_orderkey").alias("id"), F.col("path").alias("includer"), "path", (F.col("l_suppkey") % 5).cast("long").alias("b_off"),
+        F.lit("include").alias("directive"), F.lit("quoted").alias("operand_kind"), F.col("to").alias("operand"), F.lit(None).cast("string").alias("expanded"), active.alias("activity"),
+        F.when(found, "resolved").otherwise("missing").alias("resolution"), F.when(found, F.col("to")).alias("target"),
+    ).distinct()
+
+
+def include_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conditions around orders' includes: none to two branches, each with its own term and those of the branches before it."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.explode(F.expr("CASE WHEN o_orderkey % 3 > 0 THEN sequence(0, cast(o_orderkey % 3 as int) - 1) ELSE cast(array() as array<int>) END")).alias("branch"))
+    each = o.withColumn("term", F.explode(F.expr("sequence(-1, branch - 1)")))
+    return each.select(
+        F.concat(F.lit("u"), (F.col("o_orderkey") % 16).cast("string")).alias("unit"), F.format_string("i%09d", "o_orderkey").alias("id"), "branch", "term", (F.col("branch") > 0).alias("is_else"),
+        F.when(F.col("term") < 0, "if").otherwise("elif").alias("kind"), F.concat("o_orderpriority", F.lit("/"), F.col("term").cast("string")).alias("expression"),
+    )
+
+
 # --- the same facts in DuckDB -------------------------------------------------------------------------------------
 
 _F = lambda tag, v: f"'{tag}=' || strlen({v}) || ':' || {v} || ';'"
@@ -138,3 +200,26 @@ inputs AS (SELECT 'd' || CAST(doc_id % 97 AS VARCHAR) AS unit, printf('src/%08d.
   CASE WHEN doc_id % 101 = 0 THEN NULL WHEN doc_id % 67 = 0 THEN sha256(coalesce(text, '') || '!') ELSE sha256(coalesce(text, '')) END AS second FROM documents),
 currency AS (SELECT DISTINCT unit, CAST(substr(unit, 2) AS INTEGER) % 2 = 0 AS verified FROM inputs)"""
 SQL_ATTEMPTS = "attempts AS (SELECT user_id AS slot, event_id AS attempt, CASE event_type WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'interrupted' ELSE 'succeeded' END AS state FROM events)"
+SQL_SCOPES = (
+    SQL_LOC
+    + f""",
+extk AS (SELECT s_suppkey AS ext, regexp_replace(s_name, '[# ]', '_', 'g') AS name FROM supplier),
+ext AS (SELECT ext, 'cm1:' || substr(sha256('cm1|member=4:repo;lang=3:cpp;kind=8:function;owners=1:2;okind=9:namespace;oname=3:ext;osig=0:;okind=5:class;oname=3:lib;osig=0:;' || {_F('name', 'name')} || 'sig=2:();linkage=8:external;'), 1, 32) AS symbol,
+  ext % 5 <> 0 AS placeholder FROM extk),
+firsts AS (SELECT symbol, min(part) AS part, arg_min(path, part) AS path FROM loc GROUP BY symbol),
+scopes AS (SELECT f.symbol, false AS placeholder, CASE WHEN f.part % 17 = 5 THEN f.path END AS scope_file, CASE WHEN f.part % 7 IN (1, 2, 3) THEN e.symbol END AS enclosing FROM firsts f LEFT JOIN loc e ON e.part = f.part - 1
+  UNION ALL SELECT symbol, placeholder, NULL, NULL FROM ext),
+shown AS (SELECT symbol, presence FROM public UNION ALL SELECT symbol, 'external_placeholder' FROM ext WHERE placeholder),
+hidden(symbol) AS (SELECT symbol FROM scopes WHERE symbol NOT IN (SELECT symbol FROM shown) OR scope_file IN (SELECT path FROM withheld) UNION SELECT s.symbol FROM scopes s JOIN hidden h ON s.enclosing = h.symbol),
+public_all AS (SELECT * FROM shown WHERE symbol NOT IN (SELECT symbol FROM hidden))"""
+)
+SQL_SITES = """
+xcalls AS (SELECT DISTINCT s.symbol AS source, t.symbol AS target, CASE WHEN l_linenumber <> 2 THEN s.path END AS path, l_orderkey * 8 + l_linenumber AS b_off, 'u' || CAST(l_orderkey % 16 AS VARCHAR) AS unit
+  FROM lineitem JOIN loc s ON s.part = l_partkey JOIN ext t ON t.ext = l_suppkey),
+unresolved AS (SELECT DISTINCT symbol, 'call_' || CAST(l_suppkey % 7 AS VARCHAR) || '()' AS expression, CASE WHEN l_linestatus = 'F' THEN 'dependent' ELSE 'indirect_callee' END AS reason, CASE WHEN l_linenumber <> 3 THEN path END AS path,
+  l_orderkey * 8 + l_linenumber AS b_off, 'u' || CAST(l_orderkey % 16 AS VARCHAR) AS unit FROM lineitem JOIN loc ON part = l_partkey WHERE l_returnflag = 'N')"""
+SQL_INCLUDES = """
+includes AS (SELECT DISTINCT 'u' || CAST(l_orderkey % 16 AS VARCHAR) AS unit, printf('i%09d', l_orderkey) AS id, a.path AS path, l_suppkey % 5 AS b_off, b.path AS operand, CASE WHEN l_returnflag = 'R' THEN 'inactive' ELSE 'active' END AS activity,
+  CASE WHEN l_orderkey % 9 <> 0 THEN 'resolved' ELSE 'missing' END AS resolution, CASE WHEN l_orderkey % 9 <> 0 THEN b.path END AS target FROM lineitem JOIN loc a ON a.part = l_partkey JOIN loc b ON b.part = l_suppkey WHERE l_linenumber = 1),
+branches AS (SELECT o_orderkey, o_orderpriority, unnest(range(0, o_orderkey % 3)) AS branch FROM orders),
+terms AS (SELECT 'u' || CAST(o_orderkey % 16 AS VARCHAR) AS unit, printf('i%09d', o_orderkey) AS id, branch, unnest(range(-1, branch)) AS term, o_orderpriority FROM branches)"""

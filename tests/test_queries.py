@@ -1,6 +1,7 @@
 import pytest
 from oracle import same
 
+from factloom import more_queries  # noqa: F401
 from factloom.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
