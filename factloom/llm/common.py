@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
     elif told and sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(told)
