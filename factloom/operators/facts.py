@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -63,17 +62,15 @@ def path_digest(paths: DataFrame) -> DataFrame:
     return paths.agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_set("path")), "\n"), F.when(F.count("*") > 0, F.lit("\n")).otherwise("")), 256).alias("digest"), F.count_distinct("path").alias("n"))
 
 
-def fact_hash(facts: DataFrame) -> str:
-    """Order-independent SHA-256 over the serialized facts: sorted by Spark, folded partition by partition through an iterator."""
-    rows = facts.distinct().select(put(*(F.col(c) for c in sorted(facts.columns))).alias("row")).orderBy("row")
-    h = hashlib.sha256()
-    for r in rows.toLocalIterator():
-        h.update(r.row.encode())
-    return h.hexdigest()
+#: Hex digits by which hashes of rows are grouped, level by level: a group of a level has 256 members of the one before.
+DIGITS = (8, 6, 4, 2, 0)
 
 
-def distributed_digest(facts: DataFrame, buckets: int = 4096) -> DataFrame:
-    """One row, a digest that scales: rows are hashed, hashes sorted and digested in buckets of equal prefix, those digested in turn."""
-    rows = facts.distinct().select(F.sha2(put(*(F.col(c) for c in sorted(facts.columns))), 256).alias("h"))
-    part = rows.groupBy(F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("long"), F.lit(buckets)).alias("b")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return part.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+def distributed_digest(facts: DataFrame) -> DataFrame:
+    """One row, a digest of a set of rows: their hashes are digested in groups of equal prefix, those digests in turn, up to one."""
+    rows = facts.distinct().select(F.sha2(put(*(F.col(c) for c in sorted(facts.columns))), 256).alias("d"))
+    level = rows.select(F.col("d").alias("p"), "d")
+    for n in DIGITS:
+        group = level.groupBy(F.substring("p", 1, n).alias("g")).agg(F.array_sort(F.collect_list(F.struct("p", "d"))).alias("x"))
+        level = group.select(F.col("g").alias("p"), F.sha2(F.array_join(F.transform("x", lambda x: x["d"]), ""), 256).alias("d"))
+    return level.select(F.col("d").alias("digest"))

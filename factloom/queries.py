@@ -486,7 +486,13 @@ def null_safe_upsert(spark, sf_dir):
     return facts.upsert(known, k, ["source", "lang"])
 
 
-@query()
+_LEVELS = ", ".join(f"l{n} AS (SELECT substr(p, 1, {n}) AS p, sha256(string_agg(d, '' ORDER BY p, d)) AS d FROM {src} GROUP BY 1)" for n, src in zip(facts.DIGITS, ("hashed", *(f"l{n}" for n in facts.DIGITS)), strict=False))
+_FIELD = lambda c: f"strlen(CAST({c} AS VARCHAR)) || ':' || {c} || ';'"
+
+
+@query(
+    f"WITH {SQL_CALLS}, hashed AS (SELECT d AS p, d FROM (SELECT sha256({' || '.join(map(_FIELD, ('b_off', 'confidence', 'dispatch', 'path', 'source', 'target', 'unit')))}) AS d FROM calls)), {_LEVELS} SELECT d AS digest FROM l0"
+)
 def fact_digest(spark, sf_dir):
     return facts.distributed_digest(lens.calls(spark, sf_dir, lens.locations(spark, sf_dir)))
 

@@ -13,6 +13,8 @@ def shared_dir(spark: SparkSession) -> str:
     told = spark.conf.get("spark.checkpoint.dir", None)
     own = spark.sparkContext._jsc.sc().getCheckpointDir()
     if not told and own.isEmpty():
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         own = spark.sparkContext._jsc.sc().getCheckpointDir()
     return told or own.get()
