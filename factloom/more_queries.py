@@ -228,3 +228,34 @@ def path_keys(spark, sf_dir):
     n, url = F.col("page_id") % 3, F.col("url")
     path = F.when(n == 0, F.replace(url, F.lit("/"), F.lit("\\"))).when(n == 1, F.concat(F.lit("/"), url)).otherwise(F.concat(url, F.lit("/./X")))
     return table(spark, sf_dir, "pages").select("page_id", path.alias("path")).select("page_id", history.looks_absolute(F.col("path")).alias("absolute"), history.path_key(F.col("path")).alias("key"))
+
+
+@query(f"WITH {SQL_LOC} SELECT symbol, key, name, qualified, kind, signature FROM symbols WHERE symbol IN (SELECT symbol FROM loc WHERE part % 50 = 7)")
+def symbol_lookup(spark, sf_dir):
+    """Symbols by a list of stable ids."""
+    loc = lens.locations(spark, sf_dir)
+    return lens.symbols(loc).join(loc.filter("part % 50 = 7").select("symbol").distinct(), "symbol", "left_semi").select("symbol", "key", "name", "qualified", "kind", "signature")
+
+
+@query(
+    f"""WITH {SQL_LOC}, version AS (SELECT path, unit, sha256(path || '#' || unit) AS content, count(*) AS size FROM loc WHERE unit <> 'u3' GROUP BY path, unit)
+SELECT l.symbol, l.role, l.path, l.b_off, l.e_off, l.unit, v.content, v.size FROM loc l LEFT JOIN version v ON l.path = v.path AND l.unit = v.unit"""
+)
+def symbol_places(spark, sf_dir):
+    """Every place with the version of its file that its unit saw; a unit without versions keeps its places."""
+    loc = lens.locations(spark, sf_dir)
+    seen = loc.filter("unit <> 'u3'").groupBy("path", "unit").agg(F.count("*").alias("size"))
+    version = seen.withColumn("content", F.sha2(F.concat("path", F.lit("#"), "unit").cast("binary"), 256))
+    return loc.select("symbol", "role", "path", "b_off", "e_off", "unit").join(version, ["path", "unit"], "left").select("symbol", "role", "path", "b_off", "e_off", "unit", "content", "size")
+
+
+@query(
+    f"""WITH RECURSIVE {SQL_SCOPES}, {SQL_SITES}, e AS (SELECT source, target, path, b_off FROM xcalls WHERE source IN (SELECT symbol FROM public_all) AND target IN (SELECT symbol FROM public_all) AND (path IS NULL OR path NOT IN (SELECT path FROM withheld)))
+SELECT target AS symbol, count(DISTINCT source) AS unique_callers, count(DISTINCT source || '|' || coalesce(path, '') || '|' || b_off) AS callsites FROM e GROUP BY target"""
+)
+def record_counts(spark, sf_dir):
+    """Callers and call sites of every placeholder."""
+    s = Scoped(spark, sf_dir)
+    seen = projection.public_evidence(lens.external_calls(spark, sf_dir, s.loc, s.ext), s.public, s.withheld)
+    by_caller = seen.select("source", "target", "path", "b_off").distinct().groupBy("target", "source").agg(F.count("*").alias("n"))
+    return by_caller.groupBy(F.col("target").alias("symbol")).agg(F.count("*").alias("unique_callers"), F.sum("n").alias("callsites"))
