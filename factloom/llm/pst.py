@@ -11,7 +11,7 @@ of their hash class (CLASSES of them) and have their own counts in every longer
 
 The tree is never gathered: a context's subtree is that of its nearest symbol, so all positions after a symbol meet in
 one bucket, where their counts, divergence tests and scores are made together. What crosses the network is one packed
-row for each bucket and chunk of text, about 9 bytes a token, and back comes a number for each text and bucket.
+row for each bucket and chunk of text, about 8 bytes a token, and back comes a number for each text and bucket.
 
 Hot symbols. Positions after a symbol that stands more than `hot` times don't meet. Their counts are aggregated by
 context and next symbol (combined before the shuffle), the probabilities follow by joins of those aggregates, and each
@@ -37,6 +37,7 @@ from itertools import chain, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,11 +46,15 @@ from .common import LOWER, slices, sorted_groups, stash, table, text_bytes
 #: Longest context in words, least gain of a retained one in nats.
 DEPTH, GAIN = 2, 3.0
 END = b"\n"
-HEAD_WORDS, CLASSES = 200_000, 4096
+HEAD_WORDS, CLASSES = 300_000, 4096
 #: Positions of a bucket, and occurrences from which a word is hot.
-BUCKET, HOT = 2_000_000, 1_000_000
+BUCKET, HOT = 1_000_000, 1_500_000
+#: Positions whose subtrees are made at a time, or those after one symbol.
+AT_ONCE = 400_000
+#: Partitions that buckets are dealt to, one each as long as there are no more of them.
+PARTITIONS = 20_000
 #: Text bytes whose words a task counts together, and whose positions it deals together.
-CHUNK, DEALT = 16 << 20, 4 << 20
+CHUNK, DEALT = 8 << 20, 4 << 20
 #: Ids from here on are hashes of words beyond the head, ids below are places in it.
 TAIL = np.uint64(1 << 63)
 
@@ -74,9 +79,8 @@ def word_counts(docs: DataFrame, text: str, train: str) -> DataFrame:
         for b in batches:
             body, offsets = text_bytes(b.column(0))
             fold = b.column(1).to_pylist()
-            raw = body.tobytes()
             for i, (x, y) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
-                seen[bool(fold[i])].update(tokens(raw[x:y]))
+                seen[bool(fold[i])].update(tokens(body[x:y].tobytes()))
                 held += y - x
                 if held > CHUNK:
                     yield out()
@@ -134,9 +138,9 @@ class Root:
 class Positions:
     """The symbols of some texts and those before each: ids, before[0] the nearest; the text of each position."""
 
-    def __init__(self, raw: bytes, offsets: np.ndarray, root: Root, depth: int) -> None:
+    def __init__(self, body: np.ndarray, offsets: np.ndarray, root: Root, depth: int) -> None:
         cut = offsets.tolist()
-        own = [tokens(raw[x:y]) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        own = [tokens(body[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
         self.size = np.array([len(t) for t in own], np.int64)
         self.ids = root.ids(list(chain.from_iterable(own)))
         self.text = np.repeat(np.arange(len(own)), self.size)
@@ -168,16 +172,21 @@ def _numbers(raw: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
+def _small(*parts: bytes) -> bytes:
+    return zstandard.compress(b"".join(parts), 1)
+
+
 def pack(base: int, columns: list[np.ndarray], text: np.ndarray, train: np.ndarray) -> bytes:
     """Columns of ids with each position's text (its number from base on, not falling) and fold."""
     every = np.concatenate(columns)
     tail = np.unique(every[every >= TAIL])
     coded = np.where(every < TAIL, every, np.uint64(HEAD_WORDS + 1) + np.searchsorted(tail, every).astype(np.uint64))
     head = np.array([base, len(text), len(tail)], "<i8").tobytes()
-    return b"".join([head, tail.tobytes(), *(_planes(c) for c in coded.reshape(len(columns), -1)), _planes(np.diff(text, prepend=0)), np.packbits(train).tobytes()])
+    return _small(head, tail.tobytes(), *(_planes(c) for c in coded.reshape(len(columns), -1)), _planes(np.diff(text, prepend=0)), np.packbits(train).tobytes())
 
 
 def unpack(raw: bytes, width: int) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(raw)
     base, n, k = np.frombuffer(raw, "<i8", 3).tolist()
     tail, at = np.frombuffer(raw, "<u8", k, 24), 24 + 8 * k
     columns = []
@@ -188,28 +197,37 @@ def unpack(raw: bytes, width: int) -> tuple[int, list[np.ndarray], np.ndarray, n
             x[rare] = tail[(x[rare] - np.uint64(HEAD_WORDS + 1)).astype(np.int64)]
         columns.append(x)
     train = np.unpackbits(np.frombuffer(raw, np.uint8, -1, at + 4 * n * (width + 1)), count=n).astype(bool)
-    return base, columns[:-1], np.cumsum(columns[-1].astype(np.int64)), train
+    return base, columns[:-1], np.cumsum(columns[-1].astype(np.int32), dtype=np.int32), train
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value first stands, and which of the values, in order, stands where."""
+    _, first, of = np.unique(x, return_index=True, return_inverse=True)
+    return first.astype(np.int32), of.astype(np.int32)
 
 
 def subtree(before: list[np.ndarray], symbol: np.ndarray, train: np.ndarray, alone: np.ndarray, gain: float) -> np.ndarray:
-    """The probability of each position's symbol; all positions after each nearest symbol are here."""
+    """The probability of each position's symbol; all positions after each nearest symbol are here. Takes the columns of before away."""
     levels = []
-    own_c, own_n = None, None
-    for x in contexts(before):
-        _, first, of = np.unique(x, return_index=True, return_inverse=True)
-        _, s_first, s_of = np.unique(combination(x, symbol), return_index=True, return_inverse=True)
+    x = np.zeros(len(symbol), np.uint64)
+    q = alone
+    while before:
+        x = mix(x, before.pop(0))
+        first, of = _numbered(x)
+        s_first, s_of = _numbered(combination(x, symbol))
         n = np.bincount(of, weights=train, minlength=len(first))
         c = np.bincount(s_of, weights=train, minlength=len(s_first))
-        t = np.bincount(of[s_first], weights=c > 0, minlength=len(first))
-        q = alone[s_first] if own_c is None else np.divide(own_c[s_first], own_n[s_first], out=np.ones(len(c)), where=own_n[s_first] > 0)
+        up = of[s_first]
+        t = np.bincount(up, weights=c > 0, minlength=len(first))
         with np.errstate(divide="ignore", invalid="ignore"):
-            each = np.where(c > 0, c * np.log(c / n[of[s_first]] / q), 0.0)
-        kept = np.bincount(of[s_first], weights=each, minlength=len(first)) >= gain
-        levels.append((first, of, n, t, kept & (n > 0), c[s_of]))
-        own_c, own_n = c[s_of], n[of]
+            each = np.where(c > 0, c * np.log(c / n[up] / q[s_first]), 0.0)
+            kept = (np.bincount(up, weights=each, minlength=len(first)) >= gain) & (n > 0)
+            c = c.astype(np.float32 if len(symbol) < 1 << 24 else np.float64)[s_of]
+            q = c / n[of]
+        levels.append((first, of, n, t, kept, c))
     for (_, up, _, _, above, _), (first, _, _, _, kept, _) in zip(levels[-2::-1], levels[:0:-1], strict=True):
         above[up[first[kept]]] = True
-    p = alone.copy()
+    p = alone
     for _, of, n, t, kept, c in levels:
         here = kept[of]
         up = of[here]
@@ -229,9 +247,9 @@ def hot_scores(docs: DataFrame, root: Root, depth: int, gain: float, alone) -> D
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             body, offsets = text_bytes(b.column("text"))
-            raw, held = body.tobytes(), np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
+            held = np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
             for i, j in slices(offsets, DEALT):
-                p = Positions(raw, offsets[i : j + 1], sent.value, depth)
+                p = Positions(body, offsets[i : j + 1], sent.value, depth)
                 here = np.flatnonzero(sent.value.is_hot(p.before[0]))
                 x = contexts([w[here] for w in p.before])
                 key, first, of = np.unique(combination(x[-1], p.ids[here]), return_index=True, return_inverse=True)
@@ -279,6 +297,10 @@ def _batch(**columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[c], k) if c in columns else pa.nulls(n, k) for c, k in SENT], names=[c for c, _ in SENT])
 
 
+def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return _batch(**dict(zip(("bucket", "kind", "blob"), map(list, zip(*rows, strict=True)), strict=True)))
+
+
 def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order])) + 1
@@ -327,54 +349,56 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     )
     unseen = np.log10(0.1 / (total.n + 0.1 * (total.v + 1)))
 
-    side = rare.mapInArrow(lambda batches: _sides(batches, buckets, WORD), SENT_KIND)
+    side = rest.filter("c > 0").select("word", "c").mapInArrow(lambda batches: _sides(batches, buckets, WORD), SENT_KIND)
     if root.hot.any():
         at_root = spark.sparkContext.broadcast(root)
         alone = F.arrow_udf(lambda a: pa.array(at_root.value.alone(a.to_numpy().view(np.uint64))), "double")
         levels = hot_scores(own.select("text", "held_out"), root, depth, gain, alone)
         big = levels.filter(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("s")).toArrow()  # at most total / hot
-        order = np.argsort(big.column("key").to_numpy().view(np.uint64))
+        order = np.argsort(big.column("key").to_numpy().view(np.uint64), kind="stable")
         root.combos, root.salts = big.column("key").to_numpy().view(np.uint64)[order], big.column("s").to_numpy()[order].astype(np.int64)
         salted = levels.select("key", F.log10("p").alias("c"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / hot).cast("int") - 1)).alias("salt"))
         side = side.unionByName(salted.mapInArrow(lambda batches: _sides(batches, buckets, LEVEL), SENT_KIND))
     sent = spark.sparkContext.broadcast(root)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r = sent.value
         for b in batches:
-            number, held = b.column("row").to_numpy(), np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
             body, offsets = text_bytes(b.column("text"))
-            raw = body.tobytes()
             for i, j in slices(offsets, DEALT):
-                p = Positions(raw, offsets[i : j + 1], r, depth)
-                base, train = int(number[i]), ~held[i:j][p.text]
-                ranked = p.ids < TAIL
-                at = p.ids[ranked].astype(np.int64)
-                add = lambda v: np.bincount(p.text[ranked], weights=v, minlength=j - i)  # noqa: B023, E731
-                yield _batch(
-                    bucket=np.full(j - i, base % buckets, np.int32), kind=np.full(j - i, DOC, np.int8), key=number[i:j], value=add(r.base[at]), base=add(r.known[at]).astype(np.int64),
-                    held_out=held[i:j], n_tokens=p.size, id=b.column("id")[i:j],
-                )
-                sent_on: list[tuple[int, int, bytes]] = []
-                is_hot = r.is_hot(p.before[0])
-                cold = np.flatnonzero(~is_hot)
-                for k, part in _dealt((mix(p.before[0][cold], np.uint64(COLD)) % np.uint64(buckets)).astype(np.int64)):
-                    w = cold[part]
-                    sent_on.append((k, COLD, pack(base, [*(x[w] for x in p.before), p.ids[w]], p.text[w], train[w])))
-                warm = np.flatnonzero(is_hot)
-                if len(warm):
-                    deal = combination(contexts([x[warm] for x in p.before])[-1], p.ids[warm])
-                    salt = np.zeros(len(warm), np.int64)
-                    if len(r.combos):
-                        x = np.minimum(np.searchsorted(r.combos, deal), len(r.combos) - 1)
-                        salt = np.where(r.combos[x] == deal, (base + p.text[warm]) % r.salts[x], 0)
-                    for k, part in _dealt((mix(deal, salt.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
-                        sent_on.append((k, WARM, _keyed(base, deal[part], p.text[warm[part]])))
-                tail = np.flatnonzero(~ranked)
-                for k, part in _dealt((mix(p.ids[tail], np.uint64(0)) % np.uint64(buckets)).astype(np.int64)):
-                    sent_on.append((k, RARE, _keyed(base, p.ids[tail[part]], p.text[tail[part]])))
-                if sent_on:
-                    yield _batch(**dict(zip(("bucket", "kind", "blob"), map(list, zip(*sent_on, strict=True)), strict=True)))
+                yield from _deal(b.slice(i, j - i), body, offsets[i : j + 1])
+
+    def _deal(b: pa.RecordBatch, body: np.ndarray, offsets: np.ndarray) -> list[pa.RecordBatch]:
+        """What some texts send: a row each with the head's share of the base score, and their positions by bucket."""
+        r = sent.value
+        p = Positions(body, offsets, r, depth)
+        number, held = b.column("row").to_numpy(), np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
+        n, base, train = len(b), int(number[0]), ~held[p.text]
+        ranked = p.ids < TAIL
+        at = p.ids[ranked].astype(np.int64)
+        add = lambda v: np.bincount(p.text[ranked], weights=v, minlength=n)
+        own = _batch(
+            bucket=np.full(n, base % buckets, np.int32), kind=np.full(n, DOC, np.int8), key=number, value=add(r.base[at]), base=add(r.known[at]).astype(np.int64),
+            held_out=held, n_tokens=p.size, id=b.column("id"),
+        )
+        rows: list[tuple[int, int, bytes]] = []
+        is_hot = r.is_hot(p.before[0])
+        cold = np.flatnonzero(~is_hot)
+        for k, part in _dealt((mix(p.before[0][cold], np.uint64(COLD)) % np.uint64(buckets)).astype(np.int64)):
+            w = cold[part]
+            rows.append((k, COLD, pack(base, [*(x[w] for x in p.before), p.ids[w]], p.text[w], train[w])))
+        warm = np.flatnonzero(is_hot)
+        if len(warm):
+            deal = combination(contexts([x[warm] for x in p.before])[-1], p.ids[warm])
+            salt = np.zeros(len(warm), np.int64)
+            if len(r.combos):
+                x = np.minimum(np.searchsorted(r.combos, deal), len(r.combos) - 1)
+                salt = np.where(r.combos[x] == deal, (base + p.text[warm]) % r.salts[x], 0)
+            for k, part in _dealt((mix(deal, salt.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+                rows.append((k, WARM, _keyed(base, deal[part], p.text[warm[part]])))
+        tail = np.flatnonzero(~ranked)
+        for k, part in _dealt((mix(p.ids[tail], np.uint64(0)) % np.uint64(buckets)).astype(np.int64)):
+            rows.append((k, RARE, _keyed(base, p.ids[tail[part]], p.text[tail[part]])))
+        return [own, _packed(rows)] if rows else [own]
 
     # texts are numbered in one scan and only there
     packed = own.withColumn("row", F.monotonically_increasing_id()).mapInArrow(dealt, SENT_KIND).unionByName(side)
@@ -402,19 +426,24 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
                 )
         cold = [unpack(x, depth + 1) for x in parts[COLD].column("blob").to_pylist()] if COLD in parts else []
         if cold:
-            columns = [np.concatenate([x[1][k] for x in cold]) for k in range(depth + 1)]
-            train = np.concatenate([x[3] for x in cold])
-            lp = np.log10(subtree(columns[:-1], columns[-1], train, r.alone(columns[-1]), gain))
+            before = [np.concatenate([x[1].pop(0) for x in cold]) for _ in range(depth)]
+            symbol, train = np.concatenate([x[1].pop() for x in cold]), np.concatenate([x[3] for x in cold])
+            lp = np.zeros(len(symbol))
+            turns = 1 + len(symbol) // AT_ONCE
+            turn = (mix(before[0], np.uint64(1)) % np.uint64(turns)).astype(np.int32)
+            for k in range(turns):  # what stands after one symbol is done at once
+                own = np.flatnonzero(turn == k)
+                lp[own] = np.log10(subtree([w[own] for w in before], symbol[own], train[own], r.alone(symbol[own]), gain))
             at = 0
             for base, _, text, _ in cold:
                 yield _added(base, 2, text, lp[at : at + len(text)])
                 at += len(text)
         for kind, side, whats in ((WARM, LEVEL, (2,)), (RARE, WORD, (0, 1))):
-            known = parts[side].select(["key", "value"]) if side in parts else None
+            known = [np.frombuffer(zstandard.decompress(x), "<u8").reshape(2, -1) for x in parts[side].column("blob").to_pylist()] if side in parts else None
             if known is not None:
-                keys = known.column("key").to_numpy().view(np.uint64)
+                keys, values = np.concatenate(known, axis=1)
                 order = np.argsort(keys)
-                keys, values = keys[order], known.column("value").to_numpy()[order]
+                keys, values = keys[order], values.view(np.float64)[order]
             for raw in parts[kind].column("blob").to_pylist() if kind in parts else ():
                 base, wanted, text = _unkeyed(raw)
                 value = np.zeros(len(wanted))
@@ -424,7 +453,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
                 for what in whats:
                     yield _added(base, what, text, value if what == 2 else value > 0 if what else np.where(value > 0, np.log10((value + 0.1) / smooth), unseen))
 
-    done = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(scored, ADDED_KIND)
+    done = packed.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(scored, ADDED_KIND)
     sums = done.repartition("base").sortWithinPartitions("base").mapInArrow(_summed, "row long, what0 double, what1 double, what2 double, held_out boolean, n_tokens long, id string")
     return (
         sums.groupBy("row")
@@ -440,12 +469,13 @@ ADDED = ["base", "what", "text", "added", "held_out", "n_tokens", "id"]
 
 
 def _keyed(base: int, key: np.ndarray, text: np.ndarray) -> bytes:
-    return np.array([base, len(key)], "<i8").tobytes() + key.tobytes() + text.astype("<u4").tobytes()
+    return _small(np.array([base, len(key)], "<i8").tobytes(), key.tobytes(), _planes(np.diff(text, prepend=0)))
 
 
 def _unkeyed(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
+    raw = zstandard.decompress(raw)
     base, n = np.frombuffer(raw, "<i8", 2).tolist()
-    return base, np.frombuffer(raw, "<u8", n, 16), np.frombuffer(raw, "<u4", n, 16 + 8 * n).astype(np.int64)
+    return base, np.frombuffer(raw, "<u8", n, 16), np.cumsum(_numbers(raw[16 + 8 * n :], n).astype(np.int64))
 
 
 def _added(base: int, what: int, text: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
@@ -462,11 +492,14 @@ def _added(base: int, what: int, text: np.ndarray, value: np.ndarray) -> pa.Reco
 
 
 def _sides(batches: Iterator[pa.RecordBatch], buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (key, c) and perhaps salt for the buckets of their keys."""
+    """Rows of (key or word, c) and perhaps salt, packed for the buckets of their keys."""
     for b in batches:
-        k = b.column("key").to_numpy().view(np.uint64)
+        k = b.column("key").to_numpy().view(np.uint64) if "key" in b.schema.names else word_hash(b.column("word").to_pylist())
         salt = b.column("salt").to_numpy().astype(np.uint64) if "salt" in b.schema.names else np.uint64(0)
-        yield _batch(bucket=(mix(k, salt) % np.uint64(buckets)).astype(np.int32), kind=np.full(len(k), kind, np.int8), key=k.view(np.int64), value=b.column("c").to_numpy().astype(np.float64))
+        c = b.column("c").to_numpy().astype(np.float64).view(np.uint64)
+        rows = [(x, kind, _small(np.stack([k[part], c[part]]).tobytes())) for x, part in _dealt((mix(k, salt) % np.uint64(buckets)).astype(np.int64))]
+        if rows:
+            yield _packed(rows)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

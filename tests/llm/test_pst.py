@@ -82,8 +82,9 @@ def test_query_against_brute_force(spark):
     check(pst.op4_lm_score(spark, SMALL).collect(), list(brute(rows, pst.DEPTH, pst.GAIN, head_words(rows, pst.HEAD_WORDS, spark))))
 
 
-@pytest.mark.parametrize(("depth", "gain", "head", "bucket", "hot"), [(2, 3.0, 50, 500, 10**9), (3, 1.0, 300, 2000, 60), (2, 0.0, 10, 10**6, 20), (1, 4.0, 1000, 300, 5)])
-def test_paths_against_brute_force(spark, depth, gain, head, bucket, hot):
+@pytest.mark.parametrize(("depth", "gain", "head", "bucket", "hot"), [(2, 3.0, 50, 500, 10**9), (3, 1.0, 300, 2000, 60), (2, 0.0, 10, 10**6, 20), (2, 2.0, 40, 10**6, 10**9), (1, 4.0, 1000, 300, 5)])
+def test_paths_against_brute_force(spark, monkeypatch, depth, gain, head, bucket, hot):
+    monkeypatch.setattr(pst, "AT_ONCE", 700)
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()][:60]
     rows += [(None, None), (None, ""), (5, "The the THE"), (5, "The the THE"), (7, "x" * 5000), (10**12, "é ß 日本"), *((900 + i, "spam spam spam eggs") for i in range(30))]
     df = spark.createDataFrame([(i, t, 1.0, b"", 2) for i, t in rows], "doc_id long, text string, score double, row binary, base int").repartition(3)
