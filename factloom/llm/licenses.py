@@ -1,16 +1,17 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
 Texts and templates are lower-cased words [a-z0-9]+; a shingle is SHINGLE words (a template of fewer words is one
-shingle of its own). Templates are grouped by size class, the least power of two of shingles that holds them, and each
-class has windows of twice that many shingles, every window starting one class size after the one before, so a template
-that occurs lies whole in some window. Every window is hashed, whatever is in it: a shingle's hash gives its band (of
-BANDS) by its high bits, and a window's value in a band is the least hash there (a minimum for each band from one
-permutation). An index of the templates' values, by class, retrieves those that share one. A window that holds a
-template of n shingles has a Jaccard similarity with it of at least n / (2 * class) > 1 / 4, which is the chance that a
-band of both agrees; of small sets each shingle has a band nearly to itself (two of them share one with a chance of 1 / BANDS), of larger
-ones all BANDS are filled and all miss with a chance under (3/4) ** BANDS; one that holds 80 % of a template has at
-least 1 / 6. A candidate is verified by containment: the share of the template's shingles among the window's,
-at least `least` (0.8).
+shingle of its own). Templates are grouped by size class, the least power of four of shingles that holds them, and each
+class has windows of twice that many shingles (one, for templates of one), every window starting one class size after
+the one before, so a template that occurs lies whole in some window. Every shingle of every text is hashed once: the
+high bits of the hash give its band (of BANDS), and a window's value in a band is the least hash there (a minimum for
+each band from one permutation). An index of the templates' values, by class, retrieves those that share one; since a
+window can only have a value of the index if it holds it, hashes are looked up in the index first, and minima are made
+of the windows around those that are in it. A window that holds a template of n shingles has a Jaccard similarity with it of at least n / (2 * class) > 1 / 8,
+which is the chance that a band of both agrees; of small sets each shingle has a band nearly to itself (two of them
+share one with a chance of 1 / BANDS), of larger ones all BANDS are filled and all miss with a chance under
+(7/8) ** BANDS, 2e-4; one that holds 80 % of a template has at least 1 / 10. A candidate is verified by containment:
+the share of the template's shingles among the window's, at least `least` (0.8).
 
 Templates are a table (name, text) of up to TEMPLATES rows and TEMPLATE_WORDS words in all; their index is one row of
 that bounded size, which is broadcast. Nothing else is joined or shuffled: retrieval, verification and the result are
@@ -34,9 +35,11 @@ from pyspark.sql import functions as F
 from .common import fresh, table
 from .quality import let
 
-SHINGLE, BANDS, LEAST = 5, 256, 0.8
+SHINGLE, BANDS, LEAST = 5, 64, 0.8
 #: The most templates and words of templates that an index is made of.
 TEMPLATES, TEMPLATE_WORDS = 10_000, 2_000_000
+#: Size classes of templates, in shingles.
+CLASSES = tuple(4**i for i in range(12))
 #: Licence texts and notices by name.
 TEXTS = Path(__file__).with_name("license_texts.json")
 
@@ -80,14 +83,21 @@ def index(templates: DataFrame, name: str = "name", text: str = "text") -> DataF
     # shorter shingles take as many words as there are
     each = F.transform(F.sequence(F.lit(0), F.size("w") - length), lambda i: F.array_join(F.slice("w", i + 1, length), " "))
     cut = own.select("name", length.alias("length"), F.array_distinct(each).alias("shingles"))
-    size = F.pow(F.lit(2), F.ceil(F.log2(F.size("shingles")))).cast("int")
+    size = F.array_min(F.filter(F.array(*map(F.lit, CLASSES)), lambda c: c >= F.size("shingles")))
     return cut.select("length", size.alias("class"), "name", "shingles", minima(F.transform("shingles", lambda s: F.xxhash64(s))).alias("values"))
 
 
-def _class_matches(w: Column, h: Column, own: Column, values: list[int], length: int, size: int, least: float) -> Column:
-    """Matches of the templates of one size class: array of struct(name, containment, first_word)."""
-    starts = F.sequence(F.lit(0), F.floor((F.size(h) - 1) / size).cast("int"))
+def _class_matches(w: Column, h: Column, hits: Column, own: Column, values: list[int], length: int, size: int, least: float) -> Column:
+    """Matches of the templates of one size class: array of struct(name, containment, first_word).
+
+    hits: places whose hash is in the index. A window has a value of the index as a minimum only if one is in it.
+    """
+    mine = F.filter(hits, lambda i: F.get(h, i).isin(values))
+    around = F.transform(mine, lambda i: F.array(F.floor(i / size).cast("int"), F.floor(i / size).cast("int") - (0 if size == 1 else 1)))
+    starts = F.filter(F.array_distinct(F.flatten(around)), lambda k: k >= 0)
     near = lambda k: F.exists(minima(F.slice(h, k * size + 1, 2 * size)), lambda x: x.isin(values))
+    if size == 1:  # windows of one shingle, which is its own minimum
+        near = lambda k: F.get(h, k).isin(values)
 
     def judged(k: Column) -> Column:
         last = F.least(k * size + 2 * size, F.size(h)) - 1
@@ -102,7 +112,7 @@ def _class_matches(w: Column, h: Column, own: Column, values: list[int], length:
 
         return let(held, each)
 
-    return F.when(F.size(h) > 0, F.flatten(F.transform(F.filter(starts, near), judged))).otherwise(F.array().cast("array<struct<name:string,containment:double,first_word:bigint>>"))
+    return F.flatten(F.transform(F.filter(starts, near), judged))
 
 
 def scan(df: DataFrame, text: str = "text", name: str = "licenses", templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
@@ -130,7 +140,14 @@ def scan(df: DataFrame, text: str = "text", name: str = "licenses", templates: D
         for length in sorted({g["length"] for g in groups}):
             own = [g for g in groups if g["length"] == length]
             of = lambda g: F.filter(F.col(one), lambda t: (t["length"] == g["length"]) & (t["class"] == g["class"]))
-            out.append(let(hashes(w, length), lambda h: F.concat(*(_class_matches(w, h, of(g), list(g["values"]), length, g["class"], least) for g in own))))  # noqa: B023
+            index_of = sorted({v for g in own for v in g["values"]})
+
+            def matched(h: Column) -> Column:
+                places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
+                hits = F.filter(places, lambda i: F.get(h, i).isin(index_of))  # noqa: B023
+                return let(hits, lambda p: F.concat(*(_class_matches(w, h, p, of(g), list(g["values"]), length, g["class"], least) for g in own)))  # noqa: B023
+
+            out.append(let(hashes(w, length), matched))
         return F.concat(*out) if out else F.array().cast("array<struct<name:string,containment:double,first_word:bigint>>")
 
     return df.crossJoin(F.broadcast(row)).withColumn(name, let(let(words(F.col(text)), found), best)).drop(one)
@@ -154,8 +171,8 @@ def template_shingles(text: str, size: int = SHINGLE) -> list[str]:
 
 
 def size_class(n: int) -> int:
-    """The least power of two that is n or more."""
-    return 1 << (n - 1).bit_length()
+    """The least class that is n or more."""
+    return next(c for c in CLASSES if c >= n)
 
 
 def _sql() -> str:
