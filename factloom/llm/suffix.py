@@ -360,7 +360,10 @@ def _found(texts: DataFrame, length: int, gram: int, hot_bytes: int, widths: tup
     distinct = placed.groupBy(*NAME).agg(F.sum("copies").alias("copies"), F.min(F.struct("k", "lo", "hi")).alias("at"))
     whole = distinct.filter("copies > 1").select(*NAME, F.array(F.struct(F.lit(0).alias("b"), (F.col("at.hi") - F.col("at.lo")).alias("e"))).alias("again"))
     size = F.sum((F.col("at.hi") - F.col("at.lo") + (length - 1)).cast("long"))
-    unsure = distinct.groupBy("h").agg(F.min("copies").alias("least"), (size > hot_bytes).alias("hot")).filter("least = 1").select("h", "hot")
+    # one flag parts snippets: where no hash can be hot (a snippet has at most as many bytes as two windows), none is
+    parted = bool(widths) and not often.filter(F.col("n") * (2 * length) > hot_bytes).isEmpty()
+    hot = (size > hot_bytes) & F.lit(parted)
+    unsure = distinct.groupBy("h").agg(F.min("copies").alias("least"), hot.alias("hot")).filter("least = 1").select("h", "hot")
     chosen = distinct.join(unsure, "h").groupBy("at.k").agg(F.collect_list(F.struct("at.lo", "at.hi", *NAME, "hot", F.col("copies").alias("n"))).alias("at"))
 
     def texted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,7 +374,7 @@ def _found(texts: DataFrame, length: int, gram: int, hot_bytes: int, widths: tup
     kind = f"h long, s1 long, s2 long, again {AGAIN}"
     cold = snippets.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_shards(length), kind)
     again = whole.unionByName(cold)
-    if widths and not often.filter(F.col("n") * (length + length // 2) > hot_bytes).isEmpty():
+    if parted:
         ident = F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in NAME))
         hot = stash(snippets.filter("hot").select(ident.alias("k"), F.col("snip").alias("text"), "copies"), "hot")
         parts = _found(hot, length, gram, hot_bytes, widths[1:], _split(length, gram, widths[0]))

@@ -90,5 +90,24 @@ def test_against_brute_force(spark, hot):
     assert all(r.kept == "x" for r in got)
 
 
+def shared_gram(n):
+    """n texts around one 32-byte gram of least hash; the first two share a passage of 220 bytes around it."""
+    rng = random.Random(5)
+    word = lambda k: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(k))
+    grams = [word(32) for _ in range(30_000)]
+    hashes = suffix.least_grams(np.frombuffer("".join(grams).encode(), np.uint8), 200, 32)[1][::32]
+    gram = grams[int(np.argmin(hashes[: len(grams)] & ~suffix.PLACE))]
+    passage = word(94) + gram + word(94)
+    return [word(50) + (passage if i < 2 else word(94) + gram + word(94)) + word(50) for i in range(n)]
+
+
+@pytest.mark.parametrize("hot,n", [(3000, 8), (3000, 9), (3000, 10), (3000, 11), (suffix.HOT_BYTES, 6500)])
+def test_hot_and_cold_are_each_others_complement(spark, hot, n):
+    """Also where a hash has just so many snippets that their mean size decides whether it is hot."""
+    docs = shared_gram(n)
+    got = suffix.remove_repeats(spark.createDataFrame([(t,) for t in docs], "text string"), hot_bytes=hot).agg({"n_removed": "sum"}).first()[0]
+    assert got == 440
+
+
 def test_empty_table(spark):
     assert suffix.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
