@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("mixing", "suffix", "tokencount", "pst", "quality", "simhash", "chat", "licenses", "decontam", "warc", "packing", "repair")
+_MODULES = ("mixing", "suffix", "tokencount", "pst", "quality", "simhash", "chat", "licenses", "decontam", "warc", "packing", "repair", "variants")
 
 
 def queries() -> dict:
