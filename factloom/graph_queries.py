@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from factloom.operators import discovery, projection, trace
+from factloom.operators import discovery, projection, prune, trace
 from factloom.queries import _CLOSURE, _KEY, _TRACE, Facts, query
 from factloom.sources import lens
-from factloom.sources.lens import SQL_CALLS
+from factloom.sources.lens import SQL_CALLS, SQL_INCLUDES, SQL_INPUTS, SQL_SCOPES, SQL_SITES
 from factloom.sources.shared import stash
 
 # --- discovery order -----------------------------------------------------------------------------------------------
@@ -87,3 +89,56 @@ def trace_budget(spark, sf_dir):
     return got.records.groupBy("hop").agg(
         F.count("*").alias("n"), F.min(by).alias("first"), F.max(by).alias("last"), F.min_by("symbol", by).alias("first_symbol"), F.max_by("symbol", by).alias("last_symbol"), F.lit(got.complete).alias("complete")
     )
+
+
+# --- what a removal leaves -----------------------------------------------------------------------------------------
+
+_FACTS = f"""WITH RECURSIVE {SQL_SCOPES}, {SQL_SITES}, {SQL_INCLUDES}, {SQL_INPUTS},
+calls AS (SELECT DISTINCT s.symbol AS source, t.symbol AS target, CASE WHEN a.l_linestatus = 'F' THEN 'confirmed' ELSE 'possible' END AS confidence, s.path, a.l_orderkey * 8 + a.l_linenumber AS b_off, 'u' || CAST(a.l_orderkey % 16 AS VARCHAR) AS unit
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 JOIN loc s ON s.part = a.l_partkey JOIN loc t ON t.part = b.l_partkey),
+every AS (SELECT 'location' AS kind, unit, path, symbol AS a, NULL AS b FROM loc UNION ALL SELECT 'evidence', unit, path, source, target FROM calls UNION ALL SELECT 'evidence', unit, path, source, target FROM xcalls
+  UNION ALL SELECT 'unresolved', unit, path, symbol, NULL FROM unresolved UNION ALL SELECT 'include', unit, path, target, NULL FROM includes),
+gone AS (SELECT DISTINCT unit FROM every WHERE CAST(substr(unit, 2) AS INTEGER) % 3 = 1),
+files AS (SELECT DISTINCT path FROM every UNION SELECT target FROM includes),
+kept AS (SELECT * FROM every WHERE unit NOT IN (SELECT unit FROM gone)),
+relation AS (SELECT DISTINCT a, b FROM every WHERE kind = 'evidence'), relation_left AS (SELECT DISTINCT a, b FROM kept WHERE kind = 'evidence'),
+symbol AS (SELECT DISTINCT a FROM every WHERE kind <> 'include' UNION SELECT b FROM every WHERE kind = 'evidence'), symbol_left AS (SELECT a FROM kept WHERE kind IN ('location', 'unresolved') UNION SELECT a FROM relation_left UNION SELECT b FROM relation_left),
+version AS (SELECT DISTINCT path, CAST(substr(unit, 2) AS INTEGER) % 4 AS v FROM every), version_left AS (SELECT DISTINCT path, CAST(substr(unit, 2) AS INTEGER) % 4 AS v FROM kept),
+file AS (SELECT path FROM files WHERE path IS NOT NULL), file_left AS (SELECT path FROM version_left WHERE path IS NOT NULL UNION SELECT a FROM kept WHERE kind = 'include' AND a IS NOT NULL)"""
+
+
+@query(
+    f"""{_FACTS} {" UNION ALL ".join(f"SELECT '{t}' AS kind, (SELECT count(*) FROM {t}) AS n, (SELECT count(*) FROM {t}_left) AS n_left" for t in ("relation", "symbol", "version", "file"))}
+UNION ALL SELECT kind, count(*), count(*) FILTER (unit NOT IN (SELECT unit FROM gone)) FROM every GROUP BY kind"""
+)
+def prune_cascade(spark, sf_dir):
+    """Rows of every table before and after a third of the units left: relations, then symbols, versions (of no file, too) and files."""
+    loc = lens.locations(spark, sf_dir)
+    ext = lens.externals(spark, sf_dir)
+    calls = lens.calls(spark, sf_dir, loc).drop("dispatch").distinct().unionByName(lens.external_calls(spark, sf_dir, loc, ext).withColumn("confidence", F.lit("external")))
+    version = (F.substring("unit", 2, 9).cast("int") % 4).alias("v")
+    owned = {
+        "location": loc.select("unit", "symbol", "path", version), "evidence": calls.select("unit", "source", "target", "path", version),
+        "unresolved": lens.unresolved(spark, sf_dir, loc).select("unit", "symbol", "path", version), "include": lens.includes(spark, sf_dir, loc).select("unit", "path", "target", version),
+    }
+    owned = {t: stash(rows, t) for t, rows in owned.items()}
+    paths = reduce(DataFrame.unionByName, (t.select("path") for t in owned.values())).unionByName(owned["include"].select(F.col("target").alias("path")))
+    paths = stash(paths.distinct().dropna(), "paths")
+    ends = owned["evidence"].select(F.explode(F.array("source", "target")).alias("symbol"))
+    shared = {
+        "relation": (owned["evidence"].select("source", "target").distinct(), ("source", "target")),
+        "symbol": (owned["location"].select("symbol").unionByName(owned["unresolved"].select("symbol")).unionByName(ends).distinct(), ("symbol",)),
+        "version": (reduce(DataFrame.unionByName, (t.select("path", "v") for t in owned.values())).distinct(), ("path", "v")),
+        "file": (paths, ("path",)),
+    }
+    references = {
+        "relation": [("evidence", ("source", "target"))],
+        "symbol": [("location", ("symbol",)), ("unresolved", ("symbol",)), ("relation", ("source",)), ("relation", ("target",))],
+        "version": [(t, ("path", "v")) for t in owned],
+        "file": [("version", ("path",)), ("include", ("target",))],
+    }
+    units = reduce(DataFrame.unionByName, (t.select("unit") for t in owned.values())).distinct().filter(F.substring("unit", 2, 9).cast("int") % 3 == 1)
+    left, kept = prune.remove_units(owned, shared, references, units, ("version",))
+    told = lambda t, a, b: a.agg(F.lit(t).alias("kind"), F.count("*").alias("n")).crossJoin(b.agg(F.count("*").alias("n_left")))
+    rows = [told(t, owned[t], left[t]) for t in owned] + [told(t, shared[t][0], kept[t]) for t in shared]
+    return reduce(DataFrame.unionByName, rows)

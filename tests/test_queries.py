@@ -1,7 +1,7 @@
 import pytest
 from oracle import same
 
-from factloom import command_queries, graph_queries, more_queries  # noqa: F401
+from factloom import command_queries, graph_queries, more_queries, state_queries  # noqa: F401
 from factloom.queries import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
