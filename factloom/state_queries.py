@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from factloom.operators import inspection
+from factloom.operators import facts, inspection, versions
 from factloom.queries import query
 from factloom.sources import lens
-from factloom.sources.lens import CONTEXT_ROLES, SQL_INPUTS
+from factloom.sources.lens import CONTEXT_ROLES, SQL_INCLUDES, SQL_INPUTS, SQL_LOC, SQL_SCOPES, SQL_SITES
 from factloom.sources.shared import stash
 
 # --- inspections ---------------------------------------------------------------------------------------------------
@@ -45,3 +46,106 @@ def freshness_downgrade(spark, sf_dir):
     old = inspection.conclude(i.withColumn("first", F.col("recorded")).withColumn("second", F.col("recorded")), currency, CONTEXT_ROLES, none)
     part = i.filter(F.substring("unit", 2, 9).cast("int") % 3 > 0).withColumn("second", F.col("first"))
     return inspection.downgraded(old, "budget_exhausted", inspection.conclude(part, currency, CONTEXT_ROLES, none)).drop("checked_at")
+
+
+# --- content versions and spans ------------------------------------------------------------------------------------
+
+_VERSIONED = f"""WITH RECURSIVE {SQL_SCOPES}, {SQL_SITES},
+rows AS (SELECT *, qualified || signature AS line FROM loc), lined AS (SELECT *, coalesce(sum(strlen(line) + 1) OVER (PARTITION BY path ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rows),
+texts AS (SELECT path, g, string_agg(line, chr(10) ORDER BY part) || CASE WHEN g THEN chr(10) || '// generated' ELSE '' END AS text FROM rows, (SELECT unnest([true, false]) AS g) GROUP BY path, g),
+contents AS (SELECT path, g, text, sha256(text) AS content FROM texts),
+places AS (SELECT l.symbol, l.role, l.unit, l.path, c.content, c.text, CAST(start AS BIGINT) AS b_off, CAST(start + strlen(line) AS BIGINT) AS e_off FROM lined l JOIN contents c ON l.path = c.path AND c.g = (l.unit IN ('u3', 'u7'))),
+evidence AS (SELECT x.source, x.target, x.unit, x.path, coalesce(c.content, sha256('built in')) AS content FROM xcalls x LEFT JOIN contents c ON x.path = c.path AND c.g = (x.unit IN ('u3', 'u7'))),
+before AS (SELECT *, row_number() OVER (ORDER BY path NULLS FIRST, content) AS version FROM (SELECT DISTINCT path, content FROM places WHERE CAST(substr(unit, 2) AS INTEGER) % 2 = 0)),
+fresh AS (SELECT path, content FROM places UNION SELECT path, content FROM evidence EXCEPT SELECT path, content FROM before),
+versions AS (SELECT * FROM before UNION ALL SELECT *, (SELECT count(*) FROM before) + row_number() OVER (ORDER BY path NULLS FIRST, content) FROM fresh),
+spans AS (SELECT symbol, role, unit, path, content, 1 + length(left(text, b_off)) - length(replace(left(text, b_off), chr(10), '')) AS begin_line, strlen(list_last(string_split(left(text, b_off), chr(10)))) + 1 AS begin_column,
+  1 + length(left(text, e_off)) - length(replace(left(text, e_off), chr(10), '')) AS end_line, strlen(list_last(string_split(left(text, e_off), chr(10)))) + 1 AS end_column, CASE WHEN unit <> 'u5' THEN sha256(substr(text, b_off + 1, e_off - b_off)) END AS span_hash FROM places)"""
+
+
+class Versioned:
+    """Files made of their parts' lines, as two groups of units saw them; locations and calls with what they were seen in."""
+
+    def __init__(self, spark, sf_dir: str) -> None:
+        loc = lens.locations(spark, sf_dir).withColumn("line", F.concat("qualified", "signature"))
+        own = Window.partitionBy("path").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+        lined = loc.withColumn("b_off", F.coalesce(F.sum(F.octet_length("line") + 1).over(own), F.lit(0)).cast("long"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "line"))), lambda x: x["line"]), "\n")
+        texts = loc.groupBy("path").agg(joined.alias("text")).withColumn("g", F.explode(F.array(F.lit(True), F.lit(False))))
+        text = F.concat("text", F.when(F.col("g"), F.lit("\n// generated")).otherwise(""))
+        self.contents = stash(texts.select("path", "g", F.encode(text, "UTF-8").alias("bytes"), F.sha2(text, 256).alias("content")), "contents")
+        seen = self.contents.select(F.col("path").alias("p"), "g", "content")
+        late = F.col("unit").isin("u3", "u7")
+        places = lined.join(seen, (F.col("path") == F.col("p")) & (F.col("g") == late))
+        self.places = stash(places.select("symbol", "role", "unit", "path", "content", "b_off", (F.col("b_off") + F.octet_length("line")).alias("e_off")), "places")
+        calls = lens.external_calls(spark, sf_dir, loc, lens.externals(spark, sf_dir))
+        found = calls.join(seen, (F.col("path") == F.col("p")) & (F.col("g") == late), "left")
+        self.evidence = found.select("source", "target", "unit", "path", F.coalesce("content", F.sha2(F.lit("built in"), 256)).alias("content"))
+        empty = spark.createDataFrame([], "version long, path string, content string")
+        before = versions.find_or_insert(empty, self.places.filter(F.substring("unit", 2, 9).cast("int") % 2 == 0))
+        self.versions = stash(versions.find_or_insert(stash(before, "versions"), self.places, self.evidence), "versions")
+
+
+@query(
+    f"{_VERSIONED}, n AS (SELECT path, content, count(*) AS n, 0 AS m FROM places GROUP BY ALL UNION ALL SELECT path, content, 0, count(*) FROM evidence GROUP BY ALL) "
+    "SELECT version, v.path, v.content, CAST(sum(n) AS BIGINT) AS n_locations, CAST(sum(m) AS BIGINT) AS n_evidence FROM versions v JOIN n ON v.path IS NOT DISTINCT FROM n.path AND v.content = n.content GROUP BY ALL"
+)
+def content_versions(spark, sf_dir):
+    """Every version with the locations and call sites that refer to it; versions that were there first keep their numbers."""
+    v = Versioned(spark, sf_dir)
+    refer = lambda rows, k: versions.with_version(rows, v.versions).groupBy("version").agg(F.count("*").alias(k))
+    zero = F.lit(0).cast("long")
+    told = v.versions.join(refer(v.places, "n"), "version", "left").join(refer(v.evidence, "m"), "version", "left")
+    return told.select("version", "path", "content", F.coalesce("n", zero).alias("n_locations"), F.coalesce("m", zero).alias("n_evidence"))
+
+
+def _spans(v: Versioned):
+    """Places with spans; unit u5's bytes aren't known any more."""
+    told = versions.with_spans(v.places, v.contents)
+    return told.withColumn("span_hash", F.when(F.col("unit") != "u5", F.col("span_hash")))
+
+
+_COLUMNS = "begin_line, begin_column, end_line, end_column"
+
+
+@query(f"{_VERSIONED} SELECT symbol, role, unit, s.path, version, {_COLUMNS}, span_hash FROM spans s JOIN versions v ON s.path = v.path AND s.content = v.content")
+def place_spans(spark, sf_dir):
+    """Every location by version, lines, columns and the digest of its bytes."""
+    v = Versioned(spark, sf_dir)
+    return versions.with_version(_spans(v), v.versions).select("symbol", "role", "unit", "path", "version", *_COLUMNS.split(", "), "span_hash")
+
+
+@query(f"{_VERSIONED}, o AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY path, {_COLUMNS}, span_hash NULLS FIRST) AS rn FROM spans) SELECT symbol, path, {_COLUMNS}, span_hash FROM o WHERE rn = 1")
+def first_places(spark, sf_dir):
+    """The first place of every symbol by path, lines and columns."""
+    return versions.first_places(_spans(Versioned(spark, sf_dir)))
+
+
+# --- include edges -------------------------------------------------------------------------------------------------
+
+_EDGES = f"""WITH {SQL_LOC}, {SQL_INCLUDES}, sites AS (SELECT *, row_number() OVER (ORDER BY path, b_off, operand) AS site FROM (SELECT DISTINCT path, b_off, operand FROM includes)),
+edges AS (SELECT i.unit, i.id, s.site, s.path, s.b_off, s.operand, row_number() OVER (PARTITION BY i.unit ORDER BY i.id, s.site) - 1 AS ordinal FROM includes i JOIN sites s ON i.path = s.path AND i.b_off = s.b_off AND i.operand = s.operand)"""
+
+
+def _edges(spark, sf_dir):
+    """(edges, sites) of all includes."""
+    rows = stash(lens.includes(spark, sf_dir, lens.locations(spark, sf_dir)), "includes")
+    empty = spark.createDataFrame([], "site long, path string, b_off long, operand string")
+    sites = stash(facts.upsert(empty, rows, ["path", "b_off", "operand"], "site"), "sites")
+    return stash(versions.ordered_edges(rows.join(sites, ["path", "b_off", "operand"]).select("unit", "id", "site"), ("id", "site")), "edges"), sites
+
+
+@query(f"{_EDGES} SELECT unit, ordinal, site, path, b_off, operand FROM edges")
+def include_edges(spark, sf_dir):
+    """Every include edge with its place in its unit and the site that it stands for."""
+    edges, sites = _edges(spark, sf_dir)
+    return edges.join(sites, "site").select("unit", "ordinal", "site", "path", "b_off", "operand")
+
+
+@query(f"{_EDGES} SELECT unit, count(*) AS n_edges, sha256(string_agg(site || ':' || operand, ',' ORDER BY ordinal)) AS digest FROM edges GROUP BY unit")
+def include_edge_lists(spark, sf_dir):
+    """Each unit's include sites in order, as a digest of the array."""
+    edges, sites = _edges(spark, sf_dir)
+    lists = versions.edge_lists(edges, sites, fields=("operand",))
+    told = F.array_join(F.transform("edges", lambda x: F.concat(x["site"].cast("string"), F.lit(":"), x["operand"])), ",")
+    return lists.select("unit", F.size("edges").cast("long").alias("n_edges"), F.sha2(told, 256).alias("digest"))
