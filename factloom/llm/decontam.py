@@ -7,9 +7,10 @@ rarest shingle alone; a document is a candidate for a window just where it has t
 the window bounds the match: it must start and end inside the document. Candidates are then verified byte by byte over
 the item-sized window.
 
-Work is by blocks of the benchmark: a block's windows, at most BLOCK_BYTES of item text, are broadcast, and documents
-are read once for the counts and once for the join. A larger benchmark takes more blocks, whose results are merged by
-document, so what is broadcast has a bound and no document text is ever shuffled.
+Documents are read once for the counts and once for the join. A benchmark of at most BLOCK_BYTES of item text is
+broadcast whole and no document text is shuffled. A larger one stays in tables: equal texts are cut once, bits of its
+shingles (their number has a bound) tell which places of a document can matter, and those meet the windows' rarest
+shingles in a shuffle, with as many words around as a window may have; the corpus is read twice all the same.
 
 Defined cases: null and wordless texts have no hits; wordless items have no windows; repeated item ids count once;
 ids may be null (such an item counts under the empty id) or repeated; empty tables give no hits or an empty result;
@@ -19,18 +20,19 @@ added columns get a trailing underscore where a name is taken.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, table, text_bytes
+from .common import arrow_column, fresh, slices, stash, table, text_bytes
 
 WINDOW, SHINGLE = 10, 5
-#: Item text of one broadcast block; it takes about 15 times as much memory as it has bytes.
+#: Item text that is broadcast at most; it takes about 15 times as much memory as it has bytes.
 BLOCK_BYTES = 8 << 20
+#: Bits that are broadcast of a larger benchmark's shingles, as a power of two: 64 MB.
+MOST_BITS = 29
 #: Document bytes that a task looks at together.
 CHUNK = 1 << 20
 #: By byte: lower-cased letter, digit or part of a non-ASCII character; 0 for what separates words.
@@ -95,7 +97,7 @@ class Words:
 
 
 class Windows:
-    """A block of the benchmark, as it is broadcast. Windows with the same words are one, of several items."""
+    """A benchmark, as it is broadcast. Windows with the same words are one, of several items."""
 
     def __init__(self, items: list[tuple[str, str]], window: int, shingle: int) -> None:
         raw = [(t or "").encode() for _, t in items]
@@ -189,18 +191,6 @@ def _join(block: Windows, column: pa.Array) -> list[tuple[int, list[tuple[int, i
     return out
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES) -> Iterator[Windows]:
-    """The benchmark's windows, block by block; a block has about block_bytes of text."""
-    own = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
-    size = own.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    n = 1 + size // block_bytes
-    for k in range(n):
-        part = own if n == 1 else own.filter(F.pmod(F.xxhash64("t"), F.lit(n)) == k)
-        got = [(r.i, r.t) for r in part.toLocalIterator()]
-        if (found := Windows(got, window, shingle)).texts:
-            yield found
-
-
 def covered(spans: Column) -> Column:
     """How many places the ranges cover together."""
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("to"))
@@ -208,8 +198,12 @@ def covered(spans: Column) -> Column:
     return F.aggregate(F.sort_array(spans), start, step, lambda s: s["n"])
 
 
+def _own(benchmark: DataFrame, item: str, text: str) -> DataFrame:
+    return benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("t"))
+
+
 def _scan(docs: DataFrame, text: str, block: Windows) -> Column:
-    """The join of docs' texts with a block, as a column of RESULT."""
+    """The join of docs' texts with windows that are broadcast, as a column of RESULT."""
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(block)
 
@@ -232,23 +226,127 @@ def _scan(docs: DataFrame, text: str, block: Windows) -> Column:
     return joined(F.col(text))
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, name: str = "hits") -> DataFrame:
-    """docs with a struct column: n_words, spans (word ranges that are hit) and items (whose windows occur)."""
+class Bits:
+    """Which hashes may be in a table: a bit for each of their first `width` bits."""
+
+    def __init__(self, hashes: DataFrame, n: int) -> None:
+        """hashes: a column h (long) of n distinct ones. Sixteen bits for each, up to 2 to the MOST_BITS."""
+        self.width = min(MOST_BITS, max(20, (16 * n).bit_length()))
+        place = F.shiftrightunsigned("h", 64 - self.width)
+        words = hashes.groupBy(F.shiftright(place, 3).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1), (place % 8).cast("int"))).alias("b"))
+        self.bytes = np.zeros(1 << (self.width - 3), np.uint8)
+        for r in words.toLocalIterator():
+            self.bytes[r.w] = r.b
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        at = h >> np.uint64(64 - self.width)
+        return np.flatnonzero(self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1)
+
+
+def _partitioned(docs: DataFrame, text: str, own: DataFrame, window: int, shingle: int) -> DataFrame:
+    """(k, spans, items) of texts with hits, k being the text's MD5: windows and texts meet by the windows' rarest shingles in a shuffle.
+
+    Only bits of the benchmark's shingles are broadcast (2 to the MOST_BITS at most), so the corpus is read twice
+    whatever the benchmark's size. What passes them travels: a hash and its count at first, then the words around.
+    """
+    spark = docs.sparkSession
+    items = stash(own.select(F.md5("t").alias("t"), "i").distinct(), "items")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            body, offsets = text_bytes(b.column("text"))
+            for i, j in slices(offsets, CHUNK):
+                w = Words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                hashes = {s: w.shingles(s)[0].view(np.int64) for s in range(1, shingle + 1)}
+                rows: list[tuple] = []
+                for k in range(j - i):
+                    first, last = int(w.first[k]), int(w.first[k + 1])
+                    size = min(window, last - first)
+                    s = min(size, shingle)
+                    rows += [(i + k, w.bytes_of(at, at + size).decode("utf-8", "replace"), size, s, hashes[s][at : at + size - s + 1].tolist()) for at in range(first, last - size + 1) if size]
+                t, win, size, s, h = zip(*rows, strict=True) if rows else ((),) * 5
+                columns = [b.column("t").take(pa.array(t, pa.int64())), pa.array(win, pa.string()), pa.array(size, pa.int32()), pa.array(s, pa.int32()), pa.array(h, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["t", "win", "size", "s", "h"])
+
+    texts = own.select("t").distinct().select(F.md5("t").alias("t"), F.col("t").alias("text"))
+    cuts = stash(texts.mapInArrow(cut, "t string, win string, size int, s int, h array<long>"), "cuts")
+    windows = stash(cuts.groupBy("win").agg(F.first("size").alias("size"), F.first("s").alias("s"), F.first("h").alias("h")), "windows")
+    lengths = sorted(r.s for r in windows.select("s").distinct().collect())  # no more than a shingle has words
+    shingles = windows.select("win", "s", F.posexplode("h").alias("place", "h"))
+    known = stash(shingles.select("h").distinct(), "shingles")
+    bits = spark.sparkContext.broadcast(Bits(known, known.count()))
+
+    def chunks(b: pa.RecordBatch) -> Iterator[tuple[int, Words]]:
+        body, offsets = text_bytes(b.column("text"))
+        for i, j in slices(offsets, CHUNK):
+            yield i, Words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+
+    def passing(w: Words, which: Bits) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        for s in lengths:
+            h, whole = w.shingles(s)
+            at = which.places(h)
+            at = at[whole[at]]
+            yield s, at, h[at].view(np.int64), np.searchsorted(w.first, at, "right") - 1
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, w in chunks(b):
+                found = [np.stack([h, text]) for _, _, h, text in passing(w, bits.value)]
+                pairs = np.unique(np.concatenate(found, axis=1), axis=1)[0] if found else np.zeros(0, np.int64)
+                h, n = np.unique(pairs, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["h", "n"])
+
+    own_text = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    seen = own_text.mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "h", "place")).alias("x")
+    prefix = shingles.join(seen, "h", "left").groupBy("win", "s").agg(rarest).join(windows.select("win", "size"), "win")
+    prefix = stash(prefix.select("win", "s", "size", "x.h", "x.place"), "prefix")
+    rare = prefix.select("h").distinct()
+    chosen = spark.sparkContext.broadcast(Bits(rare, rare.count()))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, w in chunks(b):
+                for s, at, h, text_of in passing(w, chosen.value):
+                    first, last = w.first[text_of], w.first[text_of + 1]
+                    a, e = np.maximum(first, at - (window - s)), np.minimum(last, at + window)
+                    around = [w.bytes_of(x, y).decode("utf-8", "replace") for x, y in zip(a.tolist(), e.tolist(), strict=True)]
+                    columns = [b.column("k").take(pa.array(i + text_of)), pa.array(np.full(len(at), s, np.int32)), pa.array(h), pa.array(at - first), pa.array((at - a).astype(np.int32)), pa.array(around, pa.string())]
+                    yield pa.RecordBatch.from_arrays(columns, names=["k", "s", "h", "p", "lead", "around"])
+
+    keyed = own_text.select(F.md5("text").alias("k"), "text")
+    near = keyed.mapInArrow(candidates, "k string, s int, h long, p long, lead int, around string").distinct()
+    begin = F.col("lead") - F.col("place")
+    held = F.array_join(F.slice(F.split("around", " "), F.greatest(begin, F.lit(0)) + 1, F.col("size")), " ")
+    hits = near.join(prefix, ["s", "h"]).filter((begin >= 0) & (held == F.col("win")))
+    hits = stash(hits.select("k", "win", (F.col("p") - F.col("place")).alias("b"), (F.col("p") - F.col("place") + F.col("size")).alias("e")).distinct(), "hits")
+    spans = hits.groupBy("k").agg(F.sort_array(F.collect_set(F.struct("b", "e"))).alias("spans"))
+    of = hits.select("k", "win").distinct().join(cuts.select("win", "t").distinct(), "win").select("k", "t").distinct().join(items, "t").groupBy("k").agg(F.array_sort(F.collect_set("i")).alias("items"))
+    return stash(spans.join(of, "k"), "hits")
+
+
+def _n_words(column: pa.Array) -> pa.Array:
+    body, offsets = text_bytes(column)
+    return pa.array(np.concatenate([np.zeros(0, np.int64), *(np.diff(Words(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).first) for i, j in slices(offsets, CHUNK))]))
+
+
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, shingle: int = SHINGLE, block_bytes: int = BLOCK_BYTES, name: str = "hits", item: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """docs with a struct column: n_words, spans (word ranges that are hit) and items (whose windows occur).
+
+    A benchmark of up to block_bytes of text is broadcast; a larger one meets the documents in a shuffle.
+    """
     name = fresh(docs.columns, name)
-    each: list[str] = []
-    out = docs
-    for k, block in enumerate(blocks(benchmark, text="text", window=window, shingle=shingle, block_bytes=block_bytes)):
-        each.append(fresh(out.columns, f"hits_{k}"))
-        out = out.withColumn(each[-1], _scan(docs, text, block))
-    if not each:
-        each.append(fresh(out.columns, "hits_0"))
-        out = out.withColumn(each[0], _scan(docs, text, Windows([("", "")], window, shingle)))
-    merged = F.struct(
-        F.col(each[0])["n_words"].alias("n_words"),
-        reduce(F.concat, (F.col(x)["spans"] for x in each)).alias("spans"),
-        F.array_sort(F.array_distinct(reduce(F.concat, (F.col(x)["items"] for x in each)))).alias("items"),
-    )
-    return out.withColumn(name, merged).drop(*each)
+    own = _own(benchmark, item, item_text)
+    if (own.agg(F.sum(F.octet_length("t") + F.octet_length("i"))).first()[0] or 0) <= block_bytes:
+        return docs.withColumn(name, _scan(docs, text, Windows([(r.i, r.t) for r in own.toLocalIterator()], window, shingle)))
+    key, k = fresh([*docs.columns, name], "k"), fresh([*docs.columns, name], "found")
+    hits = _partitioned(docs, text, own, window, shingle).select(F.col("k").alias(k), F.struct("spans", "items").alias(name))
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    spans, names = (F.coalesce(F.col(name)[c], F.array().cast(t)).alias(c) for c, t in (("spans", "array<struct<b:long,e:long>>"), ("items", "array<string>")))
+    out = docs.withColumn(key, F.md5(whole)).join(hits, F.col(key) == F.col(k), "left")
+    return out.select(*docs.columns, F.struct(arrow_column(_n_words, "long")(whole).alias("n_words"), spans, names).alias(name))
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,5 +220,19 @@ def test_hits_equal_brute_force(spark, block):
     bench = spark.createDataFrame(items, "item_id string, text string")
     got = decontam.contamination(df, bench, block_bytes=block).select("doc_id", "hits_", decontam.covered(F.col("hits_.spans")).alias("n")).collect()
     assert {r.doc_id: (r.hits_["n_words"], r.n, r.hits_["items"]) for r in got} == dict(enumerate(hits_by_hand(docs, items)))
-    assert decontam.contamination(df.limit(0), bench).collect() == []
+    assert decontam.contamination(df.limit(0), bench, block_bytes=block).collect() == []
     assert all(r.hits_["items"] == [] for r in decontam.contamination(df, bench.limit(0)).collect())
+
+
+def test_large_benchmarks_with_equal_items_and_long_texts(spark):
+    """A benchmark of many times what is broadcast: equal items, other column names, a text over several chunks."""
+    rng = random.Random(16)
+    same = prose(rng, 30)
+    items = [(k, same if k < 40 else prose(rng, rng.randint(5, 30))) for k in range(300)]
+    long = " ".join(prose(rng, 2000) for _ in range(130)) + " " + items[200][1] + " " + same
+    assert len(long) > 1.2 * decontam.CHUNK
+    docs = [long, same[:-1], items[77][1].upper(), items[78][1] + " " + items[79][1], "nothing of it"] * 2
+    bench = spark.createDataFrame(items, "id long, body string")
+    got = decontam.contamination(spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "k long, text string"), bench, block_bytes=200, item="id", item_text="body")
+    want = hits_by_hand(docs, [(str(k), t) for k, t in items])
+    assert {r.k: (r.hits["n_words"], r.n, r.hits["items"]) for r in got.withColumn("n", decontam.covered(F.col("hits.spans"))).collect()} == dict(enumerate(want))
