@@ -13,9 +13,9 @@ share one with a chance of 1 / BANDS), of larger ones all BANDS are filled and a
 (7/8) ** BANDS, 2e-4; one that holds 80 % of a template has at least 1 / 10. A candidate is verified by containment:
 the share of the template's shingles among the window's, at least `least` (0.8).
 
-Templates are a table (name, text) of up to TEMPLATES rows and TEMPLATE_WORDS words in all; their index is one row of
-that bounded size, which is broadcast. Nothing else is joined or shuffled: retrieval, verification and the result are
-columns over each document.
+Templates are a table (name, text) of up to TEMPLATES rows and TEMPLATE_WORDS words in all; their index is of that
+bounded size and goes with the plan as a few constants, each one literal whatever it holds; hashes are looked up by
+their first bits. Nothing is joined or shuffled: retrieval, verification and the result are columns over each document.
 
 Defined cases: null and empty texts match nothing; texts of any length are scanned whole; repeated rows and null ids are
 rows of their own; an empty table gives an empty result, and an empty table of templates no matches; templates without
@@ -87,32 +87,54 @@ def index(templates: DataFrame, name: str = "name", text: str = "text") -> DataF
     return cut.select("length", size.alias("class"), "name", "shingles", minima(F.transform("shingles", lambda s: F.xxhash64(s))).alias("values"))
 
 
-def _class_matches(w: Column, h: Column, hits: Column, own: Column, values: list[int], length: int, size: int, least: float) -> Column:
+def constant(value: list, kind: str) -> Column:
+    """A value that the optimizer folds into one literal, however many elements it has."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+class Members:
+    """Some hashes as a column of small arrays, by their first bits, so that looking one up costs the same for any number."""
+
+    def __init__(self, values: set[int]) -> None:
+        self.bits = max(1, (len(values) // 2).bit_length())
+        held: list[list[int]] = [[] for _ in range(1 << self.bits)]
+        for v in sorted(values):
+            held[(v & (2**64 - 1)) >> (64 - self.bits)].append(v)
+        self.held = constant(held, "array<array<bigint>>")
+
+    def has(self, h: Column) -> Column:
+        return F.array_contains(F.get(self.held, F.shiftrightunsigned(h, 64 - self.bits).cast("int")), h)
+
+
+TEMPLATE = "array<struct<name:string,shingles:array<string>,values:array<bigint>>>"
+
+
+def _class_matches(w: Column, h: Column, hits: Column, own: Column, values: Members, length: int, size: int, least: float) -> Column:
     """Matches of the templates of one size class: array of struct(name, containment, first_word).
 
     hits: places whose hash is in the index. A window has a value of the index as a minimum only if one is in it.
     """
-    mine = F.filter(hits, lambda i: F.get(h, i).isin(values))
+    mine = F.filter(hits, lambda i: values.has(F.get(h, i)))
     around = F.transform(mine, lambda i: F.array(F.floor(i / size).cast("int"), F.floor(i / size).cast("int") - (0 if size == 1 else 1)))
     starts = F.filter(F.array_distinct(F.flatten(around)), lambda k: k >= 0)
-    near = lambda k: F.exists(minima(F.slice(h, k * size + 1, 2 * size)), lambda x: x.isin(values))
-    if size == 1:  # windows of one shingle, which is its own minimum
-        near = lambda k: F.get(h, k).isin(values)
+    # the minima of a window, made once; a window of one shingle is its own
+    least_of = (lambda k: F.array(F.get(h, k))) if size == 1 else (lambda k: minima(F.slice(h, k * size + 1, 2 * size)))
+    windows = F.transform(starts, lambda k: F.struct(k.alias("k"), F.filter(least_of(k), values.has).alias("m")))
 
-    def judged(k: Column) -> Column:
+    def judged(x: Column) -> Column:
+        k = x["k"]
         last = F.least(k * size + 2 * size, F.size(h)) - 1
-        held = F.transform(F.sequence(k * size, last), lambda i: shingle(w, i, length))
+        shares = F.filter(own, lambda t: F.arrays_overlap(t["values"], x["m"]))
 
         def each(s: Column) -> Column:
-            shares = let(minima(F.slice(h, k * size + 1, 2 * size)), lambda m: F.filter(own, lambda t: F.arrays_overlap(t["values"], m)))
             share = lambda t: (F.size(F.array_intersect(s, t["shingles"])) / F.size(t["shingles"])).alias("containment")
             first = lambda t: F.array_min(F.transform(F.array_intersect(s, t["shingles"]), lambda x: F.array_position(s, x)))
             rows = F.transform(shares, lambda t: F.struct(t["name"], share(t), (k * size + first(t) - 1).cast("long").alias("first_word")))
             return F.filter(rows, lambda x: x["containment"] >= least)
 
-        return let(held, each)
+        return let(F.transform(F.sequence(k * size, last), lambda i: shingle(w, i, length)), each)
 
-    return F.flatten(F.transform(F.filter(starts, near), judged))
+    return F.flatten(F.transform(F.filter(windows, lambda x: F.size(x["m"]) > 0), judged))
 
 
 def scan(df: DataFrame, text: str = "text", name: str = "licenses", templates: DataFrame | None = None, least: float = LEAST) -> DataFrame:
@@ -120,14 +142,10 @@ def scan(df: DataFrame, text: str = "text", name: str = "licenses", templates: D
 
     first_word is the place of the first word that the window shares with the template.
     """
-    name, one = fresh(df.columns, name), fresh([*df.columns, name], "index")
-    known = index(own_templates(df.sparkSession) if templates is None else templates).cache()
-    try:
-        groups = known.groupBy("length", "class").agg(F.array_distinct(F.flatten(F.collect_list("values"))).alias("values")).orderBy("length", "class").collect()
-        kept = known.select(F.struct("length", "class", "name", "shingles", "values").alias("t")).agg(F.array_sort(F.collect_list("t")).alias(one))
-        row = df.sparkSession.createDataFrame(kept.collect(), kept.schema)  # one row, whose size is bounded above
-    finally:
-        known.unpersist()
+    name = fresh(df.columns, name)
+    known: dict[int, dict[int, list]] = {}
+    for t in index(own_templates(df.sparkSession) if templates is None else templates).toLocalIterator():  # its size is bounded above
+        known.setdefault(t["length"], {}).setdefault(t["class"], []).append({"name": t["name"], "shingles": t["shingles"], "values": t["values"]})
 
     def best(every: Column) -> Column:
         names = F.array_sort(F.array_distinct(F.transform(every, lambda x: x["name"])))
@@ -137,20 +155,20 @@ def scan(df: DataFrame, text: str = "text", name: str = "licenses", templates: D
 
     def found(w: Column) -> Column:
         out = []
-        for length in sorted({g["length"] for g in groups}):
-            own = [g for g in groups if g["length"] == length]
-            of = lambda g: F.filter(F.col(one), lambda t: (t["length"] == g["length"]) & (t["class"] == g["class"]))
-            index_of = sorted({v for g in own for v in g["values"]})
+        for length, classes in sorted(known.items()):
+            values = {size: {v for t in own for v in t["values"]} for size, own in classes.items()}
+            every = Members(set().union(*values.values()))
 
             def matched(h: Column) -> Column:
                 places = F.when(F.size(h) > 0, F.sequence(F.lit(0), F.size(h) - 1)).otherwise(F.array().cast("array<int>"))
-                hits = F.filter(places, lambda i: F.get(h, i).isin(index_of))  # noqa: B023
-                return let(hits, lambda p: F.concat(*(_class_matches(w, h, p, of(g), list(g["values"]), length, g["class"], least) for g in own)))  # noqa: B023
+                hits = F.filter(places, lambda i: every.has(F.get(h, i)))  # noqa: B023
+                of = lambda p: [_class_matches(w, h, p, constant(own, TEMPLATE), Members(values[size]), length, size, least) for size, own in sorted(classes.items())]  # noqa: B023, E731
+                return let(hits, lambda p: F.concat(*of(p)))
 
             out.append(let(hashes(w, length), matched))
         return F.concat(*out) if out else F.array().cast("array<struct<name:string,containment:double,first_word:bigint>>")
 
-    return df.crossJoin(F.broadcast(row)).withColumn(name, let(let(words(F.col(text)), found), best)).drop(one)
+    return df.withColumn(name, let(let(words(F.col(text)), found), best))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,6 +183,26 @@ def test_minima_retrieve(spark):
     assert sum(r.whole for r in got) >= 0.99 * len(got) and sum(r.most for r in got) >= 0.98 * len(got)
 
 
+def test_many_templates(spark):
+    """2,000 templates of several classes: each text finds its own and no other."""
+    rng = random.Random(12)
+    made = {f"t{k:04}": " ".join(f"w{rng.randint(0, 40_000)}" for _ in range(rng.choice([1, 3, 8, 30, 90]))) for k in range(2000)}
+    asked = rng.sample(sorted(made), 40)
+    texts = [f"before it {made[n]} and after it" for n in asked] + ["of no template", None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: [x.name for x in r.licenses] for r in licenses.scan(df, templates=spark.createDataFrame(sorted(made.items()), "name string, text string")).collect()}
+    assert all(n in got[i] for i, n in enumerate(asked)) and got[40] == got[41] == [] and sum(map(len, got.values())) < 60
+
+
+def test_whole_licenses_of_large_classes(spark):
+    """Apache, GPL and Mozilla texts as they stand, with a fifth of the words of one changed at its end, and half of one."""
+    gpl = LICENSES["gpl-3.0-text"].split()
+    texts = [LICENSES["apache-2.0-text"], "x " * 5000 + LICENSES["mpl-2.0-text"].upper(), " ".join(gpl[: len(gpl) * 85 // 100]) + " other" * 900, " ".join(gpl[: len(gpl) // 2])]
+    found = licenses.scan(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    got = {r.doc_id: {x.name for x in r.licenses} for r in found.collect()}
+    assert "apache-2.0-text" in got[0] and "mpl-2.0-text" in got[1] and "gpl-3.0-text" in got[2] and "gpl-3.0-text" not in got[3]
+
+
 # --- decontamination -----------------------------------------------------------------------------------------------
 
 
