@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from factloom.functions import identity
 from factloom.functions.identity import is_repo_path
 from factloom.operators import facts
 
@@ -175,6 +176,11 @@ def problems(batch: dict[str, DataFrame], live: DataFrame | None = None, retire:
     if live is not None:
         gone = u.select("unit") if retire is None else u.select("unit").unionByName(retire.select("unit"))
         rules.append(told(u.join(live.join(gone, "unit", "left_anti").select("fact_label"), "fact_label", "left_semi"), 21, "another slot owns the fact label"))
+    if "fields" in s.columns:  # the key's parts (identity.serialize), where a contribution tells them
+        rows = s.filter("fields IS NOT NULL")
+        rows = rows.select("unit", "key", identity.problem(F.col("fields")).alias("why"), identity.serialize(F.col("fields")).alias("text"))
+        rules.append(rows.filter("why IS NOT NULL").select("unit", F.lit(22).alias("rule"), F.col("why").alias("reason")))
+        rules.append(told(rows.filter("why IS NULL AND NOT text <=> key"), 23, "the key isn't that of its parts"))
     every = reduce(DataFrame.unionByName, rules)
     return every.groupBy("unit").agg(F.min(F.struct("rule", "reason")).alias("r")).select("unit", "r.rule", "r.reason")
 

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from factloom.operators import facts, inspection, versions
 from factloom.queries import query
-from factloom.sources import lens
-from factloom.sources.lens import CONTEXT_ROLES, SQL_INCLUDES, SQL_INPUTS, SQL_LOC, SQL_SCOPES, SQL_SITES
+from factloom.functions import identity
+from factloom.sources import lens, store
+from factloom.sources.lens import CONTEXT_ROLES, SQL_INCLUDES, SQL_INPUTS, SQL_LOC, SQL_SCOPES, SQL_SITES, table
 from factloom.sources.shared import stash
 
 # --- inspections ---------------------------------------------------------------------------------------------------
@@ -149,3 +150,59 @@ def include_edge_lists(spark, sf_dir):
     lists = versions.edge_lists(edges, sites, fields=("operand",))
     told = F.array_join(F.transform("edges", lambda x: F.concat(x["site"].cast("string"), F.lit(":"), x["operand"])), ",")
     return lists.select("unit", F.size("edges").cast("long").alias("n_edges"), F.sha2(told, 256).alias("digest"))
+
+
+# --- contributions that break rules --------------------------------------------------------------------------------
+
+#: Fixed by this library: what each rule of a contribution says, in the order of store.problems.
+REASONS = (
+    "the slot is blank", "the slot is given twice", "two slots share a fact label", "the fact label is blank", "no command id", "no replay id", "the analysis has no usable status", "the id isn't that of its key",
+    "a placeholder has a place", "a location's path isn't canonical", "an end of a relation is unknown", "an evidence path isn't canonical", "an input has no path", "an input is given twice", "an input's path isn't canonical",
+    "a place is of an unknown symbol", "a place ends before it begins", "an unresolved site is in an unknown symbol", "an include's target isn't canonical", "an include is given twice", "the slot is installed and retired at once",
+    "another slot owns the fact label", "the member is empty", "the key isn't that of its parts",
+)
+
+
+def _contributions(spark, sf_dir):
+    """Customers as contributions, each of which breaks the rule that its number says (two in 26 none): batch, live units, units that retire."""
+    r = F.col("r")
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("n"), (F.col("c_custkey") % (len(REASONS) + 2)).alias("r"))
+    text = lambda *x: F.concat(*(F.lit(y) if isinstance(y, str) else y.cast("string") for y in x))
+    if_ = lambda k, a, b: F.when(r == k, a).otherwise(b)
+    none = F.lit(None).cast("string")
+    c = c.withColumn("unit", if_(0, F.lit(""), text("c", F.col("n"))))
+    name = F.explode(F.array(text("f", F.col("n")), text("g", F.col("n"))))
+    s = c.select("unit", "r", "n", name.alias("name")).withColumn("fields", lens._key(F.lit("ns"), F.lit("cls"), F.col("name"), F.lit("()")))
+    s = s.withColumn("fields", F.when(r == 22, F.col("fields").withField("member", F.lit(""))).otherwise(F.col("fields")))
+    s = s.withColumn("key", if_(23, text(identity.serialize(F.col("fields")), "x"), identity.serialize(F.col("fields")))).withColumn("symbol", identity.stable_id(F.col("key")))
+    s = stash(s, "symbols")
+    own = s.filter(F.col("name").startswith("f"))
+    other = s.filter(F.col("name").startswith("g")).select(F.col("n").alias("m"), F.col("symbol").alias("g"))
+    unknown = F.lit("cm1:" + "0" * 32)
+    symbol = s.select("unit", if_(7, F.concat("symbol", F.lit("0")), F.col("symbol")).alias("symbol"), "key", "name", F.lit("q").alias("qualified"), F.lit("function").alias("kind"), F.lit("()").alias("signature"), (r == 8).alias("placeholder"), "fields")
+    ok = own.filter("r <> 7")
+    batch = {
+        "unit": c.withColumn("again", F.explode(F.sequence(F.lit(1), if_(1, F.lit(2), F.lit(1))))).select(
+            "unit", F.when(r == 3, none).when(r == 2, "shared").when(r == 21, text("live", F.col("n"))).otherwise(text("l", F.col("n"))).alias("fact_label"), if_(4, none, F.lit("c")).alias("command_id"),
+            if_(5, none, F.lit("r")).alias("replay_id"), if_(6, F.lit("broken"), F.lit("ok")).alias("status")),
+        "symbol": symbol,
+        "location": ok.select("unit", if_(15, unknown, F.col("symbol")).alias("symbol"), F.lit("definition").alias("role"), if_(9, F.lit("/a.h"), F.lit("a.h")).alias("path"), if_(16, F.lit(9), F.lit(1)).cast("long").alias("b_off"), F.lit(5).cast("long").alias("e_off")),
+        "evidence": ok.join(other, F.col("n") == F.col("m")).select("unit", F.col("symbol").alias("source"), if_(10, unknown, F.col("g")).alias("target"), F.lit("calls").alias("kind"), F.lit("confirmed").alias("confidence"),
+            F.lit("qualified").alias("dispatch"), if_(11, F.lit("../a.h"), F.lit("a.h")).alias("path"), F.lit(1).cast("long").alias("b_off")),
+        "input": ok.withColumn("again", F.explode(F.sequence(F.lit(1), if_(13, F.lit(2), F.lit(1))))).select("unit", if_(12, F.lit(""), F.lit("a.h")).alias("path_key"), F.lit("header").alias("role"), F.lit("h").alias("hash"), if_(14, F.lit("a//b.h"), F.lit("a.h")).alias("repo_path")),
+        "unresolved": ok.select("unit", if_(17, unknown, F.col("symbol")).alias("symbol"), F.lit("e").alias("expression"), F.lit("dependent").alias("reason"), F.lit("a.h").alias("path"), F.lit(1).cast("long").alias("b_off")),
+        "include": ok.withColumn("again", F.explode(F.sequence(F.lit(1), if_(19, F.lit(2), F.lit(1))))).select("unit", F.lit("i").alias("id"), F.lit("a.h").alias("includer"), F.lit("a.h").alias("path"), F.col("again").cast("long").alias("b_off"),
+            F.lit("include").alias("directive"), F.lit("quoted").alias("operand_kind"), F.lit("b.h").alias("operand"), none.alias("expanded"), F.lit("active").alias("activity"), F.lit("resolved").alias("resolution"), if_(18, F.lit("/b.h"), F.lit("b.h")).alias("target")),
+    }
+    batch = {t: stash(rows, t) for t, rows in batch.items()}
+    live = c.filter("r = 21").select(text("old", F.col("n")).alias("unit"), text("live", F.col("n")).alias("fact_label"))
+    return batch, live, c.filter("r = 20").select("unit")
+
+
+_WHY = ", ".join("'" + w.replace("'", "''") + "'" for w in REASONS)
+
+
+@query(f"SELECT DISTINCT CASE WHEN r = 0 THEN '' ELSE 'c' || c_custkey END AS unit, CAST(r AS INTEGER) AS rule, [{_WHY}][r + 1] AS reason FROM (SELECT *, c_custkey % {len(REASONS) + 2} AS r FROM customer) WHERE r < {len(REASONS)}")
+def contribution_rules(spark, sf_dir):
+    """The first rule that each contribution breaks; every rule is broken by some."""
+    return store.problems(*_contributions(spark, sf_dir))

@@ -90,6 +90,28 @@ def test_stream_publishes_drops(spark, tmp_path):
     assert digests(store.snapshot(spark, root)) == digests(contributions(spark, "u1"))
 
 
+def test_drops_hold_every_table_and_problems_are_told(spark, tmp_path):
+    own = contributions(spark, "u1", "u2")
+    some = own["symbol"].groupBy("unit").agg(F.min("symbol").alias("symbol"))
+    own["unresolved"] = some.select("unit", "symbol", F.lit("f()").alias("expression"), F.lit("dependent").alias("reason"), F.lit(None).cast("string").alias("path"), F.lit(1).cast("long").alias("b_off"))
+    text = lambda *names: [F.lit(n).alias(n) for n in names]
+    own["include"] = some.select("unit", F.lit("i").alias("id"), *text("includer", "path"), F.lit(1).cast("long").alias("b_off"), *text("directive", "operand_kind", "operand", "expanded", "activity", "resolution"), F.lit("b.h").alias("target"))
+    own["include_term"] = some.select("unit", F.lit("i").alias("id"), F.lit(0).alias("branch"), F.lit(-1).alias("term"), F.lit(False).alias("is_else"), *text("kind", "expression"))
+    assert {t: df.count() for t, df in ingest.split(ingest.as_drop(own)).items()} == {t: df.count() for t, df in own.items()}
+    drop, root, refused = (str(tmp_path / n) for n in ("drop", "root", "refused"))
+    bad = own | {"unit": own["unit"].withColumn("status", F.when(F.col("unit") == "u2", "broken").otherwise(F.col("status")))}
+    rows = spark.createDataFrame(ingest.as_drop(bad).collect(), ingest.DROP)
+    with pytest.raises(ingest.Refused, match="1 units are refused: 'u2': the analysis"):
+        ingest.publish(rows, root)
+    assert store.current(spark, root) == 0
+    rows.coalesce(1).write.parquet(drop)
+    ingest.watch(spark, drop, root, str(tmp_path / "check"), refused=refused).awaitTermination(120)
+    left = store.snapshot(spark, root)
+    assert [r.unit for r in left["unit"].collect()] == ["u1"] and all(left[t].count() == 1 for t in ("unresolved", "include", "include_term"))
+    told = spark.read.parquet(refused)
+    assert {r.rule for r in told.collect()} == {6} and told.count() == sum(df.filter("unit = 'u2'").count() for df in own.values())
+
+
 def test_pages_join_to_the_whole_result(spark):
     f = Facts(spark, SMALL)
     symbols, files = f.searchable.cache(), f.files.cache()
