@@ -22,14 +22,22 @@ from factloom.operators import trace
 from factloom.sources.shared import stash
 
 
-def numbered(rows: DataFrame, *by: Column | str, name: str = "ordinal") -> DataFrame:
-    """A table of rows with their places, from 1, in the order of values that tell them apart."""
+def numbered(rows: DataFrame, *by: Column | str, name: str = "ordinal", flag: str | None = None, flagged: str = "of_flagged") -> DataFrame:
+    """A table of rows with their places, from 1, in the order of values that tell them apart.
+
+    flag: a boolean column, for places among the rows that have it as well.
+    """
     place = F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33)
     dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by)
     held = stash(dealt.withColumn("__p", F.spark_partition_id()).withColumn("__i", place), "numbered")  # bounds come from a sample: dealt once
-    sizes = held.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__b"))  # a row for each partition
-    return held.join(F.broadcast(before), "__p").select(*rows.columns, (F.col("__b") + F.col("__i") + 1).alias(name))
+    one = F.col(flag).cast("int") if flag else F.lit(0)
+    sizes = held.groupBy("__p").agg(F.count("*").alias("__n"), F.sum(one).alias("__m"))
+    every = W.orderBy("__p")  # a row for each partition
+    before = sizes.select("__p", (F.sum("__n").over(every) - F.col("__n")).alias("__b"), (F.sum("__m").over(every) - F.col("__m")).alias("__c"))
+    out = held.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__i") + 1)
+    if flag:
+        out = out.withColumn(flagged, F.col("__c") + F.sum(one).over(W.partitionBy("__p").orderBy("__i")))
+    return out.select(*rows.columns, name, *([flagged] if flag else []))
 
 
 def relations(evidence: DataFrame, *order: str) -> DataFrame:
@@ -56,7 +64,7 @@ def ordered_closure(overrides: DataFrame, up: bool = True) -> DataFrame:
         level = stash(level.withColumn("place", F.row_number().over(by_place) + before).select("node", "other", "place"), "closure")
         if found is not None and level.isEmpty():
             return found
-        found = level if found is None else stash(found.unionByName(level), "closure")
+        found = level if found is None else found.unionByName(level)  # tables all, one for each level of the hierarchy
         wider = level.join(step, level.other == step["at"]).select("node", F.col("to").alias("other"), F.col("place").alias("parent"), "rel").filter("node <> other")
         least = wider.groupBy("node", "other").agg(F.min(F.struct("parent", "rel")).alias("x"))
         level = least.join(found, ["node", "other"], "left_anti").select("node", "other", "x.parent", "x.rel")
@@ -130,17 +138,12 @@ class Traversal:
                 F.max("along").alias("path_confirmed"), F.count_distinct(F.when(~F.col("possible"), site)).alias("confirmed_sites"), F.count_distinct(F.when(F.col("possible"), site)).alias("possible_sites")
             )
             # candidates without a public call site take a place as well: after the budget is used up, they stop the traversal
-            every = numbered(met.join(sealed, "other", "left").select(F.col("other").alias("symbol"), F.col("confirmed_sites").isNull().alias("empty"), "path_confirmed", "confirmed_sites", "possible_sites", "x"), "x", name="place")
-            level = numbered(every.filter("NOT empty"), "place").select(
-                F.lit(hop).alias("hop"), (F.col("ordinal") + n).alias("ordinal"), "symbol", "path_confirmed", "confirmed_sites", "possible_sites", "place"
-            )
-            if budget is not None:
-                last = level.filter(F.col("ordinal") <= budget).agg(F.count("*").alias("n"), F.max("place").alias("place")).first()
-                cut = last.n + n >= budget and not every.filter(F.col("place") > (last.place or 0)).isEmpty()
-                level = level.filter(F.col("ordinal") <= budget)
-            else:
-                cut, last = False, level.agg(F.count("*").alias("n")).first()
-            level = level.drop("place")
+            kept = met.join(sealed, "other", "left").select(F.col("other").alias("symbol"), F.col("confirmed_sites").isNotNull().alias("sealed"), "path_confirmed", "confirmed_sites", "possible_sites", "x")
+            every = stash(numbered(kept, "x", name="place", flag="sealed", flagged="ordinal").drop("x"), "every")
+            within = F.col("sealed") & (F.lit(True) if budget is None else F.col("ordinal") + n <= budget)
+            last = every.agg(F.count(F.when(within, 1)).alias("n"), F.max(F.when(within, F.col("place"))).alias("place"), F.max("place").alias("end")).first()
+            cut = budget is not None and last.n + n >= budget and (last.end or 0) > (last.place or 0)
+            level = every.filter(within).select(F.lit(hop).alias("hop"), (F.col("ordinal") + n).alias("ordinal"), "symbol", "path_confirmed", "confirmed_sites", "possible_sites")
             sites.append(new.join(level.select(F.col("symbol").alias("other")), "other", "left_semi") if cut else new)
             records = level if records is None else records.unionByName(level)
             n += last.n

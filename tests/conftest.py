@@ -21,3 +21,14 @@ def spark():
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
+
+
+@pytest.fixture
+def small_plans(spark):
+    """For tests of many small jobs: one partition after a shuffle, and no plan is made anew while it runs."""
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    for k, v in was.items():
+        spark.conf.set(k, v)

@@ -4,6 +4,8 @@ import pytest
 
 from factloom.operators.expansion import Limits, events, expanded, replay_ids
 
+pytestmark = pytest.mark.usefixtures("small_plans")
+
 KIND = "path string, n_bytes long, problem string, tokens array<string>"
 
 

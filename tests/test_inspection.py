@@ -6,6 +6,8 @@ import pytest
 from factloom.operators import inspection
 from factloom.sources import files
 
+pytestmark = pytest.mark.usefixtures("small_plans")
+
 ROLES = ("response_file",)
 sha = lambda b: hashlib.sha256(b).hexdigest()
 

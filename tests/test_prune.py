@@ -1,5 +1,8 @@
+import pytest
 from factloom.operators import prune
 
+pytestmark = pytest.mark.usefixtures("small_plans")
+
 
 def test_cascade_null_keys_and_loops(spark):
     df = lambda rows, kind: spark.createDataFrame(rows, kind)
