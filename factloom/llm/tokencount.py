@@ -1,11 +1,12 @@
 """Edit-aware token counts: a segment tree over each document's pre-tokens, of which edits renew only what they touch.
 
-A document's leaves are its pre-tokens: length in characters and number of tokens. Trees are rows of a table, each
-level an array of sums of pairs of the level below. An edit (start, length, replacement) goes down the tree to the
+A document's leaves are its pre-tokens: length in characters and number of tokens. Leaves are kept in the document's row;
+the levels above, each an array of sums of pairs of the one below, are summed up when a row is read. An edit (start, length, replacement) goes down the tree to the
 first leaf that it can touch: a pre-token is decided by its own characters and up to CONTEXT characters after its
 start or one after its end, so re-encoding begins at the first leaf whose decision can see the edit. It goes on until a
 pre-token of the new text ends where one of the old text ended, beyond the edit; leaves from there on are kept as they
-are. Sums are renewed on the paths above the leaves that changed. Edits apply one after the other, each to the text
+are. If as many leaves come as go, sums are renewed on the paths above them alone, else also to the right of them, where
+pairs shift. Edits apply one after the other, each to the text
 that the one before it left.
 
 Tokens are counted with a byte-level BPE vocabulary that is given as a file of ranks; its path is a parameter.
