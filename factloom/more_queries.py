@@ -155,7 +155,7 @@ def publish_outcome(spark, sf_dir):
 
 @query(
     """WITH u AS (SELECT o_orderkey AS unit, CASE o_orderstatus WHEN 'O' THEN 'ok' WHEN 'F' THEN 'completed_with_errors' ELSE 'rejected' END AS status, o_orderkey % 4 <> 0 AS context_complete FROM orders)
-SELECT unit, CASE WHEN status = 'rejected' THEN 'the analysis was rejected' WHEN status <> 'ok' THEN 'the analysis has errors' WHEN NOT context_complete THEN 'the compile context is degraded' END AS reason FROM u"""
+SELECT unit, CASE WHEN status = 'rejected' THEN 'the analysis was rejected' WHEN status <> 'ok' THEN 'the analysis has errors' WHEN NOT context_complete THEN 'parts of the compile context are missing' END AS reason FROM u"""
 )
 def publishable_units(spark, sf_dir):
     o = F.col("o_orderstatus")

@@ -37,7 +37,7 @@ def stale_facts(facts: DataFrame, stale: DataFrame, by: str, ident: str = "symbo
 def publishable(units: DataFrame, policy: str) -> DataFrame:
     """(unit, reason): rejected units are never published, provisional ones only without accepted_only. A null reason is a yes."""
     strict = F.lit(policy == "accepted_only")
-    reason = F.when(F.col("status") == "rejected", "the analysis was rejected").when(strict & (F.col("status") != "ok"), "the analysis has errors").when(strict & ~F.col("context_complete"), "the compile context is degraded")
+    reason = F.when(F.col("status") == "rejected", "the analysis was rejected").when(strict & (F.col("status") != "ok"), "the analysis has errors").when(strict & ~F.col("context_complete"), "parts of the compile context are missing")
     return units.select("unit", reason.alias("reason"))
 
 
