@@ -207,7 +207,7 @@ _SITES = """count(DISTINCT CASE WHEN confidence = 'confirmed' THEN path || '|' |
 
 @query(f"WITH {SQL_CALLS} SELECT source, target, {_SITES} FROM seen_calls GROUP BY source, target")
 def callers_1hop(spark, sf_dir):
-    return trace.one_hop(Facts(spark, sf_dir).seen)
+    return trace.one_hop(stash(Facts(spark, sf_dir).seen, "seen"))
 
 
 @query(f"WITH {SQL_CALLS} SELECT source, count(DISTINCT target) AS n_callees, count(*) AS n_rows FROM seen_calls GROUP BY source")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from factloom.functions import identity
 from factloom.functions.identifier import qualified_name
 
+# The roles of tracked inputs.
 ROLES = ("source", "header", "inline_file", "generated", "reflected_header", "ignored_dependency", "external_dependency", "response_file", "compiler", "build_database", "build_configuration", "project_descriptor")
 #: Roles from response_file on describe the compile context.
 CONTEXT_ROLES = ROLES[7:]
@@ -58,22 +59,23 @@ def withheld(loc: DataFrame) -> DataFrame:
 
 
 def calls(spark: SparkSession, sf_dir: str, loc: DataFrame) -> DataFrame:
-    """Call evidence as a set: source, target, confidence, dispatch, path, b_off, unit."""
+    """Call evidence as a set: source, target, confidence, dispatch, path, b_off, unit.
+
+    Rows are made distinct as numbers: a symbol goes by its least part, and an offset tells order and unit; ids and
+    paths, which a symbol decides, are attached last.
+    """
     a = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_linestatus", "l_returnflag")
     b = a.select(F.col("l_orderkey").alias("bo"), (F.col("l_linenumber") - 1).alias("bl"), F.col("l_partkey").alias("bp"))
     pair = a.join(b, (F.col("l_orderkey") == F.col("bo")) & (F.col("l_linenumber") == F.col("bl")))
-    s = loc.select(F.col("part").alias("l_partkey"), F.col("symbol").alias("source"), "path")
-    t = loc.select(F.col("part").alias("bp"), F.col("symbol").alias("target"))
-    dispatch = F.when(F.col("l_returnflag") == "R", "virtual_slot").when(F.col("l_returnflag") == "A", "static_target").otherwise("qualified")
-    return (
-        pair.join(s, "l_partkey")
-        .join(t, "bp")
-        .select(
-            "source", "target", F.when(F.col("l_linestatus") == "F", "confirmed").otherwise("possible").alias("confidence"), dispatch.alias("dispatch"), "path",
-            (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("b_off"), F.concat(F.lit("u"), (F.col("l_orderkey") % 16).cast("string")).alias("unit"),
-        )
-        .distinct()
-    )
+    ids = loc.groupBy("symbol").agg(F.min("part").alias("n"), F.min("path").alias("path"))
+    number = loc.select("part", "symbol").join(ids.select("symbol", "n"), "symbol").select("part", "n")
+    s, t = number.select(F.col("part").alias("l_partkey"), F.col("n").alias("s")), number.select(F.col("part").alias("bp"), F.col("n").alias("t"))
+    dispatch = F.when(F.col("l_returnflag") == "R", 2).when(F.col("l_returnflag") == "A", 1).otherwise(0)
+    kind = F.when(F.col("l_linestatus") == "F", 3).otherwise(0) + dispatch
+    narrow = pair.join(s, "l_partkey").join(t, "bp").select("s", "t", kind.cast("byte").alias("kind"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("b_off"), (F.col("l_orderkey") % 16).cast("byte").alias("u")).distinct()
+    named = narrow.join(ids.select(F.col("n").alias("s"), F.col("symbol").alias("source"), "path"), "s").join(ids.select(F.col("n").alias("t"), F.col("symbol").alias("target")), "t")
+    how = F.element_at(F.lit(["qualified", "static_target", "virtual_slot"]), (F.col("kind") % 3 + 1).cast("int"))
+    return named.select("source", "target", F.when(F.col("kind") >= 3, "confirmed").otherwise("possible").alias("confidence"), how.alias("dispatch"), "path", "b_off", F.concat(F.lit("u"), F.col("u").cast("string")).alias("unit"))
 
 
 def overrides(loc: DataFrame) -> DataFrame:
