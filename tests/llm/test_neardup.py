@@ -83,3 +83,32 @@ def test_rows_of_all_kinds(spark):
     kept = N.first_of_groups(df).collect()
     assert sorted((r.doc_id or -1) for r in kept) == [-1, 2, 9] and N.first_of_groups(df).columns == df.columns
     assert N.first_of_groups(df.limit(0)).collect() == []
+
+
+def test_covering_tables():
+    rng = N.np.random.default_rng(3)
+    a = rng.integers(0, 2**16, (200, N.SKETCHES * N.PLACES)).astype(N.np.uint16)
+    b = a.copy()
+    for row in b.reshape(200, N.SKETCHES, N.PLACES):  # every sketch differs in RADIUS places
+        for s in row:
+            s[rng.choice(N.PLACES, N.RADIUS, replace=False)] ^= 1
+    shared = (N.table_keys(a) == N.table_keys(b)).reshape(200, N.SKETCHES, N.PLACES)
+    assert shared.any(axis=2).all() and not shared.all(axis=2).any()
+    assert len(set(N.table_keys(a[:1] * 0)[0])) == N.SKETCHES * N.PLACES
+
+
+def test_large_group_of_near_copies(spark, monkeypatch):
+    monkeypatch.setattr(N, "SET_BYTES", 20_000)  # sets of a group in several blocks
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for _ in range(150):
+        w = base[:]
+        for i in rng.sample(range(100), rng.choice((1, 2, 3))):
+            w[i] = f"u{rng.random()}"
+        texts.append(" ".join(w))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(set(brute(texts)))
+    assert 1 < len(want) < 150
+    for block in (1024, 16):
+        assert sorted(r.doc_id for r in N.first_of_groups(df, block=block).collect()) == want
