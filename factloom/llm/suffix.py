@@ -344,11 +344,19 @@ def _split(length: int, gram: int, width: int) -> Callable:
 WIDTHS = (24, 1)
 
 
-def _found(texts: DataFrame, length: int, gram: int, hot_bytes: int, widths: tuple[int, ...], cut: Callable) -> DataFrame:
-    """(k, lo, again): of snippets that start at lo in the text k, which of their starts (counted from lo) are of windows that occur again."""
+def _often(rows: DataFrame, cut: Callable) -> DataFrame:
+    """(h, n): the hashes that snippets of these rows have more than once. Copies may be rows of their own."""
+    return rows.mapInArrow(cut, ANCHOR_KIND).groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1")
+
+
+def _found(texts: DataFrame, length: int, gram: int, hot_bytes: int, widths: tuple[int, ...], cut: Callable, rows: DataFrame | None = None) -> DataFrame:
+    """(k, lo, again): of snippets that start at lo in the text k, which of their starts (counted from lo) are of windows that occur again.
+
+    rows: what texts were made of, where hashes can be counted without a shuffle of texts.
+    """
     anchors = texts.mapInArrow(cut, ANCHOR_KIND)
     # a table, so that a hash with very many rows can be split in the join
-    often = stash(anchors.groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1"), "often")
+    often = stash(_often(texts if rows is None else rows, cut), "often")
     wanted = anchors.join(often.select("h"), "h").groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "h")).alias("at"))
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -408,14 +416,14 @@ def _shards(length: int) -> Callable:
     return sorted_
 
 
-def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
+def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES, rows: DataFrame | None = None) -> DataFrame:
     """(k, spans): the byte ranges to remove of each text that has any.
 
-    texts: k binary (a digest of the text), text, copies long; k without repeats.
+    texts: k binary (a digest of the text), text, copies long; k without repeats. rows: such columns, with copies as rows.
     """
     if length % 8:
         raise ValueError("length must be a multiple of 8")
-    found = _found(texts, length, gram, hot_bytes, WIDTHS, _minimal(length, gram))
+    found = _found(texts, length, gram, hot_bytes, WIDTHS, _minimal(length, gram), rows)
     ranges = found.select("k", F.transform("again", lambda x: F.struct((F.col("lo") + x["b"]).alias("b"), (F.col("lo") + x["e"] + (length - 1)).alias("e"))).alias("r"))
     return ranges.groupBy("k").agg(F.flatten(F.collect_list("r")).alias("spans"))
 
@@ -460,7 +468,7 @@ def remove_repeats(texts: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_
                 size = np.diff(offsets[i : j + 1])
                 yield pa.RecordBatch.from_arrays([b.column("k")[i:j], pa.array(size), pa.array(gone_n, pa.int64()), pa.array(spans_n, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    found = spans(unique, length, hot_bytes=hot_bytes)
+    found = spans(unique, length, hot_bytes=hot_bytes, rows=own.select(F.lit(b"").alias("k"), "text", F.lit(1).cast("long").alias("copies")))
     return unique.join(found, "k", "left").select("k", "text", "copies", "spans").mapInArrow(removed, "k binary, n_bytes long, n_removed long, n_spans long, kept binary")
 
 

@@ -111,3 +111,14 @@ def test_hot_and_cold_are_each_others_complement(spark, hot, n):
 
 def test_empty_table(spark):
     assert suffix.without_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_hashes_are_counted_where_texts_are(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(suffix, "stash", lambda df, what: plans.append(df._jdf.queryExecution().executedPlan().toString()) or (_ for _ in ()).throw(StopIteration))
+    df = spark.createDataFrame([("a " * 300,), ("a " * 300,)], "text string")
+    try:
+        suffix.remove_repeats(df)
+    except StopIteration:
+        pass
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
