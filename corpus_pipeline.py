@@ -51,8 +51,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     that repeat a text lose all of it from 200 bytes on; n_chars follows texts that change; an empty table stays empty.
     """
     small_batches(spark)
-    missing = fresh(docs.columns, "missing")
-    done = suffix.without_repeats(docs.withColumn(missing, F.col("text").isNull()))
+    done = suffix.without_repeats(docs)
     kept = next(c for c in done.columns if c.rstrip("_") == "kept" and c not in docs.columns)
     removed = next(c for c in done.columns if c.rstrip("_") == "n_removed" and c not in docs.columns)
 
@@ -60,10 +59,8 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     def decoded(a: pa.Array) -> pa.Array:
         return pa.array([x.as_py().decode("utf-8", "ignore") if x.is_valid else None for x in a], pa.string())
 
-    # what was kept is the text; that of the documents doesn't travel
     cut_text = decoded(F.when(F.col(removed) > 0, F.col(kept)))
-    text = F.when(F.col(missing), None).when(F.col(removed) > 0, cut_text).otherwise(F.col(kept).cast("string"))
-    cut = done.withColumn("text", text)
+    cut = done.withColumn("text", F.when(F.col(removed) > 0, cut_text).otherwise(F.col("text")))
     return cut.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 

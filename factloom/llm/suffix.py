@@ -5,9 +5,12 @@ Equal windows have equal least hashes, so sending windows by that hash brings al
 however many documents share them. Neighbouring starts mostly have the same string; a run of them is one snippet, about
 length / 2 starts long. Snippets whose hash occurs once in the corpus cannot repeat and stay where they are. Equal ones
 of the others are counted as one (by 128 bits of their own beside the hash's 64), and that one travels to its shard
-once; a hash all of whose snippets have copies needs no array, since all its windows occur again.
+once; a hash all of whose snippets have copies needs no array, since all its windows occur again. Texts are cut where
+they are: a bitmap of the repeated hashes (MAP_BITS at most) keeps the others' snippets out before any shuffle, and
+only texts of which shards need a snippet, and those that lose bytes, are shuffled, once each.
 
-Shards. A shard joins its snippets into one string and sorts its suffixes by induced sorting: suffixes are classified
+Shards. Of a snippet, starts by WIDTHS[0] at a time are left out if no other snippet of its hash has the bytes that all
+their windows share. A shard joins what is left of its snippets into one string and sorts its suffixes by induced sorting: suffixes are classified
 S or L, the leftmost S ones (LMS) sort their substrings by one round of induction, named substrings make a shorter
 string that is sorted recursively, whatever its length, and a last round induces the shard's array from the sorted LMS
 suffixes. Induction goes bucket by bucket in whole numpy vectors; neighbouring buckets that don't induce into each other
@@ -19,13 +22,14 @@ A hash whose different snippets fill more than HOT_BYTES (boilerplate between te
 task: its snippets are parted by how far their starts are from the least gram, WIDTHS starts at a time, each part under
 a hash of the bytes that all its windows share. Equal windows have equal parts, so parts are decided like snippets.
 
-Defined cases: null is empty; texts shorter than `length` have no windows; copies of a text are collapsed first and
-counted, so repeated rows, null and repeated ids are fine; ties in hashes only merge runs; an empty table gives an
+Defined cases: null is empty; texts shorter than `length` have no windows; snippets of all rows are counted and texts go
+by their digests, so repeated rows, null and repeated ids are fine; ties in hashes only merge runs; an empty table gives an
 empty result; input columns keep their names, added ones get a trailing underscore where a name is taken.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,11 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, slices, stash, table, text_bytes
+from .common import arrow_column, fresh, slices, stash, table, text_bytes
 
 LENGTH, GRAM = 200, 32
-#: Bytes of text hashed at once, bytes of snippets in a shard's array, and snippet bytes from which a hash is hot.
-CHUNK, SHARD_BYTES, HOT_BYTES = 512 << 10, 1 << 20, 2 << 20
+#: Bytes of text cut at once and hashed at once, bytes of snippets in a shard's array, and snippet bytes from which a hash is hot.
+CHUNK, HASHED, SHARD_BYTES, HOT_BYTES = 512 << 10, 64 << 10, 1 << 20, 2 << 20
 
 
 # --- suffix arrays -------------------------------------------------------------------------------------------------
@@ -263,16 +267,16 @@ def least_grams(body: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, n
     return (m & PLACE).astype(np.int64), h
 
 
-def _anchors(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts with the same least gram: the row, the first start, one past the last (both in the row), the gram's hash.
+def _anchors(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Runs of starts with the same least gram: the row, the first start, one past the last (both in the row), the gram's place from the first start, its hash.
 
     Two equal windows have their least grams at the same place in them, so a run holds no two: a text that repeats
     within itself gives several runs with the same hash.
     """
-    out = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)]
+    out = [(np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),)]
     row_of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-    for base in range(0, len(body) - length + 1, CHUNK):
-        m, h = least_grams(body[base : base + CHUNK + length - 1], length, gram)
+    for base in range(0, len(body) - length + 1, HASHED):
+        m, h = least_grams(body[base : base + HASHED + length - 1], length, gram)
         row = row_of[base : base + len(m)]
         ok = np.arange(base, base + len(m)) + length <= offsets[row + 1]
         change = np.flatnonzero(np.r_[True, (m[1:] != m[:-1]) | (row[1:] != row[:-1]) | (ok[1:] != ok[:-1])])
@@ -280,7 +284,7 @@ def _anchors(body: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         keep = ok[change]
         change, stop = change[keep], stop[keep]
         r = row[change]
-        out.append((r, base + change - offsets[r], base + stop - offsets[r], h[m[change]]))
+        out.append((r, base + change - offsets[r], base + stop - offsets[r], m[change] - change, h[m[change]]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -295,193 +299,255 @@ def _names(snippets: list[bytes]) -> list[pa.Array]:
     return [pa.array(x[:, 0].copy()), pa.array(x[:, 1].copy())]
 
 
-AGAIN = "array<struct<b:int,e:int>>"
-_AGAIN = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
-#: The name of a snippet in a table.
-NAME = ["h", "s1", "s2"]
+#: The name of a snippet, and the key of a text, in a table.
+NAME, KEY = ["h", "s1", "s2"], ["k1", "k2"]
+#: Bits of a bitmap at the most, and bits for each hash that it holds.
+MAP_BITS, BITS_EACH = 1 << 28, 8
 
 
 def _minimal(length: int, gram: int) -> Callable:
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            body, offsets = text_bytes(b.column("text"))
-            for i, j in slices(offsets, CHUNK):
-                r, lo, hi, h = _anchors(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
-                rows = pa.array(r + i)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), b.column("k").take(rows), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), b.column("copies").take(rows)], names=ANCHOR
-                )
+    def anchors(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        body, offsets = text_bytes(b.column("text"))
+        for i, j in slices(offsets, CHUNK):
+            r, lo, hi, at, h = _anchors(body[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], length, gram)
+            yield r + i, lo, hi, at, h.view(np.int64)
 
     return anchors
 
 
-ANCHOR, ANCHOR_KIND = ["h", "k", "lo", "hi", "copies"], "h long, k binary, lo int, hi int, copies long"
-
-
 def _split(length: int, gram: int, width: int) -> Callable:
     """Parts of snippets: starts whose distance to the least gram is in the same `width`, under a hash of the bytes that all windows of such starts share."""
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple[int, int, int, int]] = []
-            for row, text in enumerate(b.column("text").to_pylist()):
-                m = int(least_grams(np.frombuffer(text, np.uint8), length, gram)[0][0])
-                starts = len(text) - length + 1
-                for near in range(m // width * width, -1, -width):
-                    far = min(near + width - 1, length - gram)
-                    lo, hi = max(0, m - far), min(starts, m - near + 1)
-                    if lo < hi:
-                        shared = text[m - near : m - far + length]
-                        out.append((xxhash.xxh3_64_intdigest(shared, near) - 2**63, row, lo, hi))
-            h, row, lo, hi = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-            rows = pa.array(row)
-            yield pa.RecordBatch.from_arrays([pa.array(h), b.column("k").take(rows), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), b.column("copies").take(rows)], names=ANCHOR)
+    def anchors(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+        out: list[tuple[int, int, int, int, int]] = []
+        for row, text in enumerate(b.column("text").to_pylist()):
+            m = int(least_grams(np.frombuffer(text, np.uint8), length, gram)[0][0])
+            out += [(row, lo, hi, m - lo, h) for lo, hi, h in _parts(text, m, length, gram, width)]
+        if out:
+            yield tuple(np.array(x, np.int64) for x in zip(*out, strict=True))
 
     return anchors
 
 
+def _parts(text: bytes, m: int, length: int, gram: int, width: int) -> list[tuple[int, int, int]]:
+    """(lo, hi, h) of the parts of a snippet whose least gram is at m, the last starts first."""
+    out = []
+    starts = len(text) - length + 1
+    for near in range(max(0, m - starts + 1) // width * width, m + 1, width):
+        far = min(near + width - 1, length - gram)
+        lo, hi = max(0, m - far), min(starts, m - near + 1)
+        if lo < hi:
+            out.append((lo, hi, xxhash.xxh3_64_intdigest(text[m - near : m - far + length], near) - 2**63))
+    return out
+
+
 #: Starts of a part of a hot snippet, step by step; windows of one start are equal or have different hashes.
 WIDTHS = (24, 1)
 
 
-def _often(rows: DataFrame, cut: Callable) -> DataFrame:
-    """(h, n): the hashes that snippets of these rows have more than once. Copies may be rows of their own."""
-    return rows.mapInArrow(cut, ANCHOR_KIND).groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1")
+def _often(texts: DataFrame, cut: Callable) -> DataFrame:
+    """(h, n): the hashes that snippets of these texts have more than once."""
 
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row, *_, h in cut(b):
+                yield pa.RecordBatch.from_arrays([pa.array(h), b.column("copies").take(pa.array(row))], names=["h", "copies"])
 
-def _found(texts: DataFrame, length: int, gram: int, hot_bytes: int, widths: tuple[int, ...], cut: Callable, rows: DataFrame | None = None) -> DataFrame:
-    """(k, lo, again): of snippets that start at lo in the text k, which of their starts (counted from lo) are of windows that occur again.
+    return texts.select("text", "copies").mapInArrow(hashes, "h long, copies long").groupBy("h").agg(F.sum("copies").alias("n")).filter("n > 1")
+
+
+def _bitmap(keys: DataFrame, column: str, n: int) -> Callable[[np.ndarray], np.ndarray]:
+    """A test that the n hashes in a column of longs pass, and few others: a bit for each."""
+    bits = min(MAP_BITS, 1 << max(10, (BITS_EACH * n).bit_length()))
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1).cast("long"))
+    words = keys.groupBy(F.shiftright(slot, 6).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(`{column}` & 63 as int))")).alias("b")).toArrow()  # MAP_BITS / 64 rows at most
+    own = np.zeros(bits // 64, np.uint64)
+    own[words.column("w").to_numpy()] = words.column("b").to_numpy().view(np.uint64)
+    sent = keys.sparkSession.sparkContext.broadcast(own)
+
+    def held(x: np.ndarray) -> np.ndarray:
+        x = x.view(np.uint64) & np.uint64(bits - 1)
+        return (sent.value[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1) == 1
+
+    return held
+
+
+def _column(held: Callable[[np.ndarray], np.ndarray]) -> Callable:
+    return arrow_column(lambda a: pa.array(held(a.to_numpy())), "boolean")
 
-    rows: what texts were made of, where hashes can be counted without a shuffle of texts.
-    """
-    anchors = texts.mapInArrow(cut, ANCHOR_KIND)
-    # a table, so that a hash with very many rows can be split in the join
-    often = stash(_often(texts if rows is None else rows, cut), "often")
-    wanted = anchors.join(often.select("h"), "h").groupBy("k").agg(F.collect_list(F.struct("lo", "hi", "h")).alias("at"))
+
+def _found(texts: DataFrame, keys: list[str], length: int, gram: int, hot_bytes: int, widths: tuple[int, ...], cut: Callable) -> DataFrame:
+    """(*keys, b, e): ranges of bytes to remove. texts: keys (longs, the last a hash), text, copies; equal texts may be rows of their own."""
+    often = stash(_often(texts, cut), "often")
+    told = often.agg(F.count("*").alias("n"), F.max("n").alias("most")).first()
+    held = _bitmap(often, "h", told.n)
+    place = [*keys, "lo", "hi", "at"]
 
     def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, row, flat, snip in _cut(batches, length):
-            yield pa.RecordBatch.from_arrays([b.column("k").take(row), *flat, b.column("copies").take(row), *_names(snip)], names=["k", "lo", "hi", "h", "copies", "s1", "s2"])
-
-    # snippets go by their names first; texts are cut again just for those that shards have to see
-    placed = texts.join(wanted, "k").mapInArrow(named, "k binary, lo int, hi int, h long, copies long, s1 long, s2 long")
-    distinct = placed.groupBy(*NAME).agg(F.sum("copies").alias("copies"), F.min(F.struct("k", "lo", "hi")).alias("at"))
-    whole = distinct.filter("copies > 1").select(*NAME, F.array(F.struct(F.lit(0).alias("b"), (F.col("at.hi") - F.col("at.lo")).alias("e"))).alias("again"))
-    size = F.sum((F.col("at.hi") - F.col("at.lo") + (length - 1)).cast("long"))
+        for b in batches:
+            body, offsets = text_bytes(b.column("text"))
+            for cuts in cut(b):
+                row, lo, hi, at, h = (x[held(cuts[-1])] for x in cuts)
+                begin, end, rows = offsets[row] + lo, offsets[row] + hi + length - 1, pa.array(row)
+                names = _names([body[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)])
+                numbers = (pa.array(x.astype(np.int32)) for x in (lo, hi, at))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(rows) for k in keys), *numbers, b.column("copies").take(rows), pa.array(h), *names], names=[*place, "copies", *NAME])
+
+    kind = ", ".join(f"{c} {'int' if c in ('lo', 'hi', 'at') else 'long'}" for c in [*place, "copies", *NAME])
+    placed = stash(texts.select(*keys, "text", "copies").mapInArrow(named, kind), "placed")
+    # snippets go by their names; texts are cut again just for those that shards have to see, once each
+    distinct = placed.groupBy(*NAME).agg(F.sum("copies").alias("copies"), *(F.first(c).alias(c) for c in place))
+    whole = distinct.filter("copies > 1").select(*NAME, F.lit(0).alias("b"), (F.col("hi") - F.col("lo")).alias("e"))
+    size = F.sum((F.col("hi") - F.col("lo") + (length - 1)).cast("long"))
     # one flag parts snippets: where no hash can be hot (a snippet has at most as many bytes as two windows), none is
-    parted = bool(widths) and not often.filter(F.col("n") * (2 * length) > hot_bytes).isEmpty()
+    parted = bool(widths) and (told.most or 0) * (2 * length) > hot_bytes
     hot = (size > hot_bytes) & F.lit(parted)
-    unsure = distinct.groupBy("h").agg(F.min("copies").alias("least"), hot.alias("hot")).filter("least = 1").select("h", "hot")
-    chosen = distinct.join(unsure, "h").groupBy("at.k").agg(F.collect_list(F.struct("at.lo", "at.hi", *NAME, "hot", F.col("copies").alias("n"))).alias("at"))
+    unsure = distinct.groupBy("h").agg(F.min("copies").alias("least"), F.count("*").alias("n"), hot.alias("hot")).filter("least = 1 AND n > 1").select("h", "hot")
+    of = ["lo", "hi", "at", *NAME, "hot", "copies"]
+    chosen = stash(distinct.join(unsure, "h").groupBy(*keys).agg(F.collect_list(F.struct(*of)).alias("cut")), "chosen")
 
     def texted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, flat, snip in _cut(batches, length):
-            yield pa.RecordBatch.from_arrays([*flat[2:], pa.array(snip, pa.binary())], names=[*NAME, "hot", "copies", "snip"])
+        seen: set[tuple[int, ...]] = set()  # copies of a text meet in one task, unless Spark splits it
+        for b in batches:
+            own = list(zip(*(b.column(k).to_pylist() for k in keys), strict=True))
+            new = [i for i, k in enumerate(own) if k not in seen and not seen.add(k)]
+            for flat, snip in _cut(b.take(pa.array(new, pa.int64())), length):
+                yield pa.RecordBatch.from_arrays([*flat[2:], pa.array(snip, pa.binary())], names=[*of[2:], "snip"])
 
-    snippets = texts.join(chosen, "k").mapInArrow(texted, "h long, s1 long, s2 long, hot boolean, copies long, snip binary")
-    kind = f"h long, s1 long, s2 long, again {AGAIN}"
-    cold = snippets.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions("h").mapInArrow(_shards(length), kind)
+    wanted = texts.select(*keys, "text").filter(_column(_bitmap(chosen, keys[-1], chosen.count()))(F.col(keys[-1]))).join(chosen.hint("shuffle_hash"), keys)
+    snippets = wanted.mapInArrow(texted, "at int, h long, s1 long, s2 long, hot boolean, copies long, snip binary")
+    if parted:
+        snippets = stash(snippets, "snippets")
+    cold = snippets.filter("NOT hot").drop("hot").repartition("h").sortWithinPartitions(*NAME).mapInArrow(_shards(length, gram), "h long, s1 long, s2 long, b int, e int")
     again = whole.unionByName(cold)
     if parted:
-        ident = F.concat(*(F.unhex(F.lpad(F.hex(c), 16, "0")) for c in NAME))
-        hot = stash(snippets.filter("hot").select(ident.alias("k"), F.col("snip").alias("text"), "copies"), "hot")
-        parts = _found(hot, length, gram, hot_bytes, widths[1:], _split(length, gram, widths[0]))
-        moved = parts.select("k", F.transform("again", lambda x: F.struct((F.col("lo") + x["b"]).alias("b"), (F.col("lo") + x["e"]).alias("e"))).alias("again"))
-        number = lambda i: F.conv(F.hex(F.substring("k", 8 * i + 1, 8)), 16, -10).cast("long")
-        again = again.unionByName(moved.groupBy("k").agg(F.flatten(F.collect_list("again")).alias("again")).select(*(number(i).alias(c) for i, c in enumerate(NAME)), "again"))
-    return placed.select("k", "lo", *NAME).join(again, NAME).select("k", "lo", "again")
+        own = ["a", *(f"a{i}" for i in NAME[1:])]
+        each = snippets.filter("hot").dropDuplicates(NAME).select(*(F.col(n).alias(a) for n, a in zip(NAME, own, strict=True)), F.col("snip").alias("text"), "copies")
+        parts = _found(stash(each, "hot"), own, length, gram, hot_bytes, widths[1:], _split(length, gram, widths[0]))
+        again = again.unionByName(parts.select(*(F.col(a).alias(n) for n, a in zip(NAME, own, strict=True)), "b", (F.col("e") - (length - 1)).alias("e")))
+    return placed.select(*keys, "lo", *NAME).join(again, NAME).select(*keys, (F.col("lo") + F.col("b")).alias("b"), (F.col("lo") + F.col("e") + (length - 1)).alias("e"))
+
+
+def _pieces(group: list[tuple[int, int, bytes]], length: int, gram: int) -> list[list[tuple[int, int]]]:
+    """Of (at, copies, snippet) of one hash: ranges of starts in each that may occur again, parts of WIDTHS[0] starts whose shared bytes another one has."""
+    parts = [_parts(s, at, length, gram, WIDTHS[0]) for at, _, s in group]
+    met = Counter(h for p in parts for *_, h in p)
+    out = []
+    for p in parts:
+        ranges: list[tuple[int, int]] = []
+        for lo, hi, h in p:
+            if met[h] > 1:
+                if ranges and ranges[-1][0] == hi:
+                    ranges[-1] = (lo, ranges[-1][1])
+                else:
+                    ranges.append((lo, hi))
+        out.append(ranges)
+    return out
 
 
-def _shards(length: int) -> Callable:
+def _shards(length: int, gram: int) -> Callable:
     """Suffix arrays over snippets whose hashes stand together: for those that were counted once, the starts that occur again."""
 
-    def sort(held: list[tuple[tuple[int, int, int], int, bytes]]) -> pa.RecordBatch:
-        flags = repeated_starts([s for _, _, s in held], np.array([c for _, c, _ in held]), length)
-        out = [(n, [{"b": x, "e": y} for x, y in runs(f)]) for (n, c, _), f in zip(held, flags, strict=True) if c == 1 and f.any()]
-        return pa.RecordBatch.from_arrays([*(pa.array([n[i] for n, _ in out], pa.int64()) for i in range(3)), pa.array([x for _, x in out], _AGAIN)], names=[*NAME, "again"])
+    def sort(held: list[tuple[tuple[int, int, int], int, int, bytes]]) -> pa.RecordBatch:
+        flags = repeated_starts([s for *_, s in held], np.array([c for _, c, _, _ in held]), length)
+        out = [(*n, lo + x, lo + y) for (n, c, lo, _), f in zip(held, flags, strict=True) if c == 1 and f.any() for x, y in runs(f)]
+        kinds = [pa.int64()] * 3 + [pa.int32()] * 2
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=[*NAME, "b", "e"])
 
     def sorted_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[tuple[int, int, int], int, bytes]] = []
-        size, last = 0, None
+        held: list[tuple[tuple[int, int, int], int, int, bytes]] = []
+        group: list[tuple[tuple[int, int, int], int, int, bytes]] = []
+        size = 0
+
+        def close() -> int:
+            before = len(held)
+            for (n, c, _, s), ranges in zip(group, _pieces([g[2:0:-1] + g[3:] for g in group], length, gram), strict=True):
+                held.extend((n, c, lo, s[lo : hi + length - 1]) for lo, hi in ranges)
+            group.clear()
+            return sum(len(s) for *_, s in held[before:])
+
         for b in batches:
-            for *n, c, s in zip(*(b.column(x).to_pylist() for x in (*NAME, "copies", "snip")), strict=True):
-                if n[0] != last and size >= SHARD_BYTES:
-                    yield sort(held)
-                    held, size = [], 0
-                held.append((tuple(n), c, s))
-                size, last = size + len(s), n[0]
+            for *n, c, at, s in zip(*(b.column(x).to_pylist() for x in (*NAME, "copies", "at", "snip")), strict=True):
+                if group and n[0] != group[-1][0][0]:
+                    size += close()
+                    if size >= SHARD_BYTES:
+                        yield sort(held)
+                        held, size = [], 0
+                if not group or tuple(n) != group[-1][0]:
+                    group.append((tuple(n), c, at, s))
+        close()
         if held:
             yield sort(held)
 
     return sorted_
 
 
-def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES, rows: DataFrame | None = None) -> DataFrame:
-    """(k, spans): the byte ranges to remove of each text that has any.
+def _cut(b: pa.RecordBatch, length: int) -> Iterator[tuple[list[pa.Array], list[bytes]]]:
+    """Of a batch with text and cut (array of structs from lo and hi on): the structs' fields, the snippets."""
+    body, offsets = text_bytes(b.column("text"))
+    flat = b.column("cut").flatten()
+    row = np.repeat(np.arange(len(b)), np.asarray(pc.list_value_length(b.column("cut"))))
+    for i in range(0, len(row), 4096):
+        part = [flat.field(x)[i : i + 4096] for x in range(flat.type.num_fields)]
+        begin, end = (offsets[row[i : i + 4096]] + part[x].to_numpy() + (length - 1) * x for x in (0, 1))
+        yield part, [body[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
 
-    texts: k binary (a digest of the text), text, copies long; k without repeats. rows: such columns, with copies as rows.
-    """
+
+def spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
+    """A table (k1, k2, spans): the byte ranges to remove of each text that has any. texts: k1, k2 (a digest of the text), text, copies."""
     if length % 8:
         raise ValueError("length must be a multiple of 8")
-    found = _found(texts, length, gram, hot_bytes, WIDTHS, _minimal(length, gram), rows)
-    ranges = found.select("k", F.transform("again", lambda x: F.struct((F.col("lo") + x["b"]).alias("b"), (F.col("lo") + x["e"] + (length - 1)).alias("e"))).alias("r"))
-    return ranges.groupBy("k").agg(F.flatten(F.collect_list("r")).alias("spans"))
-
-
-def _cut(batches: Iterator[pa.RecordBatch], n_bytes: int) -> Iterator[tuple[pa.RecordBatch, pa.Array, list[pa.Array], list[bytes]]]:
-    """Of batches with text and at (array of structs from lo and hi on): the batch, the row of each snippet, the structs' fields, the snippets."""
-    for b in batches:
-        body, offsets = text_bytes(b.column("text"))
-        at = b.column("at")
-        flat = at.flatten()
-        row = np.repeat(np.arange(len(b)), np.asarray(pc.list_value_length(at)))
-        for i in range(0, len(row), 4096):
-            part = [flat.field(x)[i : i + 4096] for x in range(flat.type.num_fields)]
-            r = row[i : i + 4096]
-            begin, end = offsets[r] + part[0].to_numpy(), offsets[r] + part[1].to_numpy() + n_bytes - 1
-            yield b, pa.array(r), part, [body[x:y].tobytes() for x, y in zip(begin.tolist(), end.tolist(), strict=True)]
+    found = _found(texts, KEY, length, gram, hot_bytes, WIDTHS, _minimal(length, gram))
+    return stash(found.groupBy(*KEY).agg(F.collect_set(F.struct("b", "e")).alias("spans")), "spans")
+
+
+def _removed(text: pa.Array, spans: pa.Array) -> pa.Array:
+    body, offsets = text_bytes(text)
+    at, b, e = spans.offsets.to_numpy(), spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy()
+    told = np.asarray(spans.is_valid())
+    gone_n, spans_n, kept = [], [], []
+    for k in range(len(text)):
+        own = body[offsets[k] : offsets[k + 1]]
+        gone = np.zeros(len(own), bool)
+        if told[k]:
+            ends = np.zeros(len(own) + 1, np.int32)
+            np.add.at(ends, b[at[k] : at[k + 1]], 1)
+            np.add.at(ends, e[at[k] : at[k + 1]], -1)
+            gone = np.cumsum(ends[:-1]) > 0
+        gone_n.append(int(gone.sum()))
+        spans_n.append(len(runs(gone)))
+        kept.append(own[~gone].tobytes())
+    columns = [pa.array(np.diff(offsets)), pa.array(gone_n, pa.int64()), pa.array(spans_n, pa.int64()), pa.array(kept, pa.binary())]
+    return pa.StructArray.from_arrays(columns, names=RESULT)
+
+
+#: What is found of a text.
+RESULT = ["n_bytes", "n_removed", "n_spans", "kept"]
 
 
 def remove_repeats(texts: DataFrame, length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """(text) -> one row per distinct text: k, n_bytes, n_removed, n_spans, kept (the bytes that remain)."""
-    own = texts.select(F.coalesce(F.col(texts.columns[0]).cast("string"), F.lit("")).alias("text"))
-    # the filter holds anyway; said here, every use of the texts is the same plan and they are shuffled once
-    unique = own.select(F.unhex(F.md5("text")).alias("k"), "text").filter("k IS NOT NULL").groupBy("k").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
-
-    def removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            body, offsets = text_bytes(b.column("text"))
-            cuts = b.column("spans")
-            for i, j in slices(offsets, CHUNK):
-                gone_n, spans_n, kept = [], [], []
-                for k in range(i, j):
-                    own, s = body[offsets[k] : offsets[k + 1]], cuts[k]
-                    gone = np.zeros(len(own), bool)
-                    if s.is_valid:
-                        ends = np.zeros(len(own) + 1, np.int32)
-                        np.add.at(ends, s.values.field(0).to_numpy(), 1)
-                        np.add.at(ends, s.values.field(1).to_numpy(), -1)
-                        gone = np.cumsum(ends[:-1]) > 0
-                    gone_n.append(int(gone.sum()))
-                    spans_n.append(len(runs(gone)))
-                    kept.append(own[~gone].tobytes())
-                size = np.diff(offsets[i : j + 1])
-                yield pa.RecordBatch.from_arrays([b.column("k")[i:j], pa.array(size), pa.array(gone_n, pa.int64()), pa.array(spans_n, pa.int64()), pa.array(kept, pa.binary())], names=["k", "n_bytes", "n_removed", "n_spans", "kept"])
-
-    found = spans(unique, length, hot_bytes=hot_bytes, rows=own.select(F.lit(b"").alias("k"), "text", F.lit(1).cast("long").alias("copies")))
-    return unique.join(found, "k", "left").select("k", "text", "copies", "spans").mapInArrow(removed, "k binary, n_bytes long, n_removed long, n_spans long, kept binary")
+    """(text) -> n_bytes, n_removed, n_spans and kept (the bytes that remain) of each row."""
+    one = texts.select(F.col(texts.columns[0]).alias("text"))
+    return without_repeats(one, length=length, hot_bytes=hot_bytes).select(RESULT)
 
 
 def without_repeats(df: DataFrame, text: str = "text", length: int = LENGTH, hot_bytes: int = HOT_BYTES) -> DataFrame:
-    """df with n_bytes, n_removed, n_spans and kept (binary: cuts can fall inside a character) of each row's text."""
-    done = remove_repeats(df.select(text), length, hot_bytes)
-    put = {n: fresh(df.columns, n) for n in ("n_bytes", "n_removed", "n_spans", "kept")}
-    key = fresh(df.columns, "__k")
-    keyed = df.withColumn(key, F.unhex(F.md5(F.coalesce(F.col(text).cast("string"), F.lit("")))))
-    return keyed.join(done.select(F.col("k").alias(key), *(F.col(a).alias(b) for a, b in put.items())), key).drop(key)
+    """df with n_bytes, n_removed, n_spans and kept (binary: cuts can fall inside a character) of each row's text. df is read five times."""
+    put = {n: fresh(df.columns, n) for n in RESULT}
+    own, digest, one, two, cuts, result = (fresh(df.columns, f"__{n}") for n in ("own", "digest", "k1", "k2", "spans", "result"))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    half = lambda i: F.conv(F.substring(digest, i, 15), 16, 10).cast("long")
+    keyed = df.withColumn(own, body).withColumn(digest, F.md5(own)).withColumn(one, half(1)).withColumn(two, half(16)).drop(digest)
+    found = spans(keyed.select(F.col(one).alias("k1"), F.col(two).alias("k2"), F.col(own).alias("text"), F.lit(1).cast("long").alias("copies")), length, hot_bytes=hot_bytes)
+    hit = _column(_bitmap(found, "k2", found.count()))(F.col(two))
+    removed = arrow_column(_removed, "struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>")
+    # texts without repeats stay where they are
+    cut = keyed.filter(hit).join(found.toDF(one, two, cuts).hint("shuffle_hash"), [one, two], "left").withColumn(result, removed(F.col(own), F.col(cuts)))
+    same = keyed.filter(~hit).withColumn(result, F.struct(F.octet_length(own).cast("long"), F.lit(0).cast("long"), F.lit(0).cast("long"), F.col(own).cast("binary")).cast("struct<n_bytes:long,n_removed:long,n_spans:long,kept:binary>"))
+    columns = [*df.columns, *(F.col(result)[a].alias(b) for a, b in put.items())]
+    return cut.select(columns).unionByName(same.select(columns))
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    done = remove_repeats(docs.select("text")).select("k", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
-    return docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("k")).join(done, "k").drop("k")
+    done = without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

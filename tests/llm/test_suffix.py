@@ -122,3 +122,23 @@ def test_hashes_are_counted_where_texts_are(spark, monkeypatch):
     except StopIteration:
         pass
     assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning") == 1
+
+
+def test_snippets_are_named_without_a_shuffle(spark, monkeypatch):
+    """Texts are cut where they are; only those of chosen snippets and those that lose bytes are joined."""
+    plans, plain = {}, suffix.stash
+    monkeypatch.setattr(suffix, "stash", lambda df, what: plans.setdefault(what, []).append(df._jdf.queryExecution().executedPlan().toString()) or plain(df, what))
+    df = spark.createDataFrame([(t,) for t in fixture()[:12]], "text string")
+    suffix.remove_repeats(df).collect()
+    assert len(plans["placed"]) == 1 and "Exchange" not in plans["placed"][0]
+
+
+def test_only_parts_that_another_snippet_shares_are_sorted():
+    rng = random.Random(8)
+    word = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k)).encode()
+    gram, left, right = word(32), word(168), word(168)
+    whole = left + gram + right
+    group = [(168, 1, whole), (168, 1, word(84) + whole[84:]), (168, 1, word(168) + gram + word(168))]
+    ranges = suffix._pieces(group, 200, 32)
+    starts = [[s for lo, hi in r for s in range(lo, hi)] for r in ranges]
+    assert starts[0] == starts[1] and set(range(84, 169)) <= set(starts[0]) and min(starts[0]) > 84 - suffix.WIDTHS[0] and not starts[2]
