@@ -13,13 +13,14 @@ The tree is never gathered: a context's subtree is that of its nearest symbol, s
 one bucket, where their counts, divergence tests and scores are made together. What crosses the network is one packed
 row for each bucket and chunk of text, about 8 bytes a token, and back comes a number for each text and bucket.
 
-Hot symbols. Positions after a symbol that stands more than `hot` times don't meet. Their counts are aggregated by
-context and next symbol (combined before the shuffle), the probabilities follow by joins of those aggregates, and each
-combination's probability is sent to the bucket of that combination, where its positions are sent as well; one that
-itself stands more than `hot` times is dealt over several buckets. The result is the same.
+Hot contexts. Positions after a context that stands more than `hot` times don't meet in one bucket: they are dealt to
+several by the next older symbol, whose contexts then meet whole. What those buckets can't see are the counts of what
+follows the hot context itself; they are added up in a pass of their own (combined by context and next symbol) and sent,
+as the probability and the share of each next symbol, to the context's buckets. A context that is hot after the next
+older symbol as well is dealt by the one after it, and one of `depth` symbols by texts. The result is the same.
 
 Broadcast: the frequent words and the hash classes, a fixed number of each, the hot words' flags with them, and the hot
-combinations, at most N / hot of them; hot grows with N above 10^5 times its size, so their number is bounded too.
+contexts, at most N / hot of each length; hot grows with N above 10^5 times its size, so their number is bounded too.
 
 Defined cases: null and empty texts are one end; a null id counts as the text 'null' for the fold and stays null; ids
 keep their type; repeated rows and ids are rows of their own; texts of any length are taken whole; a corpus without
@@ -51,6 +52,8 @@ HEAD_WORDS, CLASSES = 300_000, 4096
 BUCKET, HOT = 1_000_000, 1_500_000
 #: Positions whose subtrees are made at a time, or those after one symbol.
 AT_ONCE = 400_000
+#: Parts of a bucket's size that positions after a hot context are dealt in.
+PARTS = 4
 #: Partitions that buckets are dealt to, one each as long as there are no more of them.
 PARTITIONS = 20_000
 #: Text bytes whose words a task counts together, and whose positions it deals together.
@@ -101,6 +104,24 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+@dataclass
+class Level:
+    """The hot contexts of one length, by number: which of the level before is their parent, over how many parts their positions are dealt, what follows them, and whether they are retained."""
+
+    number: np.ndarray
+    words: np.ndarray
+    up: np.ndarray
+    parts: np.ndarray
+    n: np.ndarray
+    t: np.ndarray
+    kept: np.ndarray
+
+    def find(self, x: np.ndarray) -> np.ndarray:
+        """Places of contexts, -1 for others."""
+        at = np.minimum(np.searchsorted(self.number, x), len(self.number) - 1)
+        return np.where(self.number[at] == x, at, -1)
+
+
 @dataclass
 class Root:
     """What is broadcast: the head's words with their places, the empty context, base scores, and what is hot."""
@@ -111,8 +132,7 @@ class Root:
     known: np.ndarray
     hot: np.ndarray
     classes: np.ndarray
-    combos: np.ndarray
-    salts: np.ndarray
+    levels: list[Level]
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
@@ -134,6 +154,15 @@ class Root:
         out[head] = self.hot[ids[head].astype(np.int64)]
         return out
 
+    def deepest(self, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """How long the longest hot context of each position is, and its place in its level. x: numbers of contexts."""
+        long, at = np.zeros(len(x[0]), np.int64), np.zeros(len(x[0]), np.int64)
+        for d, level in enumerate(self.levels):
+            i = level.find(x[d])
+            more = (long == d) & (i >= 0)
+            long[more], at[more] = d + 1, i[more]
+        return long, at
+
 
 class Positions:
     """The symbols of some texts and those before each: ids, before[0] the nearest; the text of each position."""
@@ -152,7 +181,7 @@ class Positions:
 
 def contexts(before: list[np.ndarray]) -> list[np.ndarray]:
     """A number for each position's context of 1, 2, ... symbols."""
-    out, x = [], np.zeros(len(before[0]), np.uint64)
+    out, x = [], np.ones(len(before[0]), np.uint64)  # not 0: mix(0, 0) is 0, and contexts of several lengths would be one
     for w in before:
         x = mix(x, w)
         out.append(x)
@@ -206,11 +235,15 @@ def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first.astype(np.int32), of.astype(np.int32)
 
 
-def subtree(before: list[np.ndarray], symbol: np.ndarray, train: np.ndarray, alone: np.ndarray, gain: float) -> np.ndarray:
-    """The probability of each position's symbol; all positions after each nearest symbol are here. Takes the columns of before away."""
+def subtree(before: list[np.ndarray], symbol: np.ndarray, train: np.ndarray, alone: np.ndarray, gain: float, x: np.ndarray | None = None, q: np.ndarray | None = None, tell: bool = False) -> np.ndarray:
+    """The probability of each position's symbol; all positions after each nearest symbol are here. Takes the columns of before away.
+
+    x, q: the number of a context that stands before, and the share of the symbol in what follows it; alone is then its
+    probability there. tell: whether the context with the nearest symbol is retained, in place of the probability.
+    """
     levels = []
-    x = np.zeros(len(symbol), np.uint64)
-    q = alone
+    x = np.zeros(len(symbol), np.uint64) if x is None else x
+    q = alone if q is None else q
     while before:
         x = mix(x, before.pop(0))
         first, of = _numbered(x)
@@ -227,6 +260,8 @@ def subtree(before: list[np.ndarray], symbol: np.ndarray, train: np.ndarray, alo
         levels.append((first, of, n, t, kept, c))
     for (_, up, _, _, above, _), (first, _, _, _, kept, _) in zip(levels[-2::-1], levels[:0:-1], strict=True):
         above[up[first[kept]]] = True
+    if tell:
+        return levels[0][4][levels[0][1]]
     p = alone
     for _, of, n, t, kept, c in levels:
         here = kept[of]
@@ -239,53 +274,102 @@ def _of(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64))
 
 
-def hot_scores(docs: DataFrame, root: Root, depth: int, gain: float, alone) -> DataFrame:
-    """(key, p, n): of each context after a hot symbol with the symbol that follows it: its number, probability and positions."""
-    sent = docs.sparkSession.sparkContext.broadcast(root)
-    names = [f"x{d}" for d in range(1, depth + 1)]
+def followers(docs: DataFrame, root: Root, level: Level, d: int, depth: int) -> DataFrame:
+    """(up, x, w, c, n): of each hot context of d symbols with each symbol that follows it, how often in training and in all."""
+    sent = docs.sparkSession.sparkContext.broadcast((root, level))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, own = sent.value
         for b in batches:
             body, offsets = text_bytes(b.column("text"))
             held = np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
             for i, j in slices(offsets, DEALT):
-                p = Positions(body, offsets[i : j + 1], sent.value, depth)
-                here = np.flatnonzero(sent.value.is_hot(p.before[0]))
-                x = contexts([w[here] for w in p.before])
-                key, first, of = np.unique(combination(x[-1], p.ids[here]), return_index=True, return_inverse=True)
-                c = np.bincount(of, weights=~held[i:j][p.text[here]], minlength=len(key)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [*(_of(k[first]) for k in x), _of(p.ids[here][first]), _of(key), pa.array(c), pa.array(np.bincount(of, minlength=len(key)))], names=[*names, "w", "key", "c", "n"]
-                )
+                p = Positions(body, offsets[i : j + 1], r, depth)
+                here = np.flatnonzero(r.is_hot(p.before[0]))
+                x = contexts([w[here] for w in p.before[:d]])
+                known = own.find(x[-1]) >= 0
+                here, x = here[known], [np.zeros(int(known.sum()), np.uint64), *(k[known] for k in x)]
+                first, of = _numbered(combination(x[-1], p.ids[here]))
+                c = np.bincount(of, weights=~held[i:j][p.text[here]], minlength=len(first)).astype(np.int64)
+                n = np.bincount(of, minlength=len(first))
+                yield pa.RecordBatch.from_arrays([_of(x[-2][first]), _of(x[-1][first]), _of(p.ids[here][first]), pa.array(c), pa.array(n)], names=["up", "x", "w", "c", "n"])
+
+    return docs.mapInArrow(counted, "up long, x long, w long, c long, n long").groupBy("up", "x", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+
+
+def hot_levels(docs: DataFrame, root: Root, depth: int, gain: float, hot: int, part: int, alone) -> list[DataFrame]:
+    """Fills root.levels; of each level a table (up, x, w, c1, c2, ..., n): the training counts of w after the context and its ancestors."""
+    tables: list[DataFrame] = []
+    end = root.place[END]
+    found = np.flatnonzero(root.hot).astype(np.uint64).reshape(-1, 1)
+    for d in range(1, depth + 1):
+        x = contexts(list(found.T))
+        order = np.argsort(x[-1])
+        found, x = found[order], [k[order] for k in x]
+        up = root.levels[-1].find(x[-2]) if d > 1 else np.zeros(len(found), np.int64)
+        none = np.zeros(len(found))
+        level = Level(x[-1], found, up, none.astype(np.int64), none.copy(), none.copy(), none.astype(bool))
+        each = followers(docs, root, level, d, depth).withColumnRenamed("c", f"c{d}")
+        if d > 1:
+            each = each.join(tables[-1].drop("up", "n").withColumnRenamed("x", "up"), ["up", "w"])
+        each = stash(each.withColumn("q", alone(F.col("w")) if d == 1 else F.col(f"c{d - 1}").cast("double")), "level")
+        c = F.col(f"c{d}")
+        told = each.groupBy("x").agg(F.sum(c).alias("c"), F.sum((c > 0).cast("long")).alias("t"), F.sum("n").alias("n"), F.sum(F.when(c > 0, c * F.log(c / F.col("q")))).alias("s")).toArrow()  # at most N / hot rows
+        at = level.find(told.column("x").to_numpy().view(np.uint64))
+        n = told.column("c").to_numpy().astype(np.float64)
+        level.parts[at], level.n[at], level.t[at] = 1 + told.column("n").to_numpy() // part, n, told.column("t").to_numpy()
+        above = root.levels[-1].n[up[at]] if d > 1 else np.ones(len(at))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            level.kept[at] = (n > 0) & (told.column("s").fill_null(0.0).to_numpy() + n * np.log(above / n) >= gain - 1e-9)
+        root.levels.append(level)
+        tables.append(each.drop("q"))
+        if d == depth:
+            break
+        # a symbol that often follows a hot context is itself one, before which the context stands
+        often = each.filter(F.col("n") > hot).select("x", "w").toArrow()  # at most N / hot rows
+        w, i = often.column("w").to_numpy().view(np.uint64), level.find(often.column("x").to_numpy().view(np.uint64))
+        longer = np.concatenate([np.c_[w, found[i]][w != end], np.full((1, d + 1), end, np.uint64)])
+        found = longer[level.find(contexts(list(longer[:, :d].T))[-1]) >= 0]
+        if not len(found):
+            break
+    _close(root.levels)
+    return tables
+
+
+def _close(levels: list[Level]) -> None:
+    """Ancestors of retained contexts are retained."""
+    for above, level in zip(levels[-2::-1], levels[:0:-1], strict=True):
+        above.kept[level.up[level.kept]] = True
 
-    grams = docs.mapInArrow(counted, ", ".join(f"{x} long" for x in [*names, "w", "key", "c", "n"]))
-    grams = stash(grams.groupBy(*names, "w", "key").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "hot")
-    wide: list[DataFrame] = []
-    kept: list[DataFrame] = []
-    for d, x in enumerate(names):
-        up = names[d - 1 : d]
-        each = grams.groupBy(x, *up, "w").agg(F.sum("c").alias("c"))
-        total = each.groupBy(x).agg(F.sum("c").alias("t_n"), F.sum((F.col("c") > 0).cast("long")).alias("t_t"))
-        own = stash(each.join(total, x), "levels")
-        seen = own.filter("c > 0")
-        q = seen.withColumn("q", alone(F.col("w"))) if not d else seen.join(wide[-1].filter("c > 0").select(*up, "w", (F.col("c") / F.col("t_n")).alias("q")), [*up, "w"])
-        tested = q.groupBy(x, *up).agg(F.sum(F.col("c") * F.log(F.col("c") / F.col("t_n") / F.col("q"))).alias("g"))
-        kept.append(stash(tested.filter(F.col("g") >= gain).select(x, *up), "kept"))
-        wide.append(own)
-    out = grams.withColumn("p", alone(F.col("w")))
-    chosen: list[DataFrame] = [kept[-1].select(names[-1])]
-    for d in range(depth - 2, -1, -1):
-        below = stash(kept[d].select(names[d]).unionByName(kept[d + 1].join(chosen[0], names[d + 1], "left_semi").select(names[d])).distinct(), "kept")
-        chosen.insert(0, below)
-    for x, own, those in zip(names, wide, chosen, strict=True):
-        level = own.join(those, x, "left_semi").select(x, "w", F.col("c").alias("l_c"), "t_n", "t_t")
-        smoothed = (F.col("l_c") + F.col("t_t") * F.col("p")) / (F.col("t_n") + F.col("t_t"))
-        out = out.join(level, [x, "w"], "left").withColumn("p", F.coalesce(smoothed, F.col("p"))).drop("l_c", "t_n", "t_t")
-    return stash(out.select("key", "p", "n"), "hot-scores")
-
-
-DOC, WORD, LEVEL, COLD, WARM, RARE = range(6)
-#: Rows that buckets are made of: texts with their own columns, counts of words, probabilities of combinations, and packed positions.
+
+def hot_sides(table: DataFrame, sent, d: int, buckets: int) -> DataFrame:
+    """What buckets have to know of a level: the probability of each symbol after each context, and its share of what follows there."""
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r: Root = sent.value
+        for b in batches:
+            x, w = (b.column(k).to_numpy().view(np.uint64) for k in ("x", "w"))
+            place = [r.levels[d - 1].find(x)]
+            for level in r.levels[d - 1 : 0 : -1]:
+                place.insert(0, level.up[place[0]])
+            p = r.alone(w)
+            for k, (level, i) in enumerate(zip(r.levels, place, strict=False), 1):
+                c = b.column(f"c{k}").to_numpy()
+                kept = level.kept[i]
+                p[kept] = ((c + level.t[i] * p) / np.maximum(level.n[i] + level.t[i], 1))[kept]
+            q = c / np.maximum(level.n[i], 1)
+            every = np.stack([combination(x, w), p.view(np.uint64), q.view(np.uint64)])
+            parts = level.parts[i]
+            for k in range(int(parts.max(initial=0))):
+                here = np.flatnonzero(parts > k)
+                rows = [(bucket, LEVEL, _small(np.ascontiguousarray(every[:, here[o]]).tobytes())) for bucket, o in _dealt((mix(x[here], np.uint64(k)) % np.uint64(buckets)).astype(np.int64))]
+                yield _packed(rows)
+
+    return table.mapInArrow(sides, SENT_KIND)
+
+
+DOC, WORD, LEVEL, COLD, WARM, RARE, OPEN = range(7)
+#: Rows that buckets are made of: texts with their own columns, counts of words, probabilities after hot contexts, and packed positions.
 SENT = [("bucket", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("value", pa.float64()), ("blob", pa.binary()), ("base", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("id", pa.string())]
 SENT_KIND = "bucket int, kind byte, key long, value double, blob binary, base long, held_out boolean, n_tokens long, id string"
 #: What a bucket adds to texts: numbers from base on, and what is added to which column (0: base score, 1: known words, 2: score).
@@ -345,7 +429,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     mass = total.n + 0.1 * (total.v + CLASSES)
     root = Root(
         place, (c + 0.1) / mass, np.log10((c + 0.1) / (total.n + 0.1 * (total.v + 1))), c > 0, np.r_[known.column("n").to_numpy() > hot, False],
-        (class_c + 0.1 * (class_n + 1)) / (class_n + 1) / mass, np.zeros(0, np.uint64), np.zeros(0, np.int64),
+        (class_c + 0.1 * (class_n + 1)) / (class_n + 1) / mass, [],
     )
     unseen = np.log10(0.1 / (total.n + 0.1 * (total.v + 1)))
 
@@ -353,12 +437,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     if root.hot.any():
         at_root = spark.sparkContext.broadcast(root)
         alone = F.arrow_udf(lambda a: pa.array(at_root.value.alone(a.to_numpy().view(np.uint64))), "double")
-        levels = hot_scores(own.select("text", "held_out"), root, depth, gain, alone)
-        big = levels.filter(F.col("n") > hot).select("key", F.ceil(F.col("n") / hot).cast("int").alias("s")).toArrow()  # at most total / hot
-        order = np.argsort(big.column("key").to_numpy().view(np.uint64), kind="stable")
-        root.combos, root.salts = big.column("key").to_numpy().view(np.uint64)[order], big.column("s").to_numpy()[order].astype(np.int64)
-        salted = levels.select("key", F.log10("p").alias("c"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / hot).cast("int") - 1)).alias("salt"))
-        side = side.unionByName(salted.mapInArrow(lambda batches: _sides(batches, buckets, LEVEL), SENT_KIND))
+        tables = hot_levels(own.select("text", "held_out"), root, depth, gain, hot, 1 + bucket // PARTS, alone)
+        if any((~level.kept).any() for level in root.levels[: depth - 1]):
+            _settle(own, root, tables, depth, gain, buckets)
+        of_levels = spark.sparkContext.broadcast(root)
+        for d, each in enumerate(tables, 1):
+            side = side.unionByName(hot_sides(each, of_levels, d, buckets))
     sent = spark.sparkContext.broadcast(root)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,15 +470,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
         for k, part in _dealt((mix(p.before[0][cold], np.uint64(COLD)) % np.uint64(buckets)).astype(np.int64)):
             w = cold[part]
             rows.append((k, COLD, pack(base, [*(x[w] for x in p.before), p.ids[w]], p.text[w], train[w])))
-        warm = np.flatnonzero(is_hot)
-        if len(warm):
-            deal = combination(contexts([x[warm] for x in p.before])[-1], p.ids[warm])
-            salt = np.zeros(len(warm), np.int64)
-            if len(r.combos):
-                x = np.minimum(np.searchsorted(r.combos, deal), len(r.combos) - 1)
-                salt = np.where(r.combos[x] == deal, (base + p.text[warm]) % r.salts[x], 0)
-            for k, part in _dealt((mix(deal, salt.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
-                rows.append((k, WARM, _keyed(base, deal[part], p.text[warm[part]])))
+        rows += _deal_hot(r, p, base, train, depth, buckets)
         tail = np.flatnonzero(~ranked)
         for k, part in _dealt((mix(p.ids[tail], np.uint64(0)) % np.uint64(buckets)).astype(np.int64)):
             rows.append((k, RARE, _keyed(base, p.ids[tail[part]], p.text[tail[part]])))
@@ -438,20 +514,18 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             for base, _, text, _ in cold:
                 yield _added(base, 2, text, lp[at : at + len(text)])
                 at += len(text)
-        for kind, side, whats in ((WARM, LEVEL, (2,)), (RARE, WORD, (0, 1))):
-            known = [np.frombuffer(zstandard.decompress(x), "<u8").reshape(2, -1) for x in parts[side].column("blob").to_pylist()] if side in parts else None
-            if known is not None:
-                keys, values = np.concatenate(known, axis=1)
-                order = np.argsort(keys)
-                keys, values = keys[order], values.view(np.float64)[order]
-            for raw in parts[kind].column("blob").to_pylist() if kind in parts else ():
-                base, wanted, text = _unkeyed(raw)
-                value = np.zeros(len(wanted))
-                if known is not None:
-                    x = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-                    value = np.where(keys[x] == wanted, values[x], 0.0)
-                for what in whats:
-                    yield _added(base, what, text, value if what == 2 else value > 0 if what else np.where(value > 0, np.log10((value + 0.1) / smooth), unseen))
+        known = _known(parts, LEVEL, 3)
+        for base, text, p in _opened(r, parts, known, depth, gain):
+            yield _added(base, 2, text, np.log10(p))
+        for raw in parts[WARM].column("blob").to_pylist() if WARM in parts else ():
+            base, wanted, text = _unkeyed(raw)
+            yield _added(base, 2, text, np.log10(_look(known, wanted)[0]))
+        counts = _known(parts, WORD, 2)
+        for raw in parts[RARE].column("blob").to_pylist() if RARE in parts else ():
+            base, wanted, text = _unkeyed(raw)
+            value = _look(counts, wanted)[0]
+            yield _added(base, 0, text, np.where(value > 0, np.log10((value + 0.1) / smooth), unseen))
+            yield _added(base, 1, text, value > 0)
 
     done = packed.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(scored, ADDED_KIND)
     sums = done.repartition("base").sortWithinPartitions("base").mapInArrow(_summed, "row long, what0 double, what1 double, what2 double, held_out boolean, n_tokens long, id string")
@@ -465,6 +539,117 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     )
 
 
+def _deal_hot(r: Root, p: Positions, base: int, train: np.ndarray, depth: int, buckets: int, only: list[np.ndarray] | None = None) -> list[tuple[int, int, bytes]]:
+    """Positions after hot contexts by bucket: by the symbol before the longest hot one, or by texts. only: by level, which contexts are meant."""
+    warm = np.flatnonzero(r.is_hot(p.before[0]))
+    rows: list[tuple[int, int, bytes]] = []
+    if not len(warm):
+        return rows
+    x = contexts([w[warm] for w in p.before])
+    long, at = r.deepest(x)
+    for d, level in enumerate(r.levels, 1):
+        here = np.flatnonzero(long == d)
+        if only is not None:
+            here = here[only[d - 1][at[here]]]
+        if not len(here):
+            continue
+        w = warm[here]
+        by = x[d][here] if d < depth else (base + p.text[w]).astype(np.uint64)
+        salt = mix(by, np.uint64(2)) % level.parts[at[here]].astype(np.uint64)
+        for k, part in _dealt((mix(x[d - 1][here], salt) % np.uint64(buckets)).astype(np.int64)):
+            o = w[part]
+            if d < depth:
+                rows.append((k, OPEN, pack(base, [*(v[o] for v in p.before), p.ids[o]], p.text[o], train[o])))
+            else:
+                rows.append((k, WARM, _keyed(base, combination(x[-1][here[part]], p.ids[o]), p.text[o])))
+    return rows
+
+
+def _known(parts: dict[int, pa.Table], side: int, width: int) -> tuple[np.ndarray, ...]:
+    """Keys in order and what is known of them."""
+    rows = [np.frombuffer(zstandard.decompress(x), "<u8").reshape(width, -1) for x in parts[side].column("blob").to_pylist()] if side in parts else [np.zeros((width, 0), np.uint64)]
+    keys, *values = np.concatenate(rows, axis=1)
+    order = np.argsort(keys)
+    return keys[order], *(v[order].view(np.float64) for v in values)
+
+
+def _look(known: tuple[np.ndarray, ...], wanted: np.ndarray) -> list[np.ndarray]:
+    """What is known of keys, 0 of others."""
+    keys, *values = known
+    if not len(keys):
+        return [np.zeros(len(wanted)) for _ in values]
+    x = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    there = keys[x] == wanted
+    return [np.where(there, v[x], 0.0) for v in values]
+
+
+def _opened(r: Root, parts: dict[int, pa.Table], known: tuple[np.ndarray, ...], depth: int, gain: float, tell: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Of each row of positions after hot contexts: its base, texts and probabilities. tell: (length, contexts) of those after which one is retained."""
+    rows = [unpack(x, depth + 1) for x in parts[OPEN].column("blob").to_pylist()] if OPEN in parts else []
+    if not rows:
+        return
+    before = [np.concatenate([x[1].pop(0) for x in rows]) for _ in range(depth)]
+    symbol, train = np.concatenate([x[1].pop() for x in rows]), np.concatenate([x[3] for x in rows])
+    x = contexts(before)
+    long, _ = r.deepest(x)
+    out = np.zeros(len(symbol))
+    for d in range(1, depth):
+        here = np.flatnonzero(long == d)
+        turns = 1 + len(here) // AT_ONCE
+        turn = (mix(x[d][here], np.uint64(1)) % np.uint64(turns)).astype(np.int32)
+        for k in range(turns):
+            own = here[turn == k]
+            if not len(own):
+                continue
+            p, q = _look(known, combination(x[d - 1][own], symbol[own]))
+            found = subtree([w[own] for w in before[d:]], symbol[own], train[own], p, gain, x[d - 1][own], q, tell)
+            if tell:
+                yield d, np.unique(x[d - 1][own][found]), found
+            else:
+                out[own] = found
+    at = 0
+    for base, _, text, _ in () if tell else rows:
+        yield base, text, out[at : at + len(text)]
+        at += len(text)
+
+
+def _settle(docs: DataFrame, root: Root, tables: list[DataFrame], depth: int, gain: float, buckets: int) -> None:
+    """Retains hot contexts that diverge too little themselves, but have retained ones after longer contexts: a pass over their positions only."""
+    only = [~level.kept for level in root.levels]
+    sent = docs.sparkSession.sparkContext.broadcast((root, only))
+    of_levels = docs.sparkSession.sparkContext.broadcast(root)
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r, meant = sent.value
+        for b in batches:
+            body, offsets = text_bytes(b.column("text"))
+            held = np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
+            for i, j in slices(offsets, DEALT):
+                p = Positions(body, offsets[i : j + 1], r, depth)
+                rows = [x for x in _deal_hot(r, p, 0, ~held[i:j][p.text], depth, buckets, meant) if x[1] == OPEN]
+                if rows:
+                    yield _packed(rows)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in sorted_groups(batches, ["bucket"], 1):
+            kind, of = g.column("kind").to_numpy(), g.column("bucket").to_numpy()
+            for k in np.unique(of).tolist():
+                parts = {x: g.filter(pa.array((kind == x) & (of == k))) for x in (LEVEL, OPEN)}
+                for d, x, _ in _opened(of_levels.value, parts, _known(parts, LEVEL, 3), depth, gain, tell=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(x), pa.int32()), _of(x)], names=["d", "x"])
+
+    packed = docs.select("text", "held_out").mapInArrow(dealt, SENT_KIND)
+    for d, each in enumerate(tables[: depth - 1], 1):
+        open_ = pa.array(root.levels[d - 1].number[only[d - 1]].view(np.int64)).to_pylist()  # at most N / hot
+        if open_:
+            packed = packed.unionByName(hot_sides(each.filter(F.col("x").isin(open_)), of_levels, d, buckets))
+    found = packed.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(told, "d int, x long").distinct().toArrow()
+    for d, level in enumerate(root.levels, 1):
+        x = found.column("x").to_numpy().view(np.uint64)[found.column("d").to_numpy() == d]
+        level.kept[level.find(x)] = True
+    _close(root.levels)
+
+
 ADDED = ["base", "what", "text", "added", "held_out", "n_tokens", "id"]
 
 
@@ -492,12 +677,11 @@ def _added(base: int, what: int, text: np.ndarray, value: np.ndarray) -> pa.Reco
 
 
 def _sides(batches: Iterator[pa.RecordBatch], buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
-    """Rows of (key or word, c) and perhaps salt, packed for the buckets of their keys."""
+    """Rows of (word, c), packed for the buckets of their words."""
     for b in batches:
-        k = b.column("key").to_numpy().view(np.uint64) if "key" in b.schema.names else word_hash(b.column("word").to_pylist())
-        salt = b.column("salt").to_numpy().astype(np.uint64) if "salt" in b.schema.names else np.uint64(0)
+        k = word_hash(b.column("word").to_pylist())
         c = b.column("c").to_numpy().astype(np.float64).view(np.uint64)
-        rows = [(x, kind, _small(np.stack([k[part], c[part]]).tobytes())) for x, part in _dealt((mix(k, salt) % np.uint64(buckets)).astype(np.int64))]
+        rows = [(x, kind, _small(np.stack([k[part], c[part]]).tobytes())) for x, part in _dealt((mix(k, np.uint64(0)) % np.uint64(buckets)).astype(np.int64))]
         if rows:
             yield _packed(rows)
 

@@ -125,3 +125,18 @@ def test_packed_rows_come_back():
 def test_empty_table(spark):
     got = pst.score(spark.createDataFrame([], "doc_id string, text string"))
     assert got.collect() == [] and dict(got.dtypes)["doc_id"] == "string"
+
+
+def test_contexts_of_several_lengths_have_numbers_of_their_own():
+    """Also those of the symbol 0 alone."""
+    x = pst.contexts([np.zeros(1, np.uint64)] * 3)
+    assert len({int(k[0]) for k in x}) == 3 and all(int(k[0]) for k in x)
+
+
+@pytest.mark.parametrize(("depth", "bucket", "hot", "gain"), [(2, 100, 15, 60.0), (3, 100, 15, 20.0)])
+def test_hot_contexts_are_dealt_over_buckets(spark, depth, bucket, hot, gain):
+    """Positions after a hot word are packed as others are, in parts; hot words that are retained only for longer contexts are, too."""
+    rows = [(i, f"a b{i % 2} c{i % 2} " * 3 + f"a x{i % 7} y{i % 5}") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pst.score(df, depth=depth, gain=gain, bucket=bucket, hot=hot).collect()
+    check(got, list(brute(rows, depth, gain, head_words(rows, pst.HEAD_WORDS, spark))))
