@@ -11,12 +11,13 @@ of their hash class (CLASSES of them) and have their own counts in every longer
 
 The tree is never gathered: a context's subtree is that of its nearest symbol, so all positions after a symbol meet in
 one bucket, where their counts, divergence tests and scores are made together. What crosses the network is one packed
-row for each bucket and chunk of text, about 8 bytes a token, and back comes a number for each text and bucket.
+row for each bucket and chunk of text, 6 to 7 bytes a token for 14 to 4,000 buckets (ids are ranks by frequency,
+the nearest symbol is a place in the row's own list), and back comes a packed row of a number for each text and bucket.
 
 Hot contexts. Positions after a context that stands more than `hot` times don't meet in one bucket: they are dealt to
-several by the next older symbol, whose contexts then meet whole. What those buckets can't see are the counts of what
-follows the hot context itself; they are added up in a pass of their own (combined by context and next symbol) and sent,
-as the probability and the share of each next symbol, to the context's buckets. A context that is hot after the next
+several of its own by the next older symbol, whose contexts then meet whole. What those buckets can't see are the counts
+of what follows the hot context itself; they are added up in a pass of their own (combined by context and next symbol)
+and sent, sorted and packed once, to each of the context's buckets. A context that is hot after the next
 older symbol as well is dealt by the one after it, and one of `depth` symbols by texts. The result is the same.
 
 Broadcast: the frequent words and the hash classes, a fixed number of each, the hot words' flags with them, and the hot
@@ -49,15 +50,15 @@ DEPTH, GAIN = 2, 3.0
 END = b"\n"
 HEAD_WORDS, CLASSES = 300_000, 4096
 #: Positions of a bucket, and occurrences from which a word is hot.
-BUCKET, HOT = 1_000_000, 1_500_000
+BUCKET, HOT = 2_000_000, 4_000_000
 #: Positions whose subtrees are made at a time, or those after one symbol.
 AT_ONCE = 400_000
-#: Parts of a bucket's size that positions after a hot context are dealt in.
-PARTS = 4
 #: Partitions that buckets are dealt to, one each as long as there are no more of them.
 PARTITIONS = 20_000
-#: Text bytes whose words a task counts together, and whose positions it deals together.
-CHUNK, DEALT = 8 << 20, 4 << 20
+#: Text bytes whose words a task counts together, that it makes into words at once, and whose positions it deals together.
+CHUNK, SPLIT, DEALT = 8 << 20, 4 << 20, 16 << 20
+#: Scores are added up as whole numbers of 2^-32.
+UNIT = 2.0**32
 #: Ids from here on are hashes of words beyond the head, ids below are places in it.
 TAIL = np.uint64(1 << 63)
 
@@ -106,12 +107,14 @@ def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Level:
-    """The hot contexts of one length, by number: which of the level before is their parent, over how many parts their positions are dealt, what follows them, and whether they are retained."""
+    """The hot contexts of one length, by number: which of the level before is their parent, how many positions they have, over how many buckets from which on these are dealt, what follows them, and whether they are retained."""
 
     number: np.ndarray
     words: np.ndarray
     up: np.ndarray
+    every: np.ndarray
     parts: np.ndarray
+    start: np.ndarray
     n: np.ndarray
     t: np.ndarray
     kept: np.ndarray
@@ -154,6 +157,14 @@ class Root:
         out[head] = self.hot[ids[head].astype(np.int64)]
         return out
 
+    def owner(self, bucket: int) -> tuple[int, int]:
+        """Which hot context has a bucket of its own: its length (0: none) and its place in its level."""
+        for d, level in enumerate(self.levels, 1):
+            i = int(np.searchsorted(level.start, bucket, "right")) - 1
+            if i >= 0 and bucket < level.start[i] + level.parts[i]:
+                return d, i
+        return 0, 0
+
     def deepest(self, x: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """How long the longest hot context of each position is, and its place in its level. x: numbers of contexts."""
         long, at = np.zeros(len(x[0]), np.int64), np.zeros(len(x[0]), np.int64)
@@ -164,17 +175,21 @@ class Root:
         return long, at
 
 
+def encoded(body: np.ndarray, offsets: np.ndarray, root: Root) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of some texts' symbols, end to end, and how many each text has."""
+    cut = offsets.tolist()
+    own = [tokens(body[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    return root.ids(list(chain.from_iterable(own))), np.array([len(t) for t in own], np.int64)
+
+
 class Positions:
     """The symbols of some texts and those before each: ids, before[0] the nearest; the text of each position."""
 
-    def __init__(self, body: np.ndarray, offsets: np.ndarray, root: Root, depth: int) -> None:
-        cut = offsets.tolist()
-        own = [tokens(body[x:y].tobytes()) for x, y in zip(cut[:-1], cut[1:], strict=True)]
-        self.size = np.array([len(t) for t in own], np.int64)
-        self.ids = root.ids(list(chain.from_iterable(own)))
-        self.text = np.repeat(np.arange(len(own)), self.size)
-        at = np.arange(len(self.ids))
-        place = at - np.repeat(np.cumsum(self.size) - self.size, self.size)
+    def __init__(self, ids: np.ndarray, size: np.ndarray, root: Root, depth: int) -> None:
+        self.ids, self.size = ids, size
+        self.text = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        at = np.arange(len(ids), dtype=np.int32)
+        place = at - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
         end = np.uint64(root.place[END])
         self.before = [np.where(place >= d, self.ids[np.maximum(at - d, 0)], end) for d in range(1, depth + 1)]
 
@@ -192,13 +207,13 @@ def combination(context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
     return mix(~context, symbol)
 
 
-def _planes(x: np.ndarray) -> bytes:
-    """32-bit numbers, all their first bytes first: the high ones are mostly zero and pack well on the wire."""
-    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+def _planes(x: np.ndarray, wide: int = 4) -> bytes:
+    """Numbers of 4 or 8 bytes, all their first bytes first: the high ones are mostly zero and pack well on the wire."""
+    return np.ascontiguousarray(x.astype(f"<u{wide}").view(np.uint8).reshape(-1, wide).T).tobytes()
 
 
-def _numbers(raw: bytes, n: int) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, n).T).view("<u4").ravel()
+def _numbers(raw: bytes, n: int, wide: int = 4) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * wide).reshape(wide, n).T).view(f"<u{wide}").ravel()
 
 
 def _small(*parts: bytes) -> bytes:
@@ -206,27 +221,81 @@ def _small(*parts: bytes) -> bytes:
 
 
 def pack(base: int, columns: list[np.ndarray], text: np.ndarray, train: np.ndarray) -> bytes:
-    """Columns of ids with each position's text (its number from base on, not falling) and fold."""
+    """Columns of ids with each position's text (its number from base on, not falling) and fold. The first column has few different ids."""
     every = np.concatenate(columns)
-    tail = np.unique(every[every >= TAIL])
-    coded = np.where(every < TAIL, every, np.uint64(HEAD_WORDS + 1) + np.searchsorted(tail, every).astype(np.uint64))
-    head = np.array([base, len(text), len(tail)], "<i8").tobytes()
-    return _small(head, tail.tobytes(), *(_planes(c) for c in coded.reshape(len(columns), -1)), _planes(np.diff(text, prepend=0)), np.packbits(train).tobytes())
+    rare = np.flatnonzero(every >= TAIL)
+    tail, of = np.unique(every[rare], return_inverse=True)
+    coded = every.astype(np.uint32)
+    coded[rare] = HEAD_WORDS + 1 + of
+    first, *others = coded.reshape(len(columns), -1)
+    few, first = np.unique(first, return_inverse=True)
+    head = np.array([base, len(text), len(tail), len(few)], "<i8").tobytes()
+    return _small(head, tail.tobytes(), _planes(few), *map(_planes, (first, *others, np.diff(text, prepend=0))), np.packbits(train).tobytes())
+
+
+def _codes(raw: bytes, width: int) -> tuple[int, np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
+    """A packed row: base, rare ids, columns in which ids beyond the head are places among these, texts, fold."""
+    raw = memoryview(zstandard.decompress(raw))
+    base, n, k, few = np.frombuffer(raw, "<i8", 4).tolist()
+    tail, at = np.frombuffer(raw, "<u8", k, 32), 32 + 8 * k
+    of_first, at = _numbers(raw[at:], few), at + 4 * few
+    first, *columns, text = (_numbers(raw[at + 4 * n * i :], n) for i in range(width + 1))
+    train = np.unpackbits(np.frombuffer(raw, np.uint8, -1, at + 4 * n * (width + 1)), count=n).astype(bool)
+    return base, tail, [of_first[first], *columns], np.cumsum(text.astype(np.int32), dtype=np.int32), train
+
+
+def _ids(codes: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    x = codes.astype(np.uint64)
+    rare = np.flatnonzero(codes > HEAD_WORDS)
+    x[rare] = tail[codes[rare] - np.uint32(HEAD_WORDS + 1)]
+    return x
 
 
 def unpack(raw: bytes, width: int) -> tuple[int, list[np.ndarray], np.ndarray, np.ndarray]:
-    raw = zstandard.decompress(raw)
-    base, n, k = np.frombuffer(raw, "<i8", 3).tolist()
-    tail, at = np.frombuffer(raw, "<u8", k, 24), 24 + 8 * k
-    columns = []
-    for i in range(width + 1):
-        x = _numbers(raw[at + 4 * n * i : at + 4 * n * (i + 1)], n).astype(np.uint64)
-        if i < width:
-            rare = x > HEAD_WORDS
-            x[rare] = tail[(x[rare] - np.uint64(HEAD_WORDS + 1)).astype(np.int64)]
-        columns.append(x)
-    train = np.unpackbits(np.frombuffer(raw, np.uint8, -1, at + 4 * n * (width + 1)), count=n).astype(bool)
-    return base, columns[:-1], np.cumsum(columns[-1].astype(np.int32), dtype=np.int32), train
+    base, tail, columns, text, train = _codes(raw, width)
+    return base, [_ids(c, tail) for c in columns], text, train
+
+
+class Gathered:
+    """The packed rows of a bucket, columns end to end in 4 bytes an id."""
+
+    def __init__(self, blobs: list[bytes], width: int) -> None:
+        self.rows: list[tuple[int, np.ndarray]] = []
+        tails, columns, trains = [], [], []
+        while blobs:
+            base, tail, own, text, train = _codes(blobs.pop(), width)
+            self.rows.append((base, text))
+            tails.append(tail)
+            columns.append(own)
+            trains.append(train)
+        self.tail, of = np.unique(np.concatenate(tails), return_inverse=True)
+        of, at = (of + HEAD_WORDS + 1).astype(np.uint32), 0
+        for tail, own in zip(tails, columns, strict=True):
+            for c in own:
+                rare = np.flatnonzero(c > HEAD_WORDS)
+                c[rare] = of[at + c[rare] - np.uint32(HEAD_WORDS + 1)]
+            at += len(tail)
+        self.columns = [np.concatenate([c.pop(0) for c in columns]) for _ in range(width)]
+        self.train = np.concatenate(trains)
+
+    def turns(self, column: int) -> Iterator[np.ndarray]:
+        """Positions by AT_ONCE, those with one id of a column at once."""
+        c = self.columns[column]
+        turns = 1 + len(c) // AT_ONCE
+        turn = (mix(c.astype(np.uint64), np.uint64(1)) % np.uint64(turns)).astype(np.int16)
+        for k in range(turns):
+            own = np.flatnonzero(turn == k)
+            if len(own):
+                yield own
+
+    def take(self, column: int, own: np.ndarray) -> np.ndarray:
+        return _ids(self.columns[column][own], self.tail)
+
+    def by_row(self, value: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        at = 0
+        for base, text in self.rows:
+            yield base, text, value[at : at + len(text)]
+            at += len(text)
 
 
 def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,8 +352,8 @@ def followers(docs: DataFrame, root: Root, level: Level, d: int, depth: int) ->
         for b in batches:
             body, offsets = text_bytes(b.column("text"))
             held = np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
-            for i, j in slices(offsets, DEALT):
-                p = Positions(body, offsets[i : j + 1], r, depth)
+            for i, j in slices(offsets, SPLIT):
+                p = Positions(*encoded(body, offsets[i : j + 1], r), r, depth)
                 here = np.flatnonzero(r.is_hot(p.before[0]))
                 x = contexts([w[here] for w in p.before[:d]])
                 known = own.find(x[-1]) >= 0
@@ -297,7 +366,7 @@ def followers(docs: DataFrame, root: Root, level: Level, d: int, depth: int) ->
     return docs.mapInArrow(counted, "up long, x long, w long, c long, n long").groupBy("up", "x", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def hot_levels(docs: DataFrame, root: Root, depth: int, gain: float, hot: int, part: int, alone) -> list[DataFrame]:
+def hot_levels(docs: DataFrame, root: Root, depth: int, gain: float, hot: int, alone) -> list[DataFrame]:
     """Fills root.levels; of each level a table (up, x, w, c1, c2, ..., n): the training counts of w after the context and its ancestors."""
     tables: list[DataFrame] = []
     end = root.place[END]
@@ -308,16 +377,17 @@ def hot_levels(docs: DataFrame, root: Root, depth: int, gain: float, hot: int, p
         found, x = found[order], [k[order] for k in x]
         up = root.levels[-1].find(x[-2]) if d > 1 else np.zeros(len(found), np.int64)
         none = np.zeros(len(found))
-        level = Level(x[-1], found, up, none.astype(np.int64), none.copy(), none.copy(), none.astype(bool))
+        level = Level(x[-1], found, up, *(none.astype(np.int64) for _ in range(3)), none.copy(), none.copy(), none.astype(bool))
         each = followers(docs, root, level, d, depth).withColumnRenamed("c", f"c{d}")
         if d > 1:
-            each = each.join(tables[-1].drop("up", "n").withColumnRenamed("x", "up"), ["up", "w"])
+            above = root.levels[-1].number[np.unique(up)].view(np.int64).tolist()  # at most N / hot
+            each = each.join(tables[-1].filter(F.col("x").isin(above)).drop("up", "n").withColumnRenamed("x", "up"), ["up", "w"])
         each = stash(each.withColumn("q", alone(F.col("w")) if d == 1 else F.col(f"c{d - 1}").cast("double")), "level")
         c = F.col(f"c{d}")
         told = each.groupBy("x").agg(F.sum(c).alias("c"), F.sum((c > 0).cast("long")).alias("t"), F.sum("n").alias("n"), F.sum(F.when(c > 0, c * F.log(c / F.col("q")))).alias("s")).toArrow()  # at most N / hot rows
         at = level.find(told.column("x").to_numpy().view(np.uint64))
         n = told.column("c").to_numpy().astype(np.float64)
-        level.parts[at], level.n[at], level.t[at] = 1 + told.column("n").to_numpy() // part, n, told.column("t").to_numpy()
+        level.every[at], level.n[at], level.t[at] = told.column("n").to_numpy(), n, told.column("t").to_numpy()
         above = root.levels[-1].n[up[at]] if d > 1 else np.ones(len(at))
         with np.errstate(divide="ignore", invalid="ignore"):
             level.kept[at] = (n > 0) & (told.column("s").fill_null(0.0).to_numpy() + n * np.log(above / n) >= gain - 1e-9)
@@ -342,38 +412,61 @@ def _close(levels: list[Level]) -> None:
         above.kept[level.up[level.kept]] = True
 
 
-def hot_sides(table: DataFrame, sent, d: int, buckets: int) -> DataFrame:
-    """What buckets have to know of a level: the probability of each symbol after each context, and its share of what follows there."""
+def number_buckets(levels: list[Level], bucket: int, first: int) -> int:
+    """Gives each hot context buckets of its own, from first on, for the positions that no longer hot context has. The number behind the last."""
+    for d, level in enumerate(levels):
+        own = level.every.copy()
+        if d + 1 < len(levels):
+            np.subtract.at(own, levels[d + 1].up, levels[d + 1].every)
+        level.parts = 1 + own // bucket
+        level.start = first + np.cumsum(level.parts) - level.parts
+        first += int(level.parts.sum())
+    return first
+
+
+def hot_sides(table: DataFrame, sent, d: int) -> DataFrame:
+    """What buckets have to know of a level: how often each symbol follows each context and its ancestors, in order of symbols."""
 
     def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r: Root = sent.value
+        level = sent.value.levels[d - 1]
         for b in batches:
             x, w = (b.column(k).to_numpy().view(np.uint64) for k in ("x", "w"))
-            place = [r.levels[d - 1].find(x)]
-            for level in r.levels[d - 1 : 0 : -1]:
-                place.insert(0, level.up[place[0]])
-            p = r.alone(w)
-            for k, (level, i) in enumerate(zip(r.levels, place, strict=False), 1):
-                c = b.column(f"c{k}").to_numpy()
-                kept = level.kept[i]
-                p[kept] = ((c + level.t[i] * p) / np.maximum(level.n[i] + level.t[i], 1))[kept]
-            q = c / np.maximum(level.n[i], 1)
-            every = np.stack([combination(x, w), p.view(np.uint64), q.view(np.uint64)])
-            parts = level.parts[i]
-            for k in range(int(parts.max(initial=0))):
-                here = np.flatnonzero(parts > k)
-                rows = [(bucket, LEVEL, _small(np.ascontiguousarray(every[:, here[o]]).tobytes())) for bucket, o in _dealt((mix(x[here], np.uint64(k)) % np.uint64(buckets)).astype(np.int64))]
-                yield _packed(rows)
-
-    return table.mapInArrow(sides, SENT_KIND)
+            counts = [b.column(f"c{k}").to_numpy() for k in range(1, d + 1)]
+            for i, o in _dealt(level.find(x)):
+                o = o[np.argsort(w[o])]
+                blob = _small(np.array([d, i, len(o)], "<i8").tobytes(), _planes(np.diff(w[o], prepend=np.uint64(0)), 8), *(_planes(c[o], 8) for c in counts))
+                yield _packed([(k, LEVEL, blob) for k in range(int(level.start[i]), int(level.start[i] + level.parts[i]))])
+
+    return table.sortWithinPartitions("x", "w").mapInArrow(sides, SENT_KIND)
+
+
+def _sides_of(r: Root, parts: dict[int, pa.Table]) -> tuple[np.ndarray, ...]:
+    """Of contexts with the symbols after them, in order of their numbers: the symbol's probability, and its share of what follows."""
+    found = [np.zeros((3, 0), np.uint64)]
+    for raw in parts[LEVEL].column("blob").to_pylist() if LEVEL in parts else ():
+        raw = memoryview(zstandard.decompress(raw))
+        d, i, n = np.frombuffer(raw, "<i8", 3).tolist()
+        w, *counts = (_numbers(raw[24 + 8 * n * k :], n, 8) for k in range(d + 1))
+        w = np.cumsum(w, dtype=np.uint64)
+        place = [i]
+        for level in r.levels[d - 1 : 0 : -1]:
+            place.insert(0, int(level.up[place[0]]))
+        p = r.alone(w)
+        for level, k, c in zip(r.levels, place, counts, strict=False):
+            if level.kept[k]:
+                p = (c + level.t[k] * p) / max(level.n[k] + level.t[k], 1)
+        q = counts[-1] / max(r.levels[d - 1].n[i], 1)
+        found.append(np.stack([combination(np.full(n, r.levels[d - 1].number[i]), w), p.view(np.uint64), q.view(np.uint64)]))
+    return _in_order(found)
 
 
 DOC, WORD, LEVEL, COLD, WARM, RARE, OPEN = range(7)
-#: Rows that buckets are made of: texts with their own columns, counts of words, probabilities after hot contexts, and packed positions.
-SENT = [("bucket", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("value", pa.float64()), ("blob", pa.binary()), ("base", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("id", pa.string())]
-SENT_KIND = "bucket int, kind byte, key long, value double, blob binary, base long, held_out boolean, n_tokens long, id string"
-#: What a bucket adds to texts: numbers from base on, and what is added to which column (0: base score, 1: known words, 2: score).
-ADDED_KIND = "base long, what byte, text array<int>, added array<double>, held_out boolean, n_tokens long, id string"
+#: Rows that buckets are made of: texts with their own columns, counts of words, counts after hot contexts, and packed positions.
+SENT = [("bucket", pa.int32()), ("kind", pa.int8()), ("key", pa.int64()), ("value", pa.float64()), ("blob", pa.binary()), ("base", pa.int64()), ("known", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("id", pa.string())]
+SENT_KIND = "bucket int, kind byte, key long, value double, blob binary, base long, known long, held_out boolean, n_tokens long, id string"
+#: What a bucket adds to the texts from base on: packed numbers for a column (0: base score, 1: known words, 2: score), or a text itself (TEXT).
+ADDED_KIND = "base long, what byte, blob binary, key long, value double, known long, held_out boolean, n_tokens long, id string"
+TEXT = 3
 
 
 def _batch(**columns) -> pa.RecordBatch:
@@ -386,6 +479,8 @@ def _packed(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if len(bucket) and bucket.max() < 1 << 16:
+        bucket = bucket.astype(np.uint16)  # sorted by digits
     order = np.argsort(bucket, kind="stable")
     cut = np.flatnonzero(np.diff(bucket[order])) + 1
     for part in np.split(order, cut):
@@ -414,10 +509,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     words = stash(word_counts(own.select("text", (~F.col("held_out")).alias("train")), "text", "train"), "words")
     total = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(a) for a, c in (("n", F.col("c")), ("every", F.col("n")), ("v", (F.col("c") > 0).cast("long"))))).first()
     hot = max(hot, int(total.every) // 100_000)
-    buckets = 1 + int(total.every) // bucket
 
     top, rest = head_of(words, min(head, HEAD_WORDS))
-    known = top.toArrow()  # at most head + 1 words
+    known = top.toArrow().sort_by([("n", "descending"), ("word", "ascending")])  # at most head + 1 words; ranks pack well
     c = np.r_[known.column("c").to_numpy(), 0].astype(np.float64)
     place = {w: i for i, w in enumerate(known.column("word").to_pylist())}
     place.setdefault(END, len(place))
@@ -433,44 +527,55 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
     )
     unseen = np.log10(0.1 / (total.n + 0.1 * (total.v + 1)))
 
-    side = rest.filter("c > 0").select("word", "c").mapInArrow(lambda batches: _sides(batches, buckets, WORD), SENT_KIND)
+    tables: list[DataFrame] = []
     if root.hot.any():
         at_root = spark.sparkContext.broadcast(root)
         alone = F.arrow_udf(lambda a: pa.array(at_root.value.alone(a.to_numpy().view(np.uint64))), "double")
-        tables = hot_levels(own.select("text", "held_out"), root, depth, gain, hot, 1 + bucket // PARTS, alone)
-        if any((~level.kept).any() for level in root.levels[: depth - 1]):
-            _settle(own, root, tables, depth, gain, buckets)
-        of_levels = spark.sparkContext.broadcast(root)
-        for d, each in enumerate(tables, 1):
-            side = side.unionByName(hot_sides(each, of_levels, d, buckets))
+        tables = hot_levels(own.select("text", "held_out"), root, depth, gain, hot, alone)
+    buckets = 1 + (int(total.every) - (int(root.levels[0].every.sum()) if root.levels else 0)) // bucket
+    last = number_buckets(root.levels, bucket, buckets)
+    if any((~level.kept).any() for level in root.levels[: depth - 1]):
+        _settle(own, root, tables, depth, gain, last)
+    side = rest.filter("c > 0").select("word", "c").mapInArrow(lambda batches: _sides(batches, buckets, WORD), SENT_KIND)
     sent = spark.sparkContext.broadcast(root)
+    for d, each in enumerate(tables, 1):
+        side = side.unionByName(hot_sides(each, sent, d))
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = sent.value
+        held: list[tuple] = []
+        size = 0
         for b in batches:
             body, offsets = text_bytes(b.column("text"))
-            for i, j in slices(offsets, DEALT):
-                yield from _deal(b.slice(i, j - i), body, offsets[i : j + 1])
-
-    def _deal(b: pa.RecordBatch, body: np.ndarray, offsets: np.ndarray) -> list[pa.RecordBatch]:
+            for i, j in slices(offsets, SPLIT):
+                if held and size + offsets[j] - offsets[i] > DEALT:
+                    yield from _deal(r, held)
+                    held, size = [], 0
+                held.append((*encoded(body, offsets[i : j + 1], r), *(b.column(k).slice(i, j - i) for k in ("row", "held_out", "id"))))
+                size += int(offsets[j] - offsets[i])
+        if held:
+            yield from _deal(r, held)
+
+    def _deal(r: Root, texts: list[tuple]) -> list[pa.RecordBatch]:
         """What some texts send: a row each with the head's share of the base score, and their positions by bucket."""
-        r = sent.value
-        p = Positions(body, offsets, r, depth)
-        number, held = b.column("row").to_numpy(), np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
-        n, base, train = len(b), int(number[0]), ~held[p.text]
+        ids, size, number, held, names = zip(*texts, strict=True)
+        p = Positions(np.concatenate(ids), np.concatenate(size), r, depth)
+        number, held, names = (pa.concat_arrays(x) for x in (number, held, names))
+        number, held = number.to_numpy(), np.asarray(held.to_numpy(zero_copy_only=False), bool)
+        n, base, train = len(number), int(number[0]), ~held[p.text]
         ranked = p.ids < TAIL
         at = p.ids[ranked].astype(np.int64)
         add = lambda v: np.bincount(p.text[ranked], weights=v, minlength=n)
         own = _batch(
-            bucket=np.full(n, base % buckets, np.int32), kind=np.full(n, DOC, np.int8), key=number, value=add(r.base[at]), base=add(r.known[at]).astype(np.int64),
-            held_out=held, n_tokens=p.size, id=b.column("id"),
+            bucket=np.full(n, base % buckets, np.int32), kind=np.full(n, DOC, np.int8), key=number, value=add(r.base[at]), base=np.full(n, base), known=add(r.known[at]).astype(np.int64),
+            held_out=held, n_tokens=p.size, id=names,
         )
         rows: list[tuple[int, int, bytes]] = []
-        is_hot = r.is_hot(p.before[0])
-        cold = np.flatnonzero(~is_hot)
+        cold = np.flatnonzero(~r.is_hot(p.before[0]))
         for k, part in _dealt((mix(p.before[0][cold], np.uint64(COLD)) % np.uint64(buckets)).astype(np.int64)):
             w = cold[part]
             rows.append((k, COLD, pack(base, [*(x[w] for x in p.before), p.ids[w]], p.text[w], train[w])))
-        rows += _deal_hot(r, p, base, train, depth, buckets)
+        rows += _deal_hot(r, p, base, train, depth)
         tail = np.flatnonzero(~ranked)
         for k, part in _dealt((mix(p.ids[tail], np.uint64(0)) % np.uint64(buckets)).astype(np.int64)):
             rows.append((k, RARE, _keyed(base, p.ids[tail[part]], p.text[tail[part]])))
@@ -487,39 +592,28 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             for x, y in zip(cut[:-1], cut[1:], strict=True):
                 t = g.slice(x, y - x)
                 kind = t.column("kind").to_numpy()
-                yield from _bucket({k: t.filter(pa.array(kind == k)) for k in np.unique(kind).tolist()})
+                yield from _bucket(int(of[x]), {k: t.filter(pa.array(kind == k)) for k in np.unique(kind).tolist()})
 
-    def _bucket(parts: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
+    def _bucket(number: int, parts: dict[int, pa.Table]) -> Iterator[pa.RecordBatch]:
         r = sent.value
         if DOC in parts:
-            d = parts[DOC]
-            n, zero = len(d), np.arange(len(d) + 1, dtype=np.int32)
-            lists = lambda v, k: pa.ListArray.from_arrays(pa.array(zero), pa.array(v, k))
-            for what, v in ((0, d.column("value").to_numpy()), (1, d.column("base").to_numpy().astype(np.float64))):
-                more = [d.column(c).combine_chunks() if not what else pa.nulls(n, k) for c, k in SENT[-3:]]
-                yield pa.RecordBatch.from_arrays(
-                    [d.column("key").combine_chunks(), pa.array([what] * n, pa.int8()), lists([0] * n, pa.int32()), lists(v, pa.float64()), *more], names=ADDED
-                )
-        cold = [unpack(x, depth + 1) for x in parts[COLD].column("blob").to_pylist()] if COLD in parts else []
-        if cold:
-            before = [np.concatenate([x[1].pop(0) for x in cold]) for _ in range(depth)]
-            symbol, train = np.concatenate([x[1].pop() for x in cold]), np.concatenate([x[3] for x in cold])
-            lp = np.zeros(len(symbol))
-            turns = 1 + len(symbol) // AT_ONCE
-            turn = (mix(before[0], np.uint64(1)) % np.uint64(turns)).astype(np.int32)
-            for k in range(turns):  # what stands after one symbol is done at once
-                own = np.flatnonzero(turn == k)
-                lp[own] = np.log10(subtree([w[own] for w in before], symbol[own], train[own], r.alone(symbol[own]), gain))
-            at = 0
-            for base, _, text, _ in cold:
-                yield _added(base, 2, text, lp[at : at + len(text)])
-                at += len(text)
-        known = _known(parts, LEVEL, 3)
-        for base, text, p in _opened(r, parts, known, depth, gain):
-            yield _added(base, 2, text, np.log10(p))
-        for raw in parts[WARM].column("blob").to_pylist() if WARM in parts else ():
-            base, wanted, text = _unkeyed(raw)
-            yield _added(base, 2, text, np.log10(_look(known, wanted)[0]))
+            t = parts[DOC].combine_chunks()
+            yield _sum_rows(len(t), what=[TEXT] * len(t), **{k: t.column(k).combine_chunks() for k in ADDED if k not in ("what", "blob")})
+        if COLD in parts:
+            g = Gathered(parts.pop(COLD).column("blob").to_pylist(), depth + 1)
+            lp = np.zeros(len(g.train))
+            for own in g.turns(0):  # what stands after one symbol is done at once
+                symbol = g.take(depth, own)
+                lp[own] = np.log10(subtree([g.take(k, own) for k in range(depth)], symbol, g.train[own], r.alone(symbol), gain))
+            for base, text, value in g.by_row(lp):
+                yield _added(base, 2, text, value)
+        if OPEN in parts or WARM in parts:
+            known = _sides_of(r, parts)
+            for base, text, p in _opened(r, number, parts, known, depth, gain):
+                yield _added(base, 2, text, np.log10(p))
+            for raw in parts[WARM].column("blob").to_pylist() if WARM in parts else ():
+                base, wanted, text = _unkeyed(raw)
+                yield _added(base, 2, text, np.log10(_look(known, wanted)[0]))
         counts = _known(parts, WORD, 2)
         for raw in parts[RARE].column("blob").to_pylist() if RARE in parts else ():
             base, wanted, text = _unkeyed(raw)
@@ -527,19 +621,15 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", depth: int =
             yield _added(base, 0, text, np.where(value > 0, np.log10((value + 0.1) / smooth), unseen))
             yield _added(base, 1, text, value > 0)
 
-    done = packed.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(scored, ADDED_KIND)
-    sums = done.repartition("base").sortWithinPartitions("base").mapInArrow(_summed, "row long, what0 double, what1 double, what2 double, held_out boolean, n_tokens long, id string")
-    return (
-        sums.groupBy("row")
-        .agg(*(F.first(c, True).alias(c) for c in ("held_out", "n_tokens", "id")), *(F.sum(f"what{k}").alias(f"what{k}") for k in range(3)))
-        .select(
-            F.col("id").cast(docs.schema[key].dataType).alias(key), "held_out", "n_tokens", F.col("what1").cast("long").alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"),
-            F.col("what0").alias("base_score"), F.col("what2").alias("score"),
-        )
+    done = packed.repartition(min(last, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(scored, ADDED_KIND)
+    sums = done.repartition("base").sortWithinPartitions("base").mapInArrow(_summed, "id string, held_out boolean, n_tokens long, what0 double, what1 long, what2 double")
+    return sums.select(
+        F.col("id").cast(docs.schema[key].dataType).alias(key), "held_out", "n_tokens", F.col("what1").alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"),
+        F.col("what0").alias("base_score"), F.col("what2").alias("score"),
     )
 
 
-def _deal_hot(r: Root, p: Positions, base: int, train: np.ndarray, depth: int, buckets: int, only: list[np.ndarray] | None = None) -> list[tuple[int, int, bytes]]:
+def _deal_hot(r: Root, p: Positions, base: int, train: np.ndarray, depth: int, only: list[np.ndarray] | None = None) -> list[tuple[int, int, bytes]]:
     """Positions after hot contexts by bucket: by the symbol before the longest hot one, or by texts. only: by level, which contexts are meant."""
     warm = np.flatnonzero(r.is_hot(p.before[0]))
     rows: list[tuple[int, int, bytes]] = []
@@ -554,9 +644,9 @@ def _deal_hot(r: Root, p: Positions, base: int, train: np.ndarray, depth: int, b
         if not len(here):
             continue
         w = warm[here]
-        by = x[d][here] if d < depth else (base + p.text[w]).astype(np.uint64)
+        by = x[d][here] if d < depth else (base + p.text[w].astype(np.int64)).astype(np.uint64)
         salt = mix(by, np.uint64(2)) % level.parts[at[here]].astype(np.uint64)
-        for k, part in _dealt((mix(x[d - 1][here], salt) % np.uint64(buckets)).astype(np.int64)):
+        for k, part in _dealt(level.start[at[here]] + salt.astype(np.int64)):
             o = w[part]
             if d < depth:
                 rows.append((k, OPEN, pack(base, [*(v[o] for v in p.before), p.ids[o]], p.text[o], train[o])))
@@ -568,6 +658,10 @@ def _deal_hot(r: Root, p: Positions, base: int, train: np.ndarray, depth: int, b
 def _known(parts: dict[int, pa.Table], side: int, width: int) -> tuple[np.ndarray, ...]:
     """Keys in order and what is known of them."""
     rows = [np.frombuffer(zstandard.decompress(x), "<u8").reshape(width, -1) for x in parts[side].column("blob").to_pylist()] if side in parts else [np.zeros((width, 0), np.uint64)]
+    return _in_order(rows)
+
+
+def _in_order(rows: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     keys, *values = np.concatenate(rows, axis=1)
     order = np.argsort(keys)
     return keys[order], *(v[order].view(np.float64) for v in values)
@@ -583,34 +677,27 @@ def _look(known: tuple[np.ndarray, ...], wanted: np.ndarray) -> list[np.ndarray]
     return [np.where(there, v[x], 0.0) for v in values]
 
 
-def _opened(r: Root, parts: dict[int, pa.Table], known: tuple[np.ndarray, ...], depth: int, gain: float, tell: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Of each row of positions after hot contexts: its base, texts and probabilities. tell: (length, contexts) of those after which one is retained."""
-    rows = [unpack(x, depth + 1) for x in parts[OPEN].column("blob").to_pylist()] if OPEN in parts else []
-    if not rows:
+def _opened(r: Root, bucket: int, parts: dict[int, pa.Table], known: tuple[np.ndarray, ...], depth: int, gain: float, tell: bool = False) -> Iterator[tuple]:
+    """Of each row of positions after the bucket's hot context: its base, texts and probabilities. tell: (length, context) if a context after it is retained."""
+    if OPEN not in parts:
         return
-    before = [np.concatenate([x[1].pop(0) for x in rows]) for _ in range(depth)]
-    symbol, train = np.concatenate([x[1].pop() for x in rows]), np.concatenate([x[3] for x in rows])
-    x = contexts(before)
-    long, _ = r.deepest(x)
-    out = np.zeros(len(symbol))
-    for d in range(1, depth):
-        here = np.flatnonzero(long == d)
-        turns = 1 + len(here) // AT_ONCE
-        turn = (mix(x[d][here], np.uint64(1)) % np.uint64(turns)).astype(np.int32)
-        for k in range(turns):
-            own = here[turn == k]
-            if not len(own):
-                continue
-            p, q = _look(known, combination(x[d - 1][own], symbol[own]))
-            found = subtree([w[own] for w in before[d:]], symbol[own], train[own], p, gain, x[d - 1][own], q, tell)
-            if tell:
-                yield d, np.unique(x[d - 1][own][found]), found
-            else:
-                out[own] = found
-    at = 0
-    for base, _, text, _ in () if tell else rows:
-        yield base, text, out[at : at + len(text)]
-        at += len(text)
+    d, i = r.owner(bucket)
+    number = r.levels[d - 1].number[i]
+    g = Gathered(parts.pop(OPEN).column("blob").to_pylist(), depth + 1)
+    out, told = np.zeros(len(g.train)), False
+    for own in g.turns(d):
+        x, symbol = np.full(len(own), number), g.take(depth, own)
+        p, q = _look(known, combination(x, symbol))
+        found = subtree([g.take(k, own) for k in range(d, depth)], symbol, g.train[own], p, gain, x, q, tell)
+        if tell:
+            told |= bool(found.any())
+        else:
+            out[own] = found
+    if tell:
+        if told:
+            yield d, number
+        return
+    yield from g.by_row(out)
 
 
 def _settle(docs: DataFrame, root: Root, tables: list[DataFrame], depth: int, gain: float, buckets: int) -> None:
@@ -624,9 +711,9 @@ def _settle(docs: DataFrame, root: Root, tables: list[DataFrame], depth: int, ga
         for b in batches:
             body, offsets = text_bytes(b.column("text"))
             held = np.asarray(b.column("held_out").to_numpy(zero_copy_only=False), bool)
-            for i, j in slices(offsets, DEALT):
-                p = Positions(body, offsets[i : j + 1], r, depth)
-                rows = [x for x in _deal_hot(r, p, 0, ~held[i:j][p.text], depth, buckets, meant) if x[1] == OPEN]
+            for i, j in slices(offsets, SPLIT):
+                p = Positions(*encoded(body, offsets[i : j + 1], r), r, depth)
+                rows = [x for x in _deal_hot(r, p, 0, ~held[i:j][p.text], depth, meant) if x[1] == OPEN]
                 if rows:
                     yield _packed(rows)
 
@@ -635,14 +722,16 @@ def _settle(docs: DataFrame, root: Root, tables: list[DataFrame], depth: int, ga
             kind, of = g.column("kind").to_numpy(), g.column("bucket").to_numpy()
             for k in np.unique(of).tolist():
                 parts = {x: g.filter(pa.array((kind == x) & (of == k))) for x in (LEVEL, OPEN)}
-                for d, x, _ in _opened(of_levels.value, parts, _known(parts, LEVEL, 3), depth, gain, tell=True):
-                    yield pa.RecordBatch.from_arrays([pa.array([d] * len(x), pa.int32()), _of(x)], names=["d", "x"])
+                parts = {x: t for x, t in parts.items() if len(t)}
+                r = of_levels.value
+                for d, x in _opened(r, k, parts, _sides_of(r, parts), depth, gain, tell=True):
+                    yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), _of(np.array([x], np.uint64))], names=["d", "x"])
 
     packed = docs.select("text", "held_out").mapInArrow(dealt, SENT_KIND)
     for d, each in enumerate(tables[: depth - 1], 1):
         open_ = pa.array(root.levels[d - 1].number[only[d - 1]].view(np.int64)).to_pylist()  # at most N / hot
         if open_:
-            packed = packed.unionByName(hot_sides(each.filter(F.col("x").isin(open_)), of_levels, d, buckets))
+            packed = packed.unionByName(hot_sides(each.filter(F.col("x").isin(open_)), of_levels, d))
     found = packed.repartition(min(buckets, PARTITIONS), "bucket").sortWithinPartitions("bucket").mapInArrow(told, "d int, x long").distinct().toArrow()
     for d, level in enumerate(root.levels, 1):
         x = found.column("x").to_numpy().view(np.uint64)[found.column("d").to_numpy() == d]
@@ -650,7 +739,7 @@ def _settle(docs: DataFrame, root: Root, tables: list[DataFrame], depth: int, ga
     _close(root.levels)
 
 
-ADDED = ["base", "what", "text", "added", "held_out", "n_tokens", "id"]
+ADDED = ["base", "what", "blob", "key", "value", "known", "held_out", "n_tokens", "id"]
 
 
 def _keyed(base: int, key: np.ndarray, text: np.ndarray) -> bytes:
@@ -663,17 +752,18 @@ def _unkeyed(raw: bytes) -> tuple[int, np.ndarray, np.ndarray]:
     return base, np.frombuffer(raw, "<u8", n, 16), np.cumsum(_numbers(raw[16 + 8 * n :], n).astype(np.int64))
 
 
+def _sum_rows(n: int, **columns) -> pa.RecordBatch:
+    kinds = dict(SENT) | {"what": pa.int8()}
+    cast = lambda c: c if isinstance(c, pa.Array) else pa.array(c)
+    return pa.RecordBatch.from_arrays([cast(columns[c]).cast(kinds[c]) if c in columns else pa.nulls(n, kinds[c]) for c in ADDED], names=ADDED)
+
+
 def _added(base: int, what: int, text: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-    """The sums of a packed row by text."""
-    sums = np.bincount(text, weights=value)
+    """The sums of a packed row by text; logarithms are not above 0 and go without their sign."""
+    sums = np.bincount(text, weights=value if what == 1 else np.rint(-UNIT * value))
     here = np.flatnonzero(np.bincount(text))
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array([base], pa.int64()), pa.array([what], pa.int8()), pa.ListArray.from_arrays(pa.array([0, len(here)], pa.int32()), pa.array(here.astype(np.int32))),
-            pa.ListArray.from_arrays(pa.array([0, len(here)], pa.int32()), pa.array(sums[here])), *(pa.nulls(1, k) for _, k in SENT[-3:]),
-        ],
-        names=ADDED,
-    )
+    blob = _small(np.array([len(here)], "<i8").tobytes(), _planes(np.diff(here, prepend=0)), _planes(np.maximum(sums[here], 0), 8))
+    return _sum_rows(1, base=[base], what=[what], blob=[blob])
 
 
 def _sides(batches: Iterator[pa.RecordBatch], buckets: int, kind: int) -> Iterator[pa.RecordBatch]:
@@ -687,20 +777,24 @@ def _sides(batches: Iterator[pa.RecordBatch], buckets: int, kind: int) -> Iterat
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What was added to each text, by text."""
+    """Texts with the sums of what was added to them, by the chunk that they were dealt with."""
     for g in sorted_groups(batches, ["base"], 1):
-        t = g.combine_chunks()
-        text, added = t.column("text").combine_chunks(), t.column("added").combine_chunks()
-        size = np.diff(text.offsets.to_numpy())
-        row = np.repeat(t.column("base").to_numpy(), size) + text.flatten().to_numpy()
-        rows, of = np.unique(row, return_inverse=True)
-        what = np.repeat(t.column("what").to_numpy(), size)
-        sums = [np.bincount(of[what == k], weights=added.flatten().to_numpy()[what == k], minlength=len(rows)).astype(np.float64) for k in range(3)]
-        doc = np.flatnonzero(t.column("held_out").is_valid().to_numpy())
-        at = np.full(len(rows), -1, np.int64)
-        at[np.searchsorted(rows, t.column("base").to_numpy()[doc])] = doc
-        pick = pa.array(np.where(at < 0, 0, at), mask=at < 0)
-        yield pa.RecordBatch.from_arrays([pa.array(rows), *map(pa.array, sums), *(t.column(c).combine_chunks().take(pick) for c in ADDED[-3:])], names=["row", "what0", "what1", "what2", *ADDED[-3:]])
+        of = g.column("base").to_numpy()
+        cut = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+        for x, y in zip(cut[:-1], cut[1:], strict=True):
+            t = g.slice(x, y - x)
+            what = t.column("what").to_numpy()
+            docs = t.filter(pa.array(what == TEXT)).sort_by("key")
+            sums = np.zeros((3, len(docs)))
+            for raw, k in zip(t.column("blob").to_pylist(), what.tolist(), strict=True):
+                if k != TEXT:
+                    raw = memoryview(zstandard.decompress(raw))
+                    n = int(np.frombuffer(raw, "<i8", 1)[0])
+                    text = np.cumsum(_numbers(raw[8:], n).astype(np.int64))
+                    sums[k, text] += _numbers(raw[8 + 4 * n :], n, 8)
+            base, known = docs.column("value").to_numpy() - sums[0] / UNIT, docs.column("known").to_numpy() + sums[1].astype(np.int64)
+            own = [docs.column(c).combine_chunks() for c in ("id", "held_out", "n_tokens")]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(base), pa.array(known), pa.array(-sums[2] / UNIT)], names=["id", "held_out", "n_tokens", "what0", "what1", "what2"])
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

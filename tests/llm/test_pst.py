@@ -140,3 +140,27 @@ def test_hot_contexts_are_dealt_over_buckets(spark, depth, bucket, hot, gain):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = pst.score(df, depth=depth, gain=gain, bucket=bucket, hot=hot).collect()
     check(got, list(brute(rows, depth, gain, head_words(rows, pst.HEAD_WORDS, spark))))
+
+
+def shuffled(spark):
+    """Bytes that all tasks so far have written to shuffles."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    every = sc.statusStore().executorList(False)
+    return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+
+@pytest.mark.parametrize(("bucket", "hot", "most"), [(2000, 10**9, 12), (2000, 4000, 14)])
+def test_disk_of_many_buckets_is_bounded(spark, bucket, hot, most):
+    """Many small buckets, with and without hot contexts: bytes that a token takes in all shuffles, those of its words included."""
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet").select("doc_id", "text")
+    before = shuffled(spark)
+    rows = pst.score(docs, bucket=bucket, hot=hot).collect()
+    assert 0 < shuffled(spark) - before < most * sum(r.n_tokens for r in rows)
+
+
+def test_first_column_is_packed_by_its_few_ids():
+    rng = np.random.default_rng(3)
+    few = rng.integers(0, pst.HEAD_WORDS, 60).astype(np.uint64)[rng.integers(0, 60, 20_000)]
+    zeros = np.zeros(20_000, np.uint64)
+    assert len(pst.pack(0, [few, zeros], zeros.astype(np.int64), zeros == 0)) < 20_000
