@@ -32,6 +32,7 @@ def remove_units(
     shared table. Shared tables go in the order that they are given in. If one is referred to by itself or by a later
     one, passes are repeated until none of them shrinks. null_safe: tables in whose keys null is a value.
     """
+    units = stash(units.select("unit").distinct(), "units")
     left = {t: facts.without(rows, units) for t, rows in owned.items()}
     kept = {t: rows for t, (rows, _) in shared.items()}
     order = list(shared)
@@ -41,6 +42,8 @@ def remove_units(
         for t in order:
             found = [((left | kept)[r], columns) for r, columns in references[t]]
             kept[t] = referred(kept[t], shared[t][1], found, t in null_safe)
+            if not looped and any(r == t for rs in references.values() for r, _ in rs):
+                kept[t] = stash(kept[t], t)  # read by what it refers to, and as a result
 
     once()
     while looped:

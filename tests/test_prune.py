@@ -1,5 +1,6 @@
 import pytest
 from factloom.operators import prune
+from factloom.sources import lens
 
 pytestmark = pytest.mark.usefixtures("small_plans")
 
@@ -20,3 +21,14 @@ def test_cascade_null_keys_and_loops(spark):
     chain = {"symbol": (df([(f"n{k}", f"n{k + 1}") for k in range(6)] + [("n6", None)], "symbol string, outer string"), ("symbol",))}
     _, kept = prune.remove_units({}, chain, {"symbol": [("symbol", ("outer",))]}, df([], "unit string"))
     assert kept["symbol"].count() == 0  # nothing refers to the first, so all go, one after the other
+
+
+def test_calls_are_dealt_once(spark):
+    """Lines go through one shuffle, by order, before calls are attached to symbols, whatever else is joined; and stay a set."""
+    folder = "/root/testdata/sf0.001"
+    loc = lens.locations(spark, folder)
+    found = lens.call_numbers(spark, folder, lens.Numbers(loc))
+    assert found.count() == found.distinct().count() == lens.calls(spark, folder, loc).distinct().count() == lens.calls(spark, folder, loc).count() > 1000
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.splitlines() if " Exchange " in x]
+    assert len(dealt) <= 2 and all("REPARTITION_BY_COL" in x for x in dealt)
