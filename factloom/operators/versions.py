@@ -9,10 +9,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factloom.functions import lines
 from factloom.operators import discovery, facts
+from factloom.sources.shared import stash
 
 KEY = ["path", "content"]
 #: What orders the places of a symbol; a place whose bytes aren't known comes before one whose digest is.
@@ -31,18 +33,41 @@ def with_version(rows: DataFrame, versions: DataFrame) -> DataFrame:
     return rows.join(v, F.col("path").eqNullSafe(F.col("__path")) & (F.col("content") == F.col("__content")), "left").drop("__path", "__content")
 
 
+#: Bytes of a slice in which an offset's line is looked for, and of file begins whose spans are digested at once.
+SLICE, SPANS = 512, 1 << 20
+
+
+def _offsets(offsets: DataFrame, contents: DataFrame) -> DataFrame:
+    """offsets (path, content, off) inside contents, with at: struct(line, column). A slice knows the lines before it, so an offset costs a slice and not its file."""
+    last = (F.octet_length("bytes") / SLICE).cast("int")  # where a file ends with a slice, one more is empty
+    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(F.col("bytes"), i * SLICE + 1, F.lit(SLICE)))
+    slices = contents.select(*KEY, F.posexplode(cut).alias("i", "slice"))
+    text, own = F.decode("slice", "ISO-8859-1"), W.partitionBy(*KEY).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
+    back = F.instr(F.reverse(text), "\n")
+    newline = F.when(back > 0, F.col("i").cast("long") * SLICE + F.length(text) - back)
+    known = slices.select(
+        *KEY, "i", "slice", F.coalesce(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n")))).over(own), F.lit(0)).alias("lines"), F.coalesce(F.max(newline).over(own), F.lit(-1)).alias("newline")
+    )
+    at = lines.line_column(F.col("slice"), F.col("off") - F.col("i") * SLICE)
+    found = offsets.withColumn("i", F.floor(F.col("off") / SLICE).cast("int")).join(known, [*KEY, "i"]).withColumn("at", at).filter("at IS NOT NULL")
+    column = F.when(F.col("at.line") > 1, F.col("at.column")).otherwise(F.col("off") - F.col("newline"))
+    return found.select(*KEY, "off", F.struct((F.col("lines") + F.col("at.line")).alias("line"), column.alias("column")).alias("at"))
+
+
 def with_spans(rows: DataFrame, contents: DataFrame) -> DataFrame:
     """rows (path, content, b_off, e_off, ...) with lines, columns and the digest of the bytes; nulls where they aren't known.
 
-    contents: path, content (the digest), bytes; of many facts in a file each brings its bytes only to its own row.
+    contents: path, content (the digest), bytes. A file's bytes meet the spans that begin in one part of it as one row.
     """
-    held = contents.select(F.col("path").alias("__path"), F.col("content").alias("__content"), "bytes")
-    seen = rows.join(held, (F.col("path") == F.col("__path")) & (F.col("content") == F.col("__content")), "left").drop("__path", "__content")
-    begin, end = lines.line_column(F.col("bytes"), F.col("b_off")), lines.line_column(F.col("bytes"), F.col("e_off"))
-    inside = lines.span_bytes(F.col("bytes"), F.col("b_off"), F.col("e_off"))
-    told = seen.withColumn("__b", begin).withColumn("__e", end).withColumn("span_hash", F.sha2(inside, 256))
-    return told.select(
-        *rows.columns, F.col("__b.line").alias("begin_line"), F.col("__b.column").alias("begin_column"), F.col("__e.line").alias("end_line"), F.col("__e.column").alias("end_column"), "span_hash"
+    places = rows.select(*KEY, "b_off", "e_off").distinct()
+    found = stash(_offsets(places.select(*KEY, F.explode(F.array("b_off", "e_off")).alias("off")).distinct(), contents), "offsets")
+    held = places.groupBy(*KEY, F.floor(F.col("b_off") / SPANS).alias("g")).agg(F.collect_list(F.struct("b_off", "e_off")).alias("x")).join(contents.select(*KEY, "bytes"), KEY)
+    told = F.transform("x", lambda s: F.struct(s["b_off"].alias("b_off"), s["e_off"].alias("e_off"), F.sha2(lines.span_bytes(F.col("bytes"), s["b_off"], s["e_off"]), 256).alias("span_hash")))
+    hashed = held.select(*KEY, told.alias("x")).select(*KEY, F.inline("x"))
+    ends = [found.select(*KEY, F.col("off").alias(c), F.col("at").alias(f"__{c}")) for c in ("b_off", "e_off")]
+    seen = rows.join(hashed, [*KEY, "b_off", "e_off"], "left").join(ends[0], [*KEY, "b_off"], "left").join(ends[1], [*KEY, "e_off"], "left")
+    return seen.select(
+        *rows.columns, F.col("__b_off.line").alias("begin_line"), F.col("__b_off.column").alias("begin_column"), F.col("__e_off.line").alias("end_line"), F.col("__e_off.column").alias("end_column"), "span_hash"
     )
 
 

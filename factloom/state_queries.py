@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -79,12 +81,27 @@ class Versioned:
         late = F.col("unit").isin("u3", "u7")
         places = lined.join(seen, (F.col("path") == F.col("p")) & (F.col("g") == late))
         self.places = stash(places.select("symbol", "role", "unit", "path", "content", "b_off", (F.col("b_off") + F.octet_length("line")).alias("e_off")), "places")
-        calls = lens.external_calls(spark, sf_dir, loc, lens.externals(spark, sf_dir))
-        found = calls.join(seen, (F.col("path") == F.col("p")) & (F.col("g") == late), "left")
-        self.evidence = found.select("source", "target", "unit", "path", F.coalesce("content", F.sha2(F.lit("built in"), 256)).alias("content"))
-        empty = spark.createDataFrame([], "version long, path string, content string")
+        self.spark, self.sf_dir, self.loc, self.seen, self.late = spark, sf_dir, loc, seen, late
+
+    def _within(self, calls):
+        """calls (path, unit, ...) with the content that they were seen in."""
+        return calls.join(self.seen, (F.col("path") == F.col("p")) & (F.col("g") == self.late), "left").withColumn("content", F.coalesce("content", F.sha2(F.lit("built in"), 256))).drop("p", "g")
+
+    @property
+    def evidence(self):
+        calls = lens.external_calls(self.spark, self.sf_dir, self.loc, lens.externals(self.spark, self.sf_dir))
+        return self._within(calls).select("source", "target", "unit", "path", "content")
+
+    @cached_property
+    def versions(self):
+        """Only paths and units of calls are needed here, which are few."""
+        number = lens.Numbers(self.loc)
+        met = lens.external_lines(self.spark, self.sf_dir, number, lens.externals(self.spark, self.sf_dir)).select("p", "u").distinct()
+        named = met.withColumnRenamed("p", "at").join(number.ids.join(number.parts.select("n", F.col("p").alias("at")).distinct(), "n").select("at", "path").distinct(), "at", "left")
+        met = self._within(named.select("path", F.concat(F.lit("u"), F.col("u").cast("string")).alias("unit")))
+        empty = self.spark.createDataFrame([], "version long, path string, content string")
         before = versions.find_or_insert(empty, self.places.filter(F.substring("unit", 2, 9).cast("int") % 2 == 0))
-        self.versions = stash(versions.find_or_insert(stash(before, "versions"), self.places, self.evidence), "versions")
+        return stash(versions.find_or_insert(stash(before, "versions"), self.places, met), "versions")
 
 
 @query(
