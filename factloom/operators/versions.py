@@ -40,7 +40,8 @@ SLICE, SPANS = 512, 1 << 20
 def _offsets(offsets: DataFrame, contents: DataFrame) -> DataFrame:
     """offsets (path, content, off) inside contents, with at: struct(line, column). A slice knows the lines before it, so an offset costs a slice and not its file."""
     last = (F.octet_length("bytes") / SLICE).cast("int")  # where a file ends with a slice, one more is empty
-    cut = F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(F.col("bytes"), i * SLICE + 1, F.lit(SLICE)))
+    # a function's own argument isn't copied each time that it is looked at, as a column is
+    cut = F.flatten(F.transform(F.array("bytes"), lambda b: F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(b, i * SLICE + 1, F.lit(SLICE)))))
     slices = contents.select(*KEY, F.posexplode(cut).alias("i", "slice"))
     text, own = F.decode("slice", "ISO-8859-1"), W.partitionBy(*KEY).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
     back = F.instr(F.reverse(text), "\n")
@@ -62,7 +63,8 @@ def with_spans(rows: DataFrame, contents: DataFrame) -> DataFrame:
     places = rows.select(*KEY, "b_off", "e_off").distinct()
     found = stash(_offsets(places.select(*KEY, F.explode(F.array("b_off", "e_off")).alias("off")).distinct(), contents), "offsets")
     held = places.groupBy(*KEY, F.floor(F.col("b_off") / SPANS).alias("g")).agg(F.collect_list(F.struct("b_off", "e_off")).alias("x")).join(contents.select(*KEY, "bytes"), KEY)
-    told = F.transform("x", lambda s: F.struct(s["b_off"].alias("b_off"), s["e_off"].alias("e_off"), F.sha2(lines.span_bytes(F.col("bytes"), s["b_off"], s["e_off"]), 256).alias("span_hash")))
+    digest = lambda b, s: F.struct(s["b_off"].alias("b_off"), s["e_off"].alias("e_off"), F.sha2(lines.span_bytes(b, s["b_off"], s["e_off"]), 256).alias("span_hash"))
+    told = F.flatten(F.transform(F.array("bytes"), lambda b: F.transform("x", lambda s: digest(b, s))))
     hashed = held.select(*KEY, told.alias("x")).select(*KEY, F.inline("x"))
     ends = [found.select(*KEY, F.col("off").alias(c), F.col("at").alias(f"__{c}")) for c in ("b_off", "e_off")]
     seen = rows.join(hashed, [*KEY, "b_off", "e_off"], "left").join(ends[0], [*KEY, "b_off"], "left").join(ends[1], [*KEY, "e_off"], "left")
